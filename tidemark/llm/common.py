@@ -60,28 +60,47 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-def matches_with_places(df: DataFrame, text: str, patterns: dict[str, str], checks: dict, guards: dict[str, str]) -> DataFrame:
-    """For each kind a column <kind> of its leftmost non-overlapping matches that pass the check, as array<struct<kind, start, end, value>>.
+SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
-    Places are code points, the end exclusive. They come from the lengths of the matches and of the pieces that a split
-    at the same pattern leaves between them. guards: a string without which a text can't have a match of that kind.
+
+def places(kind: str, matches: Column, pieces: Column, check=None) -> Column:
+    """The matches that pass the check as array<struct<kind, start, end, value>>, in code points, the end exclusive.
+
+    pieces: the lengths of what a split at the same pattern leaves between the matches.
+    """
+    none = F.array().cast(SPAN)
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), none.alias("out"))
+
+    def step(acc: Column, m: Column) -> Column:
+        begin = acc["at"] + F.get(pieces, acc["i"])
+        end = begin + F.length(m)
+        one = F.array_append(acc["out"], F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), m.alias("value")))
+        return F.struct(end.alias("at"), (acc["i"] + 1).alias("i"), (F.when(check(m), one).otherwise(acc["out"]) if check else one).alias("out"))
+
+    return F.when(F.size(matches) > 0, F.aggregate(matches, start, step, lambda acc: acc["out"])).otherwise(none)
+
+
+def matches_with_places(df: DataFrame, text: str, patterns: dict[str, str], checks: dict, guards: dict[str, list[str]]) -> DataFrame:
+    """Adds for each kind a column <kind> of its leftmost non-overlapping matches that pass their check.
+
+    guards: a text with none of these strings can't have a match of that kind.
     """
-    found = df.withColumns({f"__m_{k}": F.when(F.contains(F.col(text), F.lit(guards[k])) if k in guards else F.lit(True), F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0))) for k, p in patterns.items()})
+    maybe = {k: reduce(lambda a, b: a | b, [F.contains(F.col(text), F.lit(g)) for g in guards[k]]) if k in guards else F.lit(True) for k in patterns}
+    found = df.withColumns({f"__m_{k}": F.when(maybe[k], F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0))) for k, p in patterns.items()})
     found = found.withColumns({f"__p_{k}": F.when(F.size(f"__m_{k}") > 0, F.transform(F.split(F.col(text), p, -1), F.length)) for k, p in patterns.items()})
-    empty = "array<struct<kind:string,start:int,end:int,value:string>>"
+    return found.withColumns({k: places(k, F.col(f"__m_{k}"), F.col(f"__p_{k}"), checks.get(k)) for k in patterns}).drop(*(f"__{x}_{k}" for x in "mp" for k in patterns))
 
-    def placed(k: str) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(empty).alias("out"))
 
-        def step(acc: Column, m: Column) -> Column:
-            begin = acc["at"] + F.get(F.col(f"__p_{k}"), acc["i"])
-            end = begin + F.length(m)
-            one = F.struct(F.lit(k).alias("kind"), begin.alias("start"), end.alias("end"), m.alias("value"))
-            return F.struct(end.alias("at"), (acc["i"] + 1).alias("i"), F.when(checks[k](m), F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+def masked_text(text: Column, spans: Column, mask) -> Column:
+    """The text with each span replaced by mask(span); spans are sorted by start, and what overlaps an earlier one only shortens the text between."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-        return F.when(F.size(f"__m_{k}") > 0, F.aggregate(F.col(f"__m_{k}"), start, step, lambda acc: acc["out"])).otherwise(F.array().cast(empty))
+    def step(acc: Column, s: Column) -> Column:
+        fresh = s["start"] >= acc["at"]
+        between = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(between, mask(s)))).otherwise(acc["out"]).alias("out"))
 
-    return found.withColumns({k: placed(k) for k in patterns}).drop(*(f"__{x}_{k}" for x in "mp" for k in patterns))
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))))
 
 
 def joined_spans(spans: Column) -> Column:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from tidemark.llm.neardup import op3_fingerprints, op8_simhash_neardup
+from tidemark.llm.pii import op1_pii
 from tidemark.llm.quality import ORACLE as QUALITY_SQL
 from tidemark.llm.quality import op10_quality_rules
+from tidemark.llm.secrets import op5_secret_scans
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op3_document_fingerprints": op3_fingerprints,
+    "op5_secret_scans": op5_secret_scans,
     "op8_simhash_near_dedup": op8_simhash_neardup,
     "op10_quality_rules": op10_quality_rules,
 }
