@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: White space as the contracts define it: space and the code points 9 to 13.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -107,6 +108,27 @@ def joined_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def seeded(seed: str, id_col: str) -> Column:
+    """A hex key that puts rows in a seeded order."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+
+
+def running_before(df: DataFrame, group: str, key: str, value: str, ties: list[str]) -> DataFrame:
+    """df with `before`: the sum of `value` over the rows of the same group that come earlier by the hex key, then ties.
+
+    A group is cut into 4096 cells by the key's first three digits, so no task sees a whole group: a window runs inside
+    each cell, and the cells' own totals, a table of 4096 rows a group at most, say what lies before a cell.
+    """
+    d = df.withColumn("__cell", F.substring(key, 1, 3))
+    cells = d.groupBy(F.col(group).alias("__g"), F.col("__cell").alias("__c")).agg(F.sum(value).alias("__sum"))
+    ahead = W.partitionBy("__g").orderBy("__c").rowsBetween(W.unboundedPreceding, -1)
+    cells = cells.withColumn("__ahead", F.coalesce(F.sum("__sum").over(ahead), F.lit(0))).drop("__sum")
+    inside = W.partitionBy(group, "__cell").orderBy(key, *ties).rowsBetween(W.unboundedPreceding, -1)
+    d = d.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    d = d.join(cells, (d[group].eqNullSafe(cells["__g"])) & (d["__cell"] == cells["__c"]))
+    return d.withColumn("before", F.col("__ahead") + F.col("__inside")).drop("__cell", "__g", "__c", "__ahead", "__inside")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of edges(a, b): label is the smallest node that node reaches.
 

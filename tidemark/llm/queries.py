@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from tidemark.llm.html import op2_html_extraction
+from tidemark.llm.langid import op6_language_id
+from tidemark.llm.mixing import ORACLE as MIXING_SQL
+from tidemark.llm.mixing import op9_mixing
 from tidemark.llm.neardup import op3_fingerprints, op8_simhash_neardup
+from tidemark.llm.packing import op4_packing
 from tidemark.llm.pii import op1_pii
 from tidemark.llm.quality import ORACLE as QUALITY_SQL
 from tidemark.llm.quality import op10_quality_rules
@@ -10,9 +15,13 @@ from tidemark.llm.secrets import op5_secret_scans
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_html_extraction": op2_html_extraction,
     "op3_document_fingerprints": op3_fingerprints,
+    "op4_packing": op4_packing,
     "op5_secret_scans": op5_secret_scans,
+    "op6_language_id": op6_language_id,
     "op8_simhash_near_dedup": op8_simhash_neardup,
+    "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES = {"op10_quality_rules": QUALITY_SQL}
+ORACLES = {"op9_mixing": MIXING_SQL, "op10_quality_rules": QUALITY_SQL}
