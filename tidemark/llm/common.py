@@ -39,6 +39,39 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_columns_from(df: DataFrame, column: str, make, new: dict[str, str], portion: int) -> DataFrame:
+    """df without `column` but with the `new` columns (name: type) that make(list of its values) returns as lists or arrays.
+
+    Arrow batches go through untouched, so other columns keep their types and nulls whatever they hold. Work is done on
+    about `portion` characters at a time.
+    """
+    import pyarrow as pa
+
+    names = [f"c{i}" for i in range(len(df.columns))]
+    rest = [(n, f) for n, f in zip(names, df.schema, strict=True) if f.name != column]
+    d = df.toDF(*names)
+    at = names[df.columns.index(column)]
+    added = [f"n{i}" for i in range(len(new))]
+
+    def run(batches):
+        for batch in batches:
+            values = batch.column(at).to_pylist()
+            begin, size = 0, 0
+            for i, v in enumerate(values):
+                size += len(v)
+                if size >= portion or i == len(values) - 1:
+                    made = make(values[begin : i + 1])
+                    part = batch.slice(begin, i + 1 - begin)
+                    kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+                    extra = [pa.array(x, type=kinds[t]) for x, t in zip(made, new.values(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column(n) for n, _ in rest] + extra, names=[n for n, _ in rest] + added)
+                    begin, size = i + 1, 0
+
+    schema = ", ".join([f"{n} {f.dataType.simpleString()}" for n, f in rest] + [f"{n} {t}" for n, t in zip(added, new.values(), strict=True)])
+    done = d.mapInArrow(run, schema)
+    return done.select(*(F.col(n).alias(f.name) for n, f in rest), *(F.col(n).alias(k) for n, k in zip(added, new, strict=True)))
+
+
 def text_of(column: str | Column) -> Column:
     """A null text counts as an empty one."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -9,14 +9,12 @@ and styles are dropped before scoring, by element and by the words of their clas
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, text_of
+from tidemark.llm.common import table, text_of, with_columns_from
 
 #: Elements by what HTML says of them (fixed values).
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
@@ -41,6 +39,8 @@ LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 BLANK = re.compile(r"\s+")
+#: Characters of pages worked on at a time in a task.
+PORTION = 2_000_000
 
 
 class Node:
@@ -122,7 +122,7 @@ def tree(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
                     up = up.parent
             marks = " ".join(a or b or c for k, a, b, c in ATTRIBUTE.findall(m[3]) if k.lower() in ("class", "id", "role")) if m[3] else ""
             hidden = bool(m[3]) and bool(re.search(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", m[3], re.I))
-            out = tag in DROPPED or hidden or tag == "header" and not inside(node, "article") or bool(marks) and tag not in ("body", "html", "article", "main") and bool(UNLIKELY.search(marks)) and not LIKELY_ONLY(marks)
+            out = tag in DROPPED or hidden or tag == "header" and not inside(node, "article") or bool(marks) and tag not in ("body", "html", "article", "main") and bool(UNLIKELY.search(marks)) and not names_body(marks)
             bonus = 25.0 if marks and LIKELY.search(marks) else 0.0
             if tag in RAW:
                 end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(page, at)
@@ -146,7 +146,7 @@ def inside(n: Node | None, tag: str) -> bool:
     return False
 
 
-def LIKELY_ONLY(marks: str) -> bool:
+def names_body(marks: str) -> bool:
     """Marks such as `content-header-article` name both; only an explicit article body outweighs an unlikely word."""
     return bool(re.search(r"(?:^|\s)(?:article|post|entry|story)[_-]?(?:body|content|text)(?:$|\s)", marks, re.I))
 
@@ -209,17 +209,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
     Defined results: a null or empty page has the text ''; repeated rows and null ids are handled row by row; other
     columns aren't read; an empty table gives an empty result.
     """
-    d = pages.select(F.col(id_col).alias("id"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep or [])), text_of(html_col).alias("html"))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            out = pdf.drop(columns="html")
-            out["text"] = [main_text(x) for x in pdf["html"]]
-            yield out
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema if f.name != "html") + ", text string"
-    done = d.mapInPandas(run, schema)
-    return done.select(F.col("id").alias(id_col), *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep or [])), "text", F.length("text").cast("long").alias("n_chars"))
+    d = pages.select(id_col, *(keep or []), text_of(html_col).alias("__html"))
+    done = with_columns_from(d, "__html", lambda pages: [[main_text(x) for x in pages]], {"text": "string"}, PORTION)
+    return done.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op2_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, text_of, words_of
+from tidemark.llm.common import table, text_of, with_columns_from, words_of
 
 PER_LANGUAGE, EXCERPT = 400, 48
 BLOCK = 32
@@ -244,27 +243,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train([(x, t) for x, _, t in rows]) if rows else None
 
 
+PREDICTED = {"lang_pred": "string", "score": "double", "n_words": "long", "n_other": "long"}
+
+
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs' columns (or those in `keep`) with lang_pred, score, n_words and n_other.
+    """docs' columns (or those in `keep`) followed by lang_pred, score, n_words and n_other.
 
     Defined results: a null text or one without a letter is `und` with score 0; each row is predicted by itself, from its
-    text alone; an empty table gives an empty result. Columns of those four names are replaced.
+    text alone; an empty table gives an empty result. Columns of docs are carried as they are, whatever their names.
     """
-    new = {"lang_pred": "string", "score": "double", "n_words": "long", "n_other": "long"}
-    d = docs.withColumn("__text", text_of(text_col)).select(*(c for c in (docs.columns if keep is None else keep) if c not in new), "__text")
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    d = docs.select(*(docs.columns if keep is None else keep), text_of(text_col).alias("__text_of_identify"))
+
+    def made(texts: list[str]) -> list:
+        out = predict(shipped.value, texts)
+        return [out[c].tolist() for c in PREDICTED]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            size = pdf["__text"].str.len().to_numpy()
-            part = (np.cumsum(size) // PORTION).astype(np.int64)
-            for _, some in pdf.groupby(part, sort=False):
-                texts = some["__text"].tolist()
-                rest = some.drop(columns="__text").reset_index(drop=True)
-                yield pd.concat([rest, predict(shipped.value, texts)], axis=1)
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "__text"] + [f"{k} {v}" for k, v in new.items()])
-    return d.mapInPandas(run, schema)
+    return with_columns_from(d, "__text_of_identify", made, PREDICTED, PORTION)
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

@@ -83,15 +83,16 @@ def flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], repeats
     return taken
 
 
-def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """doc_id, text_hash, sources (sorted array), size, taken (words), copies (taken in whole documents, 0 to `repeats`) and the numbers of the document's first source.
+def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, keep: list[str] | None = None) -> DataFrame:
+    """`keep` columns, doc_id, text_hash, sources (sorted array), size, taken (words), copies (taken in whole documents, 0 to `repeats`) and the numbers of the document's first source.
 
     sources: an array column with the sources that a document belongs to; null entries are a source of their own, the
     last. Sources weigh `weights`, repeating, in code point order, and share the whole size. Defined results: a null text
     has size 0 and is taken 0 times, as has one without words; identical rows are chosen one by one; of rows that tie in
     the seeded order any is as good; an empty table gives an empty result.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_hash"), F.sort_array(F.array_distinct(sources)).alias("sources"), F.size(words_of(text_of(text_col))).cast("long").alias("size"))
+    carried = [f"keep_{i}" for i in range(len(keep or []))]
+    d = docs.select(*(F.col(c).alias(n) for c, n in zip(keep or [], carried, strict=True)), F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_hash"), F.sort_array(F.array_distinct(sources)).alias("sources"), F.size(words_of(text_of(text_col))).cast("long").alias("size"))
     d = written(d.withColumn("pattern", F.to_json("sources")))
     sums = d.groupBy("pattern", "sources").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
     if len(sums) > MOST_PATTERNS:
@@ -109,7 +110,14 @@ def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
     d = d.join(plan, "pattern").withColumn("taken", F.when(F.col("size") > 0, F.col("rounds") * F.col("size") + part).otherwise(0).cast("long"))
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("long")
-    return d.select("doc_id", "text_hash", "sources", "size", "source_size", "target", "taken", copies.alias("copies"))
+    return d.select(*carried, "doc_id", "text_hash", "sources", "size", "source_size", "target", "taken", copies.alias("copies"))
+
+
+def mixed(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs' rows as often as the mix takes them, each whole; rows that it doesn't take, or less than half of, go."""
+    d = mix(docs, F.array(source_col), id_col, text_col, keep=docs.columns)
+    d = d.where("copies > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return d.select(*(F.col(f"keep_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tidemark.llm.common import components, hex16, table, text_of, words_of, written
 from tidemark.llm.hamming import block_tables, links, pigeonhole_cells, pigeonhole_plan
@@ -18,9 +19,9 @@ def shingle_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: i
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id): documents whose fingerprints link at `radius` or fewer differing bits, transitively.
+    """(doc_id, text_hash, fp, group_fp, component_id): documents whose fingerprints link at `radius` or fewer differing bits, transitively.
 
-    component_id is the smallest doc_id that the document reaches. Defined results: a null text is empty; texts without
+    component_id is the smallest doc_id that the document reaches, group_fp the smallest fingerprint of the group. Defined results: a null text is empty; texts without
     words have fingerprint zero and are linked like any other; identical rows become one; rows with one id but different
     texts are documents of their own; null ids are ignored in the minimum; an empty table gives an empty result.
     Equal fingerprints are one node, so a group of copies of any size costs one row here.
@@ -30,8 +31,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = components(links(pigeonhole_cells(nodes, pigeonhole_plan(nodes, radius)), radius))
     lowest = nodes.join(labels.withColumnRenamed("node", "fp"), "fp")
     roots = lowest.groupBy("label").agg(F.min("rep").alias("component_id"))
-    grouped = nodes.join(lowest.select("fp", "label").join(roots, "label"), "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return fps.join(written(grouped), "fp").select("doc_id", "text_hash", "fp", "component_id")
+    grouped = nodes.join(lowest.select("fp", "label").join(roots, "label"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("group_fp"), F.coalesce("component_id", "rep").alias("component_id"))
+    return fps.join(written(grouped), "fp").select("doc_id", "text_hash", "fp", "group_fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs' rows without near-duplicates: of each group of near_groups the row with the smallest id (null last), then text hash."""
+    groups = near_groups(docs, id_col, text_col, **options)
+    first = groups.groupBy("group_fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("x"))
+    stays = written(first.select(F.col("x.doc_id").alias("__id"), F.col("x.text_hash").alias("__hash"), F.xxhash64("x.doc_id", "x.text_hash").alias("__key")))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    d = docs.toDF(*names)
+    own = F.col(names[docs.columns.index(id_col)])
+    d = d.withColumn("__own_hash", F.xxhash64(text_of(names[docs.columns.index(text_col)]))).withColumn("__key", F.xxhash64(own, "__own_hash"))
+    d = d.join(stays, "__key").where(own.eqNullSafe(F.col("__id")) & (F.col("__own_hash") == F.col("__hash")))
+    # Identical rows share the key that the join has dealt them out by.
+    d = d.withColumn("__copy", F.row_number().over(W.partitionBy("__key", own).orderBy("__own_hash"))).where("__copy = 1")
+    return d.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
 
 
 def op8_simhash_neardup(spark, sf_dir: str) -> DataFrame:

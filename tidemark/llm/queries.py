@@ -12,6 +12,7 @@ from tidemark.llm.pii import op1_pii
 from tidemark.llm.quality import ORACLE as QUALITY_SQL
 from tidemark.llm.quality import op10_quality_rules
 from tidemark.llm.secrets import op5_secret_scans
+from tidemark.llm.substrings import op7_substring_dedup
 
 QUERIES = {
     "op1_pii": op1_pii,
@@ -20,6 +21,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_secret_scans": op5_secret_scans,
     "op6_language_id": op6_language_id,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash_near_dedup": op8_simhash_neardup,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,

@@ -119,7 +119,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     A token that overlaps a base span isn't reported twice. `keep` names further columns to carry. Defined results: a null
     text is empty and has no spans; repeated rows are scanned one by one; an empty table gives an empty result.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), *(F.col(c).alias(f"keep_{c}") for c in keep or []), text_of(text_col).alias("t"))
+    d = docs.select(F.col(id_col).alias("doc_id"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep or [])), text_of(text_col).alias("t"))
     d = matches_with_places(d, "t", PATTERNS, CHECKS, GUARDS).drop("t")
     order = {k: i for i, k in enumerate([*BASE, "random"])}
     tagged = lambda a, k: F.transform(a, lambda s: F.struct(s["start"].alias("start"), F.lit(order[k]).alias("o"), s["end"].alias("end"), F.lit(k).alias("kind")))
@@ -131,7 +131,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     d = d.crossJoin(F.broadcast(accepted_classes(d)))
     random = F.filter("tested", lambda s: s["passes"] & F.array_contains(F.col("accepted"), F.concat_ws(":", s["enc"], s["n"])))
     d = d.withColumn("spans", F.sort_array(F.concat("base", tagged(random, "random"))))
-    return d.select("doc_id", *(F.col(f"keep_{c}").alias(c) for c in keep or []), "base", "spans")
+    return d.select("doc_id", *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep or [])), "base", "spans")
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -139,6 +139,20 @@ def redacted(text: Column, spans: Column) -> Column:
     return masked_text(text, spans, lambda s: F.lit("[SECRET]"))
 
 
+def without_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """docs' rows with their secrets redacted; a column of the text's length follows the change, a null text stays null."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index(text_col)]
+    d = scan(docs.toDF(*names), names[docs.columns.index(id_col)], text, keep=names)
+    d = d.withColumn("__clean", F.when(F.col(text).isNull() | (F.size("spans") == 0), F.col(text)).otherwise(redacted(F.col(text), F.col("spans"))))
+    length = F.when(F.col("__clean").isNotNull() & (F.size("spans") > 0), F.length("__clean"))
+    out = []
+    for n, f in zip(names, docs.schema, strict=True):
+        new = F.col("__clean") if n == text else F.coalesce(length, F.col(n)).cast(f.dataType) if f.name == length_col else F.col(n)
+        out.append(new.alias(f.name))
+    return d.select(*out)
+
+
 def op5_secret_scans(spark, sf_dir: str) -> DataFrame:
     d = scan(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
