@@ -1,9 +1,8 @@
-"""The registered queries and their oracles."""
+"""The registered queries and their oracles; importing a plan module registers its queries."""
 
 from __future__ import annotations
 
-from tidemark.plans.panel import PANEL_ORACLES, PANEL_QUERIES
+from tidemark.plans import panel, relational  # noqa: F401
+from tidemark.plans.panel import ORACLES, QUERIES
 
-QUERIES = {**PANEL_QUERIES}
-ORACLES = {**PANEL_ORACLES}
-flagship = PANEL_QUERIES["brand_week_returns"]
+flagship = QUERIES["brand_week_returns"]
