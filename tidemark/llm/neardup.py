@@ -61,47 +61,73 @@ def term_fingerprints(texts: DataFrame, keys: list[str], text: str) -> DataFrame
     return fingerprints(d, keys, weight=F.col("v"))
 
 
-def next_ids(ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, next_id): the next larger id, after the last the first, without a window over all rows.
+#: Ranges of ids that documents are dealt into at most, and documents in a range at least; the ranges' first rows are broadcast.
+RANGES, IN_RANGE = 65_536, 2_000
 
-    The distinct ids are dealt into ranges and written; a window runs inside each range, and one row a range says where
-    the next range begins.
+
+def id_ranges(docs: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """docs with `range`, a number that ascends with the key; no range holds many more rows than the others.
+
+    Ranges are of equal width, and those with more than their share of rows are cut again into as many as they have
+    shares. Their number is bounded, so the table of those to cut can be broadcast. Null keys are a range of their own.
+    """
+    s = docs.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("n")).first()
+    share = max(IN_RANGE, -(-s["n"] // (RANGES // 2)))
+    wide = max(1, -(-((s["high"] or 0) - (s["low"] or 0) + 1) // max(1, min(RANGES // 2, -(-s["n"] // share)))))
+    cell = F.floor(F.col(key).cast("decimal(20,0)") / F.lit(wide)).cast("long")
+    d = docs.withColumn("__cell", cell)
+    heavy = d.groupBy("__cell").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > share).select("__cell", F.ceil(F.col("__n") / share).alias("__cuts"))
+    inner = F.floor((F.col(key).cast("decimal(20,0)") - F.col("__cell").cast("decimal(20,0)") * wide).cast("double") / wide * F.coalesce("__cuts", F.lit(1)))
+    at = F.coalesce(F.col("__cell"), F.lit(-(1 << 42))) * (1 << 20) + F.coalesce(inner, F.lit(0)).cast("long")
+    return d.join(F.broadcast(heavy), "__cell", "left").withColumn("range", at).drop("__cell", "__cuts"), wide
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text_hash, t) with `range`, `row` and the next row's doc_id, text_hash and t, as next_id, next_hash and next_t.
+
+    Rows are ordered by id (null first), then text hash; after the last comes the first. The text is dealt out once: the
+    first row of each range is also dealt to the range before, where it comes last and follows that range's own last row.
     """
-    spark = ids.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = written(ids.select(F.col(key).alias("doc_id")).where("doc_id IS NOT NULL").distinct().repartitionByRange(parts, "doc_id").select("doc_id", F.spark_partition_id().alias("part")))
-    edges = dealt.groupBy("part").agg(F.min("doc_id").alias("first"))
-    after = edges.selectExpr("coalesce(lead(first) OVER (ORDER BY part), min(first) OVER ()) AS after_part", "part")
-    own = dealt.selectExpr("part", "doc_id", "lead(doc_id) OVER (PARTITION BY part ORDER BY doc_id) AS next_id")
-    return own.join(F.broadcast(after), "part").select("doc_id", F.coalesce("next_id", "after_part").alias("next_id"))
+    d, _ = id_ranges(docs, "doc_id")
+    edges = d.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "text_hash")).alias("x"))
+    # RANGES rows at most: one task may order them.
+    edges = edges.selectExpr("range AS r", "x.doc_id AS first_id", "x.text_hash AS first_hash", "coalesce(lag(range) OVER (ORDER BY range), max(range) OVER ()) AS before")
+    e = F.broadcast(written(edges))
+    d = d.join(e, (F.col("range") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash")), "left")
+    borrowed = F.struct(F.col("before").alias("range"), F.lit(1).alias("lent"))
+    own = F.struct("range", F.lit(0).alias("lent"))
+    d = d.select("doc_id", "text_hash", "t", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, borrowed))).alias("x"))
+    d = d.select("doc_id", "text_hash", "t", "x.range", "x.lent")
+    w = W.partitionBy("range").orderBy("lent", F.col("doc_id").asc_nulls_first(), "text_hash")
+    d = d.withColumns({"row": F.row_number().over(w), "next_id": F.lead("doc_id").over(w), "next_hash": F.lead("text_hash").over(w), "next_t": F.lead("t").over(w)})
+    return d.where("lent = 0").drop("lent")
 
 
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """Fingerprints of each text and of its edited text, their likeness, and near_id: the smallest id within the radius.
 
-    The edited text replaces the last floor(n/2) code points by the first as many of the text of the next larger id
-    (after the last: the first); of several texts with that id the smallest counts. Likeness is the share of equal
-    bits. near_id comes from permuted block tables. Defined results: a null text is empty, its fingerprint zero; a null
-    id has no next document, its half is replaced by nothing and near_next is null; an empty table gives an empty result.
+    The edited text replaces the last floor(n/2) code points by the first as many of the next row's text; rows are in the
+    order of with_next. Likeness is the share of equal bits. near_id comes from permuted block tables. Defined results: a
+    null text is empty, its fingerprint zero; a single row is its own next; identical rows come one after the other and
+    each has a result; ids are integers; an empty table gives an empty result.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("t"))
-    d = d.withColumns({"n_chars": F.length("t").cast("long"), "text_hash": F.xxhash64("t")})
-    order = next_ids(d)
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t")).withColumn("text_hash", F.xxhash64("t"))
     fps = written(term_fingerprints(d, ["doc_id", "text_hash"], "t"))
-    left = d.join(order, "doc_id", "left").select("doc_id", "text_hash", "n_chars", "next_id", F.expr("left(t, cast(n_chars - floor(n_chars / 2) as int))").alias("head"))
-    right = d.groupBy("doc_id").agg(F.min("t").alias("next_text")).withColumnRenamed("doc_id", "next_id")
-    edited = left.join(right, "next_id", "left").select("doc_id", "text_hash", "n_chars", "next_id", F.expr("concat(head, coalesce(left(next_text, cast(floor(n_chars / 2) as int)), ''))").alias("e"))
-    edited = edited.select("doc_id", "text_hash", "n_chars", "next_id", F.sha2("e", 256).alias("edited_sha256"), words_of(F.col("e")).alias("w"))
-    keys = ["doc_id", "text_hash", "n_chars", "next_id", "edited_sha256"]
+    n = F.length("t").cast("long")
+    edited = with_next(d).withColumn("n_chars", n).withColumn("e", F.expr("concat(left(t, cast(n_chars - floor(n_chars / 2) as int)), left(coalesce(next_t, t), cast(floor(n_chars / 2) as int)))"))
+    keys = ["range", "row", "doc_id", "text_hash", "n_chars", "next_id", "next_hash", "edited_sha256"]
+    edited = edited.withColumn("edited_sha256", F.sha2("e", 256)).select(*keys, words_of(F.col("e")).alias("w"))
     terms = edited.select(*keys, F.explode_outer(weighted_terms(F.col("w"))).alias("x")).select(*keys, F.col("x.h").alias("h"), F.col("x.v").alias("v"))
     edited_fps = fingerprints(terms, keys, weight=F.col("v")).withColumnRenamed("fp", "edited_fp")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     pairs = links(block_tables(nodes, radius), radius)
     near = pairs.join(nodes.withColumnRenamed("fp", "b").withColumnRenamed("rep", "other"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("other").alias("other"))
-    near = written(nodes.join(near, "fp", "left").select("fp", F.least("rep", "other").alias("near_id")))
-    follows = fps.groupBy(F.col("doc_id").alias("next_id")).agg(F.min(F.struct("text_hash", "fp"))["fp"].alias("next_fp"))
-    out = edited_fps.join(fps, (edited_fps.doc_id.eqNullSafe(fps.doc_id)) & (edited_fps.text_hash == fps.text_hash)).select(edited_fps["*"], fps.fp)
-    return out.join(follows, "next_id", "left").join(near, "fp")
+    near = nodes.join(near, "fp", "left").select("fp", F.least("rep", "other").alias("near_id"))
+    known = written(fps.join(near, "fp"))
+    a, b, c = edited_fps.alias("a"), known.alias("b"), fps.alias("c")
+    out = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash")))
+    out = out.join(c, F.col("a.next_id").eqNullSafe(F.col("c.doc_id")) & (F.coalesce("a.next_hash", "a.text_hash") == F.col("c.text_hash")), "left")
+    return out.select("a.doc_id", "a.n_chars", "a.edited_sha256", "a.edited_fp", "b.fp", "b.near_id", F.col("c.fp").alias("next_fp"))
 
 
 def likeness(a, b):
