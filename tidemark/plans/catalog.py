@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import panel, quant, relational  # noqa: F401
+from tidemark.plans import models, panel, quant, relational  # noqa: F401
 from tidemark.plans.panel import ORACLES, QUERIES
 
 flagship = QUERIES["brand_week_returns"]
