@@ -145,15 +145,16 @@ def dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     info = rows.join(firsts, ["h1", "h2"]).select("k", F.col("h1").alias("i1"), F.col("h2").alias("i2"), (F.col("first") < F.col("k")).alias("copied"))
     info = info.withColumn("part", F.dense_rank().over(W.partitionBy("k").orderBy("i1", "i2")) - 1)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    joined = d.repartition(buckets, "k").join(info, "k").where("h1 = i1 AND h2 = i2").select("k", "part", "copied", "text")
+    # The hashes are compared outside the join's keys: with them as keys the texts would be dealt out again, by all three.
+    joined = d.repartition(buckets, "k").join(info, "k").where("((h1 ^ i1) | (h2 ^ i2)) = 0").select("k", "part", "copied", "text")
     name = f"tidemark_{uuid.uuid4().hex}"
     joined.write.bucketBy(buckets, "k").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 
 def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose keys occur more than once."""
-    return rows.join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), keys)
+    """The rows whose keys occur more than once. The counts are written, so that both sides are dealt out for the join alone and a frequent key can be split."""
+    return rows.join(written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")), keys)
 
 
 def per_document(rows: DataFrame, value: str) -> DataFrame:
@@ -217,11 +218,11 @@ def removed_runs(texts: DataFrame, window: int) -> DataFrame:
     noted = repeated(longer, ["h"]).groupBy("k", "at").agg(F.bit_or("note").alias("note"))
     second = written(per_document(noted, "at * 4 + note"))
     units = written(own.join(second, "k").mapInPandas(level_3, "h long, h2 long, k long, at long, m long"))
-    heads = units.groupBy("h", "h2").agg(F.min(F.struct("k", "at", "m")).alias("head"), F.count(F.lit(1)).alias("n"))
+    heads = written(units.groupBy("h", "h2").agg(F.min(F.struct("k", "at", "m")).alias("head"), F.count(F.lit(1)).alias("n")))
     later = units.join(heads.where("n > 1"), ["h", "h2"]).where("k <> head.k OR at <> head.at").select("k", "at", "m")
     leading = heads.select("head.k", "head.at", "head.m")
     singles = written(own.join(per_document(leading, "at * 64 + m"), "k").mapInPandas(opened, "h long, h2 long, k long, at long"))
-    tops = singles.groupBy("h", "h2").agg(F.min(F.struct("k", "at")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    tops = written(singles.groupBy("h", "h2").agg(F.min(F.struct("k", "at")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     alone = singles.join(tops, ["h", "h2"]).where("k <> head.k OR at <> head.at").select("k", "at", F.lit(1).cast("long").alias("m"))
     return later.unionByName(alone)
 
