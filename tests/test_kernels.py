@@ -209,3 +209,59 @@ def test_no_lookahead_in_windows(spark):
     cols = [s.rolling_vol("ret", 10).alias("v"), s.in_force("ret").alias("f"), F.avg("ret").over(s.so_far()).alias("m")]
     cut = F.col("t") <= date(2024, 2, 1)
     assert d.select("t", *cols).where(cut).orderBy("t").collect() == changed.select("t", *cols).where(cut).orderBy("t").collect()
+
+
+def test_ledger_chain_and_fetching(spark, tmp_path):
+    from tidemark.sources import jobs
+
+    path = str(tmp_path / "ledger")
+    with jobs.ledger(spark, path, "fetch") as run:
+        run.item("a", "done", 5)
+        run.item("b", "failed", 0, "no answer")
+    with pytest.raises(RuntimeError), jobs.ledger(spark, path, "fit"):
+        raise RuntimeError("broken")
+    entries = spark.read.parquet(path)
+    assert {(r.job, r.status) for r in jobs.latest_runs(entries).collect()} == {("fetch", "partial"), ("fit", "failed")}
+    today = entries.selectExpr("max(to_date(finished)) AS d").first().d
+    assert [r.item for r in jobs.settled_today(entries, "fetch", today).collect()] == ["a"]
+    done = []
+    assert jobs.chain([("one", lambda: done.append(1), True), ("two", lambda: 1 / 0, False), ("three", lambda: 1 / 0, True), ("four", lambda: done.append(4), False)])[3][1] == "skipped" and done == [1]
+    now, slept = [0.0], []
+    lim = jobs.Limiter(2.0, clock=lambda: now[0], sleep=slept.append)
+    lim.wait(), lim.wait(), lim.wait()
+    assert slept == [0.5, 1.0]
+    tries = []
+
+    def flaky():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("again")
+        return "ok"
+
+    assert jobs.with_backoff(flaky, sleep=slept.append) == "ok" and len(tries) == 3
+    with pytest.raises(KeyError):
+        jobs.with_backoff(lambda: {}["x"], give_up=(KeyError,), sleep=slept.append)
+
+
+def test_portfolio_identities(spark):
+    import pandas as pd
+
+    from tidemark.operators import covariance as cv
+    from tidemark.operators import portfolio as pf
+
+    t0 = date(2020, 1, 1)
+    x = RNG.normal(size=(300, 3)) @ np.array([[1, 0.3, 0], [0, 1, 0.2], [0, 0, 1]]) * 0.01
+    rows = spark.createDataFrame(pd.DataFrame([(n, t0 + timedelta(i), float(x[i, k])) for i in range(300) for k, n in enumerate("abc")], columns=["id", "t", "x"]))
+    c = cv.full(cv.sample(cv.complete(rows, "x")).select("i", "j", "cov")).cache()
+    w = spark.createDataFrame([("a", 0.5), ("b", 0.3), ("c", -0.2)], "id string, beta double")
+    sigma = math.sqrt(cv.quadratic(c, w.selectExpr("'p' AS p", "id", "beta"), "p").first().variance)
+    parts = cv.contributions(c, w).collect()
+    assert sum(r.ctr for r in parts) == pytest.approx(sigma) and all(r.ctr == pytest.approx(r.beta * r.mctr) for r in parts)
+    b = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "id string, block string")
+    assert sum(r.variance for r in cv.block_variance(c, w, b).collect()) == pytest.approx(sigma**2)
+    want = np.array([0.5, 0.3, -0.2]) @ np.cov(x, rowvar=False) @ np.array([0.5, 0.3, -0.2]) * 252
+    assert sigma**2 == pytest.approx(want)
+    path = pf.cov_paths(rows, ((20.0, 1.0),), 30).where("i = 'a' AND j = 'b'").orderBy("t").collect()
+    lam, p = 0.5 ** (1 / 20), x[:299, 0] * x[:299, 1]
+    wts = lam ** np.arange(299)[::-1]
+    assert path[-1].cov == pytest.approx(float(wts @ p / wts.sum()) * 252) and len(path) == 270
