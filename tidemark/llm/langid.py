@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table, text_of, with_columns_from, words_of
 
 PER_LANGUAGE, EXCERPT = 400, 48
+#: Languages that are learned: the most frequent ones.
+MOST_LANGUAGES = 1000
 BLOCK = 32
 #: Bits of the tables for n-grams of 2, 3 and 4 bytes; words kept in each lexicon; training steps, rate and decay of the weights.
 GRAM_BITS = {2: 16, 3: 17, 4: 18}
@@ -225,7 +227,8 @@ def predict(model: Model | None, texts: list[str]) -> pd.DataFrame:
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """(lang, excerpt) of a seeded sample of documents that aren't held out: PER_LANGUAGE of each language on average, an excerpt of EXCERPT words each."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), text_of(text_col).alias("t")).where(~held_out("doc_id") & F.col("lang").isNotNull())
-    sizes = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # At most MOST_LANGUAGES rows of a language and a count, so the texts stay where they are.
+    sizes = F.broadcast(d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES))
     chance = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) / F.lit(1_000_000.0)
     picked = d.join(sizes, "lang").where(chance * F.col("n") < PER_LANGUAGE)
     picked = picked.select("doc_id", "lang", words_of(F.col("t")).alias("w"))
@@ -239,7 +242,7 @@ def held_out(id_col: str) -> Column:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """The model of a bounded sample, the only rows that reach the driver; None without labelled rows."""
-    rows = sorted((r["lang"], r["doc_id"], r["excerpt"]) for r in training_rows(docs, id_col, text_col, lang_col).collect() if LETTERS.search(r["excerpt"]))
+    rows = sorted((r["lang"], str(r["doc_id"]), r["excerpt"]) for r in training_rows(docs, id_col, text_col, lang_col).collect() if LETTERS.search(r["excerpt"]))
     return train([(x, t) for x, _, t in rows]) if rows else None
 
 
