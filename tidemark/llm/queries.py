@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm import oracles
 from tidemark.llm.html import op2_html_extraction
 from tidemark.llm.langid import op6_language_id
 from tidemark.llm.mixing import ORACLE as MIXING_SQL
@@ -26,4 +27,11 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES = {"op9_mixing": MIXING_SQL, "op10_quality_rules": QUALITY_SQL}
+ORACLES = {
+    "op1_pii": oracles.PII,
+    "op4_packing": oracles.packing(),
+    "op5_secret_scans": oracles.SECRETS,
+    "op7_substring_dedup": oracles.SUBSTRINGS,
+    "op9_mixing": MIXING_SQL,
+    "op10_quality_rules": QUALITY_SQL,
+}

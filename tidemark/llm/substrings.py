@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidemark import for_workers
 from tidemark.llm.common import shared_folder, table, text_of, written
 
 WINDOW = 20
@@ -237,6 +238,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if window < 8 or window % 4 or window > 60:
         raise ValueError("the window has to be a multiple of 4 from 8 to 60")
+    for_workers(docs.sparkSession)
     texts = dealt(docs, id_col, text_col)
     runs = written(per_document(removed_runs(texts, window), "at * 64 + m"))
 
