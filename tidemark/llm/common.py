@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidemark import for_workers
+
 #: White space as the contracts define it: space and the code points 9 to 13.
 SPACE = "[\\x20\\x09-\\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -47,6 +49,7 @@ def with_columns_from(df: DataFrame, column: str, make, new: dict[str, str], por
     """
     import pyarrow as pa
 
+    for_workers(df.sparkSession)
     names = [f"c{i}" for i in range(len(df.columns))]
     rest = [(n, f) for n, f in zip(names, df.schema, strict=True) if f.name != column]
     d = df.toDF(*names)
@@ -147,19 +150,20 @@ def seeded(seed: str, id_col: str) -> Column:
 
 
 def running_before(df: DataFrame, group: str, key: str, value: str, ties: list[str]) -> DataFrame:
-    """df with `before`: the sum of `value` over the rows of the same group that come earlier by the hex key, then ties.
+    """df with `before`: the sum of `value` over the rows of the same group (not null) that come earlier by the hex key, then ties.
 
     A group is cut into 4096 cells by the key's first three digits, so no task sees a whole group: a window runs inside
     each cell, and the cells' own totals, a table of 4096 rows a group at most, say what lies before a cell.
     """
     d = df.withColumn("__cell", F.substring(key, 1, 3))
-    cells = d.groupBy(F.col(group).alias("__g"), F.col("__cell").alias("__c")).agg(F.sum(value).alias("__sum"))
-    ahead = W.partitionBy("__g").orderBy("__c").rowsBetween(W.unboundedPreceding, -1)
+    cells = d.groupBy(group, "__cell").agg(F.sum(value).alias("__sum"))
+    ahead = W.partitionBy(group).orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.withColumn("__ahead", F.coalesce(F.sum("__sum").over(ahead), F.lit(0))).drop("__sum")
     inside = W.partitionBy(group, "__cell").orderBy(key, *ties).rowsBetween(W.unboundedPreceding, -1)
     d = d.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    d = d.join(cells, (d[group].eqNullSafe(cells["__g"])) & (d["__cell"] == cells["__c"]))
-    return d.withColumn("before", F.col("__ahead") + F.col("__inside")).drop("__cell", "__g", "__c", "__ahead", "__inside")
+    # The window has dealt the rows out by the very keys of this join, so they don't move again.
+    d = d.join(cells, [group, "__cell"])
+    return d.withColumn("before", F.col("__ahead") + F.col("__inside")).drop("__cell", "__ahead", "__inside")
 
 
 def components(edges: DataFrame) -> DataFrame:
