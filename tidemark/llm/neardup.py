@@ -61,25 +61,23 @@ def term_fingerprints(texts: DataFrame, keys: list[str], text: str) -> DataFrame
     return fingerprints(d, keys, weight=F.col("v"))
 
 
-#: Ranges of ids that documents are dealt into at most, and documents in a range at least; the ranges' first rows are broadcast.
-RANGES, IN_RANGE = 65_536, 2_000
+#: Ranges of ids that documents are dealt into at most, and documents in a range; the ranges' bounds and first rows are broadcast.
+RANGES, IN_RANGE = 1 << 16, 2_000
 
 
-def id_ranges(docs: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """docs with `range`, a number that ascends with the key; no range holds many more rows than the others.
+def id_ranges(docs: DataFrame, key: str) -> DataFrame:
+    """docs with `range`, a number that ascends with the key (null: -1); the ranges hold about equally many rows.
 
-    Ranges are of equal width, and those with more than their share of rows are cut again into as many as they have
-    shares. Their number is bounded, so the table of those to cut can be broadcast. Null keys are a range of their own.
+    Their bounds are approximate quantiles of the key, RANGES of them at most: one row for all tasks, searched by halving.
     """
-    s = docs.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("n")).first()
-    share = max(IN_RANGE, -(-s["n"] // (RANGES // 2)))
-    wide = max(1, -(-((s["high"] or 0) - (s["low"] or 0) + 1) // max(1, min(RANGES // 2, -(-s["n"] // share)))))
-    cell = F.floor(F.col(key).cast("decimal(20,0)") / F.lit(wide)).cast("long")
-    d = docs.withColumn("__cell", cell)
-    heavy = d.groupBy("__cell").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > share).select("__cell", F.ceil(F.col("__n") / share).alias("__cuts"))
-    inner = F.floor((F.col(key).cast("decimal(20,0)") - F.col("__cell").cast("decimal(20,0)") * wide).cast("double") / wide * F.coalesce("__cuts", F.lit(1)))
-    at = F.coalesce(F.col("__cell"), F.lit(-(1 << 42))) * (1 << 20) + F.coalesce(inner, F.lit(0)).cast("long")
-    return d.join(F.broadcast(heavy), "__cell", "left").withColumn("range", at).drop("__cell", "__cuts"), wide
+    n = docs.where(F.col(key).isNotNull()).count()
+    parts = max(1, min(RANGES, n // IN_RANGE))
+    cuts = docs.select(key).approxQuantile(key, [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
+    bounds = docs.sparkSession.createDataFrame([(sorted({int(x) for x in cuts}),)], "__bounds array<bigint>")
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(RANGES.bit_length()))))
+    # How many bounds are at or below the key: each step takes another power of two of them if they all are.
+    found = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.get("__bounds", at + s - 1) <= F.col(key), F.lit(False)), at + s).otherwise(at))
+    return docs.crossJoin(F.broadcast(bounds)).withColumn("range", F.when(F.col(key).isNull(), -1).otherwise(found)).drop("__bounds")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -88,7 +86,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     Rows are ordered by id (null first), then text hash; after the last comes the first. The text is dealt out once: the
     first row of each range is also dealt to the range before, where it comes last and follows that range's own last row.
     """
-    d, _ = id_ranges(docs, "doc_id")
+    d = id_ranges(docs, "doc_id")
     edges = d.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "text_hash")).alias("x"))
     # RANGES rows at most: one task may order them.
     edges = edges.selectExpr("range AS r", "x.doc_id AS first_id", "x.text_hash AS first_hash", "coalesce(lag(range) OVER (ORDER BY range), max(range) OVER ()) AS before")
