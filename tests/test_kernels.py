@@ -265,3 +265,31 @@ def test_portfolio_identities(spark):
     lam, p = 0.5 ** (1 / 20), x[:299, 0] * x[:299, 1]
     wts = lam ** np.arange(299)[::-1]
     assert path[-1].cov == pytest.approx(float(wts @ p / wts.sum()) * 252) and len(path) == 270
+
+
+def test_landed_sources(spark, tmp_path):
+    from tidemark.sources import tables as tb
+
+    (tmp_path / "o.json").write_text('{"series_id": "X", "observations": [{"date": "2024-01-02", "value": "1.5"}, {"date": "2024-01-03", "value": "."}]}\n')
+    assert sorted((str(r.date), r.value) for r in tb.read_observations(spark, str(tmp_path / "o.json")).collect()) == [("2024-01-02", 1.5), ("2024-01-03", None)]
+    sheet = spark.createDataFrame([(0, "Date", "Real"), (1, None, "Price"), (2, "1871.01", "4.4")], "line int, c0 string, c1 string")
+    assert [tuple(r) for r in tb.stacked_header(sheet, 2, {"Date": "month", "Real Price": "price"}).collect()] == [("1871.01", "4.4")]
+    with pytest.raises(ValueError):
+        tb.stacked_header(sheet, 2, {"Yield": "y"})
+    d = spark.createDataFrame([("a", "2024-01-01", 1.0)], "ccy string, date string, usd_per_unit double")
+    assert tb.validated(d, "input_fx").schema["date"].dataType.simpleString() == "date"
+    with pytest.raises(ValueError):
+        tb.validated(d.drop("ccy"), "input_fx")
+    d.write.parquet(str(tmp_path / "panelR12"))
+    tb.register(spark, "/root/testdata/sf0.001", ["region"])
+    assert spark.sql("SELECT count(*) AS n FROM region").first().n == 5
+
+
+def test_formula_names_what_is_built():
+    from tidemark.operators.factors import BUILDERS, Recipe, formula
+
+    inputs = {"id": "A", "long": ["A", "B"], "short": ["C"], "tenors": ["2", "5", "10"], "shape": "slope", "transform": "diff", "implied": "V", "skip": 22, "span": 231, "vol": 63, "legs": ["A"], "home": 1.0}
+    for m in BUILDERS:
+        own = inputs | ({"long": "A", "short": "B"} if m == "spread" else {})
+        assert formula(Recipe("f", m, own, 0, ["g"])).endswith("less its fit on g")
+    assert formula(Recipe("f", "spread", {"long": "A", "short": "B"})) == "f = r(A) - r(B)"

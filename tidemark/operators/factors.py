@@ -160,3 +160,54 @@ def sparse_change(levels: DataFrame, releases: int = 52, least: int = 12) -> Dat
     d = levels.join(r, ["id", "t"], "left")
     begun = F.min(F.when(F.col("z").isNotNull(), F.col("t"))).over(W.partitionBy("id"))
     return d.select("id", "t", F.when(F.col("t") >= begun, F.coalesce("z", F.lit(0.0))).alias("value"))
+
+
+def spot_levels(pairs: DataFrame, home: str = "USD") -> DataFrame:
+    """(id, t, value): home units for one unit of a currency, from closes of pairs named USDxxx (inverted) or xxxUSD."""
+    first = F.substring("id", 1, 3) == home
+    value = F.when(F.col("value") > 0, F.when(first, 1 / F.when(F.col("value") > 0, F.col("value"))).otherwise(F.col("value")))
+    return pairs.where(first | (F.substring("id", 4, 3) == home)).select(F.when(first, F.substring("id", 4, 3)).otherwise(F.substring("id", 1, 3)).alias("id"), "t", value.alias("value"))
+
+
+def in_home_currency(returns: DataFrame, moves: DataFrame) -> DataFrame:
+    """(id, t, ret): local log returns (id, ccy, t, ret) plus the sum of the currency's moves (ccy, t, ret) since the series' row before."""
+    from tidemark.operators.joins import interval_sums
+
+    d = returns.withColumn("low", F.lag("t").over(by())).where("low IS NOT NULL")
+    s = interval_sums(d.withColumnRenamed("t", "high"), moves.select("ccy", "t", F.col("ret").alias("move")), "ccy", "low", "high", "t", "move")
+    return s.select("id", F.col("high").alias("t"), (F.col("ret") + F.col("total")).alias("ret"))
+
+
+def orthogonalised(built: DataFrame, recipes: list[Recipe], **fit) -> DataFrame:
+    """(factor_id, t, value, residual): each factor less its causal fit on the residuals of those it names, in the recipes' order."""
+    from tidemark.operators.regression import residuals
+
+    done: dict[str, DataFrame] = {}
+    for r in in_order(recipes):
+        own = built.where(F.col("factor_id") == r.factor_id).select("factor_id", "t", "value")
+        if r.residual_on:
+            d = own.select(F.col("factor_id").alias("id"), "t", F.col("value").alias("y"))
+            for k, x in enumerate(r.residual_on):
+                d = d.join(done[x].select("t", F.col("residual").alias(f"x{k}")), "t", "left")
+            e = residuals(d, [f"x{k}" for k in range(len(r.residual_on))], **fit).select("t", F.col("resid").alias("residual"))
+            done[r.factor_id] = own.join(e, "t", "left")
+        else:
+            done[r.factor_id] = own.withColumn("residual", F.col("value"))
+    out = None
+    for d in done.values():
+        d = d.select("factor_id", "t", "value", "residual")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def formula(r: Recipe) -> str:
+    """A recipe in words of algebra."""
+    i = r.inputs
+    text = {
+        "single": lambda: f"{'-' if i.get('sign', 1) < 0 else ''}r({i['id']})", "spread": lambda: f"r({i['long']}) - r({i['short']})",
+        "basket": lambda: "mean(" + ", ".join(f"r({x})" for x in i["long"]) + ")" + (" - mean(" + ", ".join(f"r({x})" for x in i["short"]) + ")" if i.get("short") else ""),
+        "curve": lambda: f"{i['shape']} of -dy({', '.join(i['tenors'])})", "level_transform": lambda: f"{i['transform']}({i['id']})", "variance_premium": lambda: f"({i['implied']}[t-1] / 100)^2 / 252 - r({i['id']})^2",
+        "tsmom": lambda: f"sum(w r) / sum|w|, w = sign(sum of {i['span']} r to t-{i['skip']}) / sd({i['vol']})", "xs_momentum": lambda: f"mean r of the upper third - lower third by sum of {i['span']} r to t-{i['skip']}",
+        "fx_carry": lambda: "mean(sign(gap) (r + gap / 252))",
+    }[r.method]()
+    return f"{r.factor_id} = {text}" + (f", less its fit on {', '.join(r.residual_on)}" if r.residual_on else "")

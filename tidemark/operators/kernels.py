@@ -249,3 +249,19 @@ def simulated(assets: DataFrame, years: int = 10, paths: int = 20_000, seed: int
         return pd.DataFrame([[key[0], float(draw.mean()), *np.quantile(draw, [0.05, 0.25, 0.5, 0.75, 0.95])]], columns=["portfolio", "mean", "p5", "p25", "p50", "p75", "p95"])
 
     return assets.groupBy("portfolio").applyInPandas(one, "portfolio string, mean double, p5 double, p25 double, p50 double, p75 double, p95 double")
+
+
+def tail_path(rows: DataFrame, window: int = 756, step: int = 63, x: str = "ret") -> DataFrame:
+    """(id, t, df): degrees of freedom from the last `window` values, every `step` rows, in force until the next."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        v, out, held = pdf["x"].to_numpy(float), [], None
+        for k in range(len(v)):
+            if k % step == 0:
+                got = t_degrees(v[max(0, k - window) : k])
+                held = held if got is None else got
+            out.append(held)
+        return pd.DataFrame({"id": pdf["id"], "t": pdf["t"], "df": out})
+
+    return rows.selectExpr("id", "t", f"{x} AS x").groupBy("id").applyInPandas(one, "id string, t date, df double")

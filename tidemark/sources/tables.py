@@ -145,3 +145,46 @@ def unflattened(stored: DataFrame, keys: list[str]) -> DataFrame:
     e = stored.select(*keys, "names", F.posexplode("cov").alias("p", "value"))
     k = F.size("names")
     return e.select(*keys, F.get("names", F.floor(F.col("p") / k).cast("int")).alias("i"), F.get("names", F.col("p") % k).alias("j"), "value")
+
+
+def register(spark: SparkSession, folder: str, names: list[str]) -> None:
+    """The Parquet tables of a folder as temporary views, for SQL."""
+    for n in names:
+        spark.read.parquet(f"{folder}/{n}.parquet").createOrReplaceTempView(n)
+
+
+def validated(df: DataFrame, name: str) -> DataFrame:
+    """df in the declared columns and types of a stored table; a missing or a further column is an error."""
+    want = T._parse_datatype_string(COLUMNS[name])
+    if sorted(df.columns) != sorted(f.name for f in want):
+        raise ValueError(f"{name} has the columns {[f.name for f in want]}, not {df.columns}")
+    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in want))
+
+
+def read_observations(spark: SparkSession, path: str) -> DataFrame:
+    """(series_id, date, value) of landed JSON lines {series_id, observations: [{date, value}]}; '.' and '' are missing."""
+    raw = spark.read.schema("series_id string, observations array<struct<date: string, value: string>>").json(path)
+    return raw.select("series_id", F.explode("observations").alias("o")).select("series_id", F.to_date("o.date").alias("date"), F.expr("try_cast(o.value AS double)").alias("value"))
+
+
+def with_release(df: DataFrame, pattern: str = r"R(\d+)") -> DataFrame:
+    """df with `release`, what the pattern's group finds in the name of the row's file."""
+    return df.withColumn("release", F.regexp_extract(F.element_at(F.split(F.input_file_name(), "/"), -1), pattern, 1))
+
+
+def stacked_header(rows: DataFrame, header_rows: int, wanted: dict[str, str]) -> DataFrame:
+    """Columns of a landed sheet (line, c0, c1 ...) by labels that are stacked over them in the first lines: `wanted` gives a name for
+    each joined label; one that isn't there is an error."""
+    cells = [c for c in rows.columns if c != "line"]
+    top = rows.where(F.col("line") < header_rows).orderBy("line").collect()
+    labels = {" ".join(str(r[c]).strip() for r in top if r[c]): c for c in cells}
+    if lost := [k for k in wanted if k not in labels]:
+        raise ValueError(f"no columns under {lost}")
+    return rows.where(F.col("line") >= header_rows).select(*(F.col(labels[k]).alias(v) for k, v in wanted.items()))
+
+
+def recipe_inputs(recipes: DataFrame, keys: list[str]) -> DataFrame:
+    """(factor_id, place, input) of recipes (factor_id, construction: JSON): the names under the keys, lists or single, in order, once."""
+    lists = [F.coalesce(F.from_json(F.get_json_object("construction", f"$.inputs.{k}"), "array<string>"), F.array(F.get_json_object("construction", f"$.inputs.{k}"))) for k in keys]
+    names = F.array_distinct(F.array_compact(F.concat(*lists)))
+    return recipes.select("factor_id", F.posexplode(names).alias("place", "input"))
