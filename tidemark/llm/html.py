@@ -29,13 +29,18 @@ ENDS_P = BLOCKS - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption",
 #: An element that ends an open one of these, up to a boundary.
 SAME = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SCOPES = {"div", "article", "section", "main", "body", "html", "table", "td", "th", "ul", "ol", "dl", "li", "blockquote", "aside", "nav", "header", "footer", "form", "figure"}
-#: Words in class, id or role that mark what isn't part of the article.
+#: Words in class, id or role that mark what isn't part of the article (fixed values).
 UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|respond|replies|cookies?|consent|gdpr|disqus|footer|header|masthead|menu|menubar|nav|navbar|navigation|newsletter|notices?|alert|pagination|pager|"
-    r"popup|modal|promo\w*|related|recommend\w*|share|sharing|sidebar|side|social|sponsor\w*|subscribe|signup|login|toolbar|widgets?|contentinfo|complementary|search|outbrain|taboola|skip|legal|disclaimer|copyright|author-?bio|tags?|hidden|overlay)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adsby\w*|advert\w*|banner|breadcrumb\w*|comment\w*|respond|reply|replies|cookie\w*|consent|gdpr|disqus|footer|header|masthead|menu|menubar|nav|navbar|navigation|newsletter|notices?|notification|alert|"
+    r"pagination|pager|popup|modal|promo\w*|related\w*|recommend\w*|share|sharing|sidebar\w*|side|social|sponsor\w*|subscribe|signup|login|toolbar|widgets?|contentinfo|complementary|search|outbrain|taboola|skip|legal|"
+    r"disclaimer|copyright|author-?bio|tags?|hidden|overlay)(?:$|[\s_-])",
     re.I,
 )
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text|prose)(?:$|[\s_-])", re.I)
+#: Whole names that mark the article itself, though another name beside them (has-sidebar, comments-open) is unlikely.
+ARTICLE_NAMES = {"article", "post", "entry", "story", "content", "main", "hentry", "main-content", "page-content"}
+HARD_NAMES = {"ad", "ads", "advert", "banner", "comment", "comments", "footer", "header", "menu", "nav", "navbar", "notice", "related", "sidebar", "widget"}
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 BLANK = re.compile(r"\s+")
@@ -54,8 +59,8 @@ class Node:
         self.score, self.chars, self.linked, self.order = 0.0, 0, 0, 0
 
 
-def tree(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
-    """The element tree and its text blocks (owner, text, characters within links) in page order."""
+def tree(page: str, by_name: bool = True) -> tuple[Node, list[tuple[Node, str, int]]]:
+    """The element tree and its text blocks (owner, text, characters within links) in page order. by_name: drop by class, id and role too."""
     root = node = Node("#root", None, False, 0.0)
     blocks: list[tuple[Node, str, int]] = []
     text: list[str] = []
@@ -122,7 +127,7 @@ def tree(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
                     up = up.parent
             marks = " ".join(a or b or c for k, a, b, c in ATTRIBUTE.findall(m[3]) if k.lower() in ("class", "id", "role")) if m[3] else ""
             hidden = bool(m[3]) and bool(re.search(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", m[3], re.I))
-            out = tag in DROPPED or hidden or tag == "header" and not inside(node, "article") or bool(marks) and tag not in ("body", "html", "article", "main") and bool(UNLIKELY.search(marks)) and not names_body(marks)
+            out = tag in DROPPED or hidden or tag == "header" and not inside(node, "article") or by_name and bool(marks) and tag not in ("body", "html", "article", "main") and bool(UNLIKELY.search(CAMEL.sub("-", marks))) and not names_body(marks)
             bonus = 25.0 if marks and LIKELY.search(marks) else 0.0
             if tag in RAW:
                 end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(page, at)
@@ -147,15 +152,24 @@ def inside(n: Node | None, tag: str) -> bool:
 
 
 def names_body(marks: str) -> bool:
-    """Marks such as `content-header-article` name both; only an explicit article body outweighs an unlikely word."""
-    return bool(re.search(r"(?:^|\s)(?:article|post|entry|story)[_-]?(?:body|content|text)(?:$|\s)", marks, re.I))
+    """Whether the names are those of an article's body, in spite of an unlikely word in one of them."""
+    names = set(marks.lower().split())
+    body = any(re.fullmatch(r"(?:article|post|entry|story)[_-]?(?:body|content|text)", n) for n in names)
+    return body or bool(names & ARTICLE_NAMES) and not names & HARD_NAMES
+
+
+def only_links(owner: Node) -> bool:
+    """Whether a list item stands in a list of three or more that is nearly all links: a menu, wherever it is."""
+    up = owner.parent
+    return owner.tag == "li" and up is not None and len(up.kids) >= 3 and up.linked > 0.8 * up.chars
 
 
 def main_text(page: str | None) -> str:
     """The article of a page; a page without paragraphs gives all its text that isn't dropped, an empty or null one nothing."""
     if not page:
         return ""
-    _, blocks = tree(page)
+    # Where the names of elements rule everything out, they are no guide.
+    blocks = tree(page)[1] or tree(page, by_name=False)[1]
     if not blocks:
         return ""
     for owner, s, linked in blocks:
@@ -179,7 +193,7 @@ def main_text(page: str | None) -> str:
         while n is not None and id(n) not in seen:
             seen[id(n)] = n
             n = n.parent
-    final = {k: (n.score + (n.bonus if n.score > 0 else 0) + (25.0 if n.tag in ("article", "main") else 0)) * (1 - n.linked / max(1, n.chars)) for k, n in seen.items() if n.tag not in ("#root", "html", "p", "b", "a", "span", "h1", "h2", "h3")}
+    final = {k: (n.score + (n.bonus if n.score > 0 else 0) + (25.0 if n.tag in ("article", "main") else 0)) * (1 - n.linked / max(1, n.chars)) for k, n in seen.items() if n.tag not in ("html", "p", "b", "a", "span", "h1", "h2", "h3")}
     if not final:
         return " ".join(s for _, s, _ in blocks)
     best = seen[max(final, key=lambda k: final[k])]
@@ -200,7 +214,7 @@ def main_text(page: str | None) -> str:
             n = n.parent
         return False
 
-    return " ".join(s for owner, s, linked in blocks if kept(owner))
+    return " ".join(s for owner, s, _ in blocks if kept(owner) and not only_links(owner))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
