@@ -32,13 +32,15 @@ c AS (SELECT doc_id, a, a + len(v) AS e, regexp_replace(v, '=+$', '') AS body, r
 f AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = c.doc_id AND b.a < c.e AND c.a < b.e)),
 enc(rank, enc, abc, k) AS (VALUES {_ENCODINGS}),
 t AS (SELECT f.*, x.enc, x.abc, x.k FROM f, LATERAL (SELECT * FROM enc WHERE translate(f.body, enc.abc, '') = '' ORDER BY rank LIMIT 1) x),
+kc AS (SELECT token, body, abc, k, len(body)::DOUBLE AS n, unnest(['0123456789', 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '+/-_']) AS of FROM t),
+kd AS (SELECT token, sum(CASE WHEN z > 0 THEN power(c - n * z / k, 2) / (n * z / k) ELSE 0 END) AS chi, count(*) FILTER (z > 0) - 1 AS df FROM (SELECT token, k, n, n - len(translate(body, of, '')) AS c, k - len(translate(abc, of, '')) AS z FROM kc) GROUP BY 1),
 ch AS (SELECT token, k, pos, (strpos(abc, ch) - 1)::DOUBLE AS v FROM (SELECT token, abc, k, unnest(string_split(body, '')) AS ch, generate_subscripts(string_split(body, ''), 1) AS pos FROM t)),
 cn AS (SELECT token, sum(n * n)::DOUBLE AS squares FROM (SELECT token, v, count(*) AS n FROM ch GROUP BY 1, 2) GROUP BY 1),
 mn AS (SELECT token, any_value(k) AS k, count(*)::DOUBLE AS n, avg(v) AS mean, sum((v >= k / 2)::INT)::DOUBLE AS above FROM ch GROUP BY 1),
 lg AS (SELECT ch.token, ch.v - mean AS u, lag(ch.v - mean) OVER w AS lu, (ch.v >= ch.k / 2) <> lag(ch.v >= ch.k / 2) OVER w AS turn FROM ch JOIN mn ON mn.token = ch.token WINDOW w AS (PARTITION BY ch.token ORDER BY pos)),
 ls AS (SELECT token, sum(u * u) AS ss, sum(u * lu) AS lagged, 1 + sum(coalesce(turn, false)::INT) AS runs FROM lg GROUP BY 1),
 z AS (SELECT mn.*, (k / n * squares - n - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n) AS z_chi, 2 * above * (n - above) / n + 1 AS mu, runs, ss, lagged FROM mn JOIN cn ON cn.token = mn.token JOIN ls ON ls.token = mn.token),
-q AS (SELECT token, abs(z_chi) <= 2.94 AND CASE WHEN (mu - 1) * (mu - 2) > 0 THEN abs(runs - mu) <= 2.94 * sqrt((mu - 1) * (mu - 2) / (n - 1)) ELSE false END AND CASE WHEN ss > 0 THEN abs(lagged / ss + 1 / n) * sqrt(n) <= 2.94 ELSE false END AS passes, least(n, 512)::INT AS n FROM z),
+q AS (SELECT z.token, (df = 0 OR chi <= CASE df WHEN 1 THEN 6.24 WHEN 2 THEN 8.76 ELSE 10.87 END) AND abs(z_chi) <= 2.94 AND CASE WHEN (mu - 1) * (mu - 2) > 0 THEN abs(runs - mu) <= 2.94 * sqrt((mu - 1) * (mu - 2) / (n - 1)) ELSE false END AND CASE WHEN ss > 0 THEN abs(lagged / ss + 1 / n) * sqrt(n) <= 2.94 ELSE false END AS passes, least(z.n, 512)::INT AS n FROM z JOIN kd ON kd.token = z.token),
 y AS (SELECT t.doc_id, t.a, t.e, t.enc, t.k, q.n, q.passes, t.token FROM t JOIN q ON q.token = t.token),
 en AS (SELECT enc, log2(sum(m)) - sum(m * log2(m)) / sum(m) AS bits FROM (SELECT y.enc, ch.v, count(*)::DOUBLE AS m FROM y JOIN ch ON ch.token = y.token WHERE NOT passes GROUP BY 1, 2) GROUP BY 1),
 cl AS (SELECT y.enc, n, any_value(k) AS k, count(*) AS tested, sum(passes::INT) AS passing FROM y GROUP BY 1, 2),

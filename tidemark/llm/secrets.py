@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for tokens that no pattern names.
 
-A token's encoding is inferred from its characters. Its symbols are tested for uniformity (chi-squared), for the number
-of runs above and below the middle of the alphabet, and for serial correlation. Passing is what a random key does, so
+A token's encoding is inferred from its characters. Its symbols are tested for uniformity (chi-squared, over symbols and
+over digits, small and capital letters), for the number of runs above and below the middle of the alphabet, and for serial correlation. Passing is what a random key does, so
 the false discoveries to control are ordinary tokens that pass by chance. An ordinary token of n symbols, from a source
 whose entropy falls D bits short of the alphabet's, looks uniform with a probability of about 2 ** (-D n). D comes from
 the tokens of the corpus that fail, by encoding; that bound is the p-value of a token that passes, and the step-up rule
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidemark.llm.common import joined_spans, masked_text, matches_with_places, table, text_of, written
+from tidemark.llm.common import LOWER, UPPER, joined_spans, masked_text, matches_with_places, table, text_of, written
 
 _VALUE = "[A-Za-z0-9+/_.=-]+"
 _NAMED = "(?i)(?:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?"
@@ -46,6 +46,8 @@ ENCODINGS = [
 ]
 #: |z| up to which a test passes: two-sided 1 % shared by three tests. The false-discovery rate. The shortfall D where no token failed.
 Z_PASS, RATE, SHORTFALL = 2.94, 0.01, 1.0
+#: Chi-squared of the kinds of characters up to which they pass, at 1.25 % with 1, 2 and 3 degrees of freedom (fixed values).
+KINDS_PASS = (6.24, 8.76, 10.87)
 #: The p-value falls with the length; from here on a token counts as just so long, which bounds the table of classes.
 LONGEST = 512
 
@@ -57,14 +59,25 @@ def _choose(values: list[tuple[str, Column]], body: Column) -> Column:
     return out
 
 
+def kinds_pass(body: Column, alphabet: Column) -> Column:
+    """Whether digits, small letters, capitals and other characters come in about the alphabet's proportions."""
+    held = lambda x, a: (F.length(x) - F.length(F.translate(x, a, ""))).cast("double")
+    n, k = F.length(body).cast("double"), F.length(alphabet).cast("double")
+    seen, sizes = ([held(x, a) for a in ("0123456789", LOWER, UPPER)] for x in (body, alphabet))
+    seen, sizes = [*seen, n - sum(seen, F.lit(0.0))], [*sizes, k - sum(sizes, F.lit(0.0))]
+    chi = sum((F.when(z > 0, F.pow(c - n * z / k, F.lit(2.0)) / F.when(z > 0, n * z / k)).otherwise(0.0) for c, z in zip(seen, sizes, strict=True)), F.lit(0.0))
+    df = sum(((z > 0).cast("int") for z in sizes), F.lit(0)) - 1
+    return F.when(df == 0, F.lit(True)).otherwise(chi <= F.when(df == 1, KINDS_PASS[0]).when(df == 2, KINDS_PASS[1]).otherwise(KINDS_PASS[2]))
+
+
 def battery(tokens: Column) -> Column:
     """Each token with its encoding, n and `passes`. Runs on a column of array<struct<kind, start, end, value>>."""
     keep = lambda s: [s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")]
     total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + f(x))
     t = F.transform(tokens, lambda s: F.struct(*keep(s), F.regexp_replace(s["value"], "=+$", "").alias("body")))
     t = F.transform(t, lambda s: F.struct(*keep(s), s["body"].alias("body"), _choose([(p, F.lit(n)) for n, p, _ in ENCODINGS], s["body"]).alias("enc"), _choose([(p, F.lit(a)) for _, p, a in ENCODINGS], s["body"]).alias("abc")))
-    carry = lambda s: [*keep(s), s["enc"].alias("enc"), s["k"].alias("k"), s["v"].alias("v")]
-    t = F.transform(t, lambda s: F.struct(*keep(s), s["enc"].alias("enc"), F.length(s["abc"]).cast("double").alias("k"), F.transform(F.filter(F.split(s["body"], ""), lambda c: c != ""), lambda c: (F.call_function("locate", c, s["abc"]) - 1).cast("double")).alias("v")))
+    carry = lambda s: [*keep(s), s["enc"].alias("enc"), s["k"].alias("k"), s["kinds"].alias("kinds"), s["v"].alias("v")]
+    t = F.transform(t, lambda s: F.struct(*keep(s), s["enc"].alias("enc"), F.length(s["abc"]).cast("double").alias("k"), kinds_pass(s["body"], s["abc"]).alias("kinds"), F.transform(F.filter(F.split(s["body"], ""), lambda c: c != ""), lambda c: (F.call_function("locate", c, s["abc"]) - 1).cast("double")).alias("v")))
     t = F.transform(
         t,
         lambda s: F.struct(
@@ -92,7 +105,7 @@ def battery(tokens: Column) -> Column:
     def passes(s: Column) -> Column:
         runs_ok = F.when((s["mu"] - 1) * (s["mu"] - 2) > 0, F.abs(s["runs"] - s["mu"]) <= Z_PASS * F.sqrt((s["mu"] - 1) * (s["mu"] - 2) / (s["n"] - 1))).otherwise(F.lit(False))
         serial_ok = F.when(s["ss"] > 0, F.abs(s["lagged"] / s["ss"] + 1 / s["n"]) * F.sqrt(s["n"]) <= Z_PASS).otherwise(F.lit(False))
-        return (F.abs(s["z_chi"]) <= Z_PASS) & runs_ok & serial_ok
+        return s["kinds"] & (F.abs(s["z_chi"]) <= Z_PASS) & runs_ok & serial_ok
 
     return F.transform(t, lambda s: F.struct(*keep(s), s["enc"].alias("enc"), F.least(s["n"], F.lit(float(LONGEST))).cast("int").alias("n"), passes(s).alias("passes"), s["v"].alias("v")))
 
