@@ -64,10 +64,11 @@ ws AS (SELECT doc_id, p, unnest(m) AS v, generate_subscripts(m, 1) AS k, m FROM
 wp AS (SELECT doc_id, v, sum(len(v)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, sum(p[k]) OVER (PARTITION BY doc_id ORDER BY k) AS gaps FROM ws),
 wd AS (SELECT doc_id, (coalesce(before, 0) + gaps)::BIGINT AS a, len(v) AS whole, regexp_replace(v, '[,.;:!?]$', '') AS x FROM wp),
 tm AS (SELECT doc_id, a, a + len(x) AS e, a + whole AS stop, lower(x) AS term FROM wd WHERE regexp_matches(x, '^\p{{L}}[\p{{L}}''-]{{2,}}$')),
-nr AS (SELECT b.doc_id, b.kind || ':' || lower(b.v) AS entity, tm.term, tm.a, tm.e FROM b JOIN tm ON tm.doc_id = b.doc_id AND (tm.a >= greatest(0, b.a - 47) AND tm.stop < b.a OR tm.a >= b.e + 1 AND tm.stop < b.e + 48)),
+bx AS (SELECT b.*, substring(' ' || t || ' ', greatest(0, a - 47) + 1, a + 1 - greatest(0, a - 47)) || '|' || substring(' ' || t || ' ', e + 2, 48) AS context FROM b JOIN d ON d.doc_id = b.doc_id),
+nr AS (SELECT b.doc_id, b.kind || ':' || lower(b.v) AS entity, b.context, tm.term, tm.a, tm.e FROM bx b JOIN tm ON tm.doc_id = b.doc_id AND (tm.a >= greatest(0, b.a - 47) AND tm.stop < b.a OR tm.a >= b.e + 1 AND tm.stop < b.e + 48)),
 n AS (SELECT count(*)::DOUBLE AS n FROM d),
 dt AS (SELECT term, count(DISTINCT doc_id)::DOUBLE AS df FROM tm GROUP BY 1), de AS (SELECT kind || ':' || lower(v) AS entity, count(DISTINCT doc_id)::DOUBLE AS df FROM b GROUP BY 1),
-pr AS (SELECT entity, term, count(DISTINCT doc_id)::DOUBLE AS shared FROM nr GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 2),
+pr AS (SELECT entity, term, count(DISTINCT doc_id)::DOUBLE AS shared FROM nr GROUP BY 1, 2 HAVING count(DISTINCT context) >= 2),
 sc AS (SELECT pr.entity, pr.term FROM pr JOIN dt ON dt.term = pr.term JOIN de ON de.entity = pr.entity, n WHERE n > de.df AND ln(n * shared / (de.df * dt.df)) / ln(n / de.df) >= 0.8),
 hit AS (SELECT DISTINCT nr.doc_id, nr.a, nr.e FROM nr JOIN sc ON sc.entity = nr.entity AND sc.term = nr.term WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = nr.doc_id AND b.a < nr.e AND nr.a < b.e)),
 al AS (SELECT doc_id, kind, o, a, e FROM b UNION ALL SELECT doc_id, 'term', 4, a, e FROM hit),
