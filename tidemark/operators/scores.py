@@ -77,7 +77,7 @@ def mincer_zarnowitz(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return d.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"))
 
 
-def oos_r2(df: DataFrame, actual: str, forecast: str, benchmark: str) -> Column | DataFrame:
+def oos_r2(df: DataFrame, actual: str, forecast: str, benchmark: str) -> DataFrame:
     """(id, n, r2): one minus squared errors over those of the benchmark."""
     ok = df.where(F.col(actual).isNotNull() & F.col(forecast).isNotNull() & F.col(benchmark).isNotNull())
     e = lambda c: F.sum(F.pow(F.col(actual) - F.col(c), F.lit(2.0)))
