@@ -29,11 +29,13 @@ def asof_backward(left: DataFrame, right: DataFrame, key: str, t: str, value: st
 
 def roll_forward(rows: DataFrame, calendar: DataFrame, key: str, t: str, value: str) -> DataFrame:
     """(key, t, value): each row moved to the next calendar day at or after its own; of several on one day the latest wins. Rows after the last day go."""
-    days = calendar.select(F.col(t)).distinct()
-    # The calendar is one short list for all keys: it rides along as a sorted array of days.
-    list_of = days.agg(F.sort_array(F.collect_set(t)).alias("__days"))
-    d = rows.crossJoin(F.broadcast(list_of)).withColumn("__day", F.try_element_at(F.filter("__days", lambda x: x >= F.col(t)), F.lit(1)))
-    return d.where("__day IS NOT NULL").groupBy(key, F.col("__day").alias(t)).agg(F.max_by(value, d[t]).alias(value))
+    # Where a date goes depends on the date alone: the distinct dates and the calendar, both as short as the years they span,
+    # are put in one order and the next open day is looked up there.
+    both = rows.select(F.col(t).alias("__d")).distinct().withColumn("__open", F.lit(None).cast("date")).unionByName(calendar.select(F.col(t).alias("__d"), F.col(t).cast("date").alias("__open")).distinct())
+    ahead = W.orderBy("__d").rangeBetween(W.currentRow, W.unboundedFollowing)
+    goes = both.withColumn("__day", F.min("__open").over(ahead)).where("__open IS NULL AND __day IS NOT NULL").select("__d", "__day")
+    d = rows.join(goes, rows[t] == goes["__d"])
+    return d.groupBy(key, F.col("__day").alias(t)).agg(F.max_by(value, rows[t]).alias(value))
 
 
 def interval_sums(bounds: DataFrame, moves: DataFrame, key: str, low: str, high: str, t: str, value: str) -> DataFrame:
