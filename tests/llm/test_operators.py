@@ -457,3 +457,39 @@ def test_pipeline(spark, awkward, empty):
     for _, stage in cp.STAGES:
         e = stage(spark, e, SF)
     assert e.count() == 0
+
+
+def test_pipeline_stages_against_brute_force(spark, docs):
+    import corpus_pipeline as cp
+
+    stages = dict(cp.STAGES)
+    first = stages["language_id"](spark, docs, SF).cache()
+    lettered = {r.doc_id for r in docs.collect() if re.search(r"[^\W\d_]", r.text or "")}
+    assert {r.doc_id for r in first.collect()} <= lettered and first.count() >= 0.98 * len(lettered)
+    second = stages["simhash_near_dedup"](spark, first, SF).cache()
+    groups = brute_components({r.doc_id: brute_fp(r.text) for r in first.collect()})
+    assert sorted(r.doc_id for r in second.collect()) == sorted(set(groups.values()))
+    assert second.join(first, second.columns, "left_anti").count() == 0
+    before = {r.doc_id: r.text for r in second.collect()}
+    third = stages["secret_scans"](spark, second, SF).cache()
+    for r in third.collect():
+        out, at = [], 0
+        for a, _, _, b in base_secrets(before[r.doc_id]):
+            if a >= at:
+                out += [before[r.doc_id][at:a], "[SECRET]"]
+            at = max(at, b)
+        assert r.text == "".join(out) + before[r.doc_id][at:] and r.n_chars == len(r.text)
+    fourth = stages["mixing"](spark, third, SF).cache()
+    from tidemark.llm.mixing import targets
+
+    size, mixed = Counter(), Counter()
+    for r in third.collect():
+        size[r.source] += len(WORD.findall(r.text))
+    largest = {s: max(len(WORD.findall(r.text)) for r in third.collect() if r.source == s) for s in size}
+    for r in fourth.collect():
+        mixed[r.source] += len(WORD.findall(r.text))
+    names = sorted(size)
+    for s, t in zip(names, targets([size[s] for s in names], [1.0 + i % 3 for i in range(len(names))]), strict=True):
+        assert abs(mixed[s] - t) <= largest[s]
+    fifth = stages["packing"](spark, fourth, SF)
+    assert fifth.count() == fourth.count()
