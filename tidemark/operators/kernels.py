@@ -64,7 +64,7 @@ def covariances(rows: DataFrame, method: str = "blend", half_life: float = 60.0,
     if method not in ("sample", "ewma", "shrunk", "blend"):
         raise ValueError(f"no method named {method}")
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         names, x = panel_of(pdf)
         cols = ["panel", "i", "j", "cov", "shrinkage"]
         if len(x) < 3:
@@ -80,7 +80,7 @@ def covariances(rows: DataFrame, method: str = "blend", half_life: float = 60.0,
 def components(rows: DataFrame, count: int = 5) -> DataFrame:
     """(panel, component, share, id, loading) of the correlation matrix; each component's loading of largest size is positive."""
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         names, x = panel_of(pdf)
         cols = ["panel", "component", "share", "id", "loading"]
         sd = x.std(axis=0, ddof=1) if len(x) > 2 else np.zeros(1)
@@ -155,7 +155,7 @@ def t_degrees(z: np.ndarray) -> float | None:
 def tails(rows: DataFrame, x: str = "ret") -> DataFrame:
     """(id, df)."""
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"id": [key[0]], "df": [t_degrees(pdf["x"].to_numpy(float))]})
 
     return rows.selectExpr("id", f"{x} AS x").groupBy("id").applyInPandas(one, "id string, df double")
@@ -189,7 +189,7 @@ def frontier(universe: DataFrame, points: int = 15) -> DataFrame:
     """(universe, point, mean, vol, sharpe, id, weight) of universes (universe, id, mean, row array<double>) with long-only
     portfolios from the least variance to the largest mean; every point starts from the one before."""
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
         cov, mean = np.array(pdf["row"].tolist(), dtype=float), pdf["mean"].to_numpy(float)
         out, w = [], None
@@ -229,7 +229,7 @@ def confidence_set(losses: np.ndarray, alpha: float = 0.10, draws: int = 2000, s
 def model_sets(losses: DataFrame, alpha: float = 0.10) -> DataFrame:
     """(id, model, mean_loss, p, kept) of losses (id, t, model, loss): the dates that all of a series' models have."""
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index="t", columns="model", values="loss", aggfunc="first").sort_index().dropna()
         if len(wide) < 10:
             return pd.DataFrame(columns=["id", "model", "mean_loss", "p", "kept"])
@@ -243,7 +243,7 @@ def simulated(assets: DataFrame, years: int = 10, paths: int = 20_000, seed: int
     """(portfolio, mean, p5, p25, p50, p75, p95) of annualised returns over `years` of normal years, drawn once at the variance of
     their mean; portfolios (portfolio, mean, vol)."""
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         m, v = float(pdf["mean"].iloc[0]), float(pdf["vol"].iloc[0])
         draw = np.expm1(np.random.default_rng(seed).normal(math.log1p(m) - 0.5 * v * v, v / math.sqrt(years), paths))
         return pd.DataFrame([[key[0], float(draw.mean()), *np.quantile(draw, [0.05, 0.25, 0.5, 0.75, 0.95])]], columns=["portfolio", "mean", "p5", "p25", "p50", "p75", "p95"])

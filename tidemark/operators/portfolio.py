@@ -35,7 +35,7 @@ def cov_paths(panel: DataFrame, speeds=SPEEDS, least: int = 60) -> DataFrame:
     # Every date of the panel for every pair, so that a missing product holds the path.
     p = pairs(panel).select("i", "j", "t", (F.col("a") * F.col("b")).alias("x"))
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         x = pdf["x"].to_numpy(float)
         c = sum(s * pair_path(x, h, least) for h, s in speeds) * DAYS
@@ -101,7 +101,7 @@ def stress_days(rows: DataFrame, window: int = 21, share: float = 0.8) -> DataFr
     """(panel, t, pc1_vol, stress) of rows (panel, id, t, x): trailing volatility of the first component and whether it is in
     the upper 1 - share; a panel of under two windows has no stress."""
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, x = panel_of(pdf)
         days = sorted(pdf.pivot_table(index="t", columns="id", values="x", aggfunc="first").dropna().index)
         if len(x) < 2 * window:
@@ -117,7 +117,7 @@ def stress_days(rows: DataFrame, window: int = 21, share: float = 0.8) -> DataFr
 def cluster_order(corr: DataFrame) -> DataFrame:
     """(panel, id, place) by average linkage on 1 - correlation, of full pairs (panel, i, j, corr): like next to like."""
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         c = pdf.pivot(index="i", columns="j", values="corr").sort_index().sort_index(axis=1)
         groups, dist = [[k] for k in range(len(c))], 1 - c.to_numpy(float)
         while len(groups) > 1:
@@ -132,7 +132,7 @@ def cluster_order(corr: DataFrame) -> DataFrame:
 def gram_schmidt(rows: DataFrame, order: list[str]) -> DataFrame:
     """(panel, id, t, x): each series in `order` less its fit on the ones before, over complete rows."""
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index="t", columns="id", values="x", aggfunc="first").sort_index().dropna()
         x = wide[[n for n in order if n in wide]].to_numpy(float)
         out = x.copy()

@@ -154,7 +154,7 @@ def rolling(rows: DataFrame, factors: list[str], spec: Spec = Spec(), y: str = "
     used = windows(rows.select("id", "t", F.col(y).alias("y"), *factors), spec)
     schema = "id string, window_end date, factor string, beta double, se double, t_stat double, p_value double, vif double, n int, r2 double, adj_r2 double, resid_vol double, cond double, cov_row array<double>"
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         held = [f for f in factors if np.isfinite(pdf[f].to_numpy(float)).mean() >= spec.coverage]
         x, v = pdf[held].to_numpy(float), pdf["y"].to_numpy(float)

@@ -52,7 +52,7 @@ def forecasts(loadings: DataFrame, series: DataFrame, factors: DataFrame, spec:
     panel = series.sparkSession.sparkContext.broadcast(factor_panel(factors))
     rows = series.join(in_force(loadings, series), ["id", "t"], "left").select("id", "t", "ret", "window_end", "betas")
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, wide = pdf.sort_values("t"), panel.value
         lam, spec_var, cache, out = 0.5 ** (1 / spec.specific_half_life), None, {}, []
         for r in pdf.itertuples(index=False):

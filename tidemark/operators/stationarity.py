@@ -163,7 +163,7 @@ def battery(rows: DataFrame, windows: tuple[int, ...] = (0, 252), x: str = "ret"
     d = d.withColumn("window", F.explode(F.array(*(F.lit(w) for w in windows)))).where("window = 0 OR back <= window").drop("back")
     schema = "id string, window int, n int, " + ", ".join(f"{c} double" for c in NUMBERS) + ", state string, verdict string, flags array<string>"
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         got = analyse(pdf.sort_values("t")["x"].to_numpy(float))
         row = {"id": key[0], "window": key[1], "n": got["n"], "state": got.get("state"), "verdict": got["verdict"], "flags": got["flags"]}
         return pd.DataFrame([row | {c: got[c] if c in got and math.isfinite(got[c]) else None for c in NUMBERS}])[[c.split()[0] for c in schema.split(", ")]]
