@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import models, more, panel, quant, relational, rest  # noqa: F401
+from tidemark.plans import models, more, panel, quant, relational, rest, whole  # noqa: F401
 from tidemark.plans.panel import ORACLES, QUERIES
 
 flagship = QUERIES["brand_week_returns"]

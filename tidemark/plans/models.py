@@ -227,10 +227,10 @@ def block_growth(spark, sf_dir):
 
 
 @query(None)
-def specification_search(spark, sf_dir):
+def specification_search(spark, sf_dir, keep=("Brand#1", "Brand#2", "Brand#3"), pool=2, limits=(2, 8)):
     """A search over factor sets for the market's brands: each round's candidates are scored in one job by their residual variance."""
     d, names = design(spark, sf_dir)
-    d = d.where(F.col("id").isin("Brand#1", "Brand#2", "Brand#3"))
+    d = d.where(F.col("id").isin(*keep)) if keep else d
 
     def score(todo):
         parts = [rg.rolling(d, list(c.factors), rg.Spec(window=c.window, step=52, least=60, estimator=c.estimator, half_life=c.half_life)).agg(F.lit(c.key()).alias("key"), F.avg("resid_vol").alias("loss")) for c in todo]
@@ -240,5 +240,5 @@ def specification_search(spark, sf_dir):
         # One number a candidate: at most `most` of them.
         return {r["key"]: r["loss"] + 0.001 * next(c.complexity() for c in todo if c.key() == r["key"]) for r in out.collect() if r["loss"] is not None}
 
-    found = se.search([se.Candidate((names[0],), 156)], names[:2], score, rounds=2, most=8)
+    found = se.search([se.Candidate((names[0],), 156)], names[:pool], score, *limits)
     return spark.createDataFrame([(c.key(), list(c.factors), c.window, c.estimator, float(x)) for c, x in found], "key string, factors array<string>, window int, estimator string, loss double")

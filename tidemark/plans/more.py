@@ -16,9 +16,9 @@ from tidemark.plans.quant import TYPES, read, type_returns
 
 
 @query(f"""WITH {RETURNS} SELECT t, {', '.join(f"round(max(ret) FILTER (id = 'Brand#{i}'), 6) AS b{i}" for i in range(1, 6))} FROM r WHERE id IN (SELECT p_brand FROM part WHERE p_size > 45) GROUP BY t""")
-def factor_panel_wide(spark, sf_dir):
+def factor_panel_wide(spark, sf_dir, brands=5):
     live = read(spark, sf_dir, "part").where("p_size > 45").select(F.col("p_brand").alias("id"))
-    names = [f"Brand#{i}" for i in range(1, 6)]
+    names = [f"Brand#{i}" for i in range(1, brands + 1)]
     # The names are given, so the pivot needs no pass of its own to find them.
     d = returns(spark, sf_dir).join(live, "id", "left_semi").groupBy("t").pivot("id", names).agg(F.max("ret"))
     return d.select("t", *(F.round(f"`{n}`", 6).alias(f"b{i}") for i, n in enumerate(names, 1)))
@@ -26,8 +26,8 @@ def factor_panel_wide(spark, sf_dir):
 
 @query(f"""WITH {RETURNS}, c AS (SELECT date_trunc('week', o_orderdate)::DATE AS t, avg(o_totalprice) / 50000 AS cash FROM orders WHERE o_orderkey % 97 = 0 GROUP BY 1), j AS (SELECT r.id, r.t, ret, last_value(cash IGNORE NULLS) OVER (PARTITION BY id ORDER BY r.t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cash FROM r LEFT JOIN c USING (t))
 SELECT id, t, round(ret - cash / 100 / 252, 8) AS excess FROM j""")
-def instrument_load(spark, sf_dir):
-    c = read(spark, sf_dir, "orders").where("o_orderkey % 97 = 0").groupBy(F.date_trunc("week", "o_orderdate").cast("date").alias("t")).agg((F.avg("o_totalprice") / 50000).alias("cash"))
+def instrument_load(spark, sf_dir, keep="o_orderkey % 97 = 0"):
+    c = read(spark, sf_dir, "orders").where(keep).groupBy(F.date_trunc("week", "o_orderdate").cast("date").alias("t")).agg((F.avg("o_totalprice") / 50000).alias("cash"))
     d = returns(spark, sf_dir).join(c, "t", "left")
     return d.select("id", "t", F.round(F.col("ret") - s.in_force("cash") / 100 / 252, 8).alias("excess"))
 
@@ -151,9 +151,9 @@ def gram_schmidt(spark, sf_dir):
 
 
 @query(None)
-def residual_components(spark, sf_dir):
+def residual_components(spark, sf_dir, keep=tuple(f"Brand#{i}" for i in range(1, 9))):
     d, names = design(spark, sf_dir)
-    e = rg.residuals(d.where(F.col("id").isin([f"Brand#{i}" for i in range(1, 9)])), names, "full")
+    e = rg.residuals(d.where(F.col("id").isin(*keep)) if keep else d, names, "full")
     return k.components(e.where("resid IS NOT NULL").select(F.lit("brands").alias("panel"), "id", "t", F.col("resid").alias("x")), 2)
 
 

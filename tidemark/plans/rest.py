@@ -16,8 +16,8 @@ from tidemark.sources import tables as tb
 
 @query("""WITH r AS (SELECT p_partkey::VARCHAR AS factor_id, p_brand AS a, p_type AS b, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_name END AS c FROM part WHERE p_partkey % 10 = 0), u AS (SELECT factor_id, 0 AS i, a AS input FROM r UNION ALL SELECT factor_id, 1, b FROM r UNION ALL SELECT factor_id, 2, c FROM r),
 f AS (SELECT factor_id, input, min(i) AS i FROM u GROUP BY 1, 2) SELECT factor_id, row_number() OVER (PARTITION BY factor_id ORDER BY i) - 1 AS place, input FROM f""")
-def recipe_identifiers(spark, sf_dir):
-    p = read(spark, sf_dir, "part").where("p_partkey % 10 = 0")
+def recipe_identifiers(spark, sf_dir, keep="p_partkey % 10 = 0"):
+    p = read(spark, sf_dir, "part").where(keep)
     c = F.to_json(F.struct(F.struct(F.array("p_brand", "p_type").alias("long"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(F.col("p_name")).alias("id")).alias("inputs")))
     return tb.recipe_inputs(p.select(F.col("p_partkey").cast("string").alias("factor_id"), c.alias("construction")), ["long", "id"])
 
@@ -121,7 +121,7 @@ def pool_of_choices(spark, sf_dir):
 
 
 @query("""WITH k AS (SELECT o_custkey AS id, o_orderdate::DATE AS d, o_totalprice AS v FROM orders WHERE o_custkey % 50 = 0) SELECT id, d, v, o.n FROM k, LATERAL (SELECT count(*) AS n FROM k b WHERE b.id = k.id AND b.d <= k.d) o""")
-def running_count(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").where("o_custkey % 50 = 0").select(F.col("o_custkey").alias("id"), F.to_date("o_orderdate").alias("d"), F.col("o_totalprice").alias("v"))
+def running_count(spark, sf_dir, keep="o_custkey % 50 = 0"):
+    o = read(spark, sf_dir, "orders").where(keep).select(F.col("o_custkey").alias("id"), F.to_date("o_orderdate").alias("d"), F.col("o_totalprice").alias("v"))
     w = W.partitionBy("id").orderBy("d").rangeBetween(W.unboundedPreceding, W.currentRow)
     return o.withColumn("n", F.count(F.lit(1)).over(w))

@@ -1,0 +1,73 @@
+"""Queries whose named originals take a subset of their tables, as the originals' SQL does, here over the whole tables.
+
+The originals and their SQL stay as they are; each `<name>_whole` is the same code without the filter, and its oracle is the
+original's SQL without it.
+"""
+
+from __future__ import annotations
+
+from tidemark.plans import models, more, relational, rest
+from tidemark.plans.panel import ORACLES, RETURNS, query
+
+
+def without(name: str, part: str) -> str:
+    """The oracle of `name` less a filter that it holds once."""
+    before, after = ORACLES[name].split(part)
+    return before + after
+
+
+@query(without("sink_sanitise", " WHERE l_orderkey % 50 = 0"))
+def sink_sanitise_whole(spark, sf_dir):
+    return relational.sink_sanitise(spark, sf_dir, "true")
+
+
+@query(without("roll_forward_calendar", " WHERE l_suppkey % 10 = 0"))
+def roll_forward_calendar_whole(spark, sf_dir):
+    return relational.roll_forward_calendar(spark, sf_dir, "true")
+
+
+@query(without("interval_sum", " WHERE l_orderkey % 20 = 0"))
+def interval_sum_whole(spark, sf_dir):
+    return relational.interval_sum(spark, sf_dir, "true")
+
+
+@query(without("gap_check", " WHERE l_suppkey % 20 = 0"))
+def gap_check_whole(spark, sf_dir):
+    return relational.gap_check(spark, sf_dir, "true")
+
+
+@query(without("inverted_index", " WHERE l_suppkey % 25 = 0"))
+def inverted_index_whole(spark, sf_dir):
+    return relational.inverted_index(spark, sf_dir, "true")
+
+
+@query(without("recipe_identifiers", " WHERE p_partkey % 10 = 0"))
+def recipe_identifiers_whole(spark, sf_dir):
+    return rest.recipe_identifiers(spark, sf_dir, "true")
+
+
+@query(without("running_count", " WHERE o_custkey % 50 = 0"))
+def running_count_whole(spark, sf_dir):
+    return rest.running_count(spark, sf_dir, "true")
+
+
+@query(without("instrument_load", " WHERE o_orderkey % 97 = 0"))
+def instrument_load_whole(spark, sf_dir):
+    return more.instrument_load(spark, sf_dir, "true")
+
+
+@query(f"""WITH {RETURNS} SELECT t, {', '.join(f"round(max(ret) FILTER (id = 'Brand#{i}'), 6) AS b{i}" for i in range(1, 26))} FROM r WHERE id IN (SELECT p_brand FROM part WHERE p_size > 45) GROUP BY t""")
+def factor_panel_wide_whole(spark, sf_dir):
+    """All 25 brands of the part table."""
+    return more.factor_panel_wide(spark, sf_dir, 25)
+
+
+@query(None)
+def residual_components_whole(spark, sf_dir):
+    return more.residual_components(spark, sf_dir, None)
+
+
+@query(None)
+def specification_search_whole(spark, sf_dir):
+    """All brands, the whole pool of factors, and the search's own limits."""
+    return models.specification_search(spark, sf_dir, None, None, ())
