@@ -133,6 +133,18 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert len(hit & set(range(30))) >= 27 and len(hit - set(range(30))) <= 3
 
 
+def test_many_keys_among_few_words_are_found(spark):
+    from tidemark.llm import secrets
+
+    rnd = random.Random(10)
+    b62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(rnd.choice(b62) for _ in range(40)) for _ in range(3000)]
+    words = ["getTheNameOfEachUserInTheList", "thisIsAnOrdinaryIdentifierOfCode", "InternationalisationOfNumbers2", "aaaaaaaaaaBBBBBBBBBB1111111111"]
+    d = spark.createDataFrame(list(enumerate([f"value {k} here" for k in keys] + [f"a {w} b" for w in words])), "doc_id long, text string")
+    hit = {r.doc_id for r in secrets.scan(d).where("size(spans) > 0").collect()}
+    assert len(hit & set(range(3000))) >= 2850 and not hit - set(range(3000))
+
+
 def test_redaction(spark, awkward):
     from tidemark.llm import secrets
 

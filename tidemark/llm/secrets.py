@@ -4,7 +4,7 @@ A token's encoding is inferred from its characters. Its symbols are tested for u
 over digits, small and capital letters), for the number of runs above and below the middle of the alphabet, and for serial correlation. Passing is what a random key does, so
 the false discoveries to control are ordinary tokens that pass by chance. An ordinary token of n symbols, from a source
 whose entropy falls D bits short of the alphabet's, looks uniform with a probability of about 2 ** (-D n). D comes from
-the tokens of the corpus that fail, by encoding; that bound is the p-value of a token that passes, and the step-up rule
+the tokens of the corpus that fail, by encoding, less as many random ones as may fail by chance; that bound is the p-value of a token that passes, and the step-up rule
 of Benjamini and Hochberg over all tokens tested sets the cut. So short tokens of a poor encoding need more evidence.
 """
 
@@ -46,6 +46,9 @@ ENCODINGS = [
 ]
 #: |z| up to which a test passes: two-sided 1 % shared by three tests. The false-discovery rate. The shortfall D where no token failed.
 Z_PASS, RATE, SHORTFALL = 2.94, 0.01, 1.0
+#: Share of random tokens that fail by chance, a bound over all encodings and lengths (1.1 to 3.6 % in simulations), and the
+#: standard deviations by which their number may exceed it.
+CHANCE, MARGIN = 0.04, 3.0
 #: Chi-squared of the kinds of characters up to which they pass, at 1.25 % with 1, 2 and 3 degrees of freedom (fixed values).
 KINDS_PASS = (6.24, 8.76, 10.87)
 #: The p-value falls with the length; from here on a token counts as just so long, which bounds the table of classes.
@@ -115,8 +118,17 @@ def accepted_classes(scanned: DataFrame) -> DataFrame:
     tokens = scanned.select(F.explode("tested").alias("x")).select("x.*")
     symbols = tokens.where("NOT passes").select("enc", F.explode("v").alias("c")).groupBy("enc", "c").agg(F.count(F.lit(1)).cast("double").alias("m"))
     size = F.create_map(*(x for n, _, a in ENCODINGS for x in (F.lit(n), F.lit(float(len(a))))))
-    entropy = symbols.groupBy("enc").agg((F.log2(F.sum("m")) - F.sum(F.col("m") * F.log2("m")) / F.sum("m")).alias("bits"))
-    short = entropy.select("enc", F.greatest(F.log2(size[F.col("enc")]) - F.col("bits"), F.lit(0.0)).alias("d"))
+    # Random tokens that fail by chance have all symbols alike. Where most tokens are random they are most of those that fail
+    # and would hide what ordinary tokens fall short by, so as many of each symbol as they may hold are taken off.
+    lucky = tokens.where("passes").groupBy("enc").agg(F.count(F.lit(1)).cast("double").alias("lucky"), F.avg(F.size("v")).alias("long"))
+    failed = F.col("lucky") * (CHANCE / (1 - CHANCE))
+    lucky = lucky.select("enc", ((failed + MARGIN * F.sqrt(failed)) * F.col("long") / size[F.col("enc")]).alias("each"))
+    left = symbols.join(F.broadcast(lucky), "enc", "left").withColumn("rest", F.greatest(F.col("m") - F.coalesce("each", F.lit(0.0)), F.lit(0.0)))
+    bits = lambda c: F.log2(F.sum(c)) - F.sum(F.when(F.col(c) > 0, F.col(c) * F.log2(c)).otherwise(0.0)) / F.sum(c)
+    entropy = left.groupBy("enc").agg(bits("m").alias("all"), F.when(F.sum("rest") > 0, bits("rest")).alias("bits"))
+    lacks = lambda c: F.greatest(F.log2(size[F.col("enc")]) - F.col(c), F.lit(0.0))
+    # Where little is left, its symbols are few and seem to fall short by too much: what lies over all tokens that fail is held to SHORTFALL.
+    short = entropy.select("enc", F.least(F.when(F.col("bits").isNotNull(), lacks("bits")).otherwise(SHORTFALL), F.greatest(lacks("all"), F.lit(SHORTFALL))).alias("d"))
     classes = tokens.groupBy("enc", "n").agg(F.count(F.lit(1)).alias("tested"), F.sum(F.col("passes").cast("long")).alias("passing"))
     p = classes.join(F.broadcast(short), "enc", "left").withColumn("p", F.pow(F.lit(2.0), -F.coalesce("d", F.lit(SHORTFALL)) * F.col("n")))
     # At most ten encodings times LONGEST lengths: these windows see a bounded table.
