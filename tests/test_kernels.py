@@ -80,6 +80,17 @@ def test_verdicts_on_known_processes():
     assert st.analyse(np.zeros(200))["verdict"] == "insufficient"
 
 
+def test_every_break_is_tried():
+    for seed, n, at in ((1, 150, 61), (2, 731, 333), (3, 1100, 517)):
+        x = np.random.default_rng(seed).normal(size=n) + 8.0 * (np.arange(n) >= at)
+        lags = min(int(12 * (n / 100) ** 0.25) // 2, n // 10)
+        y, z = st._design(x, lags, lags)
+        i = np.arange(len(y), dtype=float)
+        each = [(st._t_of(y, np.column_stack([z, i, i >= b]), 1)[0], b + lags + 1) for b in range(int(0.15 * len(y)), int(0.85 * len(y)))]
+        t, row = st.zivot_andrews(x)
+        assert abs(t - min(each)[0]) < 1e-6 * abs(t) and row == min(each)[1] and abs(row - at) <= 1
+
+
 def test_unit_root_size_is_near_its_level():
     hits = sum(st.df_level(st.adf(np.cumsum(np.random.default_rng(i).normal(size=300)))[0], 300) <= 0.05 for i in range(200))
     assert 1 <= hits <= 24

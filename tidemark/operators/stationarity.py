@@ -84,15 +84,36 @@ def phillips_perron(x: np.ndarray) -> float:
 
 
 def zivot_andrews(x: np.ndarray, trim: float = 0.15) -> tuple[float, int]:
-    """The smallest unit-root t over breaks in the level, and the row of that break."""
+    """The smallest unit-root t over all breaks in the level between the trims, and the row of that break.
+
+    All fits share the columns but the break's, so they are factored once; a break's own sums are sums from its row on.
+    """
     lags = min(int(12 * (len(x) / 100) ** 0.25) // 2, len(x) // 10)
     y, z = _design(x, lags, lags)
     trend = np.arange(len(y), dtype=float)
-    best = (math.inf, 0)
-    for b in range(int(trim * len(y)), int((1 - trim) * len(y)), max(1, len(y) // 100)):
-        t, _, _ = _t_of(y, np.column_stack([z, trend, (trend >= b).astype(float)]), 1)
-        best = min(best, (t, b + lags + 1))
-    return best
+    x0 = np.column_stack([z, trend])
+    n, scale = len(y), np.linalg.norm(x0, axis=0)
+    q, r = np.linalg.qr(x0 / np.where(scale > 0, scale, 1.0))
+    breaks = np.arange(int(trim * n), int((1 - trim) * n))
+    t, sure = np.zeros(len(breaks)), np.zeros(len(breaks), dtype=bool)
+    if np.abs(r.diagonal()).min() > 1e-8:
+        row = np.linalg.inv(r)[1]
+        e = y - q @ (q.T @ y)
+        after = lambda v: np.cumsum(v[::-1], axis=0)[::-1][breaks]
+        s = after(q)
+        own = (n - breaks) - (s * s).sum(axis=1)
+        sure = own > 1e-8 * n
+        own = np.where(sure, own, 1.0)
+        step = after(e) / own
+        s2 = (float(e @ e) - step * step * own) / max(1, n - x0.shape[1] - 1)
+        sure &= s2 > 1e-10 * float(e @ e) / n
+        v = np.where(sure, s2, 1.0) * (row @ row + (s @ row) ** 2 / own)
+        t = (row @ (q.T @ y) - step * (s @ row)) / np.sqrt(v)
+    # Where columns depend on each other, the fit by itself.
+    for i in np.flatnonzero(~sure):
+        t[i] = _t_of(y, np.column_stack([x0, (trend >= breaks[i]).astype(float)]), 1)[0]
+    best = int(t.argmin())
+    return float(t[best]), int(breaks[best]) + lags + 1
 
 
 def portmanteau(x: np.ndarray, lags: int) -> float:
