@@ -94,6 +94,18 @@ def test_pii_disclosing_terms(spark):
     assert "z@q.org" not in clean and "Zorblax" not in clean and "[EMAIL]" in clean and clean.startswith("ask ")
 
 
+def test_pii_disclosing_terms_far_from_the_mention(spark):
+    from tidemark.llm import pii
+
+    far = "the weather was fair and the road was long and the evening was quiet as ever "
+    filler = [f"plain words number {i} about the weather and the road, fair and long and quiet as ever was the evening" for i in range(40)]
+    rows = [*filler, f"ask z@q.org soon about this. {far} Later Zorblax came, and ZORBLAX left", f"write to z@q.org about that. {far} So Zorblax, again", "Zorblax alone"]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(d, keep=["text"]).collect()}
+    hits = lambda i: [got[i].text[s.start : s.end] for s in got[i].terms]
+    assert hits(40) == ["Zorblax", "ZORBLAX"] and hits(41) == ["Zorblax"] and not got[42].terms and not got[0].terms
+
+
 # --- secrets
 
 
