@@ -106,7 +106,7 @@ def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str
     taken = flow([(tuple(at[x] for x in r["sources"]), r["size"]) for r in sums], [int(t) for t in goals], repeats)
     rows = [(r["pattern"], t // r["size"] if r["size"] else 0, t % r["size"] if r["size"] else 0, sizes[at[r["sources"][0]]] if r["sources"] else 0, goals[at[r["sources"][0]]] if r["sources"] else 0.0) for r, t in zip(sums, taken, strict=True)]
     plan = docs.sparkSession.createDataFrame(rows, "pattern string, rounds long, rest long, source_size long, target double")
-    d = running_before(d.withColumn("key", seeded(SEED, "doc_id")), "pattern", "key", "size", ["doc_id", "text_hash"])
+    d = running_before(d.withColumn("key", seeded(SEED, "doc_id", "text_hash")), "pattern", "key", "size", ["doc_id", "text_hash"])
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
     d = d.join(plan, "pattern").withColumn("taken", F.when(F.col("size") > 0, F.col("rounds") * F.col("size") + part).otherwise(0).cast("long"))
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("long")

@@ -65,7 +65,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     index, top = F.lit(len(tops) - 1), F.lit(tops[-1])
     for i, t in reversed(list(enumerate(tops[:-1]))):
         index, top = F.when(F.col("grid") <= t, i).otherwise(index), F.when(F.col("grid") <= t, t).otherwise(top)
-    d = d.withColumns({"bucket": index.cast("int"), "bucket_length": top.cast("long"), "key": seeded(SEED, "doc_id"), "one": F.lit(1).cast("long")})
+    d = d.withColumns({"bucket": index.cast("int"), "bucket_length": top.cast("long"), "key": seeded(SEED, "doc_id", "text_hash"), "one": F.lit(1).cast("long")})
     d = running_before(d, "bucket", "key", "one", ["doc_id", "text_hash"])
     rows = F.greatest(F.floor(F.lit(budget) / F.greatest("bucket_length", F.lit(1))), F.lit(1)).cast("long")
     d = d.withColumn("batch_rows", rows)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import joined_spans, masked_text, matches_with_places, places, table, text_of, written
+from tidemark.llm.common import clear_of, indexed, joined_spans, masked_text, matches_with_places, piece, places, table, text_of, written
 
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Each pattern starts only where a leftmost match can: at the beginning of a run of its first characters. A start inside
@@ -51,11 +51,12 @@ def mentions(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> Da
     d = matches_with_places(d, "t", PATTERNS, CHECKS, GUARDS).withColumn("base", F.concat(*(F.col(k) for k in KINDS)))
     # The text with a space on either side, so that every word is between white space; its places are one larger.
     padded = F.when(F.size("base") > 0, F.concat(F.lit(" "), F.col("t"), F.lit(" ")))
-    d = d.withColumn("p", padded)
+    d = d.withColumn("p", padded).withColumns({"p32": indexed(F.col("p")), "n_p": F.length("p")})
 
     def either_side(s: Column) -> Column:
         low = F.greatest(F.lit(0), s["start"] + 1 - REACH)
-        return F.array(F.struct(F.substring(F.col("p"), low + 1, s["start"] + 1 - low).alias("x")), F.struct(F.substring(F.col("p"), s["end"] + 2, F.lit(REACH)).alias("x")))
+        high = F.least(F.col("n_p"), s["end"] + 1 + REACH)
+        return F.array(F.struct(piece(F.col("p32"), low, s["start"] + 1).alias("x")), F.struct(piece(F.col("p32"), s["end"] + 1, high).alias("x")))
 
     def near(sides: Column) -> Column:
         return F.array_distinct(F.flatten(F.transform(sides, lambda y: F.transform(F.regexp_extract_all(y["x"], F.lit(TERM), F.lit(0)), F.lower))))
@@ -133,7 +134,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     spans_of = F.transform("places", lambda z: F.struct((z["start"] - 1).alias("start"), (z["end"] - 1).alias("end"), z["kind"].alias("kind"), F.element_at("shares", F.lower(z["value"])).alias("share")))
     joined = joined.withColumn("terms", F.sort_array(spans_of))
     # A mention's neighbour can be part of another mention, which the base span covers already.
-    free = F.filter(F.col("terms"), lambda s: ~F.exists(F.col("a.base"), lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])))
+    free = clear_of(F.col("terms"), F.col("a.base"))
     none = F.array().cast("array<struct<start:int,end:int,kind:string,share:double>>")
     return joined.select(F.col("a.doc_id").alias("doc_id"), *(F.col(f"a.keep_{i}").alias(c) for i, c in enumerate(keep)), F.col("a.base").alias("base"), F.coalesce(free, none).alias("terms"))
 

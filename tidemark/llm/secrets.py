@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidemark.llm.common import LOWER, UPPER, joined_spans, masked_text, matches_with_places, table, text_of, written
+from tidemark.llm.common import LOWER, UPPER, clear_of, joined_spans, masked_text, matches_with_places, table, text_of, written
 
 _VALUE = "[A-Za-z0-9+/_.=-]+"
 _NAMED = "(?i)(?:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?"
@@ -149,8 +149,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     order = {k: i for i, k in enumerate([*BASE, "random"])}
     tagged = lambda a, k: F.transform(a, lambda s: F.struct(s["start"].alias("start"), F.lit(order[k]).alias("o"), s["end"].alias("end"), F.lit(k).alias("kind")))
     d = d.withColumn("base", F.sort_array(F.concat(*(tagged(F.col(k), k) for k in BASE))))
-    free = F.filter("random", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    d = d.withColumn("free", free).drop(*PATTERNS)
+    d = d.withColumn("free", clear_of(F.col("random"), F.col("base"))).drop(*PATTERNS)
     # A very long token's test costs time in proportion to its distinct symbols only.
     d = written(d.withColumn("tested", battery(F.col("free"))).drop("free"))
     d = d.crossJoin(F.broadcast(accepted_classes(d)))
