@@ -1,231 +1,139 @@
 """Removal of word sequences that occur earlier in the corpus, by level-wise doubling.
 
-A window of WINDOW words is a candidate only while the shorter windows inside it are repeated. Level 1 looks at runs of a
-quarter of that length, and only at each window's anchor: the run with the smallest hash in it (the leftmost of equals),
-which equal windows share at the same offset, so about one run in nine is counted and none that matters is missed.
-Anchors that are repeated are extended to twice the length, forwards and backwards; those that still are, to the whole
-window. There, neighbouring windows of one anchor form a unit: units with equal words are settled as one, and only the
-first of each kind is opened into single windows, which meet those of other first units. What is not the first
+A window of WINDOW words is a candidate only while the shorter runs inside it are repeated. Level 1 looks at runs of a
+quarter of that length, and only at each window's anchor: of the runs that begin in its first half the one with the
+smallest hash (the leftmost of equals), which equal windows share at the same offset, so about one run in six is counted
+and none that matters is missed. Anchors that are repeated are extended to twice the length; those that still are, to
+the whole window. There, neighbouring windows of one anchor form a unit: units with equal words are settled as one, and
+only the first of each kind is opened into single windows, which meet those of other first units. What is not the first
 occurrence is removed. No level compares rows with each other: each counts hashes and joins the counts back.
 
-Hashing runs on numpy arrays inside tasks. The texts are dealt out once, into a table bucketed by document, so that the
-levels bring only their survivors to them.
+Hashing runs on numpy arrays inside tasks, over the bytes of the Arrow batches and a bounded number of words at a time,
+however long a text is. All lengths are hashed in one pass; only rows that survive a level meet the next.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from tidemark import for_workers
-from tidemark.llm.common import shared_folder, table, text_of, written
+from tidemark.llm.common import discard, table, text_of, written
+from tidemark.llm.wordbytes import C1, C2, mixed, portions, powers, runs
 
 WINDOW = 20
-#: Characters worked on at a time in a task (a longer text is taken whole).
-PORTION = 2_000_000
-#: Rows with one id are parts of one document; part p's words have the places p * PART and on.
-PART = 1 << 32
+#: A place and the number of windows from there on share one long.
+SHARED = 4096
 #: Stands for a null id.
 LAST = (1 << 63) - 1
-_C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-class Portion:
-    """The words of some texts: byte ranges, the text of each, hashes, and sums over any range of words."""
-
-    def __init__(self, texts: list[str]):
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        self.buffer = np.frombuffer(b" ".join([b"", *raw, b""]), dtype=np.uint8)
-        begin = np.cumsum([1, *(len(r) + 1 for r in raw)])[:-1]
-        space = (self.buffer == 32) | ((self.buffer >= 9) & (self.buffer <= 13))
-        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-        self.starts, self.ends = edge[::2], edge[1::2]
-        self.doc = np.searchsorted(begin, self.starts, side="right") - 1
-        self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
-        self.n = len(self.starts)
-        self.space = space
-
-    def hashes(self) -> None:
-        if not self.n:
-            self.h = np.zeros(0, dtype=np.uint64)
-            return
-        begin = self.starts[0]
-        length = np.diff(np.append(self.starts, len(self.buffer)))
-        at = np.arange(begin, len(self.buffer), dtype=np.int64) - np.repeat(self.starts, length)
-        word = np.where(self.space[begin:], np.uint64(0), self.buffer[begin:].astype(np.uint64) + np.uint64(1))
-        longest = int((self.ends - self.starts).max())
-        self.h = mixed(np.add.reduceat(word * powers(_C2, longest + 1)[np.minimum(at, longest)], self.starts - begin))
-
-    def runs(self, size: int) -> np.ndarray:
-        """The hash of the `size` words from each place on; it may reach into the next text."""
-        n = max(0, self.n - size + 1)
-        out = np.zeros(n, dtype=np.uint64)
-        for k in range(size):
-            out = out * _C1 + self.h[k : k + n]
-        return mixed(out)
-
-    def sums(self) -> tuple[Callable, Callable]:
-        """Two independent hashes of the words [low, high)."""
-
-        def of(base: np.uint64, h: np.ndarray) -> Callable:
-            p = powers(base, self.n + 1)
-            total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * p[: self.n], dtype=np.uint64)])
-            back = powers(np.uint64(pow(int(base), -1, 1 << 64)), self.n + 1)
-            return lambda low, high: mixed((total[high] - total[low]) * back[low] + (high - low).astype(np.uint64))
-
-        return of(_C1, self.h), of(_C2, mixed(self.h ^ _C1))
-
-    def anchors(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of the windows inside one text, the place of each one's anchor, and the run hashes."""
-        size = window // 4
-        value = self.runs(size)
-        n = self.n - window + 1
-        if n <= 0:
-            none = np.zeros(0, dtype=np.int64)
-            return none, none, value
-        best, place, reach = value, np.arange(len(value)), 1
-        while reach < window - size + 1:
-            step = min(reach, window - size + 1 - reach)
-            m = len(best) - step
-            left = best[:m] <= best[step : step + m]
-            best, place, reach = np.where(left, best[:m], best[step : step + m]), np.where(left, place[:m], place[step : step + m]), reach + step
-        inside = np.flatnonzero(self.doc[:n] == self.doc[window - 1 : window - 1 + n])
-        return inside, place[inside], value
-
-
-def portions(parts: Iterator[pd.DataFrame], text: str = "text") -> Iterator[tuple[pd.DataFrame, Portion]]:
-    for pdf in parts:
-        size = pdf[text].str.len().to_numpy()
-        for _, some in pdf.groupby((np.cumsum(size) // PORTION).astype(np.int64), sort=False):
-            some = some.reset_index(drop=True)
-            yield some.drop(columns=text), Portion(some.pop(text).tolist())
-
-
-def place_keys(some: pd.DataFrame, p: Portion, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    doc = p.doc[at]
-    return some["k"].to_numpy()[doc], some["part"].to_numpy()[doc].astype(np.int64) * PART + (at - p.first[doc])
-
-
-def survivors(some: pd.DataFrame, p: Portion, column: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row's array of (place * words + note) the places of this row's part, as places in the portion, and the notes."""
-    lists = some[column].to_numpy()
-    flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists]) if len(lists) else np.zeros(0, dtype=np.int64)
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    place, note = flat // words, flat % words
-    own = place // PART == some["part"].to_numpy()[row]
-    return (p.first[row] + place % PART)[own], note[own]
-
-
-def dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k, part, copied, text), bucketed by k. copied: the whole text is that of a document with a smaller id."""
-    spark = docs.sparkSession
-    d = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("k", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    d = d.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
-    rows = d.select("k", "h1", "h2").distinct()
-    firsts = rows.groupBy("h1", "h2").agg(F.min("k").alias("first"))
-    info = rows.join(firsts, ["h1", "h2"]).select("k", F.col("h1").alias("i1"), F.col("h2").alias("i2"), (F.col("first") < F.col("k")).alias("copied"))
-    info = info.withColumn("part", F.dense_rank().over(W.partitionBy("k").orderBy("i1", "i2")) - 1)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The hashes are compared outside the join's keys: with them as keys the texts would be dealt out again, by all three.
-    joined = d.repartition(buckets, "k").join(info, "k").where("((h1 ^ i1) | (h2 ^ i2)) = 0").select("k", "part", "copied", "text")
-    name = f"tidemark_{uuid.uuid4().hex}"
-    joined.write.bucketBy(buckets, "k").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
-
-
-def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose keys occur more than once. The counts are written, so that both sides are dealt out for the join alone and a frequent key can be split."""
-    return rows.join(written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")), keys)
-
-
-def per_document(rows: DataFrame, value: str) -> DataFrame:
-    return rows.groupBy("k").agg(F.collect_list(F.expr(value)).alias("s"))
+def sums(h: np.ndarray, base: np.uint64) -> Callable:
+    """A hash of the words [low, high) for arrays of both."""
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * powers(base, len(h)), dtype=np.uint64)])
+    back = powers(np.uint64(pow(int(base), -1, 1 << 64)), len(h) + 1)
+    return lambda low, high: mixed((total[high] - total[low]) * back[low] + (high - low).astype(np.uint64))
+
+
+def leftmost_smallest(value: np.ndarray, width: int) -> np.ndarray:
+    """The place of the smallest of the `width` values from each place on."""
+    best, place, reach = value, np.arange(len(value)), 1
+    while reach < width:
+        step = min(reach, width - reach)
+        m = max(0, len(best) - step)
+        left = best[:m] <= best[step : step + m]
+        best, place = np.where(left, best[:m], best[step : step + m]), np.where(left, place[:m], place[step : step + m])
+        reach += step
+    return place
+
+
+def listed(some: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row's array of place * SHARED + m the row, the place and m."""
+    lists = some.column(column)
+    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(lists)), size), flat // SHARED, flat % SHARED
+
+
+def as_batch(columns: dict[str, np.ndarray | pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({k: v.view(np.int64) if isinstance(v, np.ndarray) and v.dtype == np.uint64 else v for k, v in columns.items()})
+
+
+def of_rows(some: pa.RecordBatch, column: str, rows: np.ndarray) -> np.ndarray:
+    return some.column(column).to_numpy(zero_copy_only=False)[rows]
+
+
+def repeated(rows: DataFrame, key: str) -> DataFrame:
+    """The rows, a written table that goes, whose key occurs more than once. The counts are written, so that both sides are dealt out for the join alone and a frequent key can be split."""
+    often = written(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key))
+    out = written(rows.join(often, key))
+    discard(rows, often)
+    return out
+
+
+def per_document(rows: DataFrame) -> DataFrame:
+    """One row a document (k, t) with the array s of its places; as long as the document at most."""
+    return written(rows.groupBy("k", "t").agg(F.collect_list(F.col("low") * SHARED + F.col("m")).alias("s")))
+
+
+def with_lists(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    return texts.join(lists, ["k", "t"], how)
+
+
+def elsewhere(a: str) -> Column:
+    """Whether a row isn't the head of its kind."""
+    return (F.col("k") != F.col(f"{a}.k")) | (F.col("t") != F.col(f"{a}.t")) | (F.col("low") != F.col(f"{a}.low"))
 
 
 def removed_runs(texts: DataFrame, window: int) -> DataFrame:
-    """(k, at, m): the windows that begin at the places at .. at + m - 1 of document k occur earlier."""
+    """(k, t, s): for each place * SHARED + m in s, the windows that begin at the words place .. place + m - 1 of document (k, t) occur earlier."""
     quarter, half = window // 4, window // 2
 
-    def level_1(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for some, p in portions(parts):
-            p.hashes()
-            _, place, value = p.anchors(window)
-            place = np.unique(place)
-            k, at = place_keys(some, p, place)
-            yield pd.DataFrame({"h": value[place].view(np.int64), "k": k, "at": at})
-
-    def level_2(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for some, p in portions(parts):
-            p.hashes()
-            place, _ = survivors(some, p, "s", 1)
-            value = p.runs(half)
-            out = []
-            for note, shift in ((1, 0), (2, quarter)):
-                low = place - shift
-                fits = (low >= p.first[p.doc[place]]) & (low + half <= p.first[p.doc[place] + 1])
-                k, at = place_keys(some, p, place[fits])
-                out.append(pd.DataFrame({"h": value[low[fits]].view(np.int64), "k": k, "at": at, "note": np.full(len(k), note)}))
-            yield pd.concat(out)
-
-    def level_3(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for some, p in portions(parts):
-            p.hashes()
-            place, notes = survivors(some, p, "s", 4)
-            note = np.zeros(p.n + 1, dtype=np.int64)
-            note[place] = notes
-            start, anchor, _ = p.anchors(window)
-            good = np.where(anchor - start <= window - half, note[anchor] & 1, note[anchor] & 2) > 0
-            start, anchor = start[good], anchor[good]
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(start) != 1) | (np.diff(anchor) != 0)])) if len(start) else np.zeros(0, dtype=np.int64)
-            m = np.diff(np.append(new, len(start)))
-            low = start[new]
-            a, b = p.sums()
-            k, at = place_keys(some, p, low)
-            yield pd.DataFrame({"h": a(low, low + m + window - 1).view(np.int64), "h2": b(low, low + m + window - 1).view(np.int64), "k": k, "at": at, "m": m})
-
-    def opened(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for some, p in portions(parts):
-            p.hashes()
-            place, m = survivors(some, p, "s", 64)
-            low = np.repeat(place, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            a, b = p.sums()
-            k, at = place_keys(some, p, low)
-            yield pd.DataFrame({"h": a(low, low + window).view(np.int64), "h2": b(low, low + window).view(np.int64), "k": k, "at": at})
-
-    own = texts.where("NOT copied").select("k", "part", "text")
-    short = written(own.mapInPandas(level_1, "h long, k long, at long"))
-    first = written(per_document(repeated(short, ["h"]), "at"))
-    longer = written(own.join(first, "k").mapInPandas(level_2, "h long, k long, at long, note long"))
-    noted = repeated(longer, ["h"]).groupBy("k", "at").agg(F.bit_or("note").alias("note"))
-    second = written(per_document(noted, "at * 4 + note"))
-    units = written(own.join(second, "k").mapInPandas(level_3, "h long, h2 long, k long, at long, m long"))
-    heads = written(units.groupBy("h", "h2").agg(F.min(F.struct("k", "at", "m")).alias("head"), F.count(F.lit(1)).alias("n")))
-    later = units.join(heads.where("n > 1"), ["h", "h2"]).where("k <> head.k OR at <> head.at").select("k", "at", "m")
-    leading = heads.select("head.k", "head.at", "head.m")
-    singles = written(own.join(per_document(leading, "at * 64 + m"), "k").mapInPandas(opened, "h long, h2 long, k long, at long"))
-    tops = written(singles.groupBy("h", "h2").agg(F.min(F.struct("k", "at")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    alone = singles.join(tops, ["h", "h2"]).where("k <> head.k OR at <> head.at").select("k", "at", F.lit(1).cast("long").alias("m"))
-    return later.unionByName(alone)
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, w in portions(batches):
+            for low, stop in w.stretches():
+                h = w.hashes(low, min(len(w.starts), stop + window - 1))
+                n = min(stop - low, len(h) - window + 1)
+                if n <= 0:
+                    continue
+                short, longer, whole = runs(h, quarter), runs(h, half), sums(h, C1)
+                anchor = leftmost_smallest(short, window - half + 1)[:n]
+                start = np.flatnonzero(w.doc[low : low + n] == w.doc[low + window - 1 : low + window - 1 + n])
+                anchor = anchor[start]
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(start) != 1) | (np.diff(anchor) != 0)])) if len(start) else start
+                m = np.diff(np.append(new, len(start)))
+                at, a = start[new], anchor[new]
+                row = w.doc[low + at]
+                yield as_batch({"short": short[a], "half": longer[a], "unit": whole(at, at + m + window - 1), "k": of_rows(some, "k", row), "t": of_rows(some, "t", row), "low": low + at - w.first[row], "m": m})
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, w in portions(batches):
+            row, place, m = listed(some, "s")
+            place = np.repeat(w.first[row] + place, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            row = np.repeat(row, m)
+            for low, stop in w.stretches():
+                here = np.flatnonzero((place >= low) & (place < stop))
+                if len(here):
+                    h = w.hashes(low, min(len(w.starts), stop + window - 1))
+                    a, b = sums(h, C1), sums(mixed(h ^ C1), C2)
+                    at, r = place[here] - low, row[here]
+                    yield as_batch({"h": a(at, at + window), "h2": b(at, at + window), "k": of_rows(some, "k", r), "t": of_rows(some, "t", r), "low": place[here] - w.first[r]})
+
+    rows = written(texts.mapInArrow(anchored, "short long, half long, unit long, k long, t long, low long, m long"))
+    rows = repeated(repeated(rows, "short"), "half")
+    # The words outside the half are told apart by `unit`, so a unit's key has 128 bits.
+    heads = written(rows.groupBy("half", "unit").agg(F.min(F.struct("k", "t", "low", "m")).alias("head"), F.count(F.lit(1)).alias("n")))
+    later = rows.join(heads.where("n > 1").select("half", "unit", "head"), ["half", "unit"]).where(elsewhere("head")).select("k", "t", "low", "m")
+    leading = per_document(heads.select("head.k", "head.t", "head.low", "head.m"))
+    singles = written(with_lists(texts, leading, "inner").select("k", "t", "text", "s").mapInArrow(opened, "h long, h2 long, k long, t long, low long"))
+    tops = written(singles.groupBy("h", "h2").agg(F.min(F.struct("k", "t", "low")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    alone = singles.join(tops, ["h", "h2"]).where(elsewhere("head")).select("k", "t", "low", F.lit(1).cast("long").alias("m"))
+    out = per_document(later.unionByName(alone))
+    discard(rows, heads, leading, singles, tops)
+    return out
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -234,32 +142,41 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A word goes if a window of `window` words over it has the words of a window that starts earlier: in a document with a
     smaller id, or earlier in the same one. Windows are judged on the input. Defined results: a null text has no words;
     a null id comes after all others; rows with one id are parts of one document, in the order of their text's hash, and
-    identical rows are the same part, so neither removes the other; an empty table gives an empty result. Ids are integers.
+    identical rows are the same part, so neither removes the other; an empty table gives an empty result. Ids are integers;
+    other columns aren't read.
     """
-    if window < 8 or window % 4 or window > 60:
-        raise ValueError("the window has to be a multiple of 4 from 8 to 60")
+    if window < 8 or window % 4 or window >= SHARED:
+        raise ValueError(f"the window has to be a multiple of 4 from 8 to {SHARED - 4}")
     for_workers(docs.sparkSession)
-    texts = dealt(docs, id_col, text_col)
-    runs = written(per_document(removed_runs(texts, window), "at * 64 + m"))
-
-    def last(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for some, p in portions(parts):
-            some["s"] = [() if x is None else x for x in some["s"]]
-            place, m = survivors(some, p, "s", 64)
-            depth = np.zeros(p.n + 1, dtype=np.int64)
-            np.add.at(depth, place, 1)
-            np.add.at(depth, place + m + window - 1, -1)
-            gone = np.cumsum(depth[:-1]) > 0
-            count = np.diff(p.first)
-            whole = some["copied"].to_numpy() & (count >= window)
-            gone |= whole[p.doc]
-            kept = [b" ".join([p.buffer[a:b].tobytes() for a, b in zip(p.starts[i:j][~gone[i:j]], p.ends[i:j][~gone[i:j]], strict=True)]).decode("utf-8", "surrogatepass") for i, j in zip(p.first[:-1], p.first[1:], strict=True)]
-            total = np.concatenate([[0], np.cumsum(gone)])
-            yield pd.DataFrame({"k": some["k"], "n_words": count, "n_removed": total[p.first[1:]] - total[p.first[:-1]], "kept": kept, "kept_sha256": [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in kept]})
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    done = texts.join(runs, "k", "left").select("k", "part", "copied", "s", "text").mapInPandas(last, "k long, n_words long, n_removed long, kept string, kept_sha256 string")
-    return done.select(F.when(F.col("k") < LAST, F.col("k")).cast(kind).alias("doc_id"), "n_words", "n_removed", "kept", "kept_sha256")
+    d = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    texts = d.select("id", F.coalesce("id", F.lit(LAST)).alias("k"), F.xxhash64("text").alias("t"), "text")
+    gone_runs = removed_runs(texts.select("k", "t", "text"), window)
+
+    def left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, w in portions(batches):
+            row, place, m = listed(some, "s")
+            depth = np.zeros(len(w.starts) + 1, dtype=np.int64)
+            np.add.at(depth, w.first[row] + place, 1)
+            np.add.at(depth, w.first[row] + place + m + window - 1, -1)
+            kept = np.cumsum(depth[:-1]) == 0
+            count = np.diff(w.first)
+            total = np.concatenate([[0], np.cumsum(kept)])
+            held = total[w.first[1:]] - total[w.first[:-1]]
+            word = np.flatnonzero(kept)
+            # A kept word that another one follows takes along the white space behind it, as a space.
+            follows = np.concatenate([w.doc[word[1:]] == w.doc[word[:-1]], [False]]) if len(word) else np.zeros(0, dtype=bool)
+            data, edge = w.data.copy(), np.zeros(len(w.data) + 1, dtype=np.int8)
+            data[w.ends[word[follows]]] = 32
+            edge[w.starts[word]] += 1
+            edge[w.ends[word] + follows] -= 1
+            size = np.bincount(w.doc[word], weights=w.ends[word] - w.starts[word] + follows, minlength=len(count)).astype(np.int64)
+            left = data[np.cumsum(edge[:-1], dtype=np.int8) > 0].tobytes()
+            ends = np.concatenate([[0], np.cumsum(size)])
+            texts = [left[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield as_batch({"id": some.column("id"), "n_words": count, "n_removed": count - held, "kept": pa.array(texts, type=pa.binary()).cast(pa.string()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in texts], type=pa.string())})
+
+    done = with_lists(texts, gone_runs, "left").select("id", "text", "s").mapInArrow(left_over, "id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    return done.select(F.col("id").cast(docs.schema[id_col].dataType).alias("doc_id"), "n_words", "n_removed", "kept", "kept_sha256")
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
