@@ -1,13 +1,14 @@
-"""Links between 64-bit fingerprints within a Hamming radius of 1 or 2, without pairing off large groups.
+"""Links between 64-bit fingerprints within a Hamming radius, found by the pigeonhole and verified, without pairing off large groups.
 
-Two ways of choosing candidates meet one way of verifying them. Candidates are cells: (cell, fp, rep), where rep is the
-smallest document id with that fingerprint. Permuted block tables keep blocks minus radius blocks as a key, in every
-choice. The generalised pigeonhole groups correlated bits into partitions and gives each a threshold of its own.
+Candidates are cells: rows (cell, base, mask, fp, rep), where the members of a cell agree on `base` and on the bits of
+`mask`, and rep is the smallest document id with that fingerprint. Permuted block tables keep blocks minus radius blocks
+as a key, in every choice. The generalised pigeonhole groups correlated bits into partitions and gives each a threshold
+of its own.
 
-A cell of up to SMALL fingerprints is verified pair by pair. The members of a larger one are spread over what they would
-equal after one flipped bit: two fingerprints differ in two bits or fewer exactly if some such midpoint is common to
-both, so a midpoint's members are all linked to the one with the smallest rep and none is compared with all others.
-That is exact, takes 65 short rows a fingerprint, and no group gets quadratic.
+A cell is verified pair by pair while that costs less than splitting it. Otherwise its members can only differ in bits
+outside the mask, so the pigeonhole is applied again to those: they are cut into blocks of which all but `radius` agree,
+and every such choice is a smaller cell. Each level leaves a third of the open bits, so that after a few levels a cell has
+few members, whatever the group's size: no row is compared with a whole group, and no link is lost.
 """
 
 from __future__ import annotations
@@ -21,46 +22,69 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import bits_between, written
 
 BITS = 64
-#: Cells of up to so many fingerprints are compared pair by pair.
-SMALL = 16
+#: A probe (a row that is dealt out) costs as much as so many comparisons inside a cell.
+PROBE_COST = 4
+#: Blocks that a level cuts the bits into, for each bit of the radius.
+BLOCKS = 3
 
 
 def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def mask_of(bits) -> int:
+    return signed(sum(1 << b for b in bits))
+
+
 def masked(fp: Column, bits: list[int]) -> Column:
-    return fp.bitwiseAND(F.lit(signed(sum(1 << b for b in bits))).cast("long"))
+    return fp.bitwiseAND(F.lit(mask_of(bits)).cast("long"))
 
 
-def links(cells: DataFrame, radius: int) -> DataFrame:
-    """(a, b) of distinct fingerprints of a common cell within the radius; for every fp it has the link to its neighbour of smallest rep."""
-    if radius not in (1, 2):
-        raise ValueError("the radius has to be 1 or 2")
-    cells = written(cells.select("cell", "fp", "rep").distinct())
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = written(cells.join(sizes, "cell"))
-    few = sized.where(F.col("n") <= SMALL).groupBy("cell").agg(F.collect_list("fp").alias("l"))
-    pair = F.flatten(F.transform("l", lambda a: F.transform(F.filter("l", lambda b: (b != a) & (bits_between(a, b) <= radius)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    small = few.select(F.explode(pair).alias("x")).select("x.a", "x.b")
-    many = sized.where(F.col("n") > SMALL).select("fp", "rep").distinct()
-    flips = F.array(*(F.lit(signed(1 << i)).cast("long") for i in range(BITS)))
-    if radius == 2:
-        middle = F.explode(F.concat(F.array(F.col("fp")), F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m)))).alias("middle")
-        spread = many.select("fp", "rep", middle, F.lit(0).alias("bit"))
+def celled(base: Column, mask: Column, fp: Column) -> Column:
+    """The cell of a fingerprint. A hash that two cells share only brings more candidates."""
+    return F.xxhash64(base, mask, fp.bitwiseAND(mask))
+
+
+def blocks_at(level: int, blocks: int) -> list[list[int]]:
+    """The bits in blocks that cut the blocks of each earlier level evenly: the digits of a bit's place, then seeded orders."""
+    if blocks**level <= BITS * blocks:
+        digit = [(b * blocks**level // BITS) % blocks for b in range(BITS)]
     else:
-        spread = many.select("fp", "rep", F.posexplode(F.transform(flips, lambda m: F.col("fp").bitwiseAND(F.bitwise_not(m)))).alias("bit", "middle"))
-    hubs = spread.groupBy("middle", "bit").agg(F.min(F.struct("rep", "fp")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("middle", "bit", F.col("hub.fp").alias("b"))
-    large = spread.join(hubs, ["middle", "bit"]).select(F.col("fp").alias("a"), "b").where("a <> b").distinct()
-    return small.unionByName(large)
+        order = np.random.default_rng(level).permutation(BITS)
+        digit = [int(i) % blocks for i in order]
+    return [[b for b in range(BITS) if digit[b] == k] for k in range(blocks)]
+
+
+def links(cells: DataFrame, radius: int) -> DataFrame:
+    """(a, b), in both orders, of all distinct fingerprints that share a cell and are within the radius."""
+    blocks = BLOCKS * max(1, radius)
+    kept = list(combinations(range(blocks), blocks - radius))
+    cells = written(cells.select("cell", "base", "mask", "fp").distinct())
+    found, level = None, 1
+    while True:
+        sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sized = written(cells.join(sizes, "cell"))
+        split = F.col("n") - 1 > 2 * PROBE_COST * len(kept)
+        few = sized.where(~split).groupBy("cell").agg(F.collect_list("fp").alias("l"))
+        pair = F.flatten(F.transform("l", lambda a: F.transform(F.filter("l", lambda b: (b != a) & (bits_between(a, b) <= radius)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+        pairs = few.select(F.explode(pair).alias("x")).select("x.a", "x.b")
+        found = pairs if found is None else found.unionByName(pairs)
+        large = sized.where(split)
+        if not large.limit(1).count():
+            return found.distinct()
+        cut = blocks_at(level, blocks)
+        masks = F.array(*(F.lit(mask_of(b for k in choice for b in cut[k])).cast("long") for choice in kept))
+        wider = large.select("base", F.explode(F.transform(masks, lambda m: F.col("mask").bitwiseOR(m))).alias("mask"), "fp")
+        cells = written(wider.select(celled(F.col("base"), F.col("mask"), F.col("fp")).alias("cell"), "base", "mask", "fp").distinct())
+        level += 1
 
 
 def block_tables(fps: DataFrame, radius: int = 2, blocks: int = 4) -> DataFrame:
     """Cells of the permuted block tables: fingerprints within the radius agree on blocks - radius whole blocks in at least one table."""
     width = BITS // blocks
-    tables = [[b * width + i for b in kept for i in range(width)] for kept in combinations(range(blocks), blocks - radius)]
-    keys = F.array(*(F.struct(F.lit(t).alias("t"), masked(F.col("fp"), bits).alias("key")) for t, bits in enumerate(tables)))
-    return fps.select(F.explode(keys).alias("cell"), "fp", "rep")
+    masks = F.array(*(F.lit(mask_of(b * width + i for b in kept for i in range(width))).cast("long") for kept in combinations(range(blocks), blocks - radius)))
+    d = fps.select(F.lit(0).cast("long").alias("base"), F.explode(masks).alias("mask"), "fp")
+    return d.select(celled(F.col("base"), F.col("mask"), F.col("fp")).alias("cell"), "base", "mask", "fp")
 
 
 def bit_correlations(fps: DataFrame) -> tuple[np.ndarray, int]:
@@ -93,7 +117,7 @@ def partitions(r: np.ndarray, parts: int) -> list[list[int]]:
     return out
 
 
-def thresholds(costs: list[list[float]], radius: int) -> tuple[float, list[int]]:
+def thresholds(costs: list[list[float]], radius: int) -> tuple[float, list[int]] | None:
     """Thresholds t (-1: unused) of least total cost with sum(t + 1) = radius + 1, by dynamic programming; costs[i][t + 1] is that of partition i at t."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for c in costs:
@@ -104,35 +128,46 @@ def thresholds(costs: list[list[float]], radius: int) -> tuple[float, list[int]]
                 if k <= radius + 1 and t + 1 < len(c) and (k not in after or total + c[t + 1] < after[k][0]):
                     after[k] = (total + c[t + 1], [*chosen, t])
         best = after
-    return best[radius + 1]
+    return best.get(radius + 1)
 
 
 def pigeonhole_plan(fps: DataFrame, radius: int) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of each used partition. For each number of partitions the candidates at threshold 0 are counted over
-    all fingerprints (the squares of the cell sizes); those at 1 are estimated from them and each bit's share of ones. A
-    probe costs as much as a candidate. Thresholds of 2 would need more probes than they save and aren't offered."""
+    """(bits, threshold) of each used partition, the cheapest over all numbers of partitions.
+
+    The candidates at threshold 0 are counted over all fingerprints (the squares of the cell sizes); those at 1 and 2 are
+    estimated from them and each bit's share of ones. Both sides flip one bit, which meets a threshold of 1 and of 2 alike,
+    at the same cost; thresholds of 3 would need more probes than they save and aren't offered.
+    """
     stats, n = bit_correlations(fps)
     r, p = stats[:, :, 0], stats[0, :, 1]
     choices = []
-    for parts in range(2, radius + 3):
+    for parts in range(-(-(radius + 1) // 3), radius + 3):
         groups = partitions(r, parts)
         keys = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), masked(F.col("fp"), g).alias("key")) for i, g in enumerate(groups)))).alias("c")
         counted = {x["i"]: float(x["pairs"]) for x in fps.select(keys).groupBy("c").count().groupBy("c.i").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("pairs")).collect()}
         costs = []
         for i, g in enumerate(groups):
             differ = 2 * p[g] * (1 - p[g])
-            near = counted.get(i, 0.0) * (1 + float((differ / np.maximum(1 - differ, 0.5)).sum()))
-            costs.append([0.0, n + counted.get(i, 0.0), n * (1 + len(g)) + near])
-        cost, chosen = thresholds(costs, radius)
-        choices.append((cost, parts, [(g, t) for g, t in zip(groups, chosen, strict=True) if t >= 0]))
+            odds = float((differ / np.maximum(1 - differ, 0.5)).sum())
+            same = counted.get(i, 0.0)
+            # Two keys share 1 + len(g) cells if they are equal, and two if they differ in one bit or in two.
+            flipped = PROBE_COST * n * (1 + len(g)) + same * (1 + len(g) + 2 * odds + odds * odds)
+            costs.append([0.0, PROBE_COST * n + same, flipped, flipped])
+        chosen = thresholds(costs, radius)
+        if chosen:
+            choices.append((chosen[0], parts, [(g, t) for g, t in zip(groups, chosen[1], strict=True) if t >= 0]))
     return min(choices, key=lambda x: x[:2])[2]
 
 
-def pigeonhole_cells(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """Cells of the plan: a partition's bits as they are, and at threshold 1 also with each of them flipped."""
-    keys = []
+def pigeonhole_cells(fps: DataFrame, plan: list[tuple[list[int], int]], carry: list[str] | None = None) -> DataFrame:
+    """Cells of the plan: a partition's bits as they are, and at a threshold of 1 or 2 also with each of them flipped. `carry` names further columns."""
+    none, keys = F.lit(0).cast("long"), []
     for k, (bits, t) in enumerate(plan):
-        own = masked(F.col("fp"), bits)
-        for flip in [0, *(1 << b for b in bits if t)]:
-            keys.append(F.struct(F.lit(k).alias("part"), own.bitwiseXOR(F.lit(signed(flip)).cast("long")).alias("key")))
-    return fps.select(F.explode(F.array(*keys)).alias("cell"), "fp", "rep")
+        if t == 0:
+            keys.append(F.struct(none.alias("base"), F.lit(mask_of(bits)).cast("long").alias("mask")))
+        else:
+            own = masked(F.col("fp"), bits)
+            flips = [F.lit(mask_of([b])).cast("long") for b in bits]
+            keys += [F.struct(F.xxhash64(F.lit(k), own.bitwiseXOR(f)).alias("base"), none.alias("mask")) for f in [none, *flips]]
+    d = fps.select(F.explode(F.array(*keys)).alias("x"), "fp", *(carry or [])).select("x.base", "x.mask", "fp", *(carry or []))
+    return d.select(celled(F.col("base"), F.col("mask"), F.col("fp")).alias("cell"), "base", "mask", "fp", *(carry or []))

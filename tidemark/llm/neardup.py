@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from math import acos, ceil, pi
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidemark.llm.common import components, hex16, table, text_of, words_of, written
+from tidemark import for_workers
+from tidemark.llm.common import bits_between, components, discard, hex16, table, text_of, words_of, written
 from tidemark.llm.hamming import block_tables, links, pigeonhole_cells, pigeonhole_plan
 from tidemark.llm.simhash import fingerprints, lower_words, shingle_hashes, weighted_terms
+from tidemark.llm.wordbytes import C1, C2, STRETCH, mixed, portions, runs
 
 
 def shingle_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, text_hash, fp) of each different pair of id and text; no words: fp is zero."""
-    d = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("t")).select("doc_id", F.xxhash64("t").alias("text_hash"), lower_words(F.col("t")).alias("w"))
-    d = d.select("doc_id", "text_hash", F.explode_outer(shingle_hashes(F.col("w"), shingle)).alias("h"))
-    return fingerprints(d, ["doc_id", "text_hash"])
+    """(doc_id, text_hash, fp) of each row; no words: fp is zero.
+
+    Equal rows of one partition are added up together and dealt out again: their votes are in the same proportion.
+    """
+    d = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("t")).select("doc_id", F.xxhash64("t").alias("text_hash"), F.spark_partition_id().alias("part"), lower_words(F.col("t")).alias("w"))
+    d = d.select("doc_id", "text_hash", "part", F.posexplode_outer(shingle_hashes(F.col("w"), shingle)).alias("i", "h"))
+    rows = F.sum(F.when(F.coalesce("i", F.lit(0)) == 0, 1).otherwise(0)).cast("int").alias("rows")
+    return fingerprints(d, ["doc_id", "text_hash", "part"], more=[rows]).select("doc_id", "text_hash", "fp", F.explode(F.sequence(F.lit(1), "rows")).alias("copy")).drop("copy")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """(doc_id, text_hash, fp, group_fp, component_id): documents whose fingerprints link at `radius` or fewer differing bits, transitively.
+    """(doc_id, text_hash, fp, group_fp, component_id) of each row: rows whose fingerprints link at `radius` or fewer differing bits, transitively.
 
-    component_id is the smallest doc_id that the document reaches, group_fp the smallest fingerprint of the group. Defined results: a null text is empty; texts without
-    words have fingerprint zero and are linked like any other; identical rows become one; rows with one id but different
-    texts are documents of their own; null ids are ignored in the minimum; an empty table gives an empty result.
+    component_id is the smallest doc_id that the row reaches, group_fp the smallest fingerprint of the group. Defined results: a null text is empty; texts without
+    words have fingerprint zero and are linked like any other; identical rows stay rows of their own; null ids are
+    ignored in the minimum; ties don't matter; other columns aren't read; an empty table gives an empty result.
     Equal fingerprints are one node, so a group of copies of any size costs one row here.
     """
     fps = written(shingle_fingerprints(docs, id_col, text_col, shingle))
@@ -35,19 +46,148 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fps.join(written(grouped), "fp").select("doc_id", "text_hash", "fp", "group_fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs' rows without near-duplicates: of each group of near_groups the row with the smallest id (null last), then text hash."""
-    groups = near_groups(docs, id_col, text_col, **options)
-    first = groups.groupBy("group_fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("x"))
-    stays = written(first.select(F.col("x.doc_id").alias("__id"), F.col("x.text_hash").alias("__hash"), F.xxhash64("x.doc_id", "x.text_hash").alias("__key")))
+#: Similar texts: words in a shingle, the least share of common shingles, bits in which the fingerprints of their words may differ,
+#: rounds in which a cell's members meet one of them before those that are still apart meet each other.
+SHINGLE, SIMILARITY, WORD_RADIUS, ROUNDS = 5, 0.8, 5, 2
+
+
+def shingle_bits(similarity: float) -> int:
+    """Of 128 bits so many differ at that share of common shingles: the angle between two sets of equal size."""
+    return ceil(128 * acos(2 * similarity / (1 + similarity)) / pi)
+
+
+def votes(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """The 64-bit SimHash of each row's hashes (row ascends): a bit is one if it is set in over half of them."""
+    ones, out = np.zeros((rows, 64), dtype=np.int64), np.zeros(rows, dtype=np.uint64)
+    for low in range(0, len(h), STRETCH):
+        some = row[low : low + STRETCH]
+        first = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
+        bits = np.unpackbits(h[low : low + STRETCH].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones[some[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    set_bits = 2 * ones > np.bincount(row, minlength=rows)[:, None]
+    out[:] = np.packbits(set_bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
+def text_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(doc_id, text_hash, words, s1, s2) of each row: the SimHash of its different words and two of its shingles, A-Z in lower case."""
+    for_workers(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, w in portions(batches):
+            n = some.num_rows
+            w.data = np.where((w.data >= 65) & (w.data <= 90), w.data | 32, w.data)
+            h = w.hashes(0, len(w.starts))
+            order = np.lexsort((h, w.doc))
+            sorted_h, sorted_doc = h[order], w.doc[order]
+            new = np.concatenate([[True], (sorted_h[1:] != sorted_h[:-1]) | (sorted_doc[1:] != sorted_doc[:-1])])[: len(h)]
+            count = np.diff(w.first)
+            runs_h = runs(h, shingle)
+            whole = np.flatnonzero(w.doc[: len(runs_h)] == w.doc[shingle - 1 : shingle - 1 + len(runs_h)])
+            # Texts of fewer words have one shingle of all of them.
+            short = np.flatnonzero((count > 0) & (count < shingle))
+            few = np.array([runs(h[w.first[i] : w.first[i + 1]], int(count[i]))[0] for i in short], dtype=np.uint64)
+            row = np.concatenate([w.doc[whole], short])
+            by = np.argsort(row, kind="stable")
+            row, s = row[by], np.concatenate([runs_h[whole], few])[by]
+            made = [votes(sorted_h[new], sorted_doc[new], n), votes(mixed(s ^ C1), row, n), votes(mixed(s ^ C2), row, n)]
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text_hash"), *(pa.array(x.view(np.int64)) for x in made)], names=["doc_id", "text_hash", "words", "s1", "s2"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_hash"), text_of(text_col).alias("text"))
+    return d.mapInArrow(run, f"doc_id {kind}, text_hash long, words long, s1 long, s2 long")
+
+
+def joined_cells(members: DataFrame, close, rounds: int = ROUNDS) -> DataFrame:
+    """(node, label): the connected groups of the close pairs among the members (cell, node, ...) of common cells.
+
+    close(a, b) is a condition on two rows of members. First, one member of each cell, another in each round, meets the
+    others; what is in one group by then needs no more. Then all members that are still in different groups meet: no
+    pair of a cell is left out unless a path between the two is known.
+    """
+    columns = [c for c in members.columns if c != "cell"]
+    members = written(members.withColumn("label", F.col("node")))
+    known = written(members.select("node", "label").distinct())
+    for k in range(rounds + 1):
+        edges = members.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("cell")
+        # What is apart stays for the rounds to come, the rest has its group.
+        apart = written(members.join(edges, "cell"))
+        discard(members)
+        a = apart.alias("a")
+        if k < rounds:
+            turn = F.xxhash64(F.lit(k), "node")
+            hubs = apart.groupBy("cell").agg(F.min_by(F.struct(*columns, "label"), turn).alias("hub")).select(F.col("cell").alias("at"), "hub.*")
+            found = a.join(hubs.alias("b"), F.expr("a.cell = b.at AND a.label <> b.label"))
+        else:
+            found = a.join(apart.alias("b"), F.expr("a.cell = b.cell AND a.label < b.label"))
+        found = written(found.where(close("a", "b")).select(F.col("a.label").alias("a"), F.col("b.label").alias("b")).distinct())
+        if found.limit(1).count():
+            merged = components(found).select(F.col("node").alias("label"), F.col("label").alias("new"))
+            new = F.coalesce("new", "label").alias("label")
+            before, known = known, written(known.join(merged, "label", "left").select("node", new))
+            members = written(apart.join(merged, "label", "left").select("cell", *columns, new))
+            discard(before, apart)
+        else:
+            members = apart
+        discard(found)
+    discard(members)
+    return known
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = WORD_RADIUS) -> DataFrame:
+    """(doc_id, text_hash, group) of each row: texts that share `similarity` or more of their shingles by their fingerprints, transitively.
+
+    Candidates come from the fingerprints of the texts' words, which a few changed words move less than shingles: the
+    generalised pigeonhole finds all within `radius` bits. They are verified by two fingerprints of the shingles: at most
+    as many of 128 bits may differ as do at `similarity`, give or take the four bits that such a count is spread by.
+    Defined results: as in near_groups; group is a number without further meaning.
+    """
+    fps = written(text_fingerprints(docs, id_col, text_col, shingle).withColumn("node", F.xxhash64("words", "s1", "s2")))
+    nodes = written(fps.select("node", "words", "s1", "s2").distinct())
+    prints = written(nodes.groupBy(F.col("words").alias("fp")).agg(F.count(F.lit(1)).alias("n")))
+    cells = pigeonhole_cells(nodes.withColumnRenamed("words", "fp").select("fp", "node"), pigeonhole_plan(prints, radius), ["node"]).select("cell", "node")
+    # A node is in a cell once, so a count tells whether it is alone there.
+    shared = written(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell"))
+    members = cells.join(shared, "cell").join(nodes, "node").select("cell", "node", "words", "s1", "s2")
+    most = shingle_bits(similarity)
+    between = lambda a, b, x: bits_between(F.col(f"{a}.{x}"), F.col(f"{b}.{x}"))
+    close = lambda a, b: (between(a, b, "words") <= radius) & (between(a, b, "s1") + between(a, b, "s2") <= most)
+    labels = joined_cells(members, close)
+    discard(nodes, prints, shared)
+    return fps.join(labels, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("group"))
+
+
+def first_of_each(docs: DataFrame, groups: DataFrame, group: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs' rows of which no other in the group has a smaller id (null last) or, with one id, a smaller text hash; of identical rows one.
+
+    groups has a row for each row of docs. Only what goes is joined to the texts, so that they stay where they are while that is little.
+    """
+    groups = groups.select("doc_id", "text_hash", F.col(group).alias("group"))
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("x")).select("group", F.col("x.doc_id").alias("first_id"), F.col("x.text_hash").alias("first_hash"))
+    own = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    rows = groups.groupBy("group", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).join(first, "group")
+    rows = rows.where(~own | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), own.alias("__stays"))
+    rows = written(rows)
     names = [f"c{i}" for i in range(len(docs.columns))]
     d = docs.toDF(*names)
-    own = F.col(names[docs.columns.index(id_col)])
-    d = d.withColumn("__own_hash", F.xxhash64(text_of(names[docs.columns.index(text_col)]))).withColumn("__key", F.xxhash64(own, "__own_hash"))
-    d = d.join(stays, "__key").where(own.eqNullSafe(F.col("__id")) & (F.col("__own_hash") == F.col("__hash")))
-    # Identical rows share the key that the join has dealt them out by.
-    d = d.withColumn("__copy", F.row_number().over(W.partitionBy("__key", own).orderBy("__own_hash"))).where("__copy = 1")
-    return d.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
+    key = F.col(names[docs.columns.index(id_col)])
+    d = d.withColumn("__own", F.xxhash64(text_of(names[docs.columns.index(text_col)])))
+    same = key.eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash"))
+    once = d.join(rows, same, "left_anti")
+    # Of rows that are there more than once and stay, one does.
+    w = W.partitionBy("__own", key).orderBy(F.lit(0))
+    often = d.join(rows.where("__stays"), same, "left_semi").withColumn("__copy", F.row_number().over(w)).where("__copy = 1")
+    return once.select(*names).unionByName(often.select(*names)).toDF(*docs.columns)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs' rows without near-duplicates, the first of each group of near_groups. Options are those of near_groups; results are defined as there."""
+    return first_of_each(docs, near_groups(docs, id_col, text_col, **options), "group_fp", id_col, text_col)
+
+
+def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs' rows without similar ones, the first of each group of similar_groups. Options are those of similar_groups; results are defined as there."""
+    return first_of_each(docs, similar_groups(docs, id_col, text_col, **options), "group", id_col, text_col)
 
 
 def op8_simhash_neardup(spark, sf_dir: str) -> DataFrame:
@@ -66,18 +206,21 @@ RANGES, IN_RANGE = 1 << 16, 2_000
 
 
 def id_ranges(docs: DataFrame, key: str) -> DataFrame:
-    """docs with `range`, a number that ascends with the key (null: -1); the ranges hold about equally many rows.
+    """docs (with a text_hash) with `range`, a number that ascends with the key, then, for null keys, with the text hash; the
+    ranges hold about equally many rows. Null keys come first, in ranges below zero.
 
     Their bounds are approximate quantiles of the key, RANGES of them at most: one row for all tasks, searched by halving.
     """
-    n = docs.where(F.col(key).isNotNull()).count()
+    sizes = docs.agg(F.count(key).alias("n"), F.count(F.lit(1)).alias("all")).first()
+    n, nulls = sizes["n"], max(1, min(RANGES, (sizes["all"] - sizes["n"]) // IN_RANGE))
     parts = max(1, min(RANGES, n // IN_RANGE))
     cuts = docs.select(key).approxQuantile(key, [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
     bounds = docs.sparkSession.createDataFrame([(sorted({int(x) for x in cuts}),)], "__bounds array<bigint>")
     steps = F.array(*(F.lit(1 << i) for i in reversed(range(RANGES.bit_length()))))
     # How many bounds are at or below the key: each step takes another power of two of them if they all are.
     found = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.get("__bounds", at + s - 1) <= F.col(key), F.lit(False)), at + s).otherwise(at))
-    return docs.crossJoin(F.broadcast(bounds)).withColumn("range", F.when(F.col(key).isNull(), -1).otherwise(found)).drop("__bounds")
+    by_hash = F.least(F.floor((F.col("text_hash").cast("double") / 2.0**64 + 0.5) * nulls), F.lit(nulls - 1))
+    return docs.crossJoin(F.broadcast(bounds)).withColumn("range", F.when(F.col(key).isNull(), by_hash.cast("int") - nulls).otherwise(found)).drop("__bounds")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -102,7 +245,8 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """Fingerprints of each text and of its edited text, their likeness, and near_id: the smallest id within the radius.
+    """Fingerprints of each text and of its edited text, their likeness, near_id (the smallest id within the radius) and
+    near_count (the other fingerprints within it, all of which the block tables find).
 
     The edited text replaces the last floor(n/2) code points by the first as many of the next row's text; rows are in the
     order of with_next. Likeness is the share of equal bits. near_id comes from permuted block tables. Defined results: a
@@ -119,13 +263,13 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     edited_fps = fingerprints(terms, keys, weight=F.col("v")).withColumnRenamed("fp", "edited_fp")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     pairs = links(block_tables(nodes, radius), radius)
-    near = pairs.join(nodes.withColumnRenamed("fp", "b").withColumnRenamed("rep", "other"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("other").alias("other"))
-    near = nodes.join(near, "fp", "left").select("fp", F.least("rep", "other").alias("near_id"))
+    near = pairs.join(nodes.withColumnRenamed("fp", "b").withColumnRenamed("rep", "other"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("other").alias("other"), F.count(F.lit(1)).alias("near_count"))
+    near = nodes.join(near, "fp", "left").select("fp", F.least("rep", "other").alias("near_id"), F.coalesce("near_count", F.lit(0)).cast("long").alias("near_count"))
     known = written(fps.join(near, "fp"))
     a, b, c = edited_fps.alias("a"), known.alias("b"), fps.alias("c")
     out = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash")))
     out = out.join(c, F.col("a.next_id").eqNullSafe(F.col("c.doc_id")) & (F.coalesce("a.next_hash", "a.text_hash") == F.col("c.text_hash")), "left")
-    return out.select("a.doc_id", "a.n_chars", "a.edited_sha256", "a.edited_fp", "b.fp", "b.near_id", F.col("c.fp").alias("next_fp"))
+    return out.select("a.doc_id", "a.n_chars", "a.edited_sha256", "a.edited_fp", "b.fp", "b.near_id", "b.near_count", F.col("c.fp").alias("next_fp"))
 
 
 def likeness(a, b):
@@ -135,4 +279,4 @@ def likeness(a, b):
 def op3_fingerprints(spark, sf_dir: str) -> DataFrame:
     d = document_fingerprints(table(spark, sf_dir, "documents"))
     fp, edited, after = F.col("fp"), F.col("edited_fp"), F.col("next_fp")
-    return d.select("doc_id", "n_chars", "edited_sha256", hex16(fp).alias("fingerprint"), hex16(edited).alias("edited_fingerprint"), likeness(fp, edited).alias("near_edited"), likeness(fp, after).alias("near_next"), "near_id")
+    return d.select("doc_id", "n_chars", "edited_sha256", hex16(fp).alias("fingerprint"), hex16(edited).alias("edited_fingerprint"), likeness(fp, edited).alias("near_edited"), likeness(fp, after).alias("near_next"), "near_id", "near_count")

@@ -40,14 +40,15 @@ def weighted_terms(words: Column) -> Column:
     return F.transform(words, lambda x, i: F.struct(F.xxhash64(x, F.get(words, i + 1)).alias("h"), F.least(F.lit(31), F.length(x) + F.coalesce(F.length(F.get(words, i + 1)), F.lit(0))).alias("v")))
 
 
-def fingerprints(terms: DataFrame, keys: list[str], h: str = "h", weight: Column | None = None) -> DataFrame:
-    """(keys, fp): a bit of fp is one if it is set in more than half of the weight of the group's terms; no terms (h null): zero."""
+def fingerprints(terms: DataFrame, keys: list[str], h: str = "h", weight: Column | None = None, more: list[Column] | None = None) -> DataFrame:
+    """(keys, fp, and the aggregates `more`): a bit of fp is one if it is set in more than half of the weight of the group's terms; no terms (h null): zero."""
     w = F.lit(1).cast("long") if weight is None else weight.cast("long")
     ones = [F.sum(w * F.shiftrightunsigned(F.col(h), i).bitwiseAND(F.lit(LANES))).alias(f"s{i}") for i in range(32)]
-    votes = terms.groupBy(*keys).agg(F.sum(F.when(F.col(h).isNotNull(), w)).alias("all_votes"), *ones)
+    votes = terms.groupBy(*keys).agg(F.sum(F.when(F.col(h).isNotNull(), w)).alias("all_votes"), *ones, *(more or []))
 
     def bit(count: Column, at: int) -> Column:
         return F.when(2 * count > F.col("all_votes"), F.lit(1 << at if at < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
 
     bits = [b for i in range(32) for b in (bit(F.col(f"s{i}").bitwiseAND(F.lit(HALF)), i), bit(F.shiftrightunsigned(F.col(f"s{i}"), 32), i + 32))]
-    return votes.select(*keys, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp"))
+    rest = [c for c in votes.columns[len(keys) + 1 + len(ones) :]]
+    return votes.select(*keys, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp"), *rest)
