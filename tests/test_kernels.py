@@ -147,10 +147,89 @@ def test_candidate_keys_ignore_defaults():
     assert found[0][0].factors == ("a", "b")
 
 
-def test_calendars():
-    assert cal.easter(2024) == date(2024, 3, 31) and cal.easter(2025) == date(2025, 4, 20) and cal.easter(1981) == date(1981, 4, 19) and cal.easter(2049) == date(2049, 4, 18)
-    assert cal.us_holidays(2023) >= {date(2023, 1, 2), date(2023, 6, 19), date(2023, 11, 23)} and date(2021, 12, 31) not in cal.us_holidays(2022)
-    assert cal.uk_holidays(2021) >= {date(2021, 12, 27), date(2021, 12, 28)} and cal.uk_holidays(2022) >= {date(2022, 12, 26), date(2022, 12, 27)}
+def test_calendars(spark):
+    from pyspark.sql import functions as F
+
+    years = [(2024, date(2024, 3, 31)), (2025, date(2025, 4, 20)), (1981, date(1981, 4, 19)), (2049, date(2049, 4, 18)), (2000, date(2000, 4, 23)), (2011, date(2011, 4, 24))]
+    got = spark.createDataFrame([(y,) for y, _ in years], "y int").select("y", cal.easter(F.col("y")).alias("t")).collect()
+    assert {r.y: r.t for r in got} == dict(years)
+    shut = {}
+    for r in cal.holidays(spark, 1990, 2026).collect():
+        shut.setdefault(r.calendar, set()).add(r.t)
+    assert shut["us"] >= {date(2023, 1, 2), date(2023, 6, 19), date(2023, 11, 23), date(2021, 7, 5), date(2020, 7, 3), date(2012, 10, 29), date(2001, 9, 11)}
+    assert not shut["us"] & {date(2021, 12, 31), date(2010, 12, 31), date(1997, 1, 20), date(2021, 6, 18)}
+    assert shut["uk"] >= {date(2021, 12, 27), date(2021, 12, 28), date(2022, 12, 26), date(2022, 12, 27), date(2020, 12, 25), date(2020, 12, 28), date(2002, 6, 4), date(2022, 6, 2), date(2020, 5, 8)}
+    assert not shut["uk"] & {date(2020, 5, 4), date(2022, 5, 30), date(2012, 5, 28)}
+    assert {t for t in shut["fx"] if t.year == 2023} == {date(2023, 12, 25)} and all(t.weekday() < 5 for c in shut.values() for t in c)
+
+
+def test_panel_algebra_from_pair_sums(spark):
+    from tidemark.operators import panels as pn
+
+    n, names = 300, ["a", "b", "c", "d"]
+    x = RNG.normal(size=(n, 4)) @ RNG.normal(size=(4, 4)) + RNG.normal(size=4)
+    x[:, 3] *= 5
+    days = [date(2020, 1, 1) + timedelta(i) for i in range(n)]
+    d = spark.createDataFrame([(names[j], days[i], float(x[i, j])) for i in range(n) for j in range(4)], "id string, t date, x double")
+    full = lambda df, c="cov": (lambda m: np.array([[m[min(a, b), max(a, b)] for b in names] for a in names]))({(r.i, r.j): r[c] for r in df.collect()})
+    want, delta = k.ledoit_wolf(x)
+    got = pn.shrunk(d, 1)
+    assert np.allclose(full(got), want) and got.first().shrinkage == pytest.approx(delta)
+    assert np.allclose(full(pn.blended(d, 30.0, 0.6, 1)), 0.6 * k.ewma_matrix(x, 30.0) + 0.4 * want)
+    v, q = np.linalg.eigh(np.corrcoef(x, rowvar=False))
+    parts = pn.components(d, 2)
+    first = {r.id: r.loading for r in parts.where("component = 1").collect()}
+    assert np.allclose(np.abs([first[a] for a in names]), np.abs(q[:, -1])) and parts.where("component = 1").first().share == pytest.approx(v[-1] / 4)
+    z = (x - x.mean(axis=0)) / x.std(axis=0) @ np.array([first[a] for a in names])
+    s = {r.t: r.pc1_vol for r in pn.stress_days(d, 10).collect()}
+    assert s[days[100]] == pytest.approx(z[91:101].std(ddof=1)) and s[days[8]] is None
+    assert pn.stress_days(d, 10).where("stress").count() == pytest.approx(0.2 * (n - 9), abs=2)
+    g = {(r.id, r.t): r.x for r in pn.gram_schmidt(d, ["c", "a", "d"]).collect()}
+    a = np.column_stack([np.ones(n), x[:, 2], x[:, 0]])
+    resid = x[:, 3] - a @ np.linalg.lstsq(a, x[:, 3], rcond=None)[0]
+    assert np.allclose([g["d", t] for t in days], resid) and np.allclose([g["c", t] for t in days], x[:, 2])
+    e = pn.described(pn.shrunk(d, 1)).first()
+    assert np.allclose(e.eigenvalues, np.linalg.eigvalsh(want)[::-1]) and e.psd and e.series == 4
+    bad = spark.createDataFrame([("a", "a", 1.0), ("a", "b", 2.0), ("b", "b", 1.0)], "i string, j string, cov double")
+    fixed = {(r.i, r.j): r.cov for r in pn.positive(bad).collect()}
+    assert fixed["a", "a"] == pytest.approx(1) and abs(fixed["a", "b"]) <= 1 + 1e-6
+    near = spark.createDataFrame([("a", "a", 1.0), ("a", "b", 2.0)], "i string, j string, cov double")
+    far = spark.createDataFrame([("a", "a", 3.0), ("a", "b", 0.0)], "i string, j string, cov double")
+    assert {(r.i, r.j): r.cov for r in pn.reverted(near, far, 0.25).collect()} == {("a", "a"): 2.5, ("a", "b"): 0.5}
+
+
+def test_forecasts_by_windows(spark):
+    """Factor and specific variance at one day from the definitions, on one window of loadings."""
+    from tidemark.operators import risk as rk
+
+    n, days = 200, [date(2021, 1, 1) + timedelta(i) for i in range(200)]
+    f, e = RNG.normal(size=(n, 2)), RNG.normal(size=n)
+    beta = np.array([0.5, -1.0])
+    r = f @ beta + e
+    factors = spark.createDataFrame([(c, days[i], float(f[i, j])) for i in range(n) for j, c in enumerate(("x", "y"))], "id string, t date, x double")
+    series = spark.createDataFrame([("s", days[i], float(r[i])) for i in range(n)], "id string, t date, ret double")
+    loadings = spark.createDataFrame([("s", days[149], "x", 0.5), ("s", days[149], "y", -1.0)], "id string, window_end date, factor string, beta double")
+    spec = rk.RiskSpec(window=100, half_life=30.0, specific_half_life=10.0)
+    got = {x.t: x for x in rk.forecasts(loadings, series, factors, spec).collect()}
+    assert min(got) == days[150] and len(got) == 50
+    held = f[50:150]
+    c = k.repaired(0.6 * k.ewma_matrix(held, 30.0) + 0.4 * k.ledoit_wolf(held)[0]) * 252
+    lam, v = 0.5 ** (1 / 10), None
+    for i in range(150, 160):
+        v = e[i] ** 2 if v is None else lam * v + (1 - lam) * e[i] ** 2
+    assert got[days[160]].sigma_factor == pytest.approx(math.sqrt(beta @ c @ beta)) and got[days[160]].sigma_specific == pytest.approx(math.sqrt(v * 252))
+    assert got[days[150]].sigma_specific == rk.LEAST_SPECIFIC
+    assert rk.shortfall_factor(0.975) == pytest.approx(2.3378027922, abs=1e-9) and rk.shortfall_factor(0.975, 1e6) == pytest.approx(2.3378, abs=1e-3)
+    assert rk.quantile_factor(0.99, 5.0) == pytest.approx(3.3649299989 / math.sqrt(5 / 3), abs=1e-6)
+
+
+def test_first_of_several_keys(spark):
+    from tidemark.operators.joins import either_key
+
+    left = spark.createDataFrame([("r1", "a", "a.T"), ("r2", "b", "b.T"), ("r3", "c", None), ("r1", "a", "a.T")], "row string, k string, alt string")
+    right = spark.createDataFrame([("a", 1), ("a.T", 2), ("b.T", 3)], "key string, v int")
+    assert sorted((r.row, r.v) for r in either_key(left, right, ["alt", "k"], "key").collect()) == [("r1", 2), ("r1", 2), ("r2", 3), ("r3", None)]
+    assert sorted((r.row, r.v) for r in either_key(left, right, ["k", "alt"], "key", "inner").collect()) == [("r1", 1), ("r1", 1), ("r2", 3)]
 
 
 def test_sessions(spark):

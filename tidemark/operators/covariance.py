@@ -6,7 +6,7 @@ strategy serves; i <= j halves it. Dense algebra that pairs can't express is in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -110,3 +110,51 @@ def specific(residuals: DataFrame, half_life: float, floor: float = 0.02, shrink
     v = d.groupBy("id").agg((F.sum(F.col("w") * F.col("x") * F.col("x")) / F.sum("w") * per_year).alias("v"))
     m = v.agg(F.avg("v").alias("m"))
     return v.crossJoin(F.broadcast(m)).select("id", F.greatest(F.sqrt((1 - shrink) * F.col("v") + shrink * F.col("m")), F.lit(floor)).alias("specific"))
+
+
+def block_summary(cov: DataFrame, weights: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(block, standalone, contribution, share, within_share): each block's volatility on its own, its part of the total, that
+    part's share, and the share of its own variance in what it adds."""
+    g = block_variance(cov, weights, blocks)
+    total = g.agg(F.sqrt(F.sum("variance")).alias("sigma"))
+    own = g.where("block_i = block_j").select(F.col("block_i").alias("block"), F.col("variance").alias("own"))
+    d = g.groupBy(F.col("block_i").alias("block")).agg(F.sum("variance").alias("part")).join(own, "block").crossJoin(F.broadcast(total))
+    return d.select("block", F.sqrt(F.greatest("own", F.lit(0.0))).alias("standalone"), F.try_divide("part", "sigma").alias("contribution"), F.try_divide(F.col("part"), F.col("sigma") * F.col("sigma")).alias("share"), F.try_divide("own", "part").alias("within_share"))
+
+
+def diversification(cov: DataFrame, weights: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(sigma, standalone, ratio): total volatility over the sum of the blocks' own."""
+    d = block_summary(cov, weights, blocks)
+    return d.agg(F.sum("contribution").alias("sigma"), F.sum("standalone").alias("standalone")).withColumn("ratio", F.try_divide("sigma", "standalone"))
+
+
+def block_correlation(cov: DataFrame, weights: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(block_i, block_j, corr) of the blocks' own return streams."""
+    g = block_variance(cov, weights, blocks).select("block_i", "block_j", "variance")
+    own = g.where("block_i = block_j")
+    d = g.join(own.select("block_i", F.col("variance").alias("vi")), "block_i").join(own.select("block_j", F.col("variance").alias("vj")), "block_j")
+    return d.select("block_i", "block_j", F.try_divide(F.col("variance"), F.sqrt(F.col("vi") * F.col("vj"))).alias("corr"))
+
+
+def equal_exposure(cov: DataFrame, blocks: DataFrame) -> DataFrame:
+    """block_summary with every exposure set to one."""
+    return block_summary(cov, blocks.select("id", F.lit(1.0).alias("beta")), blocks)
+
+
+def centrality(corr: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(block, id, centrality, size): mean correlation of a factor with the others of its block, zero for one alone; corr has all pairs (i, j, corr)."""
+    a = blocks.select(F.col("id").alias("i"), "block")
+    b = blocks.select(F.col("id").alias("j"), F.col("block").alias("other"))
+    d = a.join(corr, "i").join(b, "j").where("block = other").groupBy("block", F.col("i").alias("id"))
+    return d.agg(F.coalesce(F.avg(F.when(F.col("i") != F.col("j"), F.col("corr"))), F.lit(0.0)).alias("centrality"), F.count(F.lit(1)).alias("size"))
+
+
+def implied_aversion(cov: DataFrame, weights: DataFrame, excess: float) -> DataFrame:
+    """(aversion): that under which the weights (id, beta) are worth `excess`; null without variance."""
+    v = cov.join(weights.select(F.col("id").alias("i"), F.col("beta").alias("bi")), "i").join(weights.select(F.col("id").alias("j"), F.col("beta").alias("bj")), "j").agg(F.sum(F.col("bi") * F.col("cov") * F.col("bj")).alias("v"))
+    return v.select(F.when(F.col("v") > 0, F.lit(excess) / F.when(F.col("v") > 0, F.col("v"))).alias("aversion"))
+
+
+def coherent(explained: str, r2: str, width: float = 0.10) -> Column:
+    """Whether the share of variance that the factors explain agrees with the regression's."""
+    return F.abs(F.col(explained) - F.col(r2)) <= width

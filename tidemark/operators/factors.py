@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidemark.functions.bonds import diff, log_diff, yield_change_return
+from tidemark.functions.bonds import diff, excess_return, log_diff, yield_change_return
 from tidemark.operators.series import DAYS, by, ffill_inside, last_rows, rank_share
 
 
@@ -40,7 +40,13 @@ def leg_mean(name: Column, ids: list[str], x: str) -> Column:
 
 
 def single(p: Panels, i: dict) -> DataFrame:
-    return p.returns.where(F.col("id") == i["id"]).select("t", (F.col("ret") * i.get("sign", 1)).alias("value"))
+    """One return with its sign; with `fx`, that currency's return is added, with `excess`, the cash of the row before taken off."""
+    d = p.returns.where(F.col("id") == i["id"]).select("id", "t", "ret")
+    if i.get("fx"):
+        d = d.join(p.returns.where(F.col("id") == i["fx"]).select("t", F.col("ret").alias("fx")), "t").withColumn("ret", F.col("ret") + F.col("fx"))
+    if i.get("excess"):
+        d = d.join(p.cash, "t", "left").withColumn("ret", excess_return("ret", "cash"))
+    return d.select("t", (F.col("ret") * i.get("sign", 1)).alias("value"))
 
 
 def spread(p: Panels, i: dict) -> DataFrame:
@@ -77,6 +83,20 @@ def level_transform(p: Panels, i: dict) -> DataFrame:
     return d.select("t", {"diff": diff, "log_diff": log_diff, "level": F.col}[i["transform"]]("value").alias("value"))
 
 
+def spread_level(p: Panels, i: dict) -> DataFrame:
+    """One level minus another where both are known, then transformed as a level."""
+    d = p.levels.where(F.col("id").isin(i["a"], i["b"])).groupBy("t").agg((F.max(F.when(F.col("id") == i["a"], F.col("value"))) - F.max(F.when(F.col("id") == i["b"], F.col("value")))).alias("value"))
+    d = d.where("value IS NOT NULL").withColumn("id", F.lit("spread"))
+    return d.select("t", {"diff": diff, "log_diff": log_diff, "level": F.col}[i["transform"]]("value").alias("value"))
+
+
+def synthetic_bond(p: Panels, i: dict) -> DataFrame:
+    """Return of a par bond of one tenor from its yield in per cent, over cash if `carry` says so; short gaps inside the series are filled."""
+    d = p.levels.where(F.col("id") == i["id"]).withColumn("y", ffill_inside("value", i.get("limit", 5)) * 0.01)
+    d = d.join(p.cash, "t", "left") if i.get("carry") else d
+    return d.select("t", yield_change_return("y", F.lit(float(i["tenor"])), "cash" if i.get("carry") else None).alias("value"))
+
+
 def variance_premium(p: Panels, i: dict) -> DataFrame:
     """Yesterday's implied variance of a day minus today's squared return; implied volatility in per cent a year."""
     v = p.levels.where(F.col("id") == i["implied"]).select("t", F.lag("value").over(by()).alias("v"))
@@ -107,7 +127,7 @@ def fx_carry(p: Panels, i: dict) -> DataFrame:
 
 
 BUILDERS: dict[str, Callable[[Panels, dict], DataFrame]] = {
-    "single": single, "spread": spread, "basket": basket, "curve": curve, "level_transform": level_transform,
+    "single": single, "spread": spread, "basket": basket, "curve": curve, "level_transform": level_transform, "spread_level": spread_level, "synthetic_bond": synthetic_bond,
     "variance_premium": variance_premium, "tsmom": tsmom, "xs_momentum": xs_momentum, "fx_carry": fx_carry,
 }
 

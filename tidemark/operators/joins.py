@@ -6,7 +6,7 @@ sort however many rows a key has, and no pair of rows is ever formed that isn't
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -56,8 +56,16 @@ def missing_days(present: DataFrame, sessions: DataFrame, key: str, t: str) -> D
 
 
 def either_key(left: DataFrame, right: DataFrame, keys: list, right_key: str, how: str = "left") -> DataFrame:
-    """left joined to right where right_key equals any of `keys` (columns of left): candidate keys are exploded, the first that matches wins."""
-    d = left.withColumn("__n", F.monotonically_increasing_id())
-    tries = d.select("__n", F.posexplode(F.array(*keys)).alias("__order", "__key"))
-    hit = tries.join(right.withColumnRenamed(right_key, "__key"), "__key").withColumn("__first", F.row_number().over(W.partitionBy("__n").orderBy("__order"))).where("__first = 1")
-    return d.join(hit.drop("__key", "__order", "__first"), "__n", how).drop("__n")
+    """left with right's other columns where right_key equals one of `keys` (columns of left), the first of them that is found.
+
+    right has one row for each key. Each key is a join of its own, so no row has to be known again by a number.
+    """
+    names = [c for c in right.columns if c != right_key]
+    d = left
+    for k, key in enumerate(keys):
+        r = right.select(F.col(right_key).alias(f"__key_{k}"), F.struct(*names).alias(f"__row_{k}"))
+        d = d.withColumn(f"__try_{k}", key if isinstance(key, Column) else F.col(key))
+        d = d.join(r, F.col(f"__try_{k}") == F.col(f"__key_{k}"), "left").drop(f"__key_{k}", f"__try_{k}")
+    d = d.withColumn("__row", F.coalesce(*(f"__row_{k}" for k in range(len(keys)))))
+    d = d if how == "left" else d.where("__row IS NOT NULL")
+    return d.select(*left.columns, *(F.col(f"__row.{c}").alias(c) for c in names))

@@ -1,5 +1,5 @@
-"""Dense algebra on small groups: shrinkage, repair of covariance matrices, principal components, recursions, optimisation,
-resampling and simulation. Each runs as one grouped kernel; a group is one panel, series or universe of bounded width.
+"""Dense algebra on small groups: shrinkage and repair of covariance matrices, recursions, optimisation, resampling and
+simulation. Each runs as one grouped kernel; a group is one panel, series or universe of bounded width.
 """
 
 from __future__ import annotations
@@ -59,41 +59,6 @@ def repaired(c: np.ndarray) -> np.ndarray:
     return fixed * np.outer(scale, scale)
 
 
-def covariances(rows: DataFrame, method: str = "blend", half_life: float = 60.0, share: float = 0.6) -> DataFrame:
-    """(panel, i, j, cov, shrinkage) a year, i <= j, of rows (panel, id, t, x): sample, ewma, shrunk, or a blend of the last two."""
-    if method not in ("sample", "ewma", "shrunk", "blend"):
-        raise ValueError(f"no method named {method}")
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        names, x = panel_of(pdf)
-        cols = ["panel", "i", "j", "cov", "shrinkage"]
-        if len(x) < 3:
-            return pd.DataFrame(columns=cols)
-        shrunk, delta = ledoit_wolf(x) if method in ("shrunk", "blend") else (None, 0.0)
-        c = {"sample": lambda: np.atleast_2d(np.cov(x, rowvar=False)), "ewma": lambda: ewma_matrix(x, half_life), "shrunk": lambda: shrunk, "blend": lambda: share * ewma_matrix(x, half_life) + (1 - share) * shrunk}[method]()
-        c = repaired(c) * DAYS
-        return pd.DataFrame([(key[0], names[a], names[b], c[a, b], delta) for a in range(len(names)) for b in range(a, len(names))], columns=cols)
-
-    return rows.groupBy("panel").applyInPandas(one, "panel string, i string, j string, cov double, shrinkage double")
-
-
-def components(rows: DataFrame, count: int = 5) -> DataFrame:
-    """(panel, component, share, id, loading) of the correlation matrix; each component's loading of largest size is positive."""
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        names, x = panel_of(pdf)
-        cols = ["panel", "component", "share", "id", "loading"]
-        sd = x.std(axis=0, ddof=1) if len(x) > 2 else np.zeros(1)
-        if not (sd > 0).all():
-            return pd.DataFrame(columns=cols)
-        v, q = np.linalg.eigh(np.corrcoef(x, rowvar=False))
-        v, q = v[::-1], q[:, ::-1]
-        q = q * np.sign(q[np.abs(q).argmax(axis=0), np.arange(len(v))])
-        return pd.DataFrame([(key[0], k + 1, v[k] / v.sum(), n, q[a, k]) for k in range(min(count, len(v))) for a, n in enumerate(names)], columns=cols)
-
-    return rows.groupBy("panel").applyInPandas(one, "panel string, component int, share double, id string, loading double")
-
-
 def ewma_path(r: np.ndarray, half_life: float, seed: int = 60) -> np.ndarray:
     """Annual volatility by a recursion on squares from the mean of the first `seed` finite ones; a missing return holds it."""
     lam, out, v, first = 0.5 ** (1 / half_life), np.full(len(r), math.nan), None, []

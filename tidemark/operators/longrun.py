@@ -42,7 +42,8 @@ def bond_income(y, roll, drift, loss=None) -> Column:
 
 
 def arithmetic(geometric, vol) -> Column:
-    return geometric + vol * vol / 2
+    """The one-year mean of a simple return whose compound rate is `geometric` and whose logarithm has volatility `vol`."""
+    return (1 + geometric) * F.exp(vol * vol / 2) - 1
 
 
 def interpolated(points: DataFrame, curve: DataFrame) -> DataFrame:
@@ -82,3 +83,17 @@ def decade_growth(df: DataFrame, x: str, years: int = 10) -> DataFrame:
     d = df.withColumn("rn", F.row_number().over(by()) - 1).where(F.col("rn") % years == 0)
     d = d.withColumn("g", F.ln(F.col(x) / F.lag(x).over(by())) / years).where("g IS NOT NULL")
     return d.groupBy("id").agg(F.avg("g").alias("growth"), F.try_divide(F.stddev_samp("g"), F.sqrt(F.count("g"))).alias("se"), F.count("g").alias("decades"))
+
+
+def rolldown(points: DataFrame, curve: DataFrame) -> DataFrame:
+    """(id, tenor, rolldown) of points (id, tenor, duration): a year on, a bond is priced a year shorter on an unchanged curve
+    (id, tenor, yield), a gain of duration times the yield's slope there; nothing up to one year."""
+    here = interpolated(points.select("id", "tenor").distinct(), curve).withColumnRenamed("yield", "high")
+    low = interpolated(points.select("id", (F.col("tenor") - 1).alias("tenor")).distinct(), curve).select("id", (F.col("tenor") + 1).alias("tenor"), F.col("yield").alias("low"))
+    d = points.join(here, ["id", "tenor"]).join(low, ["id", "tenor"])
+    return d.select("id", "tenor", F.when(F.col("tenor") <= 1, 0.0).otherwise(F.col("duration") * (F.col("high") - F.col("low"))).alias("rolldown"))
+
+
+def hedged_yield(foreign, domestic_short, foreign_short):
+    """A foreign yield to an investor who hedges the currency: the forward points are the difference of the short rates."""
+    return F.col(foreign) + (F.col(domestic_short) - F.col(foreign_short))

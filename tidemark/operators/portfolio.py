@@ -12,7 +12,6 @@ from pyspark.sql.window import Window as W
 
 from tidemark.functions.bonds import daily_loss
 from tidemark.operators.covariance import pairs
-from tidemark.operators.kernels import panel_of
 from tidemark.operators.series import DAYS
 
 #: Half-lives and shares of the covariance that mixes speeds (fixed values).
@@ -97,23 +96,6 @@ def families(spark, names: list[str], groups: dict[str, str], baskets: int = 5,
     return spark.createDataFrame(rows, "family string, portfolio string, id string, weight double")
 
 
-def stress_days(rows: DataFrame, window: int = 21, share: float = 0.8) -> DataFrame:
-    """(panel, t, pc1_vol, stress) of rows (panel, id, t, x): trailing volatility of the first component and whether it is in
-    the upper 1 - share; a panel of under two windows has no stress."""
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, x = panel_of(pdf)
-        days = sorted(pdf.pivot_table(index="t", columns="id", values="x", aggfunc="first").dropna().index)
-        if len(x) < 2 * window:
-            return pd.DataFrame({"panel": key[0], "t": days, "pc1_vol": None, "stress": False})
-        z = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
-        v = pd.Series(z @ np.linalg.svd(z, full_matrices=False)[2][0]).rolling(window).std()
-        cut = v.quantile(share)
-        return pd.DataFrame({"panel": key[0], "t": days, "pc1_vol": [None if math.isnan(a) else a for a in v], "stress": (v >= cut).to_numpy()})
-
-    return rows.groupBy("panel").applyInPandas(one, "panel string, t date, pc1_vol double, stress boolean")
-
-
 def cluster_order(corr: DataFrame) -> DataFrame:
     """(panel, id, place) by average linkage on 1 - correlation, of full pairs (panel, i, j, corr): like next to like."""
 
@@ -129,22 +111,6 @@ def cluster_order(corr: DataFrame) -> DataFrame:
     return corr.groupBy("panel").applyInPandas(one, "panel string, id string, place int")
 
 
-def gram_schmidt(rows: DataFrame, order: list[str]) -> DataFrame:
-    """(panel, id, t, x): each series in `order` less its fit on the ones before, over complete rows."""
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="t", columns="id", values="x", aggfunc="first").sort_index().dropna()
-        x = wide[[n for n in order if n in wide]].to_numpy(float)
-        out = x.copy()
-        for k in range(1, x.shape[1]):
-            a = np.column_stack([np.ones(len(x)), out[:, :k]])
-            out[:, k] = x[:, k] - a @ np.linalg.lstsq(a, x[:, k], rcond=None)[0]
-        names = [n for n in order if n in wide]
-        return pd.concat([pd.DataFrame({"panel": key[0], "id": n, "t": wide.index, "x": out[:, k]}) for k, n in enumerate(names)])
-
-    return rows.groupBy("panel").applyInPandas(one, "panel string, id string, t date, x double")
-
-
 def track_record(df: DataFrame, actual: str, forecast: str, benchmark: str) -> DataFrame:
     """(id, n, corr, mean_error, rmse, oos_r2): null but for n under five rows."""
     d = df.where(F.col(actual).isNotNull() & F.col(forecast).isNotNull() & F.col(benchmark).isNotNull())

@@ -7,17 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from tidemark.functions.bonds import value_at_risk
+from tidemark.functions.specfun import normal_quantile, t_quantile
 from tidemark.operators.joins import asof_backward
-from tidemark.operators.kernels import ewma_matrix, ledoit_wolf, repaired
+from tidemark.operators.kernels import ewma_matrix, ledoit_wolf, panel_of, repaired
 from tidemark.operators.series import DAYS, by
 
 #: Condition number and variance inflation from which a forecast isn't relied on; the least specific volatility a year.
 MOST_CONDITION, MOST_INFLATION, LEAST_SPECIFIC = 200.0, 100.0, 0.02
-#: Rows of the factor panel that may be sent to every task.
-MOST_PANEL_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -28,14 +29,6 @@ class RiskSpec:
     specific_half_life: float = 42.0
 
 
-def factor_panel(factors: DataFrame) -> pd.DataFrame:
-    """The factor panel (id, t, x) as a matrix by date for broadcast, refused above MOST_PANEL_ROWS."""
-    n = factors.count()
-    if n > MOST_PANEL_ROWS:
-        raise ValueError(f"a factor panel of {n} rows is too large to send to every task")
-    return factors.toPandas().pivot_table(index="t", columns="id", values="x", aggfunc="first").sort_index()
-
-
 def in_force(loadings: DataFrame, days: DataFrame) -> DataFrame:
     """(id, t, window_end, betas): for each day of a series (id, t) the loadings, a map, of its last window that ended before it."""
     sets = loadings.groupBy("id", F.col("window_end").alias("t")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("factor", "beta")))).alias("betas"))
@@ -43,39 +36,113 @@ def in_force(loadings: DataFrame, days: DataFrame) -> DataFrame:
     return d.where("betas IS NOT NULL").select("id", "t", F.col("betas_t").alias("window_end"), "betas")
 
 
+def window_covariances(loadings: DataFrame, factors: DataFrame, spec: RiskSpec = RiskSpec()) -> DataFrame:
+    """(window_end, names, i, j, cov) a year, all pairs: the covariance of each set of factors over the complete rows of the
+    spec.window dates up to each window's end, a blend of exponential weights and shrinkage.
+
+    Each factor row is dealt to the windows it is in, so a group holds one window of one set, whatever the panel's length.
+    """
+    sets = loadings.groupBy("id", "window_end").agg(F.concat_ws(",", F.sort_array(F.collect_set("factor"))).alias("names")).select("window_end", "names").distinct()
+    # Dates and windows are as many as the calendar has; their pairs are `window` for each window.
+    dates = factors.select("t").distinct().withColumn("pos", F.row_number().over(W.orderBy("t")))
+    ends = sets.select("window_end").distinct().join(dates, F.col("t") <= F.col("window_end")).groupBy("window_end").agg(F.max("pos").alias("last"))
+    dealt = dates.join(ends, (F.col("pos") <= F.col("last")) & (F.col("pos") > F.col("last") - spec.window)).select("t", "window_end")
+    rows = factors.select("id", "t", "x").join(dealt, "t").join(sets, "window_end").where(F.array_contains(F.split("names", ","), F.col("id")))
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        names, x = panel_of(pdf)
+        if len(x) < max(60, len(names) + 5):
+            return pd.DataFrame(columns=["window_end", "names", "i", "j", "cov"])
+        c = repaired(spec.share * ewma_matrix(x, spec.half_life) + (1 - spec.share) * ledoit_wolf(x)[0]) * DAYS
+        return pd.DataFrame([(*key, a, b, c[m, n]) for m, a in enumerate(names) for n, b in enumerate(names)], columns=["window_end", "names", "i", "j", "cov"])
+
+    return rows.groupBy("window_end", "names").applyInPandas(one, "window_end date, names string, i string, j string, cov double")
+
+
+def factor_variances(loadings: DataFrame, covariances: DataFrame) -> DataFrame:
+    """(id, window_end, variance) of each series' loadings under the covariance of its window and factors."""
+    own = loadings.groupBy("id", "window_end").agg(F.concat_ws(",", F.sort_array(F.collect_set("factor"))).alias("names"))
+    b = loadings.join(own, ["id", "window_end"]).select("id", "window_end", "names", "factor", "beta")
+    left = b.withColumnRenamed("factor", "i").join(covariances, ["window_end", "names", "i"]).groupBy("id", "window_end", "j").agg(F.sum(F.col("beta") * F.col("cov")).alias("v"))
+    right = b.select("id", "window_end", F.col("factor").alias("j"), "beta")
+    return left.join(right, ["id", "window_end", "j"]).groupBy("id", "window_end").agg(F.greatest(F.sum(F.col("v") * F.col("beta")), F.lit(0.0)).alias("variance"))
+
+
+def mean_before(rows: DataFrame, half_life: float, x: str) -> DataFrame:
+    """(id, t, value): the exponential mean of the series' values before the row, from its first one; a missing value holds it."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        lam, v, out = 0.5 ** (1 / half_life), None, []
+        for e in pdf["x"].to_numpy(float):
+            out.append(v)
+            if math.isfinite(e):
+                v = e if v is None else lam * v + (1 - lam) * e
+        return pd.DataFrame({"id": pdf["id"], "t": pdf["t"], "value": np.array(out, dtype=float)})
+
+    d = rows.selectExpr("id", "t", f"{x} AS x").groupBy("id").applyInPandas(one, "id string, t date, value double")
+    return d.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+
+
+def out_of_sample(loadings: DataFrame, series: DataFrame, factors: DataFrame) -> DataFrame:
+    """(id, t, window_end, resid): each row of series (id, t, ret) after its first window, less what the loadings in force
+    explain; without any factor on the day the residual is null, a single missing one counts as zero."""
+    days = in_force(loadings, series).select("id", "t", "window_end")
+    b = loadings.select("id", "window_end", "factor", "beta")
+    fit = days.join(b, ["id", "window_end"]).join(factors.select("t", F.col("id").alias("factor"), "x"), ["t", "factor"]).groupBy("id", "t").agg(F.sum(F.col("beta") * F.col("x")).alias("fit"))
+    open_days = factors.select("t").distinct().withColumn("open", F.lit(True))
+    d = days.join(series.select("id", "t", "ret"), ["id", "t"]).join(fit, ["id", "t"], "left").join(open_days, "t", "left")
+    return d.select("id", "t", "window_end", F.when(F.col("open"), F.col("ret") - F.coalesce("fit", F.lit(0.0))).alias("resid"))
+
+
 def forecasts(loadings: DataFrame, series: DataFrame, factors: DataFrame, spec: RiskSpec = RiskSpec()) -> DataFrame:
     """(id, t, window_end, sigma_factor, sigma_specific, sigma) a year for each row of series (id, t, ret) after its first window.
 
-    The factor covariance is that of the complete rows of the spec.window days up to the window's end, a blend of
-    exponential weights and shrinkage; specific variance is an exponential mean of squared residuals up to the day before.
+    The factor variance is that of the loadings in force under the covariance of their window; specific variance is an
+    exponential mean of squared out-of-sample residuals up to the day before.
     """
-    panel = series.sparkSession.sparkContext.broadcast(factor_panel(factors))
-    rows = series.join(in_force(loadings, series), ["id", "t"], "left").select("id", "t", "ret", "window_end", "betas")
+    f = factor_variances(loadings, window_covariances(loadings, factors, spec))
+    e = out_of_sample(loadings, series, factors)
+    own = mean_before(e.withColumn("e2", F.col("resid") * F.col("resid")), spec.specific_half_life, "e2")
+    least = LEAST_SPECIFIC**2
+    d = e.join(f, ["id", "window_end"]).join(own, ["id", "t"])
+    s = F.greatest(F.coalesce(F.col("value") * DAYS, F.lit(least)), F.lit(least))
+    return d.select("id", "t", "window_end", F.sqrt("variance").alias("sigma_factor"), F.sqrt(s).alias("sigma_specific"), F.sqrt(F.col("variance") + s).alias("sigma"))
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, wide = pdf.sort_values("t"), panel.value
-        lam, spec_var, cache, out = 0.5 ** (1 / spec.specific_half_life), None, {}, []
-        for r in pdf.itertuples(index=False):
-            if r.betas is None or isinstance(r.betas, float):
-                continue
-            b = dict(r.betas)
-            names = [n for n in b if n in wide.columns]
-            at = (r.window_end, tuple(names))
-            if at not in cache:
-                x = wide.loc[: r.window_end, names].tail(spec.window).dropna().to_numpy(float)
-                ok = len(x) >= max(60, len(names) + 5)
-                cache[at] = repaired(spec.share * ewma_matrix(x, spec.half_life) + (1 - spec.share) * ledoit_wolf(x)[0]) * DAYS if ok else None
-            c, v = cache[at], np.array([b[n] for n in names])
-            if c is not None:
-                f = float(v @ c @ v)
-                s = max(spec_var * DAYS, LEAST_SPECIFIC**2) if spec_var is not None else LEAST_SPECIFIC**2
-                out.append((key[0], r.t, r.window_end, math.sqrt(f), math.sqrt(s), math.sqrt(f + s)))
-            if r.t in wide.index and r.ret is not None and math.isfinite(r.ret):
-                e = r.ret - float(np.nan_to_num(wide.loc[r.t, names].to_numpy(float)) @ v)
-                spec_var = e * e if spec_var is None else lam * spec_var + (1 - lam) * e * e
-        return pd.DataFrame(out, columns=["id", "t", "window_end", "sigma_factor", "sigma_specific", "sigma"])
-
-    return rows.groupBy("id").applyInPandas(one, "id string, t date, window_end date, sigma_factor double, sigma_specific double, sigma double")
+
+def shortfall_factor(level: float, df: float | None = None) -> float:
+    """Mean of a variable of unit variance beyond its quantile at `level`, as a loss: normal, or Student's with df degrees."""
+    a = 1 - level
+    if df is None:
+        q = normal_quantile(a)
+        return math.exp(-q * q / 2) / math.sqrt(2 * math.pi) / a
+    q = t_quantile(a, df)
+    density = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi) * (1 + q * q / df) ** (-(df + 1) / 2)
+    return density * (df + q * q) / (df - 1) / a / math.sqrt(df / (df - 2))
+
+
+def quantile_factor(level: float, df: float | None = None) -> float:
+    return abs(normal_quantile(1 - level)) if df is None else abs(t_quantile(1 - level, df)) / math.sqrt(df / (df - 2))
+
+
+def tail_losses(d: DataFrame, sigma: str = "sigma", df: float | None = None) -> DataFrame:
+    """d with var_95, var_99 and es_975 of one period, from annual volatility: normal, or Student's with df degrees at the same variance."""
+    return d.withColumns({"var_95": value_at_risk(sigma, quantile_factor(0.95, df)), "var_99": value_at_risk(sigma, quantile_factor(0.99, df)), "es_975": value_at_risk(sigma, shortfall_factor(0.975, df))})
+
+
+def horizon_sigma(sigma: str, long_run: str, half_life: float | None, h: int) -> Column:
+    """Annual volatility of the mean of the next h days when variance goes back to its long run with that half-life."""
+    from tidemark.functions.bonds import reversion_weight
+
+    w = reversion_weight(half_life, h)
+    return F.sqrt(w * F.pow(F.col(sigma), F.lit(2.0)) + (1 - w) * F.pow(F.col(long_run), F.lit(2.0)))
+
+
+def debiased(d: DataFrame, ret: str, sigma: str, window: int = 252, least: int = 60) -> DataFrame:
+    """d with `sigma_debiased`: sigma times the root mean square of the standardised returns of the `window` rows before."""
+    z2 = F.pow(F.col(ret) / (F.col(sigma) / F.sqrt(F.lit(float(DAYS)))), F.lit(2.0))
+    w = by().rowsBetween(-window, -1)
+    return d.withColumn("__z2", z2).withColumn("sigma_debiased", F.col(sigma) * F.when(F.count("__z2").over(w) >= least, F.sqrt(F.avg("__z2").over(w))).otherwise(1.0)).drop("__z2")
 
 
 def reliability(loadings: DataFrame, orthogonal: bool = True) -> DataFrame:

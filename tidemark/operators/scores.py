@@ -19,13 +19,24 @@ def chi2_1_tail(x: Column) -> Column:
 
 
 def kupiec(df: DataFrame, hit: str, p: float) -> DataFrame:
-    """(id, n, hits, lr, p_value): likelihood ratio of the hit rate against p; null where no or every row is a hit."""
+    """(id, n, hits, lr, p_value): likelihood ratio of the hit rate against p. Where no or every row is a hit there is no
+    ratio, and the p-value is the exact binomial one, two-sided: twice the chance of so few or so many."""
     g = df.where(F.col(hit).isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(hit).cast("long")).alias("hits"))
     inside = (F.col("hits") > 0) & (F.col("hits") < F.col("n"))
     x, n = F.col("hits").cast("double"), F.col("n").cast("double")
     pi = F.when(inside, x / n)
     lr = -2 * ((n - x) * F.ln(F.lit(1 - p)) + x * F.ln(F.lit(p)) - (n - x) * F.ln(1 - pi) - x * F.ln(pi))
-    return g.withColumn("lr", lr).withColumn("p_value", chi2_1_tail(F.col("lr")))
+    edge = F.least(F.lit(1.0), 2 * F.when(F.col("hits") == 0, F.pow(F.lit(1 - p), n)).otherwise(F.pow(F.lit(p), n)))
+    return g.withColumn("lr", lr).withColumn("p_value", F.when(inside, chi2_1_tail(F.col("lr"))).otherwise(edge))
+
+
+def newey_west_lags(n: Column) -> Column:
+    return F.floor(4 * F.pow(n / 100, F.lit(2.0 / 9))).cast("int")
+
+
+def overlap_lags(n: Column, horizon: int, step: int) -> Column:
+    """Lags for outcomes of `horizon` rows taken every `step`: those that share rows, or the usual number if that is more."""
+    return F.greatest(newey_west_lags(n), F.lit(-(-max(horizon, 1) // max(step, 1)) - 1))
 
 
 def transitions(df: DataFrame, hit: str) -> DataFrame:
@@ -57,7 +68,8 @@ def bias(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 def diebold_mariano(df: DataFrame, a: str, b: str, lags: int) -> DataFrame:
-    """(id, n, mean, t): mean loss difference over its long-run standard error with Bartlett weights; t is zero where that isn't positive, null under ten rows."""
+    """(id, n, mean, t, p_value): mean loss difference over its long-run standard error with Bartlett weights, and the two-sided
+    normal p-value; t is zero and p one where that isn't positive, both null under ten rows."""
     own = W.partitionBy("id")
     d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("x", F.col(a) - F.col(b))
     d = d.withColumns({"m": F.avg("x").over(own), "n": F.count("x").over(own)}).withColumn("u", F.col("x") - F.col("m"))
@@ -67,7 +79,7 @@ def diebold_mariano(df: DataFrame, a: str, b: str, lags: int) -> DataFrame:
         lrv = lrv + 2 * (1 - k / (lags + 1)) * F.coalesce(F.sum(F.col("u") * F.col(f"u{k}")), F.lit(0.0))
     g = d.groupBy("id").agg(F.first("n").alias("n"), F.first("m").alias("mean"), (lrv / F.first("n")).alias("v"))
     t = F.when(F.col("n") >= 10, F.when(F.col("v") > 0, F.col("mean") / F.sqrt(F.when(F.col("v") > 0, F.col("v")) / F.col("n"))).otherwise(0.0))
-    return g.select("id", "n", "mean", t.alias("t"))
+    return g.select("id", "n", "mean", t.alias("t")).withColumn("p_value", F.when(F.col("t") == 0, 1.0).otherwise(chi2_1_tail(F.col("t") * F.col("t"))))
 
 
 def mincer_zarnowitz(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -77,6 +89,33 @@ def mincer_zarnowitz(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return d.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"))
 
 
+def mincer_zarnowitz_test(df: DataFrame, actual: str, predicted: str, lags: int) -> DataFrame:
+    """(id, n, intercept, slope, se_intercept, se_slope, wald, p_joint): the same regression with Bartlett standard errors, and
+    the Wald test of intercept zero and slope one. Everything is sums by series; null under ten rows."""
+    own = W.partitionBy("id")
+    y, x = F.pow(F.col(actual), F.lit(2.0)), F.pow(F.col(predicted), F.lit(2.0))
+    d = df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull()).select("id", "t", y.alias("y"), x.alias("x"))
+    d = d.withColumns({"b": F.regr_slope("y", "x").over(own), "a": F.regr_intercept("y", "x").over(own)}).withColumn("e", F.col("y") - F.col("a") - F.col("b") * F.col("x"))
+    d = d.withColumns({"g": F.col("e"), "h": F.col("e") * F.col("x")})
+    d = d.withColumns({f"{c}{k}": F.lag(c, k).over(by()) for k in range(1, lags + 1) for c in ("g", "h")})
+    s = {"gg": F.sum(F.col("g") * F.col("g")), "gh": F.sum(F.col("g") * F.col("h")), "hh": F.sum(F.col("h") * F.col("h"))}
+    for k in range(1, lags + 1):
+        w = 1 - k / (lags + 1)
+        s["gg"] += 2 * w * F.coalesce(F.sum(F.col("g") * F.col(f"g{k}")), F.lit(0.0))
+        s["hh"] += 2 * w * F.coalesce(F.sum(F.col("h") * F.col(f"h{k}")), F.lit(0.0))
+        s["gh"] += w * F.coalesce(F.sum(F.col("g") * F.col(f"h{k}") + F.col("h") * F.col(f"g{k}")), F.lit(0.0))
+    m = d.groupBy("id").agg(F.count(F.lit(1)).cast("double").alias("n"), F.first("a").alias("intercept"), F.first("b").alias("slope"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"), *(v.alias(k) for k, v in s.items()))
+    det = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
+    # The inverse of X'X on either side of the middle.
+    p, q, r = F.col("sxx") / det, -F.col("sx") / det, F.col("n") / det
+    gg, gh, hh = F.col("gg"), F.col("gh"), F.col("hh")
+    m = m.withColumns({"v00": p * p * gg + 2 * p * q * gh + q * q * hh, "v01": p * q * gg + (p * r + q * q) * gh + q * r * hh, "v11": q * q * gg + 2 * q * r * gh + r * r * hh})
+    one, two = F.col("intercept"), F.col("slope") - 1
+    wald = F.try_divide(F.col("v11") * one * one - 2 * F.col("v01") * one * two + F.col("v00") * two * two, F.col("v00") * F.col("v11") - F.col("v01") * F.col("v01"))
+    out = m.select("id", F.col("n").cast("long").alias("n"), "intercept", "slope", F.sqrt(F.greatest("v00", F.lit(0.0))).alias("se_intercept"), F.sqrt(F.greatest("v11", F.lit(0.0))).alias("se_slope"), wald.alias("wald"), F.exp(-wald / 2).alias("p_joint"))
+    return out.select("id", "n", *(F.when(F.col("n") >= 10, F.col(c)).alias(c) for c in out.columns[2:]))
+
+
 def oos_r2(df: DataFrame, actual: str, forecast: str, benchmark: str) -> DataFrame:
     """(id, n, r2): one minus squared errors over those of the benchmark."""
     ok = df.where(F.col(actual).isNotNull() & F.col(forecast).isNotNull() & F.col(benchmark).isNotNull())

@@ -201,3 +201,14 @@ def market_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = items.groupBy(F.date_trunc("week", "l_shipdate").cast("date").alias("t")).agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price"))
     # One row a week: the market is a single series.
     return p.select(F.lit("market").alias("id"), "t", "price").select("t", log_return().alias("mkt"))
+
+
+def broken_returns(df: DataFrame, ret: str = "ret", price: str = "price", tolerance: float = 1e-9) -> DataFrame:
+    """(id, t, ret, implied) of the rows whose stored log return isn't that of the prices around it, by more than the tolerance."""
+    d = df.withColumn("implied", F.ln(F.col(price) / F.lag(price).over(by())))
+    return d.where(F.abs(F.col(ret) - F.col("implied")) > tolerance).select("id", "t", F.col(ret).alias("ret"), "implied")
+
+
+def if_given(column: str, value) -> Column:
+    """Equality with a parameter, or no condition where the parameter is null."""
+    return F.lit(True) if value is None else F.col(column) == value

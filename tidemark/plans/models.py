@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import covariance as cv
 from tidemark.operators import kernels as k
 from tidemark.operators import longrun as lr
+from tidemark.operators import panels as pn
 from tidemark.operators import regression as rg
 from tidemark.operators import risk as rk
 from tidemark.operators import selection as se
@@ -85,28 +86,40 @@ def stationarity_battery(spark, sf_dir):
     return st.battery(returns(spark, sf_dir), (0, 104))
 
 
-def _panel(spark, sf_dir):
-    return type_returns(spark, sf_dir).select(F.lit("types").alias("panel"), "id", "t", F.col("ret").alias("x")).where("x IS NOT NULL")
-
-
 @query(f"""WITH {TYPES} SELECT 'types' AS panel, a.id AS i, b.id AS j, round(covar_samp(a.x, b.x) * 252, 6) AS cov FROM d a JOIN d b ON a.t = b.t AND a.id <= b.id GROUP BY a.id, b.id""")
 def sample_cov_kernel(spark, sf_dir):
-    return k.covariances(_panel(spark, sf_dir), "sample").select("panel", "i", "j", *rnd("cov"))
+    return cv.sample(cv.complete(type_returns(spark, sf_dir))).select(F.lit("types").alias("panel"), "i", "j", *rnd("cov"))
 
 
-@query(None)
+#: Shrinkage towards constant correlation, from deviations over the dates that all types share.
+SHRUNK = f"""{TYPES}, y AS (SELECT id, t, x - avg(x) OVER (PARTITION BY id) AS y FROM d), mo AS (SELECT a.id AS i, b.id AS j, count(*)::DOUBLE AS n, avg(a.y * b.y) AS s, avg(a.y * a.y * b.y * b.y) AS q, avg(a.y * a.y * a.y * b.y) AS c FROM y a JOIN y b USING (t) GROUP BY 1, 2),
+dg AS (SELECT i, s, sqrt(s) AS sd FROM mo WHERE i = j), mm AS (SELECT mo.*, p.sd AS si, r.sd AS sj, mo.q - mo.s * mo.s AS spread, mo.c - p.s * mo.s AS third FROM mo JOIN dg p ON p.i = mo.i JOIN dg r ON r.i = mo.j),
+rb AS (SELECT avg(s / (si * sj)) AS r FROM mm WHERE i <> j), de AS (SELECT greatest(0, least(1, (sum(spread) - sum(CASE WHEN i = j THEN spread ELSE r * sj / si * third END)) / sum(CASE WHEN i <> j THEN power(r * si * sj - s, 2) ELSE 0 END) / any_value(n))) AS delta FROM mm, rb),
+lw AS (SELECT i, j, delta, (delta * CASE WHEN i = j THEN s ELSE r * si * sj END + (1 - delta) * s) * n / (n - 1) * 252 AS cov FROM mm, rb, de)"""
+
+
+@query(f"""WITH {SHRUNK} SELECT 'types' AS panel, i, j, round(cov, 6) AS cov, round(delta, 6) AS shrinkage FROM lw WHERE i <= j""")
 def ledoit_wolf(spark, sf_dir):
-    return k.covariances(_panel(spark, sf_dir), "shrunk")
+    return pn.shrunk(cv.complete(type_returns(spark, sf_dir))).select(F.lit("types").alias("panel"), "i", "j", *rnd("cov", "shrinkage"))
 
 
-@query(None)
+@query(f"""WITH {SHRUNK}, wt AS (SELECT t, power(0.5, age / 26.0) / sum(power(0.5, age / 26.0)) OVER () AS w FROM o), ew AS (SELECT a.id AS i, b.id AS j, (sum(w * a.x * b.x) - sum(w * a.x) * sum(w * b.x)) / (1 - sum(w * w)) * 252 AS cov FROM d a JOIN d b USING (t) JOIN wt USING (t) GROUP BY 1, 2)
+SELECT 'types' AS panel, i, j, round(0.6 * ew.cov + 0.4 * lw.cov, 6) AS cov FROM lw JOIN ew USING (i, j) WHERE i <= j""")
 def blended_cov(spark, sf_dir):
-    return k.covariances(_panel(spark, sf_dir), "blend", 26.0)
+    return pn.blended(cv.complete(type_returns(spark, sf_dir)), 26.0).select(F.lit("types").alias("panel"), "i", "j", *rnd("cov"))
 
 
 @query(None)
 def factor_pca(spark, sf_dir):
-    return k.components(_panel(spark, sf_dir), 3)
+    return pn.components(cv.complete(type_returns(spark, sf_dir)), 3).select(F.lit("types").alias("panel"), "*")
+
+
+@query(f"""WITH {TYPES}, g AS (SELECT a.id AS i, b.id AS j, covar_samp(a.x, b.x) * 252 AS c FROM d a JOIN d b USING (t) GROUP BY 1, 2)
+SELECT round(sum(c) FILTER (i = j), 6) AS trace, round(sqrt(sum(c * c)), 6) AS frobenius, count(DISTINCT i) AS series, true AS psd FROM g""")
+def cov_diagnostics(spark, sf_dir):
+    """Eigenvalue diagnostics of the sample covariance, held against its trace and the root of its squares."""
+    g = pn.described(cv.sample(cv.complete(type_returns(spark, sf_dir))).select("i", "j", "cov"))
+    return g.select(F.round(F.aggregate("eigenvalues", F.lit(0.0), lambda a, x: a + x), 6).alias("trace"), F.round(F.sqrt(F.aggregate("eigenvalues", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("frobenius"), "series", "psd")
 
 
 @query(None)
@@ -227,10 +240,9 @@ def block_growth(spark, sf_dir):
 
 
 @query(None)
-def specification_search(spark, sf_dir, keep=("Brand#1", "Brand#2", "Brand#3"), pool=2, limits=(2, 8)):
-    """A search over factor sets for the market's brands: each round's candidates are scored in one job by their residual variance."""
+def specification_search(spark, sf_dir):
+    """A search over sets of all factors for all brands: each round's candidates are scored in one job by their residual variance."""
     d, names = design(spark, sf_dir)
-    d = d.where(F.col("id").isin(*keep)) if keep else d
 
     def score(todo):
         parts = [rg.rolling(d, list(c.factors), rg.Spec(window=c.window, step=52, least=60, estimator=c.estimator, half_life=c.half_life)).agg(F.lit(c.key()).alias("key"), F.avg("resid_vol").alias("loss")) for c in todo]
@@ -240,5 +252,5 @@ def specification_search(spark, sf_dir, keep=("Brand#1", "Brand#2", "Brand#3"),
         # One number a candidate: at most `most` of them.
         return {r["key"]: r["loss"] + 0.001 * next(c.complexity() for c in todo if c.key() == r["key"]) for r in out.collect() if r["loss"] is not None}
 
-    found = se.search([se.Candidate((names[0],), 156)], names[:pool], score, *limits)
+    found = se.search([se.Candidate((names[0],), 156)], names, score)
     return spark.createDataFrame([(c.key(), list(c.factors), c.window, c.estimator, float(x)) for c, x in found], "key string, factors array<string>, window int, estimator string, loss double")

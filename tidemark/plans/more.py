@@ -7,27 +7,28 @@ from pyspark.sql.window import Window as W
 
 from tidemark.operators import covariance as cv
 from tidemark.operators import kernels as k
+from tidemark.operators import panels as pn
 from tidemark.operators import portfolio as pf
 from tidemark.operators import regression as rg
 from tidemark.operators import series as s
-from tidemark.plans.models import _panel, design
+from tidemark.plans.models import design
 from tidemark.plans.panel import MARKET, RETURNS, query, returns, rnd, with_market
 from tidemark.plans.quant import TYPES, read, type_returns
 
 
-@query(f"""WITH {RETURNS} SELECT t, {', '.join(f"round(max(ret) FILTER (id = 'Brand#{i}'), 6) AS b{i}" for i in range(1, 6))} FROM r WHERE id IN (SELECT p_brand FROM part WHERE p_size > 45) GROUP BY t""")
-def factor_panel_wide(spark, sf_dir, brands=5):
+@query(f"""WITH {RETURNS} SELECT t, {', '.join(f"round(max(ret) FILTER (id = 'Brand#{i}'), 6) AS b{i}" for i in range(1, 26))} FROM r WHERE id IN (SELECT p_brand FROM part WHERE p_size > 45) GROUP BY t""")
+def factor_panel_wide(spark, sf_dir):
     live = read(spark, sf_dir, "part").where("p_size > 45").select(F.col("p_brand").alias("id"))
-    names = [f"Brand#{i}" for i in range(1, brands + 1)]
+    names = [f"Brand#{i}" for i in range(1, 26)]
     # The names are given, so the pivot needs no pass of its own to find them.
     d = returns(spark, sf_dir).join(live, "id", "left_semi").groupBy("t").pivot("id", names).agg(F.max("ret"))
     return d.select("t", *(F.round(f"`{n}`", 6).alias(f"b{i}") for i, n in enumerate(names, 1)))
 
 
-@query(f"""WITH {RETURNS}, c AS (SELECT date_trunc('week', o_orderdate)::DATE AS t, avg(o_totalprice) / 50000 AS cash FROM orders WHERE o_orderkey % 97 = 0 GROUP BY 1), j AS (SELECT r.id, r.t, ret, last_value(cash IGNORE NULLS) OVER (PARTITION BY id ORDER BY r.t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cash FROM r LEFT JOIN c USING (t))
+@query(f"""WITH {RETURNS}, c AS (SELECT date_trunc('week', o_orderdate)::DATE AS t, avg(o_totalprice) / 50000 AS cash FROM orders GROUP BY 1), j AS (SELECT r.id, r.t, ret, last_value(cash IGNORE NULLS) OVER (PARTITION BY id ORDER BY r.t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cash FROM r LEFT JOIN c USING (t))
 SELECT id, t, round(ret - cash / 100 / 252, 8) AS excess FROM j""")
-def instrument_load(spark, sf_dir, keep="o_orderkey % 97 = 0"):
-    c = read(spark, sf_dir, "orders").where(keep).groupBy(F.date_trunc("week", "o_orderdate").cast("date").alias("t")).agg((F.avg("o_totalprice") / 50000).alias("cash"))
+def instrument_load(spark, sf_dir):
+    c = read(spark, sf_dir, "orders").groupBy(F.date_trunc("week", "o_orderdate").cast("date").alias("t")).agg((F.avg("o_totalprice") / 50000).alias("cash"))
     d = returns(spark, sf_dir).join(c, "t", "left")
     return d.select("id", "t", F.round(F.col("ret") - s.in_force("cash") / 100 / 252, 8).alias("excess"))
 
@@ -136,7 +137,7 @@ def multi_speed_portfolio(spark, sf_dir):
 
 @query(None)
 def stress_days(spark, sf_dir):
-    return pf.stress_days(_panel(spark, sf_dir), 8)
+    return pn.stress_days(cv.complete(type_returns(spark, sf_dir)), 8).select(F.lit("types").alias("panel"), "*")
 
 
 @query(None)
@@ -147,14 +148,15 @@ def cluster_order(spark, sf_dir):
 
 @query(None)
 def gram_schmidt(spark, sf_dir):
-    return pf.gram_schmidt(_panel(spark, sf_dir), ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"])
+    d = pn.gram_schmidt(cv.complete(type_returns(spark, sf_dir)), ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"])
+    return d.select(F.lit("types").alias("panel"), "id", "t", *rnd("x"))
 
 
 @query(None)
-def residual_components(spark, sf_dir, keep=tuple(f"Brand#{i}" for i in range(1, 9))):
+def residual_components(spark, sf_dir):
     d, names = design(spark, sf_dir)
-    e = rg.residuals(d.where(F.col("id").isin(*keep)) if keep else d, names, "full")
-    return k.components(e.where("resid IS NOT NULL").select(F.lit("brands").alias("panel"), "id", "t", F.col("resid").alias("x")), 2)
+    e = rg.residuals(d, names, "full")
+    return pn.components(cv.complete(e, "resid"), 2).select(F.lit("brands").alias("panel"), "*")
 
 
 @query(f"""WITH {MARKET} SELECT id, count(ret) / count(*)::DOUBLE >= 0.9 AS covered, CASE WHEN count(*) >= 252 AND corr(mkt, ret) >= 0.3 THEN 'follows' ELSE 'own' END AS class FROM (SELECT id, ret, lag(mkt) OVER (PARTITION BY id ORDER BY t) AS mkt FROM rm) GROUP BY id""")

@@ -115,9 +115,9 @@ def unpivot_long(spark, sf_dir):
     return tb.finite(k.unpivot("f", ["qty", "price", "tax"], "name", "value")).where("value IS NOT NULL").select("f", "name", F.round("value", 4).alias("value"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN ln((l_quantity - 25) / 25) END AS x FROM lineitem WHERE l_orderkey % 50 = 0""")
-def sink_sanitise(spark, sf_dir, keep="l_orderkey % 50 = 0"):
-    d = read(spark, sf_dir, "lineitem").where(keep)
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN ln((l_quantity - 25) / 25) END AS x FROM lineitem""")
+def sink_sanitise(spark, sf_dir):
+    d = read(spark, sf_dir, "lineitem")
     # NaN for a negative ratio and minus infinity for zero, as a kernel may hand them over.
     ratio = (F.col("l_quantity") - 25) / 25
     x = F.when(ratio > 0, F.ln(F.when(ratio > 0, ratio))).when(ratio == 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))
@@ -141,20 +141,20 @@ def asof_backward(spark, sf_dir):
     return j.asof_backward(e.where("event_type = 'purchase'").select("user_id", "ts", "event_id"), views, "user_id", "ts", "value").select("user_id", "event_id", "value", "value_t")
 
 
-@query("""WITH cal AS (SELECT DISTINCT o_orderdate::DATE AS t FROM orders WHERE isodow(o_orderdate) < 6), o AS (SELECT l_suppkey AS k, l_shipdate::DATE AS d, round(sum(l_quantity), 4) AS v FROM lineitem WHERE l_suppkey % 10 = 0 GROUP BY 1, 2),
+@query("""WITH cal AS (SELECT DISTINCT o_orderdate::DATE AS t FROM orders WHERE isodow(o_orderdate) < 6), o AS (SELECT l_suppkey AS k, l_shipdate::DATE AS d, round(sum(l_quantity), 4) AS v FROM lineitem GROUP BY 1, 2),
 x AS (SELECT k, d, v, (SELECT min(t) FROM cal WHERE t >= d) AS t FROM o) SELECT k, t, arg_max(v, d) AS v FROM x WHERE t IS NOT NULL GROUP BY k, t""")
-def roll_forward_calendar(spark, sf_dir, keep="l_suppkey % 10 = 0"):
+def roll_forward_calendar(spark, sf_dir):
     cal = read(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("t")).where(F.weekday("t") < 5)
-    o = read(spark, sf_dir, "lineitem").where(keep).groupBy(F.col("l_suppkey").alias("k"), F.to_date("l_shipdate").alias("t")).agg(F.round(F.sum("l_quantity"), 4).alias("v"))
+    o = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.to_date("l_shipdate").alias("t")).agg(F.round(F.sum("l_quantity"), 4).alias("v"))
     return j.roll_forward(o, cal, "k", "t", "v")
 
 
 @query("""WITH m AS (SELECT l_suppkey AS k, l_shipdate::DATE AS t, sum(l_discount) AS x FROM lineitem GROUP BY 1, 2),
-b AS (SELECT DISTINCT l_suppkey AS k, l_orderkey, l_linenumber, l_shipdate::DATE - 30 AS low, l_shipdate::DATE AS high FROM lineitem WHERE l_orderkey % 20 = 0)
+b AS (SELECT DISTINCT l_suppkey AS k, l_orderkey, l_linenumber, l_shipdate::DATE - 30 AS low, l_shipdate::DATE AS high FROM lineitem)
 SELECT b.k, l_orderkey, l_linenumber, round(coalesce(sum(x), 0), 6) AS total FROM b LEFT JOIN m ON m.k = b.k AND m.t > low AND m.t <= high GROUP BY b.k, l_orderkey, l_linenumber, low""")
-def interval_sum(spark, sf_dir, keep="l_orderkey % 20 = 0"):
+def interval_sum(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), "l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("t"), F.col("l_discount").alias("x"))
-    b = li.where(keep).select("k", "l_orderkey", "l_linenumber", F.date_sub("t", 30).alias("low"), F.col("t").alias("high")).distinct()
+    b = li.select("k", "l_orderkey", "l_linenumber", F.date_sub("t", 30).alias("low"), F.col("t").alias("high")).distinct()
     return j.interval_sums(b, li, "k", "low", "high", "t", "x").select("k", "l_orderkey", "l_linenumber", F.round("total", 6).alias("total"))
 
 
@@ -167,11 +167,11 @@ def calendar_quorum(spark, sf_dir):
     return c.crossJoin(F.broadcast(c.agg(F.greatest(F.floor(F.max("n") * F.lit(0.30)), F.lit(1)).alias("quorum")))).select("t", "n", (F.col("n") >= F.col("quorum")).alias("open"))
 
 
-@query("""WITH s AS (SELECT DISTINCT l_shipdate::DATE AS t FROM lineitem WHERE isodow(l_shipdate) < 6), p AS (SELECT DISTINCT l_suppkey AS k, l_shipdate::DATE AS t FROM lineitem WHERE l_suppkey % 20 = 0),
+@query("""WITH s AS (SELECT DISTINCT l_shipdate::DATE AS t FROM lineitem WHERE isodow(l_shipdate) < 6), p AS (SELECT DISTINCT l_suppkey AS k, l_shipdate::DATE AS t FROM lineitem),
 x AS (SELECT k, min(t) AS a, max(t) AS b FROM p GROUP BY k) SELECT x.k, s.t FROM x JOIN s ON s.t BETWEEN a AND b WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.k = x.k AND p.t = s.t)""")
-def gap_check(spark, sf_dir, keep="k % 20 = 0"):
+def gap_check(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.to_date("l_shipdate").alias("t"))
-    return j.missing_days(li.where(keep), li.where(F.weekday("t") < 5), "k", "t")
+    return j.missing_days(li, li.where(F.weekday("t") < 5), "k", "t")
 
 
 @query("""SELECT s_suppkey, coalesce(a.n_name, b.n_name) AS name FROM supplier LEFT JOIN nation a ON a.n_nationkey = s_nationkey + 5 LEFT JOIN nation b ON b.n_nationkey = s_nationkey""")
@@ -297,9 +297,9 @@ def quality_score(spark, sf_dir):
     return read(spark, sf_dir, "part").groupBy(score.alias("score")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p_brand").alias("brands"))
 
 
-@query("""SELECT p_brand AS id, list_sort(list(DISTINCT l_suppkey)) AS used_by FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey % 25 = 0 GROUP BY 1""")
-def inverted_index(spark, sf_dir, keep="l_suppkey % 25 = 0"):
-    d = read(spark, sf_dir, "lineitem").where(keep).select("l_partkey", "l_suppkey").join(read(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+@query("""SELECT p_brand AS id, list_sort(list(DISTINCT l_suppkey)) AS used_by FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
+def inverted_index(spark, sf_dir):
+    d = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").join(read(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     return d.groupBy(F.col("p_brand").alias("id")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("used_by"))
 
 

@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidemark.operators import covariance as cv
 from tidemark.operators import factors as fa
 from tidemark.operators import kernels as k
+from tidemark.operators import panels as pn
 from tidemark.operators import portfolio as pf
-from tidemark.plans.models import _panel
 from tidemark.plans.panel import RETURNS, query, returns, rnd
 from tidemark.plans.quant import FORECAST, forecasts, read, type_returns
 from tidemark.sources import tables as tb
 
 
-@query("""WITH r AS (SELECT p_partkey::VARCHAR AS factor_id, p_brand AS a, p_type AS b, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_name END AS c FROM part WHERE p_partkey % 10 = 0), u AS (SELECT factor_id, 0 AS i, a AS input FROM r UNION ALL SELECT factor_id, 1, b FROM r UNION ALL SELECT factor_id, 2, c FROM r),
+@query("""WITH r AS (SELECT p_partkey::VARCHAR AS factor_id, p_brand AS a, p_type AS b, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_name END AS c FROM part), u AS (SELECT factor_id, 0 AS i, a AS input FROM r UNION ALL SELECT factor_id, 1, b FROM r UNION ALL SELECT factor_id, 2, c FROM r),
 f AS (SELECT factor_id, input, min(i) AS i FROM u GROUP BY 1, 2) SELECT factor_id, row_number() OVER (PARTITION BY factor_id ORDER BY i) - 1 AS place, input FROM f""")
-def recipe_identifiers(spark, sf_dir, keep="p_partkey % 10 = 0"):
-    p = read(spark, sf_dir, "part").where(keep)
+def recipe_identifiers(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
     c = F.to_json(F.struct(F.struct(F.array("p_brand", "p_type").alias("long"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(F.col("p_name")).alias("id")).alias("inputs")))
     return tb.recipe_inputs(p.select(F.col("p_partkey").cast("string").alias("factor_id"), c.alias("construction")), ["long", "id"])
 
@@ -81,9 +82,10 @@ def factor_hierarchy(spark, sf_dir):
 @query(None)
 def regime_covariances(spark, sf_dir):
     """Shrunk covariances of calm and of stressed weeks."""
-    p = _panel(spark, sf_dir)
-    days = pf.stress_days(p, 8).select("t", F.when(F.col("stress"), "stress").otherwise("calm").alias("regime"))
-    return k.covariances(p.join(days, "t").select(F.col("regime").alias("panel"), "id", "t", "x"), "shrunk")
+    p = cv.complete(type_returns(spark, sf_dir))
+    days = pn.stress_days(p, 8)
+    of = lambda name, rows: pn.shrunk(p.join(days.where(rows).select("t"), "t", "left_semi")).select(F.lit(name).alias("panel"), "i", "j", "cov", "shrinkage")
+    return of("stress", F.col("stress")).unionByName(of("calm", ~F.col("stress")))
 
 
 @query(None)
@@ -120,8 +122,8 @@ def pool_of_choices(spark, sf_dir):
     return best.groupBy("spec").agg(F.count(F.lit(1)).alias("chosen"), F.max("run").alias("last_run"))
 
 
-@query("""WITH k AS (SELECT o_custkey AS id, o_orderdate::DATE AS d, o_totalprice AS v FROM orders WHERE o_custkey % 50 = 0) SELECT id, d, v, o.n FROM k, LATERAL (SELECT count(*) AS n FROM k b WHERE b.id = k.id AND b.d <= k.d) o""")
-def running_count(spark, sf_dir, keep="o_custkey % 50 = 0"):
-    o = read(spark, sf_dir, "orders").where(keep).select(F.col("o_custkey").alias("id"), F.to_date("o_orderdate").alias("d"), F.col("o_totalprice").alias("v"))
+@query("""WITH k AS (SELECT o_custkey AS id, o_orderdate::DATE AS d, o_totalprice AS v FROM orders) SELECT id, d, v, o.n FROM k, LATERAL (SELECT count(*) AS n FROM k b WHERE b.id = k.id AND b.d <= k.d) o""")
+def running_count(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.to_date("o_orderdate").alias("d"), F.col("o_totalprice").alias("v"))
     w = W.partitionBy("id").orderBy("d").rangeBetween(W.unboundedPreceding, W.currentRow)
     return o.withColumn("n", F.count(F.lit(1)).over(w))
