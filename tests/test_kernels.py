@@ -378,7 +378,7 @@ def test_landed_sources(spark, tmp_path):
 def test_formula_names_what_is_built():
     from tidemark.operators.factors import BUILDERS, Recipe, formula
 
-    inputs = {"id": "A", "long": ["A", "B"], "short": ["C"], "tenors": ["2", "5", "10"], "shape": "slope", "transform": "diff", "implied": "V", "skip": 22, "span": 231, "vol": 63, "legs": ["A"], "home": 1.0}
+    inputs = {"id": "A", "long": ["A", "B"], "short": ["C"], "tenors": ["2", "5", "10"], "shape": "slope", "transform": "diff", "implied": "V", "skip": 22, "span": 231, "vol": 63, "legs": ["A"], "home": 1.0, "a": "A", "b": "B", "tenor": 10}
     for m in BUILDERS:
         own = inputs | ({"long": "A", "short": "B"} if m == "spread" else {})
         assert formula(Recipe("f", m, own, 0, ["g"])).endswith("less its fit on g")

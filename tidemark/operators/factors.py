@@ -229,5 +229,6 @@ def formula(r: Recipe) -> str:
         "curve": lambda: f"{i['shape']} of -dy({', '.join(i['tenors'])})", "level_transform": lambda: f"{i['transform']}({i['id']})", "variance_premium": lambda: f"({i['implied']}[t-1] / 100)^2 / 252 - r({i['id']})^2",
         "tsmom": lambda: f"sum(w r) / sum|w|, w = sign(sum of {i['span']} r to t-{i['skip']}) / sd({i['vol']})", "xs_momentum": lambda: f"mean r of the upper third - lower third by sum of {i['span']} r to t-{i['skip']}",
         "fx_carry": lambda: "mean(sign(gap) (r + gap / 252))",
+        "spread_level": lambda: f"{i['transform']}({i['a']} - {i['b']})", "synthetic_bond": lambda: f"bond({i['id']}, {i['tenor']})",
     }[r.method]()
     return f"{r.factor_id} = {text}" + (f", less its fit on {', '.join(r.residual_on)}" if r.residual_on else "")
