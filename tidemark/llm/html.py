@@ -19,51 +19,95 @@ from tidemark.llm.common import table, text_of, with_columns_from
 #: Elements by what HTML says of them (fixed values).
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-DROPPED = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "option", "svg", "canvas", "object", "menu", "dialog", "label", "fieldset", "audio", "video", "map"}
+DROPPED = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "option", "svg", "canvas", "object", "menu", "dialog", "audio", "video", "map"}
 BLOCKS = {
-    "address", "article", "blockquote", "body", "caption", "center", "dd", "details", "dir", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup",
+    "address", "article", "blockquote", "body", "caption", "center", "dd", "details", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup",
     "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "br",
 } | DROPPED
 #: Elements whose start ends an open paragraph.
-ENDS_P = BLOCKS - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "button", "select", "option", "label", "object", "audio", "video", "map", "svg", "canvas"} - RAW
+ENDS_P = BLOCKS - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "button", "select", "option", "object", "audio", "video", "map", "svg", "canvas"} - RAW
 #: An element that ends an open one of these, up to a boundary.
 SAME = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SCOPES = {"div", "article", "section", "main", "body", "html", "table", "td", "th", "ul", "ol", "dl", "li", "blockquote", "aside", "nav", "header", "footer", "form", "figure"}
-#: Words in class, id or role that mark what isn't part of the article (fixed values).
-UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adsby\w*|advert\w*|banner|breadcrumb\w*|comment\w*|respond|reply|replies|cookie\w*|consent|gdpr|disqus|footer|header|masthead|menu|menubar|nav|navbar|navigation|newsletter|notices?|notification|alert|"
-    r"pagination|pager|popup|modal|promo\w*|related\w*|recommend\w*|share|sharing|sidebar\w*|side|social|sponsor\w*|subscribe|signup|login|toolbar|widgets?|contentinfo|complementary|search|outbrain|taboola|skip|legal|"
-    r"disclaimer|copyright|author-?bio|tags?|hidden|overlay)(?:$|[\s_-])",
-    re.I,
+#: Elements that may be dropped by their names: what holds other blocks. A paragraph, a heading or a piece of a line isn't.
+NAMED = {"article", "div", "section", "header", "ul", "ol", "dl", "table", "center", "details", "figure", "fieldset", "address"}
+#: Words of class, id and role that mark what isn't part of an article, wherever it stands, and those that do so outside of
+#: one; and words that may stand beside them in one name (fixed values).
+NEVER = set(
+    "ad ads adsense adslot advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments commentlist respond reply replies disqus cookie cookies consent gdpr masthead menubar nav navbar navigation "
+    "newsletter notification notifications pagination pager popup modal overlay promo promos promotion related recommend recommended recommendations share sharing sidebar social sponsor sponsored sponsors subscribe subscription "
+    "signup login toolbar outbrain taboola skip contentinfo complementary".split()
+)
+OUTSIDE = set("footer header menu notice notices alert alerts side widget widgets search legal disclaimer copyright author bio tag tags hidden".split())
+BESIDE = set(
+    "site page global top bottom left right main primary secondary post article entry blog story box block area container wrap wrapper outer inner section sections list lists bar bars item items group row column col panel strip "
+    "form link links button buttons icon icons text title head heading content contents reader readers user users thread posts articles stories and to the by a of more read now us on me bg sticky fixed float header footer menu notice widget widgets".split()
 )
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text|prose)(?:$|[\s_-])", re.I)
-#: Whole names that mark the article itself, though another name beside them (has-sidebar, comments-open) is unlikely.
-ARTICLE_NAMES = {"article", "post", "entry", "story", "content", "main", "hentry", "main-content", "page-content"}
-HARD_NAMES = {"ad", "ads", "advert", "banner", "comment", "comments", "footer", "header", "menu", "nav", "navbar", "notice", "related", "sidebar", "widget"}
+#: Whole names that mark the article itself.
+ARTICLE = re.compile(r"(?:^|\s)(?:h?entry|(?:blog-?|single-?)?(?:article|post|story)|(?:article|post|entry|story)[_-]?(?:body|content|text))(?:\s|$)", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 BLANK = re.compile(r"\s+")
-#: Characters of pages worked on at a time in a task.
-PORTION = 2_000_000
+WORDS = re.compile(r"[A-Za-z]+")
+#: Bytes of pages worked on at a time in a task.
+PORTION = 1_000_000
+#: Elements whose text counts for the element around them.
+LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "br", "pre", "li", "dd", "dt", "td", "th", "figcaption", "b"}
 
 
 class Node:
-    """An element with its text blocks in page order; `score` is what paragraphs passed to it."""
+    """An element; `block` is the nearest block around its text, `score` what paragraphs passed to it."""
 
-    __slots__ = ("tag", "parent", "kids", "score", "chars", "linked", "dropped", "order", "bonus")
+    __slots__ = ("tag", "parent", "kids", "score", "chars", "linked", "dropped", "bonus", "block", "named", "kept")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool, bonus: float):
-        self.tag, self.parent, self.dropped, self.bonus = tag, parent, dropped, bonus
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, bonus: float, named: bool = False):
+        self.tag, self.parent, self.dropped, self.bonus, self.named = tag, parent, dropped, bonus, named
+        self.block: Node = self if tag in BLOCKS or parent is None else parent.block
         self.kids: list[Node] = []
-        self.score, self.chars, self.linked, self.order = 0.0, 0, 0, 0
+        self.score, self.chars, self.linked, self.kept = 0.0, 0, 0, False
+
+
+class Open:
+    """The open elements from the root down, with the depths at which each kind is open."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.scopes = [root], {}, [0]
+
+    def push(self, n: Node) -> None:
+        self.at.setdefault(n.tag, []).append(len(self.stack))
+        if n.tag in SCOPES:
+            self.scopes.append(len(self.stack))
+        self.stack.append(n)
+
+    def deepest(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close_to(self, depth: int) -> None:
+        """Ends the element at that depth and all inside it."""
+        while len(self.stack) > max(1, depth):
+            n = self.stack.pop()
+            self.at[n.tag].pop()
+            if n.tag in SCOPES:
+                self.scopes.pop()
 
 
-def tree(page: str, by_name: bool = True) -> tuple[Node, list[tuple[Node, str, int]]]:
-    """The element tree and its text blocks (owner, text, characters within links) in page order. by_name: drop by class, id and role too."""
-    root = node = Node("#root", None, False, 0.0)
-    blocks: list[tuple[Node, str, int]] = []
-    text: list[str] = []
+def unlikely(marks: str, in_article: bool) -> bool:
+    """Whether one of the names consists of words that mark what isn't article, and of words that may stand beside them."""
+    for name in marks.split():
+        words = {w.lower() for w in WORDS.findall(CAMEL.sub("-", name))}
+        bad = words & NEVER or not in_article and words & OUTSIDE
+        if bad and words <= NEVER | OUTSIDE | BESIDE:
+            return True
+    return False
+
+
+def tree(page: str, by_name: bool = True) -> tuple[list[Node], list[tuple[Node, str, int]]]:
+    """The elements, parents first, and the text blocks (owner, text, characters within links) in page order. by_name: drop by class, id and role too."""
+    root = Node("#root", None, False, 0.0)
+    nodes, blocks, text, up = [root], [], [], Open(root)
     state = {"link": 0, "owner": root}
 
     def close() -> None:
@@ -74,92 +118,69 @@ def tree(page: str, by_name: bool = True) -> tuple[Node, list[tuple[Node, str, i
                 blocks.append((state["owner"], s, min(state["link"], len(s))))
         state["link"] = 0
 
-    def add(s: str, owner: Node, in_link: bool) -> None:
+    def add(s: str, in_link: bool) -> None:
         if s:
             if not text:
-                state["owner"] = owner
+                state["owner"] = up.stack[-1].block
             text.append(s)
             state["link"] += len(s.strip()) if in_link else 0
 
-    def block_of(n: Node) -> Node:
-        while n.parent is not None and n.tag not in BLOCKS:
-            n = n.parent
-        return n
-
-    def pop_to(n: Node) -> Node:
-        return n.parent if n.parent is not None else n
-
     at, links = 0, 0
     m = TOKEN.search(page)
     while m:
-        add(page[at : m.start()], block_of(node), links > 0)
+        add(page[at : m.start()], links > 0)
         at, tag = m.end(), (m[2] or "").lower()
-        if not tag:
-            pass
-        elif m[1]:
-            if tag in BLOCKS:
-                close()
-            up: Node | None = node
-            while up is not None and up.tag != tag and not (up.tag in SCOPES and tag not in SCOPES):
-                up = up.parent
-            if up is not None and up.tag == tag:
-                node = pop_to(up)
+        if tag in BLOCKS:
+            close()
+        if tag and m[1]:
+            depth = up.deepest((tag,))
+            if depth and (tag in SCOPES or depth > up.scopes[-1]):
+                up.close_to(depth)
             links = max(0, links - 1) if tag == "a" else links
-        else:
-            if tag in BLOCKS:
-                close()
-                # An anchor doesn't reach over a block that a forgotten end tag leaves it in.
-                links = 0 if tag in SCOPES else links
-            if tag in ENDS_P:
-                up = node
-                while up is not None and up.tag not in SCOPES and up.tag != "p":
-                    up = up.parent
-                if up is not None and up.tag == "p":
-                    node = pop_to(up)
+        elif tag:
+            # An anchor doesn't reach over a block that a forgotten end tag leaves it in.
+            links = 0 if tag in SCOPES else links
+            if tag in ENDS_P and up.deepest(("p",)) > up.scopes[-1]:
+                up.close_to(up.deepest(("p",)))
             if tag in SAME:
                 ends, stop = SAME[tag]
-                up = node
-                while up is not None and up.tag not in stop:
-                    if up.tag in ends:
-                        node = pop_to(up)
-                        if tag != "tr":
-                            break
-                    up = up.parent
+                while up.deepest(ends) > up.deepest(stop):
+                    up.close_to(up.deepest(ends))
+                    if tag != "tr":
+                        break
             marks = " ".join(a or b or c for k, a, b, c in ATTRIBUTE.findall(m[3]) if k.lower() in ("class", "id", "role")) if m[3] else ""
-            hidden = bool(m[3]) and bool(re.search(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", m[3], re.I))
-            out = tag in DROPPED or hidden or tag == "header" and not inside(node, "article") or by_name and bool(marks) and tag not in ("body", "html", "article", "main") and bool(UNLIKELY.search(CAMEL.sub("-", marks))) and not names_body(marks)
-            bonus = 25.0 if marks and LIKELY.search(marks) else 0.0
+            in_article = bool(up.at.get("article") or up.at.get("main"))
+            out = tag in DROPPED or bool(m[3]) and bool(HIDDEN.search(m[3])) or tag == "header" and not up.at.get("article") or by_name and tag in NAMED and bool(marks) and unlikely(marks, in_article)
             if tag in RAW:
                 end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             elif tag not in VOID and not m[0].endswith("/>") or tag in BLOCKS - VOID:
-                child = Node(tag, node, node.dropped or out, bonus)
-                node.kids.append(child)
-                node = child
+                parent = up.stack[-1]
+                child = Node(tag, parent, parent.dropped or out, 25.0 if marks and LIKELY.search(marks) else 0.0, tag in ("article", "main") or tag in NAMED and bool(ARTICLE.search(marks)))
+                parent.kids.append(child)
+                nodes.append(child)
+                up.push(child)
                 links += tag == "a"
         m = TOKEN.search(page, at)
-    add(page[at:], block_of(node), links > 0)
+    add(page[at:], links > 0)
     close()
-    return root, blocks
-
-
-def inside(n: Node | None, tag: str) -> bool:
-    while n is not None:
-        if n.tag == tag:
-            return True
-        n = n.parent
-    return False
+    return nodes, blocks
 
 
-def names_body(marks: str) -> bool:
-    """Whether the names are those of an article's body, in spite of an unlikely word in one of them."""
-    names = set(marks.lower().split())
-    body = any(re.fullmatch(r"(?:article|post|entry|story)[_-]?(?:body|content|text)", n) for n in names)
-    return body or bool(names & ARTICLE_NAMES) and not names & HARD_NAMES
+def wrapper(n: Node) -> Node:
+    """The article that a container belongs to: the outermost <article> around it, else the nearest <main> or element named as an article, else itself."""
+    article, nearest, up = None, None, n
+    while up is not None:
+        if up.tag == "article":
+            article = up
+        if up.named and nearest is None:
+            nearest = up
+        up = up.parent
+    return article or nearest or n
 
 
 def only_links(owner: Node) -> bool:
-    """Whether a list item stands in a list of three or more that is nearly all links: a menu, wherever it is."""
+    """Whether a list item stands in a list of three or more that is nearly all links: a menu."""
     up = owner.parent
     return owner.tag == "li" and up is not None and len(up.kids) >= 3 and up.linked > 0.8 * up.chars
 
@@ -169,59 +190,56 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     # Where the names of elements rule everything out, they are no guide.
-    blocks = tree(page)[1] or tree(page, by_name=False)[1]
+    nodes, blocks = tree(page)
+    if not blocks:
+        nodes, blocks = tree(page, by_name=False)
     if not blocks:
         return ""
     for owner, s, linked in blocks:
-        n: Node | None = owner
-        while n is not None:
-            n.chars += len(s)
-            n.linked += linked
-            n = n.parent
+        owner.chars += len(s)
+        owner.linked += linked
         # A block passes points to the containers around it; a paragraph element isn't a container itself.
         points = 1 + s.count(",") + min(len(s) / 100, 3.0) if len(s) >= 25 else 0.2
         points *= 1 - linked / len(s)
-        n = owner.parent if owner.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "br", "pre", "li", "dd", "dt", "td", "th", "figcaption", "b") and owner.parent else owner
+        n = owner.parent if owner.tag in LEAVES and owner.parent else owner
         share = 1.0
         while n is not None and share > 0.01:
             n.score += points * share
             share = share / 2 if share == 1 else share / 1.5
             n = n.parent
-    seen: dict[int, Node] = {}
-    for owner, _, _ in blocks:
-        n = owner
-        while n is not None and id(n) not in seen:
-            seen[id(n)] = n
-            n = n.parent
-    final = {k: (n.score + (n.bonus if n.score > 0 else 0) + (25.0 if n.tag in ("article", "main") else 0)) * (1 - n.linked / max(1, n.chars)) for k, n in seen.items() if n.tag not in ("html", "p", "b", "a", "span", "h1", "h2", "h3")}
-    if not final:
+    for n in reversed(nodes[1:]):
+        n.parent.chars += n.chars
+        n.parent.linked += n.linked
+
+    def worth(n: Node) -> float:
+        return (n.score + (n.bonus if n.score > 0 else 0) + (25.0 if n.tag in ("article", "main") else 0)) * (1 - n.linked / max(1, n.chars))
+
+    choices = [n for n in nodes if n.chars and n.tag not in ("html", "p", "b", "a", "span", "h1", "h2", "h3")]
+    if not choices:
         return " ".join(s for _, s, _ in blocks)
-    best = seen[max(final, key=lambda k: final[k])]
-    # An article inside a wrapper that only holds it is the same choice; one step up if the wrapper is the page's only text.
-    keep = {id(best)}
-    limit = max(10.0, 0.2 * final[id(best)])
-    for sib in best.parent.kids if best.parent is not None else []:
-        if sib is best or sib.dropped or not sib.chars:
+    best = max(choices, key=worth)
+    limit = max(10.0, 0.2 * worth(best))
+    chosen = wrapper(best)
+    sure = chosen.named
+    chosen.kept = True
+    for sib in chosen.parent.kids if chosen.parent is not None and chosen.tag not in ("article", "main") else []:
+        if sib is chosen or sib.dropped or not sib.chars:
             continue
-        density = sib.linked / max(1, sib.chars)
-        if final.get(id(sib), 0.0) >= limit and density < 0.3 or sib.tag == "p" and (sib.chars > 80 and density < 0.25 or density == 0 and sib.chars > 20) or sib.tag in ("h1", "h2") and density == 0:
-            keep.add(id(sib))
-
-    def kept(n: Node | None) -> bool:
-        while n is not None:
-            if id(n) in keep:
-                return True
-            n = n.parent
-        return False
-
-    return " ".join(s for owner, s, _ in blocks if kept(owner) and not only_links(owner))
+        density = sib.linked / sib.chars
+        good = sib.tag not in ("p", "b", "a", "span", "h1", "h2", "h3") and worth(sib) >= limit and density < 0.3
+        if good or sib.tag == "p" and (sib.chars > 80 and density < 0.25 or density == 0 and sib.chars > 20) or sib.tag in ("h1", "h2") and density == 0:
+            sib.kept = True
+    for n in nodes[1:]:
+        n.kept = n.kept or n.parent.kept
+    # In an article a list of links is a list of references; elsewhere it is a menu.
+    return " ".join(s for owner, s, _ in blocks if owner.kept and (sure or not only_links(owner)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """id, `keep` columns, text and n_chars of each row; each page is read whole, rows stay where they are.
 
-    Defined results: a null or empty page has the text ''; repeated rows and null ids are handled row by row; other
-    columns aren't read; an empty table gives an empty result.
+    Defined results: a null or empty page has the text ''; repeated rows and null ids are handled row by row; of containers
+    that tie the first one is taken; other columns aren't read, whatever their names; an empty table gives an empty result.
     """
     d = pages.select(id_col, *(keep or []), text_of(html_col).alias("__html"))
     done = with_columns_from(d, "__html", lambda pages: [[main_text(x) for x in pages]], {"text": "string"}, PORTION)
