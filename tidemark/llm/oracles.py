@@ -40,11 +40,15 @@ mn AS (SELECT token, any_value(k) AS k, count(*)::DOUBLE AS n, avg(v) AS mean, s
 lg AS (SELECT ch.token, ch.v - mean AS u, lag(ch.v - mean) OVER w AS lu, (ch.v >= ch.k / 2) <> lag(ch.v >= ch.k / 2) OVER w AS turn FROM ch JOIN mn ON mn.token = ch.token WINDOW w AS (PARTITION BY ch.token ORDER BY pos)),
 ls AS (SELECT token, sum(u * u) AS ss, sum(u * lu) AS lagged, 1 + sum(coalesce(turn, false)::INT) AS runs FROM lg GROUP BY 1),
 z AS (SELECT mn.*, (k / n * squares - n - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n) AS z_chi, 2 * above * (n - above) / n + 1 AS mu, runs, ss, lagged FROM mn JOIN cn ON cn.token = mn.token JOIN ls ON ls.token = mn.token),
-q AS (SELECT z.token, (df = 0 OR chi <= CASE df WHEN 1 THEN 6.24 WHEN 2 THEN 8.76 ELSE 10.87 END) AND abs(z_chi) <= 2.94 AND CASE WHEN (mu - 1) * (mu - 2) > 0 THEN abs(runs - mu) <= 2.94 * sqrt((mu - 1) * (mu - 2) / (n - 1)) ELSE false END AND CASE WHEN ss > 0 THEN abs(lagged / ss + 1 / n) * sqrt(n) <= 2.94 ELSE false END AS passes, least(z.n, 512)::INT AS n FROM z JOIN kd ON kd.token = z.token),
-y AS (SELECT t.doc_id, t.a, t.e, t.enc, t.k, q.n, q.passes, t.token FROM t JOIN q ON q.token = t.token),
-en AS (SELECT enc, log2(sum(m)) - sum(m * log2(m)) / sum(m) AS bits FROM (SELECT y.enc, ch.v, count(*)::DOUBLE AS m FROM y JOIN ch ON ch.token = y.token WHERE NOT passes GROUP BY 1, 2) GROUP BY 1),
+q AS (SELECT z.token, (df = 0 OR chi <= CASE df WHEN 1 THEN 6.24 WHEN 2 THEN 8.76 ELSE 10.87 END) AND abs(z_chi) <= 2.94 AND CASE WHEN (mu - 1) * (mu - 2) > 0 THEN abs(runs - mu) <= 2.94 * sqrt((mu - 1) * (mu - 2) / (n - 1)) ELSE false END AND CASE WHEN ss > 0 THEN abs(lagged / ss + 1 / n) * sqrt(n) <= 2.94 ELSE false END AS passes, least(z.n, 512)::INT AS n, z.n AS whole FROM z JOIN kd ON kd.token = z.token),
+y AS (SELECT t.doc_id, t.a, t.e, t.enc, t.k, q.n, q.whole, q.passes, t.token FROM t JOIN q ON q.token = t.token),
+mt AS (SELECT y.enc, any_value(y.k) AS k, ch.v, count(*)::DOUBLE AS m FROM y JOIN ch ON ch.token = y.token WHERE NOT passes GROUP BY y.enc, ch.v),
+lk AS (SELECT enc, count(*) * 0.04 / 0.96 AS failed, avg(whole) AS long FROM y WHERE passes GROUP BY 1),
+rs AS (SELECT mt.*, greatest(m - coalesce((failed + 3 * sqrt(failed)) * long / k, 0), 0) AS rest FROM mt LEFT JOIN lk ON lk.enc = mt.enc),
+en AS (SELECT enc, any_value(k) AS k, log2(sum(m)) - sum(m * log2(m)) / sum(m) AS every, CASE WHEN sum(rest) > 0 THEN log2(sum(rest)) - sum(CASE WHEN rest > 0 THEN rest * log2(rest) ELSE 0 END) / sum(rest) END AS bits FROM rs GROUP BY 1),
+sh AS (SELECT enc, least(CASE WHEN bits IS NULL THEN 1.0 ELSE greatest(log2(k) - bits, 0) END, greatest(log2(k) - every, 1.0)) AS d FROM en),
 cl AS (SELECT y.enc, n, any_value(k) AS k, count(*) AS tested, sum(passes::INT) AS passing FROM y GROUP BY 1, 2),
-p AS (SELECT cl.*, power(2, -coalesce(greatest(log2(k) - bits, 0), 1.0) * n) AS p FROM cl LEFT JOIN en ON en.enc = cl.enc),
+p AS (SELECT cl.*, power(2, -coalesce(d, 1.0) * n) AS p FROM cl LEFT JOIN sh ON sh.enc = cl.enc),
 up AS (SELECT enc, n, p, sum(passing) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS found FROM p WHERE passing > 0),
 ok AS (SELECT enc, n FROM up WHERE p <= (SELECT max(p) FROM up WHERE p <= 0.01 * found / (SELECT sum(tested) FROM cl))),
 al AS (SELECT doc_id, kind, o, a, e FROM b UNION ALL SELECT doc_id, 'random', 3, a, e FROM y JOIN ok ON ok.enc = y.enc AND ok.n = y.n WHERE passes),
@@ -67,10 +71,13 @@ tm AS (SELECT doc_id, a, a + len(x) AS e, a + whole AS stop, lower(x) AS term FR
 bx AS (SELECT b.*, substring(' ' || t || ' ', greatest(0, a - 47) + 1, a + 1 - greatest(0, a - 47)) || '|' || substring(' ' || t || ' ', e + 2, 48) AS context FROM b JOIN d ON d.doc_id = b.doc_id),
 nr AS (SELECT b.doc_id, b.kind || ':' || lower(b.v) AS entity, b.context, tm.term, tm.a, tm.e FROM bx b JOIN tm ON tm.doc_id = b.doc_id AND (tm.a >= greatest(0, b.a - 47) AND tm.stop < b.a OR tm.a >= b.e + 1 AND tm.stop < b.e + 48)),
 n AS (SELECT count(*)::DOUBLE AS n FROM d),
-dt AS (SELECT term, count(DISTINCT doc_id)::DOUBLE AS df FROM tm GROUP BY 1), de AS (SELECT kind || ':' || lower(v) AS entity, count(DISTINCT doc_id)::DOUBLE AS df FROM b GROUP BY 1),
-pr AS (SELECT entity, term, count(DISTINCT doc_id)::DOUBLE AS shared FROM nr GROUP BY 1, 2 HAVING count(DISTINCT context) >= 2),
-sc AS (SELECT pr.entity, pr.term FROM pr JOIN dt ON dt.term = pr.term JOIN de ON de.entity = pr.entity, n WHERE n > de.df AND ln(n * shared / (de.df * dt.df)) / ln(n / de.df) >= 0.8),
-hit AS (SELECT DISTINCT nr.doc_id, nr.a, nr.e FROM nr JOIN sc ON sc.entity = nr.entity AND sc.term = nr.term WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = nr.doc_id AND b.a < nr.e AND nr.a < b.e)),
+dt AS (SELECT term, count(DISTINCT doc_id)::DOUBLE AS df FROM tm GROUP BY 1),
+en AS (SELECT doc_id, kind || ':' || lower(v) AS entity, context FROM bx), ow AS (SELECT doc_id, entity, min(context) AS context FROM en GROUP BY 1, 2),
+ce AS (SELECT entity, count(DISTINCT doc_id)::DOUBLE AS df FROM en GROUP BY 1 HAVING count(DISTINCT context) >= 2),
+fr AS (SELECT ow.entity, x.term, count(*)::DOUBLE AS shared, count(DISTINCT ow.context) AS far FROM ow JOIN ce ON ce.entity = ow.entity JOIN (SELECT DISTINCT doc_id, term FROM tm) x ON x.doc_id = ow.doc_id GROUP BY 1, 2),
+ns AS (SELECT entity, term, count(DISTINCT context) AS near FROM nr GROUP BY 1, 2),
+sc AS (SELECT fr.entity, fr.term FROM fr LEFT JOIN ns ON ns.entity = fr.entity AND ns.term = fr.term JOIN dt ON dt.term = fr.term JOIN ce ON ce.entity = fr.entity, n WHERE (far >= 2 OR near >= 2) AND n > ce.df AND ln(n * shared / (ce.df * greatest(dt.df, shared))) / ln(n / ce.df) >= 0.8),
+hit AS (SELECT DISTINCT tm.doc_id, tm.a, tm.e FROM tm JOIN ow ON ow.doc_id = tm.doc_id JOIN sc ON sc.entity = ow.entity AND sc.term = tm.term WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = tm.doc_id AND b.a < tm.e AND tm.a < b.e)),
 al AS (SELECT doc_id, kind, o, a, e FROM b UNION ALL SELECT doc_id, 'term', 4, a, e FROM hit),
 g AS (SELECT doc_id, {', '.join(f"count(*) FILTER (o = {i}) AS n_{k}" for i, k in enumerate(('email', 'ip', 'card', 'phone')))}, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY o, a) FILTER (o < 4) AS base, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY o, a) AS spans FROM al GROUP BY 1)
 SELECT d.doc_id, {', '.join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in ('email', 'ip', 'card', 'phone'))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON g.doc_id = d.doc_id
@@ -88,7 +95,7 @@ b{k} AS MATERIALIZED (SELECT j, x.v AS v, x.i AS i FROM (SELECT c.j, min({{'v':
 t{k - 1} AS MATERIALIZED (SELECT i AS j FROM b{k} JOIN t{k} ON t{k}.j = b{k}.j WHERE i > 0),""" for k in range(buckets, 1, -1))
     return rf"""
 WITH d AS (SELECT doc_id, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS n_tokens FROM documents),
-g AS (SELECT doc_id, n_tokens, CASE WHEN n_tokens <= 256 THEN n_tokens ELSE (ceil(n_tokens / s) * s)::BIGINT END AS grid FROM (SELECT *, power(2, greatest(floor(log2(greatest(n_tokens, 1))) - 7, 0)) AS s FROM d)),
+g AS (SELECT doc_id, n_tokens, n_tokens AS grid FROM d),
 h AS MATERIALIZED (SELECT row_number() OVER (ORDER BY grid) AS j, grid, sum(n) OVER (ORDER BY grid) AS c, sum(n * grid) OVER (ORDER BY grid) AS w FROM (SELECT grid, count(*) AS n FROM g GROUP BY 1)),
 p AS (SELECT 0 AS j, 0 AS c, 0 AS w UNION ALL SELECT j, c, w FROM h),
 cost AS MATERIALIZED (SELECT p.j AS i, h.j AS j, (h.grid * (h.c - p.c) - (h.w - p.w))::DOUBLE AS c FROM p JOIN h ON p.j < h.j),
