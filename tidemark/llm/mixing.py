@@ -4,37 +4,43 @@ Documents with the same set of sources form a pattern. Words flow from patterns
 source's target. A pattern gives its size once for nothing and again at a rising cost, so repeats are spread evenly and
 come only where words are short. The flow says how often a pattern's words are taken; documents are then chosen in a
 seeded order, of which the last one of each pattern is taken in part so that the words meet the flow.
+
+Targets come from running sums over the sources. Patterns that share no source, directly or over others, don't see each
+other's flow, so each connected group of them is solved as a group of its own, wherever Spark puts it.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from tidemark.llm.common import running_before, seeded, table, text_of, words_of, written
+from tidemark import for_workers
+from tidemark.llm.common import components, running_before, seeded, table, text_of, words_of, written
 
 #: Weights of the sources in order, repeating; how often a document may be taken; the seed of the order.
 WEIGHTS, REPEATS, SEED = (1, 2, 3), 3, "mix"
-#: Patterns and sources are tables on the driver; more than this is refused rather than risked.
-MOST_PATTERNS = 200_000
-
-
-def targets(sizes: list[float], weights: list[float], repeats: int = REPEATS) -> list[float]:
-    """Shares of the total size by weight; those above `repeats` times their own size stop there and the excess is shared again."""
-    total, out, free = float(sum(sizes)), [0.0] * len(sizes), set(range(len(sizes)))
-    while free:
-        level = (total - sum(repeats * sizes[i] for i in range(len(sizes)) if i not in free)) / sum(weights[i] for i in free)
-        above = {i for i in free if level * weights[i] > repeats * sizes[i]}
-        if not above:
-            for i in free:
-                out[i] = level * weights[i]
-            break
-        for i in above:
-            out[i] = float(repeats * sizes[i])
-        free -= above
-    return out
+
+
+def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+    """sources (source, source_size) with `target`: shares of the total size by weight; those above `repeats` times their own
+    size stop there and the excess is shared again.
+
+    Weights go round in the order of the sources' names, null last. Sources stop in the order of their limits over their
+    weights, so with the k that come first stopped, the others' level follows from running sums; the first source that a
+    level doesn't fill gives it. Sources, not documents, are put in order here.
+    """
+    d = sources.withColumn("n", F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1)
+    d = d.withColumns({"weight": F.get(F.array(*(F.lit(float(w)) for w in weights)), (F.col("n") % len(weights)).cast("int")), "most": (repeats * F.col("source_size")).cast("double")})
+    before = W.orderBy(F.col("most") / F.col("weight"), "n").rowsBetween(W.unboundedPreceding, -1)
+    d = d.withColumns({"stopped": F.coalesce(F.sum("most").over(before), F.lit(0.0)), "gone": F.coalesce(F.sum("weight").over(before), F.lit(0.0))})
+    total = d.agg(F.sum("source_size").cast("double").alias("total"), F.sum("weight").alias("all"))
+    d = d.crossJoin(F.broadcast(total)).withColumn("level", (F.col("total") - F.col("stopped")) / (F.col("all") - F.col("gone")))
+    level = d.where(F.col("level") * F.col("weight") <= F.col("most")).agg(F.min_by("level", "gone").alias("last"))
+    return d.crossJoin(F.broadcast(level)).select("source", "source_size", F.least(F.coalesce(F.col("last") * F.col("weight"), F.col("most")), F.col("most")).alias("target"))
 
 
 def flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], repeats: int = REPEATS) -> list[int]:
@@ -83,34 +89,61 @@ def flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], repeats
     return taken
 
 
+def name_of(source: Column) -> Column:
+    """A number for a source; null is one too."""
+    return F.xxhash64(source.isNull(), source)
+
+
+def pattern_flows(sums: DataFrame, goals: DataFrame, repeats: int = REPEATS) -> DataFrame:
+    """(pattern, taken, source_size, target) of sums (pattern, sources, size): the words that the flow takes of each pattern, and the numbers of its first source."""
+    for_workers(sums.sparkSession)
+    each = sums.where(F.size("sources") > 0).select("pattern", "size", F.posexplode("sources").alias("i", "source")).withColumn("name", name_of(F.col("source")))
+    each = each.join(goals.select(name_of(F.col("source")).alias("name"), "source_size", "target"), "name")
+    rows = written(each.groupBy("pattern").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("i", "name", "target", "source_size"))).alias("s")))
+    first = F.get("s", 0)
+    shared = rows.where(F.size("s") > 1).select(first["name"].alias("a"), F.explode("s").alias("x")).select("a", F.col("x.name").alias("b"))
+    rows = rows.withColumn("node", first["name"])
+    if shared.limit(1).count():
+        rows = rows.join(components(shared), "node", "left").withColumn("node", F.coalesce("label", "node"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pattern")
+        quota = {x["name"]: int(x["target"]) for s in pdf["s"] for x in s}
+        at = {n: k for k, n in enumerate(sorted(quota))}
+        patterns = [(tuple(at[x["name"]] for x in s), int(size)) for s, size in zip(pdf["s"], pdf["size"], strict=True)]
+        return pd.DataFrame({"pattern": pdf["pattern"], "taken": flow(patterns, [quota[n] for n in sorted(quota)], repeats), "source_size": [s[0]["source_size"] for s in pdf["s"]], "target": [s[0]["target"] for s in pdf["s"]]})
+
+    return rows.select("node", "pattern", "size", "s").groupBy("node").applyInPandas(solve, "pattern string, taken long, source_size long, target double")
+
+
 def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, keep: list[str] | None = None) -> DataFrame:
     """`keep` columns, doc_id, text_hash, sources (sorted array), size, taken (words), copies (taken in whole documents, 0 to `repeats`) and the numbers of the document's first source.
 
     sources: an array column with the sources that a document belongs to; null entries are a source of their own, the
     last. Sources weigh `weights`, repeating, in code point order, and share the whole size. Defined results: a null text
-    has size 0 and is taken 0 times, as has one without words; identical rows are chosen one by one; of rows that tie in
-    the seeded order any is as good; an empty table gives an empty result.
+    has size 0 and is taken 0 times, as has one without words; a document without a source is taken 0 times; identical
+    rows are chosen one by one; of rows that tie in the seeded order any is as good; an empty table gives an empty result.
     """
     carried = [f"keep_{i}" for i in range(len(keep or []))]
     d = docs.select(*(F.col(c).alias(n) for c, n in zip(keep or [], carried, strict=True)), F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_hash"), F.sort_array(F.array_distinct(sources)).alias("sources"), F.size(words_of(text_of(text_col))).cast("long").alias("size"))
-    d = written(d.withColumn("pattern", F.to_json("sources")))
-    sums = d.groupBy("pattern", "sources").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
-    if len(sums) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} patterns of sources")
-    sums.sort(key=lambda r: r["pattern"])
-    names = sorted({x for r in sums for x in r["sources"]}, key=lambda x: (x is None, x or ""))
-    at = {x: i for i, x in enumerate(names)}
-    sizes = [sum(r["size"] for r in sums if x in r["sources"]) for x in names]
-    share = [float(weights[i % len(weights)]) for i in range(len(names))]
-    goals = targets(sizes, share, repeats)
-    taken = flow([(tuple(at[x] for x in r["sources"]), r["size"]) for r in sums], [int(t) for t in goals], repeats)
-    rows = [(r["pattern"], t // r["size"] if r["size"] else 0, t % r["size"] if r["size"] else 0, sizes[at[r["sources"][0]]] if r["sources"] else 0, goals[at[r["sources"][0]]] if r["sources"] else 0.0) for r, t in zip(sums, taken, strict=True)]
-    plan = docs.sparkSession.createDataFrame(rows, "pattern string, rounds long, rest long, source_size long, target double")
-    d = running_before(d.withColumn("key", seeded(SEED, "doc_id", "text_hash")), "pattern", "key", "size", ["doc_id", "text_hash"])
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
-    d = d.join(plan, "pattern").withColumn("taken", F.when(F.col("size") > 0, F.col("rounds") * F.col("size") + part).otherwise(0).cast("long"))
+    d = d.withColumns({"pattern": F.to_json("sources"), "rows": F.lit(1).cast("long"), "part": F.lit(0)})
+    if not carried:
+        # Equal rows of a task become one with their number, so that a document that is there very often doesn't fill a cell.
+        d = d.withColumn("part", F.spark_partition_id()).groupBy("doc_id", "text_hash", "sources", "size", "pattern", "part").agg(F.sum("rows").alias("rows"))
+    d = written(d)
+    sums = written(d.groupBy("pattern", "sources").agg(F.sum(F.col("size") * F.col("rows")).alias("size")))
+    goals = written(targets(sums.select("size", F.explode("sources").alias("source")).groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats))
+    plan = written(sums.select("pattern", F.col("size").alias("pattern_size")).join(pattern_flows(sums, goals, repeats), "pattern"))
+    d = running_before(d.withColumns({"key": seeded(SEED, "doc_id", "text_hash"), "words": F.col("size") * F.col("rows")}), "pattern", "key", "words", ["doc_id", "text_hash", "part"])
+    d = d.join(plan, "pattern", "left")
+    if not carried:
+        d = d.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).withColumn("before", F.col("before") + F.col("nth") * F.col("size"))
+    d = d.withColumnRenamed("taken", "flows").withColumn("rounds", F.expr("CASE WHEN pattern_size > 0 THEN flows div pattern_size ELSE 0 END"))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.coalesce(F.col("flows") - F.col("rounds") * F.col("pattern_size"), F.lit(0)) - F.col("before")))
+    d = d.withColumn("taken", F.when(F.col("size") > 0, F.col("rounds") * F.col("size") + part).otherwise(0).cast("long"))
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("long")
-    return d.select(*carried, "doc_id", "text_hash", "sources", "size", "source_size", "target", "taken", copies.alias("copies"))
+    numbers = (F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"))
+    return d.select(*carried, "doc_id", "text_hash", "sources", "size", *numbers, "taken", copies.alias("copies"))
 
 
 def mixed(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
