@@ -15,7 +15,7 @@ from tidemark import for_workers
 from tidemark.llm.common import bits_between, components, discard, hex16, table, text_of, words_of, written
 from tidemark.llm.hamming import block_tables, links, pigeonhole_cells, pigeonhole_plan
 from tidemark.llm.simhash import fingerprints, lower_words, shingle_hashes, weighted_terms
-from tidemark.llm.wordbytes import C1, C2, STRETCH, mixed, portions, runs
+from tidemark.llm.wordbytes import C1, C2, mixed, portions, runs
 
 
 def shingle_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -49,6 +49,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 #: Similar texts: words in a shingle, the least share of common shingles, bits in which the fingerprints of their words may differ,
 #: rounds in which a cell's members meet one of them before those that are still apart meet each other.
 SHINGLE, SIMILARITY, WORD_RADIUS, ROUNDS = 5, 0.8, 5, 2
+#: Hashes whose bits are laid out at a time.
+VOTERS = 10_000
 
 
 def shingle_bits(similarity: float) -> int:
@@ -59,10 +61,10 @@ def shingle_bits(similarity: float) -> int:
 def votes(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     """The 64-bit SimHash of each row's hashes (row ascends): a bit is one if it is set in over half of them."""
     ones, out = np.zeros((rows, 64), dtype=np.int64), np.zeros(rows, dtype=np.uint64)
-    for low in range(0, len(h), STRETCH):
-        some = row[low : low + STRETCH]
+    for low in range(0, len(h), VOTERS):
+        some = row[low : low + VOTERS]
         first = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
-        bits = np.unpackbits(h[low : low + STRETCH].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(h[low : low + VOTERS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones[some[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
     set_bits = 2 * ones > np.bincount(row, minlength=rows)[:, None]
     out[:] = np.packbits(set_bits, axis=1, bitorder="little").view(np.uint64)[:, 0]

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of texts worked on at a time in a task, and words of a text that is longer than that.
-PORTION, STRETCH = 1_000_000, 150_000
+PORTION, STRETCH = 250_000, 50_000
 C1, C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
