@@ -5,6 +5,8 @@ from __future__ import annotations
 from tidemark.llm import oracles
 from tidemark.llm.html import op2_html_extraction
 from tidemark.llm.langid import op6_language_id
+from tidemark.llm.merkle import ORACLE as MERKLE_SQL
+from tidemark.llm.merkle import op11_merkle_manifest
 from tidemark.llm.mixing import ORACLE as MIXING_SQL
 from tidemark.llm.mixing import op9_mixing
 from tidemark.llm.neardup import op3_fingerprints, op8_simhash_neardup
@@ -26,6 +28,7 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_neardup,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 ORACLES = {
     "op1_pii": oracles.PII,
@@ -34,4 +37,5 @@ ORACLES = {
     "op7_substring_dedup": oracles.SUBSTRINGS,
     "op9_mixing": MIXING_SQL,
     "op10_quality_rules": QUALITY_SQL,
+    "op11_merkle_manifest": MERKLE_SQL,
 }
