@@ -208,21 +208,26 @@ RANGES, IN_RANGE = 1 << 16, 2_000
 
 
 def id_ranges(docs: DataFrame, key: str) -> DataFrame:
-    """docs (with a text_hash) with `range`, a number that ascends with the key, then, for null keys, with the text hash; the
-    ranges hold about equally many rows. Null keys come first, in ranges below zero.
+    """docs (with a text_hash) with `range`, a number that ascends with the key, then with the text hash; the ranges hold
+    about equally many rows. Null keys come first, in ranges below zero.
 
     Their bounds are approximate quantiles of the key, RANGES of them at most: one row for all tasks, searched by halving.
+    A key that is several bounds at once, as many rows share it, has as many ranges, by the text hash.
     """
     sizes = docs.agg(F.count(key).alias("n"), F.count(F.lit(1)).alias("all")).first()
     n, nulls = sizes["n"], max(1, min(RANGES, (sizes["all"] - sizes["n"]) // IN_RANGE))
     parts = max(1, min(RANGES, n // IN_RANGE))
     cuts = docs.select(key).approxQuantile(key, [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
-    bounds = docs.sparkSession.createDataFrame([(sorted({int(x) for x in cuts}),)], "__bounds array<bigint>")
+    bounds = docs.sparkSession.createDataFrame([(sorted(int(x) for x in cuts),)], "__bounds array<bigint>")
     steps = F.array(*(F.lit(1 << i) for i in reversed(range(RANGES.bit_length()))))
-    # How many bounds are at or below the key: each step takes another power of two of them if they all are.
-    found = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.get("__bounds", at + s - 1) <= F.col(key), F.lit(False)), at + s).otherwise(at))
-    by_hash = F.least(F.floor((F.col("text_hash").cast("double") / 2.0**64 + 0.5) * nulls), F.lit(nulls - 1))
-    return docs.crossJoin(F.broadcast(bounds)).withColumn("range", F.when(F.col(key).isNull(), by_hash.cast("int") - nulls).otherwise(found)).drop("__bounds")
+    # How many bounds are at or below the key (or below it): each step takes another power of two of them if they all are.
+    found = lambda test: F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(test(F.get("__bounds", at + s - 1)), F.lit(False)), at + s).otherwise(at))
+    d = docs.crossJoin(F.broadcast(bounds)).withColumn("__to", found(lambda b: b <= F.col(key)))
+    own = F.coalesce(F.get("__bounds", F.col("__to") - 1) == F.col(key), F.lit(False))
+    d = d.withColumn("__from", F.when(own, found(lambda b: b < F.col(key)) + 1).otherwise(F.col("__to")))
+    share = lambda parts: F.least(F.floor((F.col("text_hash").cast("double") / 2.0**64 + 0.5) * parts), parts - 1).cast("int")
+    by_hash = share(F.lit(nulls)) - nulls
+    return d.withColumn("range", F.when(F.col(key).isNull(), by_hash).otherwise(F.col("__from") + share(F.col("__to") - F.col("__from") + 1))).drop("__bounds", "__from", "__to")
 
 
 def with_next(docs: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from tidemark.llm.quality import ORACLE as QUALITY_SQL
 from tidemark.llm.quality import op10_quality_rules
 from tidemark.llm.secrets import op5_secret_scans
 from tidemark.llm.substrings import op7_substring_dedup
+from tidemark.llm.tokenids import op12_token_ids
 
 QUERIES = {
     "op1_pii": op1_pii,
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_ids": op12_token_ids,
 }
 ORACLES = {
     "op1_pii": oracles.PII,
