@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from tidemark.llm import oracles
+from tidemark.llm.collocations import ORACLE as COLLOCATIONS_SQL
+from tidemark.llm.collocations import op13_collocations
 from tidemark.llm.html import op2_html_extraction
 from tidemark.llm.langid import op6_language_id
 from tidemark.llm.merkle import ORACLE as MERKLE_SQL
@@ -31,6 +33,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_token_ids": op12_token_ids,
+    "op13_phrase_collocations": op13_collocations,
 }
 ORACLES = {
     "op1_pii": oracles.PII,
@@ -40,4 +43,5 @@ ORACLES = {
     "op9_mixing": MIXING_SQL,
     "op10_quality_rules": QUALITY_SQL,
     "op11_merkle_manifest": MERKLE_SQL,
+    "op13_phrase_collocations": COLLOCATIONS_SQL,
 }
