@@ -141,7 +141,8 @@ def pigeonhole_plan(fps: DataFrame, radius: int) -> list[tuple[list[int], int]]:
     stats, n = bit_correlations(fps)
     r, p = stats[:, :, 0], stats[0, :, 1]
     choices = []
-    for parts in range(-(-(radius + 1) // 3), radius + 3):
+    # One partition of all bits would be no pigeonhole, and one cell a row for each bit.
+    for parts in range(max(2, -(-(radius + 1) // 3)), radius + 3):
         groups = partitions(r, parts)
         keys = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), masked(F.col("fp"), g).alias("key")) for i, g in enumerate(groups)))).alias("c")
         counted = {x["i"]: float(x["pairs"]) for x in fps.select(keys).groupBy("c").count().groupBy("c.i").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("pairs")).collect()}

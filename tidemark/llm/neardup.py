@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, ceil, pi
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,7 @@ from tidemark import for_workers
 from tidemark.llm.common import bits_between, components, discard, hex16, table, text_of, words_of, written
 from tidemark.llm.hamming import block_tables, links, pigeonhole_cells, pigeonhole_plan
 from tidemark.llm.simhash import fingerprints, lower_words, shingle_hashes, weighted_terms
-from tidemark.llm.wordbytes import C1, C2, mixed, portions, runs
+from tidemark.llm.wordbytes import C1, mixed, portions, runs
 
 
 def shingle_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -46,16 +45,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fps.join(written(grouped), "fp").select("doc_id", "text_hash", "fp", "group_fp", "component_id")
 
 
-#: Similar texts: words in a shingle, the least share of common shingles, bits in which the fingerprints of their words may differ,
-#: rounds in which a cell's members meet one of them before those that are still apart meet each other.
-SHINGLE, SIMILARITY, WORD_RADIUS, ROUNDS = 5, 0.8, 5, 2
+#: Similar texts: words in a shingle, the least share of common shingles, bits in which the fingerprints of their words may
+#: differ, rounds in which a cell's members meet one of them before more is done, and members that may then all meet.
+SHINGLE, SIMILARITY, WORD_RADIUS, ROUNDS, SMALL = 5, 0.8, 8, 2, 64
+#: Bins of a sketch of the shingles, and how often cells are split by them.
+BINS, SPLITS = 128, 3
 #: Hashes whose bits are laid out at a time.
 VOTERS = 10_000
 
 
-def shingle_bits(similarity: float) -> int:
-    """Of 128 bits so many differ at that share of common shingles: the angle between two sets of equal size."""
-    return ceil(128 * acos(2 * similarity / (1 + similarity)) / pi)
+def least_common(bins: np.ndarray, similarity: float) -> np.ndarray:
+    """Of so many bins that hold a shingle as many agree at that share of common shingles, give or take their standard deviation."""
+    return bins * similarity - np.sqrt(bins * similarity * (1 - similarity))
+
+
+def bin_blocks(similarity: float) -> int:
+    """Blocks that the bins are cut into so that similar sketches, whatever bins they differ in, share a whole block."""
+    differ = int(BINS - least_common(np.array(BINS), similarity))
+    return next(n for n in range(differ + 1, BINS + 1) if BINS % n == 0)
 
 
 def votes(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
@@ -71,8 +78,22 @@ def votes(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+def sketches(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """BINS bytes of each row: a bin's byte comes from the smallest of the row's hashes that fall in it, 0 if none does."""
+    out = np.zeros((rows, BINS), dtype=np.uint8)
+    at = row * BINS + (h % np.uint64(BINS)).astype(np.int64)
+    order = np.lexsort((h, at))
+    at, h = at[order], h[order]
+    first = np.concatenate([[True], at[1:] != at[:-1]])[: len(at)]
+    out.reshape(-1)[at[first]] = 1 + mixed(h[first]) % np.uint64(255)
+    return out
+
+
 def text_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, text_hash, words, s1, s2) of each row: the SimHash of its different words and two of its shingles, A-Z in lower case."""
+    """(doc_id, text_hash, words, sketch) of each row: the SimHash of its different words and a sketch of its shingles, A-Z in lower case.
+
+    A null text has no words; without any, words is zero and the sketch all zeros. Rows stay rows, whatever repeats.
+    """
     for_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,74 +110,116 @@ def text_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int)
             # Texts of fewer words have one shingle of all of them.
             short = np.flatnonzero((count > 0) & (count < shingle))
             few = np.array([runs(h[w.first[i] : w.first[i + 1]], int(count[i]))[0] for i in short], dtype=np.uint64)
-            row = np.concatenate([w.doc[whole], short])
-            by = np.argsort(row, kind="stable")
-            row, s = row[by], np.concatenate([runs_h[whole], few])[by]
-            made = [votes(sorted_h[new], sorted_doc[new], n), votes(mixed(s ^ C1), row, n), votes(mixed(s ^ C2), row, n)]
-            yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text_hash"), *(pa.array(x.view(np.int64)) for x in made)], names=["doc_id", "text_hash", "words", "s1", "s2"])
+            row, s = np.concatenate([w.doc[whole], short]), np.concatenate([runs_h[whole], few])
+            made = sketches(mixed(s ^ C1), row, n)
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text_hash"), pa.array(votes(sorted_h[new], sorted_doc[new], n).view(np.int64)), pa.array([x.tobytes() for x in made], type=pa.binary())], names=["doc_id", "text_hash", "words", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_hash"), text_of(text_col).alias("text"))
-    return d.mapInArrow(run, f"doc_id {kind}, text_hash long, words long, s1 long, s2 long")
+    return d.mapInArrow(run, f"doc_id {kind}, text_hash long, words long, sketch binary")
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b, la, lb) of nodes whose sketches agree as those of similar texts do."""
+    d = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for c in ("sa", "sb"))
+            held = (a > 0) | (b > 0)
+            same = ((a == b) & held).sum(axis=1) >= least_common(held.sum(axis=1), similarity)
+            yield batch.select(["la", "lb"]).filter(pa.array(same))
+
+    return d.select("la", "lb", "sa", "sb").mapInArrow(run, "la long, lb long")
+
+
+def by_sketch(members: DataFrame, nodes: DataFrame, level: int, similarity: float) -> DataFrame:
+    """Smaller cells by the blocks of bins, in another order at each level; at 0.8, 32 blocks of 4, as alike sketches differ in 30 bins at most."""
+    order = np.random.default_rng(level).permutation(BINS).reshape(bin_blocks(similarity), -1).tolist()
+    key = lambda block: F.concat(*(F.substring("sketch", i + 1, 1) for i in block))
+    cells = F.array(*(F.xxhash64("cell", F.lit(k), key(block)) for k, block in enumerate(order)))
+    d = members.join(nodes.select("node", "sketch"), "node")
+    return d.select(F.explode(cells).alias("cell"), *(c for c in members.columns if c != "cell"))
+
+
+def apart(members: DataFrame) -> DataFrame:
+    """The members of cells whose members aren't all of one group yet, with the number `n` of a cell's members; written."""
+    open_cells = members.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("cell", "n")
+    return written(members.join(open_cells, "cell"))
 
 
-def joined_cells(members: DataFrame, close, rounds: int = ROUNDS) -> DataFrame:
-    """(node, label): the connected groups of the close pairs among the members (cell, node, ...) of common cells.
+def joined_cells(cells: DataFrame, nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(node, label) of all nodes (node, words, sketch): the connected groups of the alike pairs among the members (cell, node) of common cells.
 
-    close(a, b) is a condition on two rows of members. First, one member of each cell, another in each round, meets the
-    others; what is in one group by then needs no more. Then all members that are still in different groups meet: no
-    pair of a cell is left out unless a path between the two is known.
+    One member of each cell, the same wherever it can be, meets the others, another one in the next round; what is of one
+    group by then needs no more. In cells of SMALL members or fewer all those meet that are still apart. Larger ones are
+    split by their sketches into cells that lose no alike pair, and so on, SPLITS times; members that stay together then
+    share bins in every split, and all of those that are still apart meet. Ties between members are settled by a hash.
     """
-    columns = [c for c in members.columns if c != "cell"]
-    members = written(members.withColumn("label", F.col("node")))
-    known = written(members.select("node", "label").distinct())
-    for k in range(rounds + 1):
-        edges = members.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("cell")
-        # What is apart stays for the rounds to come, the rest has its group.
-        apart = written(members.join(edges, "cell"))
-        discard(members)
-        a = apart.alias("a")
-        if k < rounds:
-            turn = F.xxhash64(F.lit(k), "node")
-            hubs = apart.groupBy("cell").agg(F.min_by(F.struct(*columns, "label"), turn).alias("hub")).select(F.col("cell").alias("at"), "hub.*")
-            found = a.join(hubs.alias("b"), F.expr("a.cell = b.at AND a.label <> b.label"))
-        else:
-            found = a.join(apart.alias("b"), F.expr("a.cell = b.cell AND a.label < b.label"))
-        found = written(found.where(close("a", "b")).select(F.col("a.label").alias("a"), F.col("b.label").alias("b")).distinct())
+    members = written(cells.join(nodes.select("node", "words"), "node").select("cell", "node", "words", F.col("node").alias("label")))
+    base, known = members, written(nodes.select("node", F.col("node").alias("label")))
+    close = bits_between(F.col("a.words"), F.col("b.words")) <= radius
+    columns = [F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.label").alias("la"), F.col("b.label").alias("lb")]
+
+    def merge(pairs: DataFrame) -> None:
+        """New labels for members and known, given pairs (a, b, la, lb) of members whose fingerprints are near."""
+        nonlocal members, base, known
+        near = written(pairs.distinct())
+        found = written(alike(near, nodes, similarity).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
         if found.limit(1).count():
-            merged = components(found).select(F.col("node").alias("label"), F.col("label").alias("new"))
+            names = components(found).select(F.col("node").alias("label"), F.col("label").alias("new"))
             new = F.coalesce("new", "label").alias("label")
-            before, known = known, written(known.join(merged, "label", "left").select("node", new))
-            members = written(apart.join(merged, "label", "left").select("cell", *columns, new))
-            discard(before, apart)
-        else:
-            members = apart
-        discard(found)
-    discard(members)
+            old, members = base, written(members.join(names, "label", "left").select("cell", "node", "words", new))
+            before, known = known, written(known.join(names, "label", "left").select("node", new))
+            base = members
+            discard(old, before)
+        discard(near, found)
+
+    def settled() -> DataFrame:
+        """Of the members those that are still apart in their cell, with the cell's size."""
+        nonlocal members, base
+        old, base = base, apart(members)
+        members = base.drop("n")
+        discard(old)
+        return base
+
+    for level in range(SPLITS + 1):
+        for k in range(ROUNDS):
+            left = settled()
+            hubs = left.groupBy("cell").agg(F.min_by(F.struct("node", "words", "label"), F.xxhash64(F.lit(k), "node")).alias("hub")).select(F.col("cell").alias("at"), "hub.*")
+            merge(left.alias("a").join(hubs.alias("b"), F.expr("a.cell = b.at AND a.label <> b.label")).where(close).select(columns))
+        left = settled()
+        last = level == SPLITS or not left.where(F.col("n") > SMALL).limit(1).count()
+        small = left if level == SPLITS else left.where(F.col("n") <= SMALL)
+        # What is in large cells goes on, with the labels that it gets here.
+        members = left.drop("n") if last else left.where(F.col("n") > SMALL).drop("n")
+        merge(small.alias("a").join(small.alias("b"), F.expr("a.cell = b.cell AND a.label < b.label")).where(close).select(columns))
+        if last:
+            break
+        old, base = base, written(by_sketch(members, nodes, level, similarity))
+        members = base
+        discard(old)
+    discard(base)
     return known
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = WORD_RADIUS) -> DataFrame:
-    """(doc_id, text_hash, group) of each row: texts that share `similarity` or more of their shingles by their fingerprints, transitively.
+    """(doc_id, text_hash, group) of each row: texts that share `similarity` or more of their shingles by their sketches, transitively.
 
     Candidates come from the fingerprints of the texts' words, which a few changed words move less than shingles: the
-    generalised pigeonhole finds all within `radius` bits. They are verified by two fingerprints of the shingles: at most
-    as many of 128 bits may differ as do at `similarity`, give or take the four bits that such a count is spread by.
-    Defined results: as in near_groups; group is a number without further meaning.
+    generalised pigeonhole finds all within `radius` bits. They are verified by sketches of the shingles, whose bins agree
+    in a share that is that of common shingles, less a standard deviation. Defined results: as in near_groups; group is a
+    number without further meaning.
     """
-    fps = written(text_fingerprints(docs, id_col, text_col, shingle).withColumn("node", F.xxhash64("words", "s1", "s2")))
-    nodes = written(fps.select("node", "words", "s1", "s2").distinct())
+    fps = written(text_fingerprints(docs, id_col, text_col, shingle).withColumn("node", F.xxhash64("words", "sketch")))
+    nodes = written(fps.select("node", "words", "sketch").distinct())
     prints = written(nodes.groupBy(F.col("words").alias("fp")).agg(F.count(F.lit(1)).alias("n")))
     cells = pigeonhole_cells(nodes.withColumnRenamed("words", "fp").select("fp", "node"), pigeonhole_plan(prints, radius), ["node"]).select("cell", "node")
     # A node is in a cell once, so a count tells whether it is alone there.
     shared = written(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell"))
-    members = cells.join(shared, "cell").join(nodes, "node").select("cell", "node", "words", "s1", "s2")
-    most = shingle_bits(similarity)
-    between = lambda a, b, x: bits_between(F.col(f"{a}.{x}"), F.col(f"{b}.{x}"))
-    close = lambda a, b: (between(a, b, "words") <= radius) & (between(a, b, "s1") + between(a, b, "s2") <= most)
-    labels = joined_cells(members, close)
+    labels = joined_cells(cells.join(shared, "cell"), nodes, radius, similarity)
     discard(nodes, prints, shared)
-    return fps.join(labels, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("group"))
+    return fps.join(labels, "node").select("doc_id", "text_hash", F.col("label").alias("group"))
 
 
 def first_of_each(docs: DataFrame, groups: DataFrame, group: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
