@@ -282,16 +282,20 @@ def predict(model: Model | None, texts: list[str]) -> pd.DataFrame:
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, excerpt) of a seeded sample of documents that aren't held out: PER_LANGUAGE of each language on average (see there), an excerpt of EXCERPT words each."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), text_of(text_col).alias("t")).where(~held_out("doc_id") & F.col("lang").isNotNull())
+    """(doc_id, lang, excerpt) of a seeded sample of documents that aren't held out: PER_LANGUAGE of each language on average (see there), an excerpt of EXCERPT words each.
+
+    Rows are drawn by their id and their text's hash, so rows without an id, or with one id, are drawn one by one; identical
+    rows come together or not at all. Rows without a language, or held out, aren't drawn; a null text is an empty excerpt.
+    """
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), text_of(text_col).alias("t")).withColumn("h", F.xxhash64("t")).where(~held_out("doc_id") & F.col("lang").isNotNull())
     # One row for each language that the model will hold a column of weights for, so it is small wherever that is; the texts stay where they are.
     found = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     each = max(LEAST, min(PER_LANGUAGE, MOST_ROWS // max(1, len(found))))
     sizes = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in found], "lang string, n long"))
-    chance = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    chance = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "h"), F.lit(1_000_000)) / F.lit(1_000_000.0)
     picked = d.join(sizes, "lang").where(chance * F.col("n") < each)
-    picked = picked.select("doc_id", "lang", words_of(F.col("t")).alias("w"))
-    begin = 1 + F.pmod(F.xxhash64(F.lit("begin"), "doc_id"), F.greatest(F.size("w") - EXCERPT + 1, F.lit(1))).cast("int")
+    picked = picked.select("doc_id", "h", "lang", words_of(F.col("t")).alias("w"))
+    begin = 1 + F.pmod(F.xxhash64(F.lit("begin"), "doc_id", "h"), F.greatest(F.size("w") - EXCERPT + 1, F.lit(1))).cast("int")
     return picked.select("doc_id", "lang", F.array_join(F.slice("w", begin, F.lit(EXCERPT)), " ").alias("excerpt"))
 
 

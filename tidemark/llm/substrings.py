@@ -31,6 +31,8 @@ WINDOW = 20
 SHARED = 4096
 #: Stands for a null id.
 LAST = (1 << 63) - 1
+
+
 def sums(h: np.ndarray, base: np.uint64) -> Callable:
     """A hash of the words [low, high) for arrays of both."""
     total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * powers(base, len(h)), dtype=np.uint64)])
@@ -75,8 +77,8 @@ def repeated(rows: DataFrame, key: str) -> DataFrame:
 
 
 def per_document(rows: DataFrame) -> DataFrame:
-    """One row a document (k, t) with the array s of its places; as long as the document at most."""
-    return written(rows.groupBy("k", "t").agg(F.collect_list(F.col("low") * SHARED + F.col("m")).alias("s")))
+    """One row a document (k, t) with the array s of its places; as long as the document at most, as identical rows share their places."""
+    return written(rows.select("k", "t", "low", "m").distinct().groupBy("k", "t").agg(F.collect_list(F.col("low") * SHARED + F.col("m")).alias("s")))
 
 
 def with_lists(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
