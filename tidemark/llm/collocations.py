@@ -25,8 +25,8 @@ from tidemark.llm.common import discard, table, text_of, written
 
 #: Words in a phrase at most, occurrences at least, phrases reported for each language, share of a phrase that a longer one holds.
 LONGEST, FREQUENT, TOP, WITHIN = 4, 30, 2000, (80, 100)
-#: Bytes of texts in a portion.
-PORTION = 4_000_000
+#: Bytes of texts in a portion, and portions of a task at most: a portion's number takes 31 bits with that of its task.
+PORTION, IN_TASK = 8_000_000, 1 << 12
 
 #: What a byte is (0 part of a word, 1 between words, 2 between pieces), and its lower case in A-Z.
 KIND, LOWER = np.zeros(256, dtype=np.uint8), np.arange(256, dtype=np.uint8)
@@ -63,21 +63,22 @@ def stretches(code: np.ndarray, linked: np.ndarray) -> np.ndarray:
     return np.insert(code, gap + 1, -1)[np.insert(keep, gap + 1, True)].astype(np.int32)
 
 
-SEQUENCES = "p string, codes binary, a array<long>, b array<long>, word array<string>, lang array<string>, n array<long>"
+SEQUENCES = "p int, codes binary, a array<long>, b array<long>, word array<string>, lang array<string>, n array<long>"
 
 
-def as_rows(p: str, codes: np.ndarray, n: np.ndarray, a=None, b=None, word=None, lang=None) -> pa.RecordBatch:
+def as_rows(p: int, codes: np.ndarray, n: np.ndarray, a=None, b=None, word=None, lang=None) -> pa.RecordBatch:
     """A portion's row: its sequence of codes, and by code the pair (a, b) or the word and language, and the occurrences n."""
     one = lambda x, kind: pa.array([None if x is None else x], type=pa.list_(kind))
-    return pa.RecordBatch.from_arrays([pa.array([p]), pa.array([codes.tobytes()], type=pa.binary()), one(a, pa.int64()), one(b, pa.int64()), one(word, pa.string()), one(lang, pa.string()), one(n, pa.int64())], names=["p", "codes", "a", "b", "word", "lang", "n"])
+    return pa.RecordBatch.from_arrays([pa.array([p], type=pa.int32()), pa.array([codes.tobytes()], type=pa.binary()), one(a, pa.int64()), one(b, pa.int64()), one(word, pa.string()), one(lang, pa.string()), one(n, pa.int64())], names=["p", "codes", "a", "b", "word", "lang", "n"])
 
 
 def read_portions(docs: DataFrame) -> DataFrame:
     """SEQUENCES of docs (lang, text): a row for each PORTION of text, whose codes are the portion's different words of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
+        from pyspark import TaskContext
 
+        done = TaskContext.get().partitionId() * IN_TASK
         for batch in batches:
             text = batch.column("text").cast(pa.large_string())
             offsets = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset : text.offset + len(text) + 1]
@@ -92,7 +93,8 @@ def read_portions(docs: DataFrame) -> DataFrame:
                 keys, code, n = counted(different.indices.to_numpy().astype(np.int64) * m + langs.indices.to_numpy()[doc])
                 if len(code):
                     word = different.dictionary.take(pa.array(keys // m)).cast(pa.string())
-                    yield as_rows(uuid.uuid4().hex, stretches(code, piece[1:] == piece[:-1]), n, word=word, lang=langs.dictionary.take(pa.array(keys % m)))
+                    yield as_rows(done, stretches(code, piece[1:] == piece[:-1]), n, word=word, lang=langs.dictionary.take(pa.array(keys % m)))
+                    done += 1
                 low = high
         pa.default_memory_pool().release_unused()
 
@@ -118,15 +120,22 @@ def paired(portions: DataFrame, names: DataFrame) -> DataFrame:
                 full = np.full(len(at) - 1, -1, dtype=np.int64)
                 full[both] = pair
                 out.append(as_rows(p, stretches(full, both[:-1] & both[1:]), n, a=ids[keys // len(ids)], b=ids[keys % len(ids)]))
-        schema = pa.schema([("p", pa.string()), ("codes", pa.binary()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("word", pa.list_(pa.string())), ("lang", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
+        schema = pa.schema([("p", pa.int32()), ("codes", pa.binary()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("word", pa.list_(pa.string())), ("lang", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
         return pa.Table.from_batches(out, schema=schema)
 
     return portions.select("p", "codes").groupBy("p").cogroup(names.select(F.col("p").alias("of"), "code", "id").groupBy("of")).applyInArrow(run, SEQUENCES)
 
 
 def entries(portions: DataFrame, *columns: str) -> DataFrame:
-    """(p, code, columns) of the portions' tables, a row for each code."""
-    return portions.select("p", F.posexplode(F.arrays_zip(*columns)).alias("code", "x")).select("p", "code", *(F.col(f"x.{c}").alias(c) for c in columns))
+    """(place, columns) of the portions' tables, a row for each code; place holds the portion and the code in one long."""
+    d = portions.select("p", F.posexplode(F.arrays_zip(*columns)).alias("code", "x"))
+    return d.select(F.shiftleft(F.col("p").cast("long"), 32).bitwiseOR(F.col("code")).alias("place"), *(F.col(f"x.{c}").alias(c) for c in columns))
+
+
+def named(places: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """(p, code, id) of the places whose keys have a number. The frequent keys are hashed in each task, so that the many places needn't be sorted."""
+    d = places.join(known.select(*keys, "id").hint("shuffle_hash"), keys)
+    return d.select(F.shiftright("place", 32).cast("int").alias("p"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("code"), "id")
 
 
 def numbered(frequent: DataFrame) -> DataFrame:
@@ -151,7 +160,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lon
     counts = written(entries(portions, "lang", "word", "n").groupBy("lang", "word").agg(F.sum("n").alias("a")))
     sizes = counts.groupBy("lang").agg(F.sum("a").alias("n"))
     known = numbered(counts.where(F.col("a") >= least))
-    names = entries(portions, "lang", "word").join(known.select("lang", "word", "id"), ["lang", "word"])
+    names = named(entries(portions, "lang", "word"), known, ["lang", "word"])
     none = F.array().cast("array<long>")
     level = known.select("id", "lang", F.lit(1).alias("k"), F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("first"), none.alias("rest"), F.lit(None).cast("long").alias("part_a"), F.lit(None).cast("long").alias("part_b"))
     levels, used = [], [known]
@@ -159,7 +168,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lon
         before, portions = portions, written(paired(portions, names))
         discard(before)
         pairs = numbered(entries(portions, "a", "b", "n").groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
-        names = entries(portions, "a", "b").join(pairs.select("a", "b", "id"), ["a", "b"])
+        names = named(entries(portions, "a", "b"), pairs, ["a", "b"])
         x, y = level.alias("x"), level.alias("y")
         joined = pairs.join(x, F.col("x.id") == pairs["a"]).join(y, F.col("y.id") == pairs["b"])
         level = written(joined.select(
