@@ -145,14 +145,19 @@ def windows(rows: DataFrame, spec: Spec) -> DataFrame:
     return d.join(ends, ["id", "j"]).drop("__back", "__size", "j")
 
 
-def rolling(rows: DataFrame, factors: list[str], spec: Spec = Spec(), y: str = "y") -> DataFrame:
+#: What `rolling` adds to a loading in detail: the window's factors in their order, the factor's slope at each lag, and its row of the covariance of the slopes at each lag.
+DETAIL = "names array<string>, lag_betas array<double>, lag_cov_rows array<array<double>>"
+
+
+def rolling(rows: DataFrame, factors: list[str], spec: Spec = Spec(), y: str = "y", detail: bool = False) -> DataFrame:
     """Loadings in long form: id, window_end, factor, beta, se, t_stat, p_value, vif, n, r2, adj_r2, resid_vol, cond, cov_row.
 
     rows: id, t, y and a column for each factor. A factor that has values on under spec.coverage of a window's rows is left
-    out of that window. cov_row is the factor's row of the slopes' covariance, in the order of the window's factors.
+    out of that window. cov_row is the factor's row of the slopes' covariance, in the order of the window's factors. With
+    spec.lags a factor's slope is the sum over its lags, which are looked up inside the window. detail adds DETAIL.
     """
     used = windows(rows.select("id", "t", F.col(y).alias("y"), *factors), spec)
-    schema = "id string, window_end date, factor string, beta double, se double, t_stat double, p_value double, vif double, n int, r2 double, adj_r2 double, resid_vol double, cond double, cov_row array<double>"
+    schema = "id string, window_end date, factor string, beta double, se double, t_stat double, p_value double, vif double, n int, r2 double, adj_r2 double, resid_vol double, cond double, cov_row array<double>" + f", {DETAIL}" * detail
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
@@ -170,7 +175,14 @@ def rolling(rows: DataFrame, factors: list[str], spec: Spec = Spec(), y: str = "
         p = [t_two_sided(z, max(got["n"] - len(got["beta"]), 1)) for z in t]
         vif = [x if math.isfinite(x) else None for x in got["vif"][: len(held)]]
         cond = got["cond"] if math.isfinite(got["cond"]) else None
-        return pd.DataFrame({"id": key[0], "window_end": key[1], "factor": held, "beta": b, "se": se, "t_stat": t, "p_value": p, "vif": vif, "n": got["n"], "r2": got["r2"], "adj_r2": got["adj_r2"], "resid_vol": got["resid_vol"], "cond": cond, "cov_row": [r.tolist() for r in cov]})
+        out = pd.DataFrame({"id": key[0], "window_end": key[1], "factor": held, "beta": b, "se": se, "t_stat": t, "p_value": p, "vif": vif, "n": got["n"], "r2": got["r2"], "adj_r2": got["adj_r2"], "resid_vol": got["resid_vol"], "cond": cond, "cov_row": [r.tolist() for r in cov]})
+        if detail:
+            k, blocks = len(held), range(spec.lags + 1)
+            slopes, spread = got["beta"][1:].reshape(-1, k), got["cov"][1:, 1:]
+            out["names"] = [held] * k
+            out["lag_betas"] = slopes.T.tolist()
+            out["lag_cov_rows"] = [[spread[m * k + i, m * k : (m + 1) * k].tolist() for m in blocks] for i in range(k)]
+        return out
 
     return used.groupBy("id", "window_end").applyInPandas(one, schema)
 

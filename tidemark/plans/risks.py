@@ -88,7 +88,7 @@ def reverting_covariance(spark, sf_dir):
 
 
 @query(f"""WITH {FORECAST} SELECT id, t, round(1.6448536269514722 * sig / sqrt(252), 6) AS var_95, round(2.3263478740408408 * sig / sqrt(252), 6) AS var_99, round(2.3378027922014113 * sig / sqrt(252), 6) AS es_975,
-round(2.0150483726691575 / sqrt(5 / 3.0) * sig / sqrt(252), 6) AS t_var_95, round(3.3649299989072185 / sqrt(5 / 3.0) * sig / sqrt(252), 6) AS t_var_99 FROM k WHERE sig IS NOT NULL""")
+round(2.0150483733330233 / sqrt(5 / 3.0) * sig / sqrt(252), 6) AS t_var_95, round(3.3649299989072185 / sqrt(5 / 3.0) * sig / sqrt(252), 6) AS t_var_99 FROM k WHERE sig IS NOT NULL""")
 def tail_losses(spark, sf_dir):
     d = forecasts(spark, sf_dir).where("sig IS NOT NULL")
     t = rk.tail_losses(d.select("id", "t", "sig"), "sig", 5.0).select("id", "t", F.col("var_95").alias("t_var_95"), F.col("var_99").alias("t_var_99"))
