@@ -1,17 +1,65 @@
-"""Joins in time: as-of in both directions, interval sums, and gaps against a calendar.
+"""Joins in time: as-of in both directions, interval sums, fills, and gaps against a calendar.
 
-As-of joins are unions with a window: both sides are dealt by key once and sorted by time, so the cost is that of one
-sort however many rows a key has, and no pair of rows is ever formed that isn't part of the result.
+A key's rows are dealt out by buckets of time, so a key with most of the rows takes as many tasks as it has buckets. What a
+bucket needs from the ones before it, the last value or a sum, comes from a table with a row for each bucket of each key;
+that row goes in front of the bucket's own rows, so no join and no pair of rows is ever formed that isn't part of the result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType
 from pyspark.sql.window import Window as W
 
+#: Buckets of a date, of a time and of a number.
+DATES, TIMES, NUMBERS = "quarter", "day", 4096
 
-def asof_backward(left: DataFrame, right: DataFrame, key: str, t: str, value: str, strict: bool = False) -> DataFrame:
+
+def bucket_of(df: DataFrame, t: str, bucket: str | int | None = None) -> Column:
+    """The bucket of a row's time: a unit of date_trunc, or for a number the width of a bucket."""
+    kind = df.schema[t].dataType
+    if isinstance(kind, NumericType):
+        return F.floor(F.col(t) / (bucket or NUMBERS))
+    return F.date_trunc(bucket or (DATES if isinstance(kind, DateType) else TIMES), F.col(t))
+
+
+def with_last(df: DataFrame, key: str, t: str, value: str, order: list[str], out: str, bucket: str | int | None = None) -> DataFrame:
+    """df with `out`: of the key's rows up to this one, by `order` (t first), the last `value` that isn't null.
+
+    Null keys are one key; rows without a time come before all others. Ties in `order` may stand in any order.
+    """
+    d = df.withColumns({"__bucket": bucket_of(df, t, bucket), "__own": F.lit(1)})
+    at = F.struct(*order)
+    per = d.groupBy(key, "__bucket").agg(F.max_by(value, F.when(F.col(value).isNotNull(), at)).alias(value))
+    w = W.partitionBy(key).orderBy(F.col("__bucket").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    ahead = per.withColumn(value, F.last(value, ignorenulls=True).over(w)).where(F.col(value).isNotNull()).withColumn("__own", F.lit(0))
+    inside = W.partitionBy(key, "__bucket").orderBy("__own", *(F.col(c).asc_nulls_first() for c in order)).rowsBetween(W.unboundedPreceding, 0)
+    both = d.unionByName(ahead, allowMissingColumns=True).withColumn(out, F.last(value, ignorenulls=True).over(inside))
+    return both.where("__own = 1").drop("__bucket", "__own")
+
+
+def with_running(df: DataFrame, key: str, t: str, value: str, out: str, bucket: str | int | None = None) -> DataFrame:
+    """df, one row for each key and time, with `out`: the sum of `value` over the key's rows up to this one; nulls count as nothing."""
+    d = df.withColumns({"__bucket": bucket_of(df, t, bucket), "__own": F.lit(1), "__x": F.coalesce(F.col(value), F.lit(0).cast(df.schema[value].dataType))})
+    w = W.partitionBy(key).orderBy(F.col("__bucket").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    ahead = d.groupBy(key, "__bucket").agg(F.sum("__x").alias("__x")).withColumn("__x", F.sum("__x").over(w)).where("__x IS NOT NULL").withColumn("__own", F.lit(0))
+    inside = W.partitionBy(key, "__bucket").orderBy("__own", F.col(t).asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    both = d.unionByName(ahead, allowMissingColumns=True).withColumn(out, F.sum("__x").over(inside))
+    return both.where("__own = 1").drop("__bucket", "__own", "__x")
+
+
+def forward_filled(df: DataFrame, key: str, t: str, value: str, out: str, limit: int | None = None, bucket: str | int | None = None) -> DataFrame:
+    """df, one row for each key and time, with `out`: `value`, or the key's last one before it, at most `limit` rows before."""
+    if limit is None:
+        return with_last(df, key, t, value, [t], out, bucket)
+    d = with_running(df.withColumn("__one", F.lit(1).cast("long")), key, t, "__one", "__pos", bucket)
+    d = d.withColumn("__held", F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("x"), F.col("__pos").alias("pos"))))
+    d = with_last(d, key, t, "__held", [t], "__last", bucket)
+    return d.withColumn(out, F.when(F.col("__pos") - F.col("__last.pos") <= limit, F.col("__last.x"))).drop("__one", "__pos", "__held", "__last")
+
+
+def asof_backward(left: DataFrame, right: DataFrame, key: str, t: str, value: str, strict: bool = False, bucket: str | int | None = None) -> DataFrame:
     """left with `value`, right's value at its latest time at or before left's (before it, if strict), and `value_t`, that time.
 
     right has one row for each key and time. Keys without an earlier row get nulls.
@@ -21,9 +69,7 @@ def asof_backward(left: DataFrame, right: DataFrame, key: str, t: str, value: st
     row = F.struct(*names) if names else F.struct(F.lit(1).alias("__one"))
     a = left.select(key, t, row.alias("__row"), (F.lit(1) - side).alias("__side"))
     b = right.select(key, t, side.alias("__side"), F.struct(F.col(value).alias("v"), F.col(t).alias("t")).alias("__v"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    w = W.partitionBy(key).orderBy(t, "__side").rowsBetween(W.unboundedPreceding, 0)
-    d = both.withColumn("__last", F.last("__v", ignorenulls=True).over(w)).where("__row IS NOT NULL")
+    d = with_last(a.unionByName(b, allowMissingColumns=True), key, t, "__v", [t, "__side"], "__last", bucket).where("__row IS NOT NULL")
     return d.select(key, t, *(F.col(f"__row.{c}").alias(c) for c in names), F.col("__last.v").alias(value), F.col("__last.t").alias(f"{value}_t"))
 
 
@@ -40,8 +86,7 @@ def roll_forward(rows: DataFrame, calendar: DataFrame, key: str, t: str, value:
 
 def interval_sums(bounds: DataFrame, moves: DataFrame, key: str, low: str, high: str, t: str, value: str) -> DataFrame:
     """bounds with `total`, the sum of the moves in (low, high]: the difference of running sums as of either end."""
-    w = W.partitionBy(key).orderBy(t)
-    running = moves.groupBy(key, t).agg(F.sum(F.coalesce(value, F.lit(0.0))).alias("__m")).withColumn("__run", F.sum("__m").over(w)).select(key, t, "__run")
+    running = with_running(moves.groupBy(key, t).agg(F.sum(F.coalesce(value, F.lit(0.0))).alias("__m")), key, t, "__m", "__run").select(key, t, "__run")
     at_high = asof_backward(bounds.withColumnRenamed(high, t), running, key, t, "__run").withColumnRenamed(t, high).withColumnRenamed("__run", "__at_high").drop("__run_t")
     at_low = asof_backward(at_high.withColumnRenamed(low, t), running, key, t, "__run").withColumnRenamed(t, low).drop("__run_t")
     return at_low.withColumn("total", F.coalesce("__at_high", F.lit(0.0)) - F.coalesce("__run", F.lit(0.0))).drop("__at_high", "__run")
