@@ -157,3 +157,31 @@ def reverted(half: DataFrame, long_run: DataFrame, weight: float | Column) -> Da
     """(i, j, cov): `weight` of today's pairs, the rest of the long run's."""
     w = weight if isinstance(weight, Column) else F.lit(float(weight))
     return half.join(long_run.select("i", "j", F.col("cov").alias("far")), ["i", "j"]).select("i", "j", (w * F.col("cov") + (1 - w) * F.col("far")).alias("cov"))
+
+
+def block_structure(half: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(block, size, pc1_share, id, vol, loading, centrality) of each block's own correlations: the first component's share of the
+    block, its loadings (the first of the largest is positive) and each member's mean correlation with the others.
+
+    half: pairs (i, j, cov), i <= j; blocks: (id, block). One group a block, of as many rows as its pairs. A block of one has
+    share and loading one and no centrality; a member that doesn't move correlates with nothing; a block with a missing
+    covariance gives nothing.
+    """
+    a = half.join(blocks.select(F.col("id").alias("i"), "block"), "i").join(blocks.select(F.col("id").alias("j"), F.col("block").alias("other")), "j").where("block = other").select("block", "i", "j", "cov")
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        names, c = matrix_of(pdf)
+        k, out = len(names), []
+        if not pdf["cov"].isna().any():
+            sd = np.sqrt(np.maximum(np.diag(c), 0))
+            r = np.clip(np.divide(c, np.outer(sd, sd), out=np.zeros_like(c), where=np.outer(sd, sd) > 0), -1, 1)
+            np.fill_diagonal(r, 1.0)
+            v, q = np.linalg.eigh(r)
+            first = q[:, -1]
+            size = np.abs(first)
+            first = first * np.sign(first[int(np.flatnonzero(size >= size.max() - 1e-9)[0])])
+            near = (r.sum(axis=1) - 1) / (k - 1) if k > 1 else np.zeros(1)
+            out = [(key[0], k, float(np.clip(v[-1] / k, 0, 1)), n, float(sd[m]), float(first[m]), float(near[m])) for m, n in enumerate(names)]
+        return pd.DataFrame(out, columns=["block", "size", "pc1_share", "id", "vol", "loading", "centrality"])
+
+    return a.groupBy("block").applyInPandas(one, "block string, size long, pc1_share double, id string, vol double, loading double, centrality double")
