@@ -41,14 +41,15 @@ NEVER = set(
 OUTSIDE = set("footer header menu notice notices alert alerts side widget widgets search legal disclaimer copyright author bio tag tags hidden".split())
 BESIDE = set(
     "site page global top bottom left right main primary secondary post article entry blog story box block area container wrap wrapper outer inner section sections list lists bar bars item items group row column col panel strip "
-    "form link links button buttons icon icons text title head heading content contents reader readers user users thread posts articles stories and to the by a of more read now us on me bg sticky fixed float header footer menu notice widget widgets".split()
+    "form link links button buttons icon icons text title head heading content contents reader readers user users thread posts articles stories and to the by a of more read now us on me bg sticky fixed float header footer menu notice widget widgets slot unit zone space holder inline".split()
 )
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text|prose)(?:$|[\s_-])", re.I)
 #: Whole names that mark the article itself.
 ARTICLE = re.compile(r"(?:^|\s)(?:h?entry|(?:blog-?|single-?)?(?:article|post|story)|(?:article|post|entry|story)[_-]?(?:body|content|text))(?:\s|$)", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|$)", re.S)
+HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I) for tag in RAW}
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"(?=[\s/>]|$)|'[^']*'(?=[\s/>]|$)|[\"'])*+)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 BLANK = re.compile(r"\s+")
 WORDS = re.compile(r"[A-Za-z]+")
@@ -58,13 +59,20 @@ PORTION = 1_000_000
 LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "br", "pre", "li", "dd", "dt", "td", "th", "figcaption", "b"}
 
 
+#: Why an element goes: not at all, for what it is, by its name, by its name though an article is around it.
+STAYS, OUT, BY_NAME, WITHIN = 0, 1, 2, 3
+#: How a sentence ends.
+SENTENCE = re.compile(r"[.!?\u2026][\"'\u2019\u201d\u00bb)]*$")
+
+
 class Node:
-    """An element; `block` is the nearest block around its text, `score` what paragraphs passed to it."""
+    """An element; `block` is the nearest block around its text, `score` what paragraphs passed to it, `out` why it goes."""
 
-    __slots__ = ("tag", "parent", "kids", "score", "chars", "linked", "dropped", "bonus", "block", "named", "kept")
+    __slots__ = ("tag", "parent", "kids", "score", "chars", "linked", "out", "dropped", "bonus", "block", "named", "kept", "heads", "prose")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool, bonus: float, named: bool = False):
-        self.tag, self.parent, self.dropped, self.bonus, self.named = tag, parent, dropped, bonus, named
+    def __init__(self, tag: str, parent: Node | None, out: int, bonus: float, named: bool = False):
+        self.tag, self.parent, self.out, self.bonus, self.named = tag, parent, out, bonus, named
+        self.dropped, self.heads, self.prose = False, 0, True
         self.block: Node = self if tag in BLOCKS or parent is None else parent.block
         self.kids: list[Node] = []
         self.score, self.chars, self.linked, self.kept = 0.0, 0, 0, False
@@ -104,19 +112,46 @@ def unlikely(marks: str, in_article: bool) -> bool:
     return False
 
 
+def settle(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """Marks what is dropped, given all elements, parents first, and returns the blocks that stay.
+
+    A block named as something else stays in an article if it holds the page's only h1. An article inside an article that
+    has prose of its own is a reader's comment, as HTML has it.
+    """
+    for n in reversed(nodes):
+        n.heads += n.tag == "h1"
+        if n.parent is not None:
+            n.parent.heads += n.heads
+    articles: dict[Node, Node] = {}
+    for n in nodes[1:]:
+        if n.tag == "article":
+            articles[n] = n
+        elif n.parent in articles:
+            articles[n] = articles[n.parent]
+    own = {articles[o] for o, s, _ in blocks if o in articles and len(s) >= 25 and o.tag in ("p", "div", "section", "article", "blockquote", "li")}
+    for n in nodes[1:]:
+        rescued = n.out == WITHIN and n.heads == 1 and nodes[0].heads == 1
+        comment = n.tag == "article" and articles.get(n.parent) in own
+        n.dropped = n.parent.dropped or n.out != STAYS and not rescued or comment
+    return [b for b in blocks if not b[0].dropped]
+
+
 def tree(page: str, by_name: bool = True) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     """The elements, parents first, and the text blocks (owner, text, characters within links) in page order. by_name: drop by class, id and role too."""
-    root = Node("#root", None, False, 0.0)
+    root = Node("#root", None, STAYS, 0.0)
     nodes, blocks, text, up = [root], [], [], Open(root)
-    state = {"link": 0, "owner": root}
+    state = {"link": 0, "owner": root, "anchors": 0}
 
     def close() -> None:
         if text:
             s = BLANK.sub(" ", unescape("".join(text))).strip()
             text.clear()
-            if s and not state["owner"].dropped:
-                blocks.append((state["owner"], s, min(state["link"], len(s))))
-        state["link"] = 0
+            linked = min(state["link"], len(s))
+            # A line of several links and nothing else is a menu.
+            menu = state["anchors"] > 1 and state["owner"].tag not in ("li", "td", "dd") and linked >= 0.9 * (len(s) - s.count(" ")) and not SENTENCE.search(s)
+            if s and not menu:
+                blocks.append((state["owner"], s, linked))
+        state["link"] = state["anchors"] = 0
 
     def add(s: str, in_link: bool) -> None:
         if s:
@@ -148,23 +183,28 @@ def tree(page: str, by_name: bool = True) -> tuple[list[Node], list[tuple[Node,
                     up.close_to(up.deepest(ends))
                     if tag != "tr":
                         break
-            marks = " ".join(a or b or c for k, a, b, c in ATTRIBUTE.findall(m[3]) if k.lower() in ("class", "id", "role")) if m[3] else ""
+            given = {k.lower(): a or b or c for k, a, b, c in reversed(ATTRIBUTE.findall(m[3]))} if m[3] else {}
             in_article = bool(up.at.get("article") or up.at.get("main"))
-            out = tag in DROPPED or bool(m[3]) and bool(HIDDEN.search(m[3])) or tag == "header" and not up.at.get("article") or by_name and tag in NAMED and bool(marks) and unlikely(marks, in_article)
+            # The id of a section in an article is where a link leads to, not what it is.
+            marks = " ".join(given[k] for k in ("class", "id", "role") if k in given and not (k == "id" and tag == "section" and in_article))
+            hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or bool(HIDDEN.search(given.get("style", "")))
+            named_out = by_name and tag in NAMED and bool(marks) and unlikely(marks, in_article)
+            out = OUT if tag in DROPPED or hidden or tag == "header" and not up.at.get("article") else (WITHIN if in_article else BY_NAME) if named_out else STAYS
             if tag in RAW:
-                end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                end = RAW_END[tag].search(page, at)
+                at = (page.find(">", end.end()) + 1 or len(page)) if end else len(page)
             elif tag not in VOID and not m[0].endswith("/>") or tag in BLOCKS - VOID:
                 parent = up.stack[-1]
-                child = Node(tag, parent, parent.dropped or out, 25.0 if marks and LIKELY.search(marks) else 0.0, tag in ("article", "main") or tag in NAMED and bool(ARTICLE.search(marks)))
+                child = Node(tag, parent, out, 25.0 if marks and LIKELY.search(marks) else 0.0, tag in ("article", "main") or tag in NAMED and bool(ARTICLE.search(marks)))
                 parent.kids.append(child)
                 nodes.append(child)
                 up.push(child)
                 links += tag == "a"
+                state["anchors"] += tag == "a"
         m = TOKEN.search(page, at)
     add(page[at:], links > 0)
     close()
-    return nodes, blocks
+    return nodes, settle(nodes, blocks)
 
 
 def wrapper(n: Node) -> Node:
@@ -196,6 +236,7 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     for owner, s, linked in blocks:
+        owner.prose = owner.prose and bool(SENTENCE.search(s))
         owner.chars += len(s)
         owner.linked += linked
         # A block passes points to the containers around it; a paragraph element isn't a container itself.
@@ -210,6 +251,7 @@ def main_text(page: str | None) -> str:
     for n in reversed(nodes[1:]):
         n.parent.chars += n.chars
         n.parent.linked += n.linked
+        n.parent.prose = n.parent.prose and n.prose
 
     def worth(n: Node) -> float:
         return (n.score + (n.bonus if n.score > 0 else 0) + (25.0 if n.tag in ("article", "main") else 0)) * (1 - n.linked / max(1, n.chars))
@@ -227,7 +269,8 @@ def main_text(page: str | None) -> str:
             continue
         density = sib.linked / sib.chars
         good = sib.tag not in ("p", "b", "a", "span", "h1", "h2", "h3") and worth(sib) >= limit and density < 0.3
-        if good or sib.tag == "p" and (sib.chars > 80 and density < 0.25 or density == 0 and sib.chars > 20) or sib.tag in ("h1", "h2") and density == 0:
+        # Sentences without a link are prose, however few.
+        if good or density == 0 and sib.prose and sib.tag in ("div", "section", "blockquote") or sib.tag == "p" and (sib.chars > 80 and density < 0.25 or density == 0 and sib.chars > 20) or sib.tag in ("h1", "h2") and density == 0:
             sib.kept = True
     for n in nodes[1:]:
         n.kept = n.kept or n.parent.kept
