@@ -239,6 +239,30 @@ def test_articles_stay_whole():
     assert time.time() - begun < 60
 
 
+def test_names_and_attributes():
+    import time
+
+    from tidemark.llm.html import main_text
+
+    p = "A first paragraph, which is long enough, and has commas, to count for the score of its container."
+    assert main_text(f'<article><p title="the hidden gem of town">{p}</p><div data-note="a hidden place"><p>{p} two</p></div></article>') == f"{p} {p} two"
+    assert main_text(f'<div hidden><p>{p} no</p></div><div style="display: none"><p>{p} no</p></div><div aria-hidden="true"><p>{p} no</p></div><div><p>{p} yes</p></div>') == f"{p} yes"
+    assert main_text(f'<article><p>{p}</p><section id="related"><h2>Related work</h2><p>{p} r</p></section><section id="navigation"><p>Stays.</p></section></article>') == f"{p} Related work {p} r Stays."
+    for tag in ("article", "main"):
+        assert main_text(f'<{tag}><div class="banner"><h1>Head</h1></div><p>{p}</p></{tag}>') == f"Head {p}"
+        assert main_text(f'<{tag}><h1>Head</h1><div class="banner"><h2>Buy</h2></div><p>{p}</p></{tag}>') == f"Head {p}"
+    assert main_text(f"<article><h1>T</h1><p>{p}</p><article><p>{p} A reader's comment.</p></article></article>") == f"T {p}"
+    assert main_text(f"<article><article><p>{p}</p></article></article>") == p
+    assert main_text(f'<article><p>{p}</p><div class="ad-slot-1">Buy now</div></article>') == p
+    assert main_text(f"<body><div><div><p>{p}</p><p>{p}</p></div><div><p>Short end.</p></div></div></body>") == f"{p} {p} Short end."
+    assert main_text(f'<p>{p} <a title="foo>link</a> more</p><p>{p}</p>') == f"{p} link more {p}"
+    assert main_text(f"<article><p><a href=x>Home</a> <a href=y>About</a></p><p>{p}</p></article>") == p
+    begun = time.time()
+    for x in (*(f"<{t}>" + f"</{t} " * 100_000 for t in ("script", "style")), '<a title="x>y</a>' * 20_000, "<a b='c\">d" * 20_000):
+        main_text(x)
+    assert time.time() - begun < 30
+
+
 def test_pages_give_their_article(spark):
     from html import unescape
 
@@ -395,6 +419,38 @@ def test_similar_groups(spark, docs, texts, awkward, empty):
     assert kept.columns == awkward.columns and 0 < kept.count() <= awkward.count()
 
 
+def test_cells_are_split_by_sketches(spark, monkeypatch):
+    """Hundreds of texts of one set of words in other orders share every cell of their words; alike ones among them are found all the same."""
+    from tidemark.llm import neardup as nd
+
+    monkeypatch.setattr(nd, "SMALL", 8)
+    rnd = random.Random(3)
+    vocab = [f"w{i}" for i in range(150)]
+    base = [rnd.sample(vocab, 150) for _ in range(60)]
+    rows = [" ".join(w) for w in base for _ in range(1)] + [" ".join(w[:75] + [w[76], w[75]] + w[77:]) for w in base]
+    got = {r.doc_id: r.group for r in nd.similar_groups(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert len({got[i] for i in range(60)}) == 60 and sum(got[i] == got[60 + i] for i in range(60)) >= 58
+    assert nd.bin_blocks(0.8) == 32
+
+
+def test_repeated_rows_of_one_text(spark):
+    from tidemark.llm import substrings
+
+    words = " ".join(f"w{i}" for i in range(200))
+    d = spark.createDataFrame([(1, words)] + [(2, words)] * 300, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_removed) for r in substrings.without_repeats(d).collect())
+    assert got == {(1, 0): 1, (2, 200): 300}
+
+
+def test_at_least_two_partitions(spark):
+    """Fingerprints in one ball: a single partition of all bits would be the cheapest, and 65 cells a row."""
+    from tidemark.llm.hamming import pigeonhole_plan
+
+    ball = {0} | {1 << i for i in range(63)} | {(1 << i) | (1 << j) for i in range(63) for j in range(i)}
+    plan = pigeonhole_plan(spark.createDataFrame([(x,) for x in ball], "fp long"), 2)
+    assert len(plan) >= 2 and all(len(bits) < 64 for bits, _ in plan) and sum(t + 1 for _, t in plan) == 3
+
+
 def test_thresholds_meet_the_pigeonhole():
     from tidemark.llm.hamming import thresholds
 
@@ -472,6 +528,10 @@ def test_what_language_is_learned_from(spark, docs):
     rows = langid.training_rows(docs, "doc_id", "text", "lang").collect()
     assert rows and not any(rest[r.doc_id] or known[r.doc_id][0] is None for r in rows)
     assert all(r.lang == known[r.doc_id][0] and r.excerpt in " ".join(WORD.findall(known[r.doc_id][1])) and len(r.excerpt.split()) <= langid.EXCERPT for r in rows)
+    # Rows without an id, or with one, are drawn one by one, by their text.
+    many = spark.range(4000).select(F.lit("en").alias("lang"), F.concat(F.lit("word "), F.col("id")).alias("text"))
+    for i in (None, 4):
+        assert 300 < langid.training_rows(many.select(F.lit(i).cast("long").alias("doc_id"), "*"), "doc_id", "text", "lang").count() < 500
     # Other labels, sources and ids of rows that aren't learned from change nothing.
     other = docs.withColumn("lang", F.when(langid.held_out("doc_id"), "xx").otherwise(F.col("lang"))).withColumn("source", F.lit("s"))
     a, b = (langid.identify(docs, langid.fit(d)).orderBy("doc_id").select("lang_pred", "score").collect() for d in (docs, other))
