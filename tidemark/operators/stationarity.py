@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.functions.specfun import chi2_tail, normal_two_sided
+from tidemark.operators.unitroots import unit_root_p_of
 
 #: Critical values at 1, 5 and 10 % of the unit-root t with a constant (asymptotic value and its 1/n, 1/n^2 terms), of the
 #: stationarity test about a level, and of the test with a break in the level (fixed values from the published tables).
@@ -35,18 +36,19 @@ def _design(x: np.ndarray, lags: int, skip: int) -> tuple[np.ndarray, np.ndarray
 
 
 def adf(x: np.ndarray) -> tuple[float, int]:
-    """t of the level with a constant; lags by the information criterion up to 12 (n/100)^(1/4), all on the same rows."""
+    """t of the level with a constant; lags by the information criterion up to 12 (n/100)^(1/4), all on the same rows.
+
+    One factorisation of the longest design has the residual sums of all shorter ones: a column takes its own part of y.
+    """
     most = min(int(12 * (len(x) / 100) ** 0.25), len(x) // 2 - 3)
-    best = min(range(most + 1), key=lambda k: _aic(*_design(x, k, most)))
+    y, z = _design(x, most, most)
+    parts = np.linalg.qr(z)[0].T @ y
+    left = np.maximum(float(y @ y) - np.cumsum(parts**2), 1e-300)[1:]
+    best = int(np.argmin(len(y) * np.log(left / len(y)) + 2 * np.arange(2, most + 3)))
     y, z = _design(x, best, best)
     return _t_of(y, z, 1)[0], best
 
 
-def _aic(y: np.ndarray, z: np.ndarray) -> float:
-    e = y - z @ np.linalg.lstsq(z, y, rcond=None)[0]
-    return len(y) * math.log(max(float(e @ e) / len(y), 1e-300)) + 2 * z.shape[1]
-
-
 def df_level(t: float, n: int) -> float:
     """The smallest of 1, 5 and 10 % at which t rejects a unit root; one if none."""
     return next((p for p, (a, b, c) in DF_CRITICAL.items() if t < a + b / n + c / n**2), 1.0)
@@ -153,10 +155,11 @@ def analyse(x: np.ndarray) -> dict:
         return out | {"verdict": "insufficient", "flags": ["short" if n < 60 else "constant"]}
     t, lag = adf(x)
     stat, kp = kpss(x)
-    root, level = df_level(t, n) <= 0.05, kp >= 0.05
+    adf_p, pp = unit_root_p_of(t), phillips_perron(x)
+    root, level = adf_p < 0.05, kp >= 0.05
     state = {(True, True): "stationary", (True, False): "break", (False, True): "weak", (False, False): "unit_root"}[root, level]
     z = (x - x.mean()) / x.std()
-    out |= {"adf_t": t, "adf_lags": lag, "kpss": stat, "kpss_p": kp, "pp_t": phillips_perron(x), "lb_p": portmanteau(x, 10), "lb2_p": portmanteau(x * x, 10), "arch_p": arch_lm(x), "state": state}
+    out |= {"adf_t": t, "adf_lags": lag, "adf_p": adf_p, "pp_p": unit_root_p_of(pp), "kpss": stat, "kpss_p": kp, "pp_t": pp, "lb_p": portmanteau(x, 10), "lb2_p": portmanteau(x * x, 10), "arch_p": arch_lm(x), "state": state}
     out |= {"skew": float((z**3).mean()), "kurt": float((z**4).mean() - 3), "ac1": float(((x[1:] - x.mean()) @ (x[:-1] - x.mean())) / ((x - x.mean()) @ (x - x.mean())))}
     out["jb_p"] = chi2_tail(n / 6 * (out["skew"] ** 2 + out["kurt"] ** 2 / 4), 2)
     for q in (2, 5, 10):
@@ -164,6 +167,7 @@ def analyse(x: np.ndarray) -> dict:
     flags = []
     if state == "break" and n >= 100:
         out["za_t"], out["za_row"] = zivot_andrews(x)
+        out["za_p"] = float(np.interp(out["za_t"], sorted(BREAK_CRITICAL.values()), sorted(BREAK_CRITICAL)))
         flags.append("break")
     peak = int(np.abs(x).argmax())
     near = [x[i] for i in (peak - 1, peak + 1) if 0 <= i < n]
@@ -174,7 +178,7 @@ def analyse(x: np.ndarray) -> dict:
     return out | {"verdict": "fail" if fail else "warn" if {"break", "stale", "large_return"} & set(flags) or state == "weak" else "pass", "flags": flags}
 
 
-NUMBERS = ["mean", "sd", "zero_share", "skew", "kurt", "ac1", "adf_t", "kpss", "kpss_p", "pp_t", "za_t", "lb_p", "lb2_p", "arch_p", "jb_p", "vr2", "vr2_p", "vr5", "vr5_p", "vr10", "vr10_p"]
+NUMBERS = ["mean", "sd", "zero_share", "skew", "kurt", "ac1", "adf_t", "adf_p", "kpss", "kpss_p", "pp_t", "pp_p", "za_t", "za_p", "lb_p", "lb2_p", "arch_p", "jb_p", "vr2", "vr2_p", "vr5", "vr5_p", "vr10", "vr10_p"]
 
 
 def battery(rows: DataFrame, windows: tuple[int, ...] = (0, 252), x: str = "ret") -> DataFrame:

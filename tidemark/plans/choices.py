@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tidemark.operators import covariance as cv
 from tidemark.operators import evaluation as ev
+from tidemark.operators import grids as gr
 from tidemark.operators import panels as pn
 from tidemark.operators import series as s
+from tidemark.operators import unitroots as ur
 from tidemark.operators import weights as wt
 from tidemark.operators.selection import Candidate
-from tidemark.plans.panel import MARKET, query, rnd, with_market
+from tidemark.plans.forecasts import TAIL
+from tidemark.plans.panel import MARKET, query, returns, rnd, with_market
+from tidemark.plans.panel import PRICES as PRICES_SQL
 from tidemark.plans.quant import TYPES, type_returns
 
 CANDIDATES = {"market_52": Candidate(("mkt",), 52), "market_104": Candidate(("mkt",), 104), "late_104": Candidate(("m2",), 104)}
@@ -83,3 +88,42 @@ def block_components(spark, sf_dir):
     at = F.array_position(F.array(*(F.lit(n) for n in names)), F.col("id"))
     blocks = d.select("id").distinct().withColumn("block", F.when(at <= 2, "a").when(at <= 4, "b").when(at == 5, "c").otherwise("d"))
     return pn.block_structure(cv.sample(d).select("i", "j", "cov"), blocks).select("block", "size", "id", *rnd("vol", "pc1_share", "loading", "centrality"))
+
+
+GRID = [gr.Configuration(n, m) for n, m in (("slow", ((1.0, 52.0),)), ("middle", ((1.0, 26.0),)), ("fast", ((1.0, 8.0),)), ("two", ((0.5, 8.0), (0.5, 52.0))), ("three", ((0.25, 8.0), (0.25, 26.0), (0.5, 52.0))), ("mostly_fast", ((0.8, 8.0), (0.2, 26.0))))]
+
+
+def holdings(d):
+    """Two portfolios: all ids at equal weights, and the first two by name, one long and half as much short."""
+    ids = d.select("id").distinct()
+    rank = F.row_number().over(W.orderBy("id"))
+    size = ids.agg(F.count(F.lit(1)).alias("k"))
+    # Ids of a universe are a short list.
+    every = ids.crossJoin(F.broadcast(size)).select(F.lit("all").alias("portfolio"), "id", (1.0 / F.col("k")).alias("weight"))
+    two = ids.withColumn("r", rank).where("r <= 2").select(F.lit("two").alias("portfolio"), "id", F.when(F.col("r") == 1, 1.0).otherwise(-0.5).alias("weight"))
+    return every.unionByName(two)
+
+
+@query(f"""WITH {TYPES}, pp AS (SELECT a.id AS i, b.id AS j, a.t, a.x * b.x AS ab, row_number() OVER (PARTITION BY a.id, b.id ORDER BY a.t) AS k FROM d a JOIN d b ON a.t = b.t AND a.id <= b.id),
+hl AS (SELECT unnest([8.0, 26.0, 52.0]) AS h), em AS (SELECT p.i, p.j, p.t, h, sum(power(0.5, (p.k - q.k) / h) * q.ab) / sum(power(0.5, (p.k - q.k) / h)) AS m FROM pp p JOIN pp q ON q.i = p.i AND q.j = p.j AND q.k <= p.k CROSS JOIN hl WHERE p.k >= 40 GROUP BY ALL),
+ho AS (SELECT 'all' AS portfolio, id, 1.0::DOUBLE / count(*) OVER () AS w FROM (SELECT DISTINCT id FROM d) UNION ALL SELECT 'two', id, CASE r WHEN 1 THEN 1.0 ELSE -0.5 END FROM (SELECT id, row_number() OVER (ORDER BY id) AS r FROM (SELECT DISTINCT id FROM d)) WHERE r <= 2),
+vv AS (SELECT a.portfolio, t, h, sum(a.w * b.w * m * CASE WHEN i = j THEN 1 ELSE 2 END) AS v FROM em JOIN ho a ON a.id = i JOIN ho b ON b.id = j AND b.portfolio = a.portfolio GROUP BY ALL),
+cf AS (SELECT * FROM (VALUES {", ".join(f"('{c.name}', {w}, {h})" for c in GRID for w, h in c.mix)}) z(configuration, share, h))
+SELECT portfolio, configuration, t, round(sqrt(sum(share * v) * 252), 6) AS sigma FROM vv JOIN cf ON cf.h = vv.h GROUP BY ALL""")
+def configuration_grid(spark, sf_dir):
+    d = cv.complete(type_returns(spark, sf_dir))
+    return gr.grid(d, holdings(d), GRID, 40).select("portfolio", "configuration", "t", F.round("sigma", 6).alias("sigma"))
+
+
+NORMAL = "CASE WHEN {z} < 0 THEN {t} / 2 ELSE 1 - {t} / 2 END"
+
+
+@query(f"""WITH {PRICES_SQL}, x0 AS (SELECT id, t, ln(price) AS x FROM p WHERE price > 0), x1 AS (SELECT *, lag(x) OVER w AS b4, x - lag(x) OVER w AS d FROM x0 WINDOW w AS (PARTITION BY id ORDER BY t)), x2 AS (SELECT *, lag(d) OVER (PARTITION BY id ORDER BY t) AS d1 FROM x1),
+g AS (SELECT id, count(*) AS n, covar_pop(b4, b4) AS a, covar_pop(d1, d1) AS b, covar_pop(b4, d1) AS c, covar_pop(d, b4) AS p, covar_pop(d, d1) AS q, covar_pop(d, d) AS v FROM x2 WHERE d1 IS NOT NULL GROUP BY id),
+h AS (SELECT *, (b * p - c * q) / (a * b - c * c) AS b1, (a * q - c * p) / (a * b - c * c) AS b2 FROM g), s AS (SELECT id, n, b1 / sqrt((v - b1 * p - b2 * q) / (n - 3) * b / (a * b - c * c)) AS tt FROM h),
+z AS (SELECT *, CASE WHEN tt <= -1.61 THEN 2.1659 + 1.4412 * tt + 0.038269 * tt * tt ELSE 1.7339 + 0.93202 * tt - 0.12745 * tt * tt - 0.010368 * tt * tt * tt END AS z FROM s)
+SELECT id, n, round(tt, 6) AS t_stat, round(CASE WHEN tt < -18.83 THEN 0 WHEN tt > 2.74 THEN 1 ELSE {NORMAL.format(z="z", t=TAIL.format(x="(z * z)"))} END, 6) AS p_value FROM z""")
+def unit_root_one_lag(spark, sf_dir):
+    """Log prices of each brand: levels, which may have a unit root."""
+    d = returns(spark, sf_dir).where("price > 0").select("id", "t", F.ln("price").alias("x"))
+    return ur.one_lag(d).select("id", "n", *rnd("t_stat", "p_value"))
