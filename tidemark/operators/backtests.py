@@ -24,10 +24,13 @@ from tidemark.sources.stored import materialised
 ROOT = float(DAYS) ** 0.5
 
 
-@F.pandas_udf("double")
-def t_tails(t: pd.Series, df: pd.Series) -> pd.Series:
+def t_tails(t: Column, df: Column) -> Column:
     """Two-sided p of Student's t; of one row a series."""
-    return pd.Series([t_two_sided(x, d) if x == x and d == d else None for x, d in zip(t, df, strict=True)], dtype=float)
+
+    def run(t: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([t_two_sided(x, d) if x == x and d == d else None for x, d in zip(t, df, strict=True)], dtype=float)
+
+    return F.pandas_udf(run, "double")(t, df)
 
 
 def most_lags(d: DataFrame) -> int:
