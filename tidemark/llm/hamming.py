@@ -134,8 +134,8 @@ def thresholds(costs: list[list[float]], radius: int) -> tuple[float, list[int]]
 def pigeonhole_plan(fps: DataFrame, radius: int) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each used partition, the cheapest over all numbers of partitions.
 
-    The candidates at threshold 0 are counted over all fingerprints (the squares of the cell sizes); those at 1 and 2 are
-    estimated from them and each bit's share of ones. Both sides flip one bit, which meets a threshold of 1 and of 2 alike,
+    The candidates at threshold 0 are counted over all fingerprints (the squares of the cell sizes); what comes on top at 1
+    and 2 is estimated from each bit's share of ones. Both sides flip one bit, which meets a threshold of 1 and of 2 alike,
     at the same cost; thresholds of 3 would need more probes than they save and aren't offered.
     """
     stats, n = bit_correlations(fps)
@@ -151,8 +151,10 @@ def pigeonhole_plan(fps: DataFrame, radius: int) -> list[tuple[list[int], int]]:
             differ = 2 * p[g] * (1 - p[g])
             odds = float((differ / np.maximum(1 - differ, 0.5)).sum())
             same = counted.get(i, 0.0)
-            # Two keys share 1 + len(g) cells if they are equal, and two if they differ in one bit or in two.
-            flipped = PROBE_COST * n * (1 + len(g)) + same * (1 + len(g) + 2 * odds + odds * odds)
+            # Two keys share 1 + len(g) cells if they are equal, and two if they differ in one bit or in two. How many differ so
+            # little follows from the bits' shares; copies, which make equal keys many, don't add to it.
+            chance = float(n) * n * float((1 - differ).prod())
+            flipped = PROBE_COST * n * (1 + len(g)) + same * (1 + len(g)) + chance * (2 * odds + odds * odds)
             costs.append([0.0, PROBE_COST * n + same, flipped, flipped])
         chosen = thresholds(costs, radius)
         if chosen:

@@ -46,10 +46,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 #: Similar texts: words in a shingle, the least share of common shingles, bits in which the fingerprints of their words may
-#: differ, rounds in which a cell's members meet one of them before more is done, and members that may then all meet.
-SHINGLE, SIMILARITY, WORD_RADIUS, ROUNDS, SMALL = 5, 0.8, 8, 2, 64
-#: Bins of a sketch of the shingles, and how often cells are split by them.
-BINS, SPLITS = 128, 3
+#: differ, rounds in which a cell's members meet one of them before more is done, and members that may then all meet: to deal
+#: a row out again costs about as much as some thousand comparisons of two longs.
+SHINGLE, SIMILARITY, WORD_RADIUS, ROUNDS, SMALL = 5, 0.8, 8, 1, 4096
+#: Bins of a sketch of the shingles, and how often cells are split by them. Sketches with fewer than SPARSE bins in use are
+#: split by PAIRS of bins, those with DENSE or more by wider blocks; alike ones are never SPARSE and under DENSE apart.
+BINS, SPLITS, DENSE, SPARSE, PAIRS = 128, 3, 85, 112, 64
 #: Hashes whose bits are laid out at a time.
 VOTERS = 10_000
 
@@ -134,12 +136,23 @@ def alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
 
 
 def by_sketch(members: DataFrame, nodes: DataFrame, level: int, similarity: float) -> DataFrame:
-    """Smaller cells by the blocks of bins, in another order at each level; at 0.8, 32 blocks of 4, as alike sketches differ in 30 bins at most."""
-    order = np.random.default_rng(level).permutation(BINS).reshape(bin_blocks(similarity), -1).tolist()
-    key = lambda block: F.concat(*(F.substring("sketch", i + 1, 1) for i in block))
-    cells = F.array(*(F.xxhash64("cell", F.lit(k), key(block)) for k, block in enumerate(order)))
-    d = members.join(nodes.select("node", "sketch"), "node")
-    return d.select(F.explode(cells).alias("cell"), *(c for c in members.columns if c != "cell"))
+    """Smaller cells by blocks of bins, in another order at each level; cells of one member are left out.
+
+    At 0.8 alike sketches differ in 30 bins at most, so of 32 blocks of 4 bins they share a whole one; with few bins in use
+    they differ in fewer than half of these, so they share a pair of bins. Blocks without a bin in use tell nothing.
+    """
+    order = np.random.default_rng(level).permutation(BINS)
+    empty = lambda n: F.lit(bytes(n))
+
+    def cells(blocks: int, when: Column) -> list[Column]:
+        key = lambda block: F.concat(*(F.substring("sketch", i + 1, 1) for i in block))
+        return [F.when(when & (key(block) != empty(len(block))), F.xxhash64("cell", F.lit(blocks), F.lit(k), key(block))) for k, block in enumerate(order.reshape(blocks, -1).tolist())]
+
+    used = F.aggregate(F.sequence(F.lit(1), F.lit(BINS)), F.lit(0), lambda at, i: at + F.when(F.substring("sketch", i, F.lit(1)) != empty(1), 1).otherwise(0))
+    d = members.join(nodes.select("node", "sketch"), "node").withColumn("used", used)
+    keys = F.array_compact(F.array(*cells(PAIRS, F.col("used") < SPARSE), *cells(bin_blocks(similarity), F.col("used") >= DENSE)))
+    d = d.select(F.explode(keys).alias("cell"), *(c for c in members.columns if c != "cell"))
+    return d.join(d.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell"), "cell")
 
 
 def apart(members: DataFrame) -> DataFrame:
