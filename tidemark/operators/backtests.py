@@ -113,7 +113,7 @@ def scored_rows(forecasts: DataFrame, series: DataFrame, horizon: int, start=Non
 
 
 def backtest(forecasts: DataFrame, series: DataFrame, horizon: int, start=None, end=None) -> DataFrame:
-    """A row of 44 figures for each series.
+    """A row of 47 figures for each series.
 
     forecasts: (id, t, sigma, sigma_horizon, on_grid, is_reliable), volatilities a year made at the end of day t;
     series: (id, t, ret, own, capm), with two rival forecasts made at the end of each day. Counts of forecasts; bias (actual
