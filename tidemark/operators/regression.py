@@ -140,7 +140,8 @@ def windows(rows: DataFrame, spec: Spec) -> DataFrame:
     low = F.greatest(F.ceil((F.col("__back") - spec.window + 1) / spec.step), F.lit(0)).cast("int")
     high = F.floor(F.col("__back") / spec.step).cast("int")
     enough = F.col("__size") - F.col("j") * spec.step >= spec.least
-    d = d.withColumn("j", F.explode(F.sequence(low, high))).where(enough)
+    # With steps longer than a window some rows are in none.
+    d = d.where(low <= high).withColumn("j", F.explode(F.sequence(low, high))).where(enough)
     ends = d.groupBy("id", "j").agg(F.max("t").alias("window_end"))
     return d.join(ends, ["id", "j"]).drop("__back", "__size", "j")
 
