@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.operators.series import DAYS
+from tidemark.sources.stored import materialised
 
 
 def complete(panel: DataFrame, x: str = "ret") -> DataFrame:
-    """Rows (id, t, x) of the dates on which every series has a value."""
-    d = panel.where(F.col(x).isNotNull()).select("id", "t", F.col(x).alias("x"))
+    """Rows (id, t, x) of the dates on which every series has a value; stored, as what follows pairs them with each other several times."""
+    d = materialised(panel.where(F.col(x).isNotNull()).select("id", "t", F.col(x).alias("x")))
     k = d.agg(F.countDistinct("id").alias("k"))
     days = d.groupBy("t").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(k)).where("n = k").select("t")
-    return d.join(days, "t", "left_semi")
+    return materialised(d.join(days, "t", "left_semi"))
 
 
 def pairs(d: DataFrame, lag: int = 0) -> DataFrame:
@@ -89,7 +90,7 @@ def quadratic(cov: DataFrame, weights: DataFrame, *keys: str) -> DataFrame:
 def contributions(cov: DataFrame, weights: DataFrame) -> DataFrame:
     """(id, beta, mctr, ctr) of one set of weights: marginal and Euler contributions to volatility, which sum to it."""
     m = cov.join(weights.select(F.col("id").alias("j"), F.col("beta").alias("bj")), "j").groupBy(F.col("i").alias("id")).agg(F.sum(F.col("cov") * F.col("bj")).alias("sb"))
-    d = weights.join(m, "id")
+    d = materialised(weights.join(m, "id"))
     total = d.agg(F.sqrt(F.sum(F.col("beta") * F.col("sb"))).alias("sigma"))
     return d.crossJoin(F.broadcast(total)).select("id", "beta", F.try_divide("sb", "sigma").alias("mctr"), F.try_divide(F.col("beta") * F.col("sb"), F.col("sigma")).alias("ctr"))
 
@@ -99,7 +100,8 @@ def block_variance(cov: DataFrame, weights: DataFrame, blocks: DataFrame) -> Dat
     w = weights.join(blocks, "id")
     a = w.select(F.col("id").alias("i"), F.col("beta").alias("bi"), F.col("block").alias("block_i"))
     b = w.select(F.col("id").alias("j"), F.col("beta").alias("bj"), F.col("block").alias("block_j"))
-    g = cov.join(a, "i").join(b, "j").groupBy("block_i", "block_j").agg(F.sum(F.col("bi") * F.col("cov") * F.col("bj")).alias("variance"))
+    # As many rows as pairs of blocks.
+    g = materialised(cov.join(a, "i").join(b, "j").groupBy("block_i", "block_j").agg(F.sum(F.col("bi") * F.col("cov") * F.col("bj")).alias("variance")))
     return g.crossJoin(F.broadcast(g.agg(F.sum("variance").alias("total")))).select("block_i", "block_j", "variance", F.try_divide("variance", "total").alias("share"))
 
 

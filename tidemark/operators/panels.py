@@ -16,6 +16,7 @@ from pyspark.sql.window import Window as W
 from tidemark.operators.covariance import ewma, full, pairs, sample
 from tidemark.operators.kernels import repaired
 from tidemark.operators.series import DAYS
+from tidemark.sources.stored import materialised
 
 
 def centred(d: DataFrame) -> DataFrame:
@@ -30,16 +31,17 @@ def shrunk(d: DataFrame, per_year: int = DAYS) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     m = pairs(centred(d)).groupBy("i", "j").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(a * b).alias("s"), F.avg(a * a).alias("vi"), F.avg(b * b).alias("vj"), F.avg(a * a * b * b).alias("q"), F.avg(a * a * a * b).alias("ab"), F.avg(b * b * b * a).alias("ba"))
     m = m.withColumns({"scale": F.sqrt(F.col("vi") * F.col("vj")), "spread": F.col("q") - F.col("s") * F.col("s"), "off": F.col("i") != F.col("j")})
-    # What follows sees the pairs, as many rows as series squared.
-    every = W.partitionBy(F.lit(0))
-    m = m.withColumn("r", F.avg(F.when(F.col("off"), F.coalesce(F.try_divide("s", "scale"), F.lit(0.0)))).over(every))
+    # What follows reads the pairs, as many rows as series squared, for sums over all of them.
+    m = materialised(m)
+    m = m.crossJoin(F.broadcast(m.agg(F.avg(F.when(F.col("off"), F.coalesce(F.try_divide("s", "scale"), F.lit(0.0)))).alias("r"))))
     m = m.withColumn("target", F.when(F.col("off"), F.col("r") * F.col("scale")).otherwise(F.col("s")))
     # A pair off the diagonal stands for two.
     slope = lambda x, y, third: F.coalesce(F.sqrt(F.try_divide(y, x)), F.lit(0.0)) * (F.col(third) - x * F.col("s"))
-    pi = F.sum(F.when(F.col("off"), 2 * F.col("spread")).otherwise(F.col("spread"))).over(every)
-    rho = F.sum(F.when(F.col("off"), F.col("r") * (slope(F.col("vi"), F.col("vj"), "ab") + slope(F.col("vj"), F.col("vi"), "ba"))).otherwise(F.col("spread"))).over(every)
-    gamma = 2 * F.sum(F.pow(F.col("target") - F.col("s"), F.lit(2.0))).over(every)
-    best = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(pi - rho, gamma * F.col("n"))))
+    pi = F.sum(F.when(F.col("off"), 2 * F.col("spread")).otherwise(F.col("spread")))
+    rho = F.sum(F.when(F.col("off"), F.col("r") * (slope(F.col("vi"), F.col("vj"), "ab") + slope(F.col("vj"), F.col("vi"), "ba"))).otherwise(F.col("spread")))
+    gamma = 2 * F.sum(F.pow(F.col("target") - F.col("s"), F.lit(2.0)))
+    m = m.crossJoin(F.broadcast(m.agg((pi - rho).alias("pull"), gamma.alias("gamma"))))
+    best = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col("pull"), F.col("gamma") * F.col("n"))))
     m = m.withColumn("shrinkage", F.coalesce(F.when(F.col("n") >= 3, best), F.lit(0.0)))
     cov = (F.col("shrinkage") * F.coalesce("target", "s") + (1 - F.col("shrinkage")) * F.col("s")) * F.try_divide("n", F.col("n") - 1) * per_year
     return m.select("i", "j", cov.alias("cov"), "shrinkage")
