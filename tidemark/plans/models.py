@@ -44,14 +44,21 @@ def residualise_two(spark, sf_dir):
     return rg.residuals(d, ["mkt", "m2"], "full", y="ret").select("id", "t", *rnd("resid"))
 
 
-@query(None)
+#: Slopes from rows strictly before each refit, every four rows from the 52nd on, of the last {window} rows; one that can't be fitted keeps the slope before.
+REFIT = """WITH {market}, v AS (SELECT id, t, ret, mkt, row_number() OVER (PARTITION BY id ORDER BY t) - 1 AS pos FROM rm),
+rp AS (SELECT id, pos AS begins FROM v WHERE pos >= 52 AND (pos - 52) % 4 = 0), rf AS (SELECT rp.id, rp.begins, CASE WHEN count(*) FILTER (ret IS NOT NULL AND mkt IS NOT NULL) >= 52 THEN regr_slope(ret, mkt) END AS b FROM rp JOIN v ON v.id = rp.id AND v.pos < rp.begins AND v.pos >= rp.begins - {window} GROUP BY rp.id, rp.begins),
+rs AS (SELECT id, begins, last_value(b IGNORE NULLS) OVER (PARTITION BY id ORDER BY begins) AS b FROM rf)
+SELECT v.id, v.t, round(ret - mkt * rs.b, 6) AS resid FROM v LEFT JOIN rs ON rs.id = v.id AND rs.begins = 52 + ((v.pos - 52) // 4) * 4 AND v.pos >= 52"""
+
+
+@query(REFIT.format(market=MARKET, window=104))
 def residualise_rolling(spark, sf_dir):
-    return rg.residuals(with_market(spark, sf_dir), ["mkt"], "rolling", 104, 52, 4, y="ret")
+    return rg.residuals(with_market(spark, sf_dir), ["mkt"], "rolling", 104, 52, 4, y="ret").select("id", "t", *rnd("resid"))
 
 
-@query(None)
+@query(REFIT.format(market=MARKET, window=1_000_000))
 def residualise_expanding(spark, sf_dir):
-    return rg.residuals(with_market(spark, sf_dir), ["mkt"], "expanding", None, 52, 4, y="ret")
+    return rg.residuals(with_market(spark, sf_dir), ["mkt"], "expanding", None, 52, 4, y="ret").select("id", "t", *rnd("resid"))
 
 
 @query(f"""WITH {MARKET}, v AS (SELECT * FROM rm WHERE ret IS NOT NULL AND mkt IS NOT NULL), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t DESC) - 1 AS back, count(*) OVER (PARTITION BY id) AS size FROM v),
@@ -122,9 +129,11 @@ def cov_diagnostics(spark, sf_dir):
     return g.select(F.round(F.aggregate("eigenvalues", F.lit(0.0), lambda a, x: a + x), 6).alias("trace"), F.round(F.sqrt(F.aggregate("eigenvalues", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("frobenius"), "series", "psd")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {RETURNS}, v AS (SELECT id, t, ret, row_number() OVER (PARTITION BY id ORDER BY t) AS i FROM r WHERE ret IS NOT NULL),
+e AS (SELECT id, i, t, ret, NULL::DOUBLE AS before, ret * ret AS v FROM v WHERE i = 1 UNION ALL SELECT v.id, v.i, v.t, v.ret, e.v, power(0.5, 0.1) * e.v + (1 - power(0.5, 0.1)) * v.ret * v.ret FROM e JOIN v ON v.id = e.id AND v.i = e.i + 1)
+SELECT r.id, r.t, round(CASE WHEN e.i > 10 THEN abs(e.ret) / sqrt(e.before) - sqrt(2 / pi()) END, 6) AS value FROM r LEFT JOIN e ON e.id = r.id AND e.t = r.t""")
 def return_surprise(spark, sf_dir):
-    return k.surprise(returns(spark, sf_dir), 10.0, 10)
+    return k.surprise(returns(spark, sf_dir), 10.0, 10).select("id", "t", *rnd("value"))
 
 
 @query(None)
