@@ -164,3 +164,27 @@ def portfolio_scores(spark, sf_dir):
 
     out = bt.portfolio_score(scored_inputs(spark, sf_dir).select("id", "t", "ret", "sigma", "sigma_horizon", "own"), 4)
     return out.select("id", *(F.col(c).cast("long").alias(c) for c in ("n_days", "exceptions_95", "exceptions_99", "n_blocks")), "bias_worst_date", "bias_in_band", *rnd(*SCORE, places=5))
+
+
+#: Windows of one regressor: sums, residuals, and the Bartlett-weighted sandwich about the inverse of X'X.
+ONE = f"""{MARKET}, b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t DESC) - 1 AS back, count(*) OVER (PARTITION BY id) AS size FROM rm),
+wc AS (SELECT id, j, t, ret AS y, mkt AS x, max(t) OVER (PARTITION BY id, j) AS window_end FROM b, (SELECT unnest(range(0, 40)) AS j) WHERE back BETWEEN j * 26 AND j * 26 + 103 AND size - j * 26 >= 60),
+wo AS (SELECT * FROM wc WHERE y IS NOT NULL AND x IS NOT NULL),
+wf AS (SELECT id, window_end, count(*) AS n, sum(x) AS sx, sum(x * x) AS sxx, covar_pop(y, x) AS cxy, var_pop(x) AS vp, var_samp(x) AS vs, avg(x) AS mx, avg(y) AS my FROM wo GROUP BY id, window_end HAVING count(*) >= 3)"""
+
+
+@query(f"""WITH {ONE}, fb AS (SELECT *, cxy / vp AS beta, my - cxy / vp * mx AS alpha, floor(4 * power(n / 100.0, 2.0 / 9))::INT AS lags FROM wf),
+er AS (SELECT wo.id, wo.window_end, wo.x, wo.y - alpha - beta * wo.x AS e, lags, row_number() OVER (PARTITION BY wo.id, wo.window_end ORDER BY t) AS k FROM wo JOIN fb ON fb.id = wo.id AND fb.window_end = wo.window_end),
+mt AS (SELECT p.id, p.window_end, sum(w * p.e * q.e) AS gg, sum(w * p.e * q.e * p.x * q.x) AS hh, sum(w * p.e * q.e * (p.x + q.x) / 2) AS gh FROM (SELECT a.id, a.window_end, a.k AS pk, b.k AS qk, (1 - (a.k - b.k) / (a.lags + 1.0)) * CASE WHEN a.k = b.k THEN 1 ELSE 2 END AS w FROM er a JOIN er b ON b.id = a.id AND b.window_end = a.window_end AND b.k <= a.k AND a.k - b.k <= a.lags) z JOIN er p ON p.id = z.id AND p.window_end = z.window_end AND p.k = pk JOIN er q ON q.id = z.id AND q.window_end = z.window_end AND q.k = qk GROUP BY ALL),
+vr AS (SELECT fb.*, -sx / (n * sxx - sx * sx) AS q, n / (n * sxx - sx * sx) AS r, gg, gh, hh FROM fb JOIN mt ON mt.id = fb.id AND mt.window_end = fb.window_end)
+SELECT id, window_end, n, round(beta, 6) AS beta, round(sqrt(q * q * gg + 2 * q * r * gh + r * r * hh), 6) AS se, round(beta / sqrt(q * q * gg + 2 * q * r * gh + r * r * hh), 4) AS t_stat FROM vr""")
+def rolling_hac_one(spark, sf_dir):
+    d = rg.rolling(with_market(spark, sf_dir), ["mkt"], rg.Spec(window=104, step=26, least=60), "ret")
+    return d.select("id", "window_end", F.col("n").cast("long").alias("n"), *rnd("beta", "se"), F.round("t_stat", 4).alias("t_stat"))
+
+
+@query(f"""WITH {ONE} SELECT id, window_end, n, round(cxy / (vp + 0.1 * vs), 6) AS beta FROM wf""")
+def rolling_ridge_one(spark, sf_dir):
+    """The slope drawn towards zero by a tenth of the regressor's variance a row; the intercept is free."""
+    d = rg.rolling(with_market(spark, sf_dir), ["mkt"], rg.Spec(window=104, step=26, least=60, estimator="ridge", ridge=0.1), "ret")
+    return d.select("id", "window_end", F.col("n").cast("long").alias("n"), *rnd("beta"))
