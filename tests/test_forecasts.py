@@ -180,8 +180,11 @@ def test_fits_are_stored_once(spark, tmp_path):
     assert asked.value == 4
     a, b = gr.Configuration("x", ((0.5, 8.0), (0.5, 52.0))), gr.Configuration("y", ((0.5, 52.0), (0.5, 8.0)))
     assert a.key() == b.key()
-    with pytest.raises(ValueError):
-        gr.Configuration("z", ((0.5, 8.0),))
+    c = gr.normalised("n", [(2.0, 52.0), (1.0, 8.0), (1.0, 8.0)])
+    assert c.mix == ((0.5, 8.0), (0.5, 52.0)) and gr.label(c) == "8:50+52:50"
+    for bad in (lambda: gr.Configuration("z", ((0.5, 8.0),)), lambda: gr.normalised("z", [(0.0, 8.0)])):
+        with pytest.raises(ValueError):
+            bad()
 
 
 def test_unit_root_p_values(spark):

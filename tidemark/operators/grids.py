@@ -37,6 +37,22 @@ class Configuration:
         return hashlib.sha256(json.dumps(sorted(self.mix)).encode()).hexdigest()[:12]
 
 
+def normalised(name: str, mix: list[tuple[float, float]]) -> Configuration:
+    """A configuration whose positive weights are scaled to one, parts of one half-life taken together, from the shortest on."""
+    parts: dict[float, float] = {}
+    for w, h in mix:
+        if w <= 0:
+            raise ValueError(f"a weight of {name} isn't positive")
+        parts[h] = parts.get(h, 0.0) + w
+    total = sum(parts.values())
+    return Configuration(name, tuple((w / total, h) for h, w in sorted(parts.items())))
+
+
+def label(c: Configuration) -> str:
+    """What a configuration is, in short: 50 % of 8 and 50 % of 52 is `8:50+52:50`."""
+    return "+".join(f"{h:g}:{100 * w:g}" for w, h in sorted(c.mix, key=lambda x: x[1]))
+
+
 def pair_memories(panel: DataFrame, half_lives: list[float], least: int = 60) -> DataFrame:
     """(i, j, t, means) of panel (id, t, x), i <= j: at each day both have, the exponential means of their products for every
     half-life, up to and with the day; from the least-th common day on. A series may begin late: a pair counts its own days."""

@@ -12,6 +12,12 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from tidemark.operators.covariance import quadratic
+from tidemark.operators.longrun import interpolated
+from tidemark.sources.stored import materialised
 
 
 def held_at_zero(s: np.ndarray, c: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, float]:
@@ -109,3 +115,28 @@ def of_universes(universes: DataFrame, points: int = 0) -> DataFrame:
         return pd.DataFrame(out, columns=["universe", "portfolio", "point", "mean", "vol", "id", "weight", "kkt"])
 
     return universes.groupBy("universe").applyInPandas(one, "universe string, portfolio string, point int, mean double, vol double, id string, weight double, kkt double")
+
+
+def frontier_points(universes: DataFrame, points: int = 40) -> DataFrame:
+    """(id, tenor, yield), a curve as longrun.interpolated takes it: each universe's long-only frontier as mean by risk, the efficient part."""
+    d = of_universes(universes, points).where("portfolio = 'frontier'").groupBy("universe", "point").agg(F.first("vol").alias("vol"), F.first("mean").alias("mean"))
+    before = W.partitionBy("universe").orderBy("vol", "mean").rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumn("best", F.max("mean").over(before)).where(F.col("mean") >= F.col("best") - 1e-10)
+    return d.groupBy(F.col("universe").alias("id"), F.col("vol").alias("tenor")).agg(F.max("mean").alias("yield"))
+
+
+def perspectives(portfolios: DataFrame, vectors: DataFrame, cov: DataFrame, points: int = 40) -> DataFrame:
+    """(portfolio, vector, excess, risk, sharpe, gap): every portfolio (portfolio, id, weight) under every vector of expected excess
+    returns (vector, id, excess), given all pairs (i, j, cov).
+
+    gap is how far the portfolio's excess lies below the vector's own long-only frontier at the same risk, flat beyond its
+    ends: zero for the vector's optimum, negative where short positions reach above it. A holding without an expectation or
+    a covariance counts as nothing; without risk there is no ratio.
+    """
+    risk = quadratic(cov, portfolios.select("portfolio", "id", F.col("weight").alias("beta")), "portfolio").select("portfolio", F.sqrt(F.greatest("variance", F.lit(0.0))).alias("risk"))
+    d = portfolios.join(vectors, "id").groupBy("portfolio", "vector").agg(F.sum(F.col("weight") * F.col("excess")).alias("excess")).join(risk, "portfolio")
+    rows = cov.groupBy(F.col("i").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "cov"))), lambda x: x["cov"]).alias("row"))
+    universes = vectors.select(F.col("vector").alias("universe"), "id", F.col("excess").alias("mean")).join(rows, "id").withColumn("cross", F.lit(None).cast("double"))
+    at = interpolated(d.select(F.col("vector").alias("id"), F.col("risk").alias("tenor")).distinct(), materialised(frontier_points(universes, points)))
+    best = at.select(F.col("id").alias("vector"), F.col("tenor").alias("risk"), F.col("yield").alias("best"))
+    return d.join(best, ["vector", "risk"], "left").select("portfolio", "vector", "excess", "risk", F.try_divide("excess", "risk").alias("sharpe"), (F.col("best") - F.col("excess")).alias("gap"))

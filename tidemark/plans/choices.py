@@ -127,3 +127,17 @@ def unit_root_one_lag(spark, sf_dir):
     """Log prices of each brand: levels, which may have a unit root."""
     d = returns(spark, sf_dir).where("price > 0").select("id", "t", F.ln("price").alias("x"))
     return ur.one_lag(d).select("id", "n", *rnd("t_stat", "p_value"))
+
+
+@query(f"""WITH {TYPES}, mo AS (SELECT id, avg(x) * 252 AS m FROM d GROUP BY id), ve AS (SELECT 'history' AS vector, id, m FROM mo UNION ALL SELECT 'even', id, 0.05 FROM mo UNION ALL SELECT 'reverse', id, -m FROM mo),
+pc AS (SELECT a.id AS i, b.id AS j, covar_samp(a.x, b.x) * 252 AS c FROM d a JOIN d b USING (t) GROUP BY 1, 2),
+ho AS (SELECT 'all' AS portfolio, id, 1.0::DOUBLE / count(*) OVER () AS w FROM mo UNION ALL SELECT 'two', id, CASE r WHEN 1 THEN 1.0 ELSE -0.5 END FROM (SELECT id, row_number() OVER (ORDER BY id) AS r FROM mo) WHERE r <= 2),
+rk AS (SELECT a.portfolio, sqrt(sum(a.w * b.w * c)) AS risk FROM ho a JOIN ho b ON b.portfolio = a.portfolio JOIN pc ON i = a.id AND j = b.id GROUP BY 1), ex AS (SELECT portfolio, vector, sum(w * m) AS excess FROM ho JOIN ve ON ve.id = ho.id GROUP BY 1, 2)
+SELECT ex.portfolio, vector, round(excess, 6) AS excess, round(risk, 6) AS risk, round(excess / risk, 6) AS sharpe, CASE WHEN ex.portfolio = 'all' THEN true END AS below FROM ex JOIN rk ON rk.portfolio = ex.portfolio""")
+def perspectives(spark, sf_dir):
+    """Two portfolios under three views; none without short positions lies above a view's own frontier."""
+    d = cv.complete(type_returns(spark, sf_dir))
+    m = d.groupBy("id").agg((F.avg("x") * 252).alias("m"))
+    views = F.explode(F.array(*(F.struct(F.lit(n).alias("vector"), v.alias("excess")) for n, v in (("history", F.col("m")), ("even", F.lit(0.05)), ("reverse", -F.col("m")))))).alias("v")
+    out = wt.perspectives(holdings(d), m.select("id", views).select("v.vector", "id", "v.excess"), cv.full(cv.sample(d).select("i", "j", "cov")))
+    return out.select("portfolio", "vector", *rnd("excess", "risk", "sharpe"), F.when(F.col("portfolio") == "all", F.col("gap") > -1e-6).alias("below"))
