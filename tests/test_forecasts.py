@@ -211,6 +211,21 @@ def test_hot_keys_against_one_window(spark):
     assert np.allclose([r.run for r in m], np.cumsum([r.x for r in m]))
 
 
+def test_exponential_means_in_buckets(spark):
+    from tidemark.operators import recursions as rc
+
+    rows = [(i, DAY0 + timedelta(int(n)), None if RNG.random() < 0.3 else float(RNG.normal())) for i in ("a", None) for n in np.sort(RNG.choice(1500, 200, replace=False))]
+    rows = [(i, t, None if t < DAY0 + timedelta(200) and i == "a" else x) for i, t, x in rows]
+    got = {(r.id, r.t): r for r in rc.exponential_means(spark.createDataFrame(rows, "id string, t date, x double"), "id", "t", "x", 7.0, "month").collect()}
+    lam, v = 0.5 ** (1 / 7), {}
+    for i, t, x in rows:
+        before = v.get(i)
+        if x is not None:
+            v[i] = x if before is None else lam * before + (1 - lam) * x
+        for want, have in ((v.get(i), got[i, t].value), (before, got[i, t].before)):
+            assert (want is None and have is None) or have == pytest.approx(want)
+
+
 def test_upserts_write_what_they_touch(spark, tmp_path):
     from tidemark.streaming import events as ev
 

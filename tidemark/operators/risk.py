@@ -15,6 +15,7 @@ from tidemark.functions.bonds import reversion_weight, value_at_risk
 from tidemark.functions.specfun import normal_quantile, t_quantile
 from tidemark.operators.joins import asof_backward
 from tidemark.operators.kernels import ewma_matrix, ledoit_wolf, repaired
+from tidemark.operators.recursions import exponential_means
 from tidemark.operators.series import DAYS, by
 from tidemark.sources.stored import materialised
 
@@ -174,18 +175,7 @@ def out_of_sample(sets: DataFrame, series: DataFrame, factors: DataFrame, lags:
 
 def mean_before(rows: DataFrame, half_life: float, x: str) -> DataFrame:
     """(id, t, value): the exponential mean of the series' values before the row, from its first one; a missing value holds it."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        lam, v, out = 0.5 ** (1 / half_life), None, []
-        for e in pdf["x"].to_numpy(float):
-            out.append(v)
-            if math.isfinite(e):
-                v = e if v is None else lam * v + (1 - lam) * e
-        return pd.DataFrame({"id": pdf["id"], "t": pdf["t"], "value": np.array(out, dtype=float)})
-
-    d = rows.selectExpr("id", "t", f"{x} AS x").groupBy("id").applyInPandas(one, "id string, t date, value double")
-    return d.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    return exponential_means(rows, "id", "t", x, half_life).select("id", "t", F.col("before").alias("value"))
 
 
 def forecasts(loadings: DataFrame, series: DataFrame, factors: DataFrame, spec: RiskSpec = RiskSpec()) -> DataFrame:

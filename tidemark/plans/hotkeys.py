@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import joins as j
+from tidemark.operators import recursions as rc
 from tidemark.plans.panel import query
 from tidemark.plans.relational import read
 
@@ -38,3 +39,13 @@ def hot_key_interval(spark, sf_dir):
     e = one_stream(spark, sf_dir)
     b = e.select("k", "event_id", (F.col("ts") - F.expr("INTERVAL 6 HOURS")).alias("low"), F.col("ts").alias("high"))
     return j.interval_sums(b, e.select("k", "ts", "value"), "k", "low", "high", "ts", "value").select("event_id", F.round("total", 4).alias("total"))
+
+
+@query(f"""WITH RECURSIVE {STREAM}, v AS (SELECT event_id, ts, value, row_number() OVER (ORDER BY ts) AS i FROM e),
+m AS (SELECT event_id, i, value AS v, NULL::DOUBLE AS before FROM v WHERE i = 1 UNION ALL SELECT v.event_id, v.i, power(0.5, 1 / 50.0) * m.v + (1 - power(0.5, 1 / 50.0)) * v.value, m.v FROM m JOIN v ON v.i = m.i + 1)
+SELECT event_id, round(v, 6) AS value, round(before, 6) AS before FROM m""")
+def hot_key_mean(spark, sf_dir):
+    """The exponential mean of all events' values, a recursion over a single key, in buckets of a day."""
+    e = one_stream(spark, sf_dir)
+    d = rc.exponential_means(e, "k", "ts", "value", 50.0)
+    return d.join(e.select("ts", "event_id"), "ts").select("event_id", F.round("value", 6).alias("value"), F.round("before", 6).alias("before"))
