@@ -1,13 +1,14 @@
 """Phrase collocations by hierarchical pair naming.
 
 A word that is frequent in its language gets a number. Two neighbours that both have one make a pair; pairs that are frequent
-over all documents get numbers of their own by a join, and these take the place of the pair's first word, so that the next
-round's pairs are phrases of one word more: a phrase of k words is the pair of the two of k - 1 words that overlap in it.
-The pair is also the phrase's pointer to those two, from which its cuts and what it lies in are looked up.
+over all documents get numbers of their own, and these take the place of the pair's first word, so that the next round's
+pairs are phrases of one word more: a phrase of k words is the pair of the two of k - 1 words that overlap in it. The pair is
+also the phrase's pointer to those two, from which its cuts and what it lies in are looked up by joins.
 
 Texts are read once, into sequences of codes (numbers of a portion's own table of different words or pairs). Each round sends
-only a portion's different pairs with their counts through the shuffle, and the frequent ones' numbers come back to the
-portion by its key. Sequences lose every stretch that can't be part of a longer phrase. No table of all phrases is broadcast.
+a portion's different pairs with their counts through one shuffle, where all portions' rows of a pair meet: their sum is the
+pair's count, the smallest of their places its number, and the frequent ones' numbers go back to their portions. Sequences
+lose every stretch that can't be part of a longer phrase. No table of all phrases is broadcast.
 """
 
 from __future__ import annotations
@@ -63,17 +64,29 @@ def stretches(code: np.ndarray, linked: np.ndarray) -> np.ndarray:
     return np.insert(code, gap + 1, -1)[np.insert(keep, gap + 1, True)].astype(np.int32)
 
 
+def squeezed(codes: np.ndarray) -> bytes:
+    """The codes (int32) by planes of bytes, compressed: most are small."""
+    raw = codes.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(codes).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    raw = pa.decompress(data[8:], decompressed_size=4 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(4, n).T).view("<i4")[:, 0]
+
+
 SEQUENCES = "p int, codes binary, a array<long>, b array<long>, word array<string>, lang array<string>, n array<long>"
 
 
 def as_rows(p: int, codes: np.ndarray, n: np.ndarray, a=None, b=None, word=None, lang=None) -> pa.RecordBatch:
     """A portion's row: its sequence of codes, and by code the pair (a, b) or the word and language, and the occurrences n."""
     one = lambda x, kind: pa.array([None if x is None else x], type=pa.list_(kind))
-    return pa.RecordBatch.from_arrays([pa.array([p], type=pa.int32()), pa.array([codes.tobytes()], type=pa.binary()), one(a, pa.int64()), one(b, pa.int64()), one(word, pa.string()), one(lang, pa.string()), one(n, pa.int64())], names=["p", "codes", "a", "b", "word", "lang", "n"])
+    return pa.RecordBatch.from_arrays([pa.array([p], type=pa.int32()), pa.array([squeezed(codes)], type=pa.binary()), one(a, pa.int64()), one(b, pa.int64()), one(word, pa.string()), one(lang, pa.string()), one(n, pa.int64())], names=["p", "codes", "a", "b", "word", "lang", "n"])
 
 
-def read_portions(docs: DataFrame) -> DataFrame:
-    """SEQUENCES of docs (lang, text): a row for each PORTION of text, whose codes are the portion's different words of a language."""
+def read_portions(docs: DataFrame, portion: int = PORTION) -> DataFrame:
+    """SEQUENCES of docs (lang, text): a row for each `portion` of text, whose codes are the portion's different words of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -85,7 +98,7 @@ def read_portions(docs: DataFrame) -> DataFrame:
             raw = np.frombuffer(text.buffers()[2] or b"", dtype=np.uint8)
             low = 0
             while low < len(text):
-                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + PORTION, side="right")) - 1)
+                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + portion, side="right")) - 1)
                 column, doc, piece = words(raw[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
                 langs = batch.column("lang").slice(low, high - low).dictionary_encode()
                 different = column.dictionary_encode()
@@ -109,7 +122,7 @@ def paired(portions: DataFrame, names: DataFrame) -> DataFrame:
         out = []
         if right.num_rows:
             # A portion is one row; its sequence is bounded by PORTION or one text.
-            codes = np.frombuffer(left.column("codes")[0].as_py(), dtype=np.int32)
+            codes = unsqueezed(left.column("codes")[0].as_py())
             code, ids = right.column("code").to_numpy(), right.column("id").to_numpy()
             number = np.full(max(int(code.max()), int(codes.max(initial=0))) + 2, -1, dtype=np.int64)
             number[code] = np.arange(len(ids))
@@ -132,59 +145,59 @@ def entries(portions: DataFrame, *columns: str) -> DataFrame:
     return d.select(F.shiftleft(F.col("p").cast("long"), 32).bitwiseOR(F.col("code")).alias("place"), *(F.col(f"x.{c}").alias(c) for c in columns))
 
 
-def named(places: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
-    """(p, code, id) of the places whose keys have a number. The frequent keys are hashed in each task, so that the many places needn't be sorted."""
-    d = places.join(known.select(*keys, "id").hint("shuffle_hash"), keys)
-    return d.select(F.shiftright("place", 32).cast("int").alias("p"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("code"), "id")
+def frequent(places: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """(place, id, a, keys) of the places (place, keys, n) whose keys occur `least` times or more over all: a occurrences, and as
+    their number the smallest of their places; written. A portion has one place at most for a key."""
+    w = W.partitionBy(*keys)
+    d = places.withColumns({"f": F.sum("n").over(w), "id": F.min("place").over(w)}).where(F.col("f") >= least)
+    return written(d.select("place", "id", "f", *keys))
 
 
-def numbered(frequent: DataFrame) -> DataFrame:
-    """frequent with `id`; written, as a number must not change."""
-    return written(frequent.withColumn("id", F.monotonically_increasing_id()))
+def names_of(held: DataFrame) -> DataFrame:
+    """(p, code, id) of each place."""
+    return held.select(F.shiftright("place", 32).cast("int").alias("p"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("code"), "id")
 
 
 def exact(x: str | Column) -> Column:
     return (F.col(x) if isinstance(x, str) else x).cast("decimal(20,0)")
 
 
-def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
+def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = FREQUENT, portion: int = PORTION) -> tuple[DataFrame, DataFrame]:
     """The frequent phrases and the languages' sizes.
 
     Phrases: (id, lang, k, phrase, a, first, rest, part_a, part_b): a occurrences of k words, first[i] those of its first i + 1
     words, rest[i] those of what follows them, part_a and part_b the ids of the phrases without the last and without the
-    first word (an id is that of a phrase of its k). Sizes: (lang, n), all words. Phrases lie inside a piece and a language; null is the language `und`.
+    first word (ids are told apart within one k). Sizes: (lang, n), all words. Phrases lie inside a piece and a language; null is the language `und`.
     """
     for_workers(docs.sparkSession)
     d = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_of(text_col).alias("text"))
-    portions = written(read_portions(d))
-    counts = written(entries(portions, "lang", "word", "n").groupBy("lang", "word").agg(F.sum("n").alias("a")))
-    sizes = counts.groupBy("lang").agg(F.sum("a").alias("n"))
-    known = numbered(counts.where(F.col("a") >= least))
-    names = named(entries(portions, "lang", "word"), known, ["lang", "word"])
+    portions = written(read_portions(d, portion))
+    # Languages are summed up in each task before they move.
+    sizes = written(entries(portions, "lang", "n").groupBy("lang").agg(F.sum("n").alias("n")))
+    held = frequent(entries(portions, "lang", "word", "n"), ["lang", "word"], least)
     none = F.array().cast("array<long>")
-    level = known.select("id", "lang", F.lit(1).alias("k"), F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("first"), none.alias("rest"), F.lit(None).cast("long").alias("part_a"), F.lit(None).cast("long").alias("part_b"))
-    levels, used = [], [known]
+    level = held.where("place = id").select("id", "lang", F.lit(1).alias("k"), F.col("word").alias("phrase"), F.col("word").alias("last"), F.col("f").alias("a"), none.alias("first"), none.alias("rest"), F.lit(None).cast("long").alias("part_a"), F.lit(None).cast("long").alias("part_b"))
+    levels, level = [], written(level)
     for k in range(2, longest + 1):
-        before, portions = portions, written(paired(portions, names))
-        discard(before)
-        pairs = numbered(entries(portions, "a", "b", "n").groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
-        names = named(entries(portions, "a", "b"), pairs, ["a", "b"])
+        before, portions = portions, written(paired(portions, names_of(held)))
+        discard(before, held)
+        held = frequent(entries(portions, "a", "b", "n"), ["a", "b"], least)
+        pairs = held.where("place = id").select("id", "a", "b", "f")
         x, y = level.alias("x"), level.alias("y")
         joined = pairs.join(x, F.col("x.id") == pairs["a"]).join(y, F.col("y.id") == pairs["b"])
         level = written(joined.select(
             pairs["id"], "x.lang", F.lit(k).alias("k"), F.concat_ws(" ", "x.phrase", "y.last").alias("phrase"), "y.last", F.col("f").alias("a"),
             F.array_append(F.col("x.first"), F.col("x.a")).alias("first"), F.array_prepend(F.col("y.rest"), F.col("y.a")).alias("rest"), pairs["a"].alias("part_a"), pairs["b"].alias("part_b"),
         ))
-        used.append(pairs)
         levels.append(level)
-    discard(portions, *used)
+    discard(portions, held)
     found = levels[0]
     for more in levels[1:]:
         found = found.unionByName(more)
     return found.drop("last"), sizes
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = FREQUENT, top: int = TOP, within: tuple[int, int] = WITHIN) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = FREQUENT, top: int = TOP, within: tuple[int, int] = WITHIN, portion: int = PORTION) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's first `top` phrases by score.
 
     The score of a phrase with a occurrences is the smallest floor(2000000 a / (l + r)) over its cuts into two, with l and r
@@ -195,7 +208,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     Defined results: a null text is empty, a null language is `und` (as is that name itself); texts without words and empty
     tables give nothing; repeated rows count each; other columns aren't read. Counts are over all documents.
     """
-    found, sizes = phrases(docs, text_col, lang_col, longest, least)
+    found, sizes = phrases(docs, text_col, lang_col, longest, least, portion)
     part, over = exact("a") * 2_000_000, exact
     cut = F.transform(F.arrays_zip("first", "rest"), lambda x, i: F.struct(F.call_function("div", part, over(x["first"]) + over(x["rest"])).alias("score"), i.alias("i"), x["first"].alias("l"), x["rest"].alias("r")))
     scored = found.withColumn("cut", F.array_min(cut))
