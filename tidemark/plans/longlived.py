@@ -29,10 +29,8 @@ def landed_csv(spark, sf_dir):
 @query("SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total, 8 AS parts FROM orders WHERE o_totalprice > 100000 GROUP BY 1")
 def foreign_scan(spark, sf_dir):
     """Orders in another database (the embedded one that Spark brings along), read in eight parts with the filter pushed to it."""
-    url = f"jdbc:derby:memory:tidemark{uuid.uuid4().hex};create=true"
-    driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
-    read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority").coalesce(1).write.jdbc(url, "orders", properties=driver)
-    d = ld.foreign(spark, url, "orders", '"o_orderkey"', 8, options=driver)
+    url = ld.delivered(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), "orders")
+    d = ld.foreign(spark, url, "orders", '"o_orderkey"', 8, options=ld.DERBY)
     return d.where("o_totalprice > 100000").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")).withColumn("parts", F.lit(d.rdd.getNumPartitions()))
 
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+import zipfile
+from pathlib import Path
+from urllib.parse import urlsplit
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.stored import materialised
+from tidemark.sources.stored import materialised, shared_folder
 from tidemark.sources.tables import replace_partitions
 
 
@@ -74,6 +81,52 @@ def foreign(spark: SparkSession, url: str, table: str, column: str | None = None
     return spark.read.jdbc(url, table, predicates=bounds(spark, url, table, column, parts, options), properties=given)
 
 
+#: The database that Spark brings along.
+DERBY = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+
+
+def delivered(df: DataFrame, table: str) -> str:
+    """The URL of a read-only database with df as its `table`, which the driver and all executors open at once; its options are DERBY.
+
+    An embedded database that can be written to belongs to one process. So it is filled where the driver runs, as one server
+    would be: executors write the rows as CSV, the database loads these file by file onto its own disk and never holds more than its
+    page cache. What is shared is the archive of the finished database. The shared folder has to be a mounted one.
+    """
+    spark, name = df.sparkSession, uuid.uuid4().hex
+    root = urlsplit(shared_folder(spark))
+    if root.scheme not in ("", "file"):
+        raise ValueError("an embedded database is opened from files: set spark.checkpoint.dir to a mounted folder")
+    csv, archive = Path(root.path) / f"tidemark-{name}", Path(root.path) / f"tidemark-{name}.jar"
+    # Quotes are doubled; a null is nothing, an empty string a pair of quotes.
+    df.write.csv(f"file://{csv}", escape='"', nullValue="", emptyValue='""', timestampFormat="yyyy-MM-dd HH:mm:ss.SSSSSS")
+    connect = spark._jvm.java.sql.DriverManager.getConnection
+    with tempfile.TemporaryDirectory() as folder:
+        url = f"jdbc:derby:{folder}/data"
+        # No partitions, so that only the driver opens it.
+        spark.createDataFrame(spark.sparkContext.emptyRDD(), df.schema).write.jdbc(f"{url};create=true", table, properties=DERBY)
+        db = connect(url)
+        load = db.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, ?, ?, ',', '\"', 'UTF-8', 0)")
+        for file in sorted(csv.glob("part-*.csv")):
+            load.setString(1, table.upper())
+            load.setString(2, str(file))
+            load.execute()
+        db.close()
+        try:
+            connect(f"{url};shutdown=true")
+        except Py4JJavaError as done:
+            # A database says that it is shut down by an exception.
+            if done.java_exception.getSQLState() != "08006":
+                raise
+        # Stored as it is, so that pages are found by their place.
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_STORED) as out:
+            for x in sorted(Path(folder).glob("data/**/*")):
+                if x.suffix != ".lck" and "tmp" not in x.relative_to(folder).parts:
+                    out.write(x, x.relative_to(folder))
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"file://{csv}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return f"jdbc:derby:jar:({archive})data"
+
+
 def foreign_schema(spark: SparkSession, url: str, names: list[str], options: dict | None = None) -> dict[str, DataFrame]:
     """Registers the named tables of another database as temporary views and returns them; nothing is read before they are used."""
     out = {n: foreign(spark, url, n, options=options) for n in names}
