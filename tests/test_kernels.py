@@ -383,3 +383,23 @@ def test_formula_names_what_is_built():
         own = inputs | ({"long": "A", "short": "B"} if m == "spread" else {})
         assert formula(Recipe("f", m, own, 0, ["g"])).endswith("less its fit on g")
     assert formula(Recipe("f", "spread", {"long": "A", "short": "B"})) == "f = r(A) - r(B)"
+
+
+def test_missing_days_by_months(spark):
+    from tidemark.operators.joins import missing_days
+
+    days = [date(2023, 11, 28) + timedelta(i) for i in range(140)]
+    open_days = [t for t in days if t.weekday() < 5]
+    rows = [(k, t) for k, step in ((1, 3), (2, 50), (3, 1), (4, 200), (None, 10)) for t in days[::step] for _ in range(2)] + [(1, None), (5, None)]
+    d = spark.createDataFrame(rows, "k int, t date")
+    out = missing_days(d, spark.createDataFrame([(t,) for t in open_days + open_days[:5]], "t date"), "k", "t")
+    want = []
+    for k in {r[0] for r in rows}:
+        had = [t for q, t in rows if q == k and t]
+        # A null key equals none, so its own days are missing too.
+        want += [(k, t) for t in open_days if had and min(had) <= t <= max(had) and (k is None or t not in had)]
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(want, key=key) and len(want) > 200
+    # The expected days of a full series are never dealt out: what is joined is a calendar of months.
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" not in plan and "SortMergeJoin" not in plan

@@ -93,11 +93,25 @@ def interval_sums(bounds: DataFrame, moves: DataFrame, key: str, low: str, high:
 
 
 def missing_days(present: DataFrame, sessions: DataFrame, key: str, t: str) -> DataFrame:
-    """(key, t): sessions between a key's first and last day on which it has no row."""
-    span = present.groupBy(key).agg(F.min(t).alias("__low"), F.max(t).alias("__high"))
-    # Days between two dates: the expected rows are as many as a full series has.
-    days = span.select(key, F.explode(F.sequence("__low", "__high")).alias(t))
-    return days.join(sessions.select(t).distinct(), t, "left_semi").join(present.select(key, t).distinct(), [key, t], "left_anti").select(key, t)
+    """(key, t): sessions between a key's first and last date on which it has no row. A null key is one key, which has rows on no date.
+
+    A month of a key is one row with a bit for each of its days, and so is a month of the calendar; days become rows again
+    only where they are missing, so that what moves are months and not the full series.
+    """
+    month, bit = F.trunc(t, "month").alias("__month"), F.call_function("shiftleft", F.lit(1), F.dayofmonth(t) - 1)
+    open_days = sessions.select(t).groupBy(month).agg(F.bit_or(bit).alias("__open"))
+    had = present.where(F.col(t).isNotNull()).groupBy(key, month).agg(F.bit_or(bit).alias("__had"), F.min(t).alias("__low"), F.max(t).alias("__high"))
+    whole = W.partitionBy(key)
+    d = had.withColumns({"__low": F.min("__low").over(whole), "__high": F.max("__high").over(whole), "__next": F.lead("__month").over(whole.orderBy("__month"))})
+    # A month without rows has no bit; months up to the key's next one are told from its row.
+    until = F.coalesce(F.add_months("__next", -1), F.col("__month"))
+    d = d.select(key, "__low", "__high", "__had", F.col("__month").alias("__of"), F.explode(F.sequence("__month", until, F.expr("interval 1 month"))).alias("__month"))
+    has = F.when(F.col(key).isNotNull() & (F.col("__of") == F.col("__month")), F.col("__had")).otherwise(0)
+    # The calendar has a row for each month.
+    d = d.join(F.broadcast(open_days), "__month").withColumn("__lacks", F.col("__open").bitwiseAND(F.bitwise_not(has)))
+    lacking = F.filter(F.sequence(F.lit(0), F.lit(30)), lambda i: F.call_function("shiftright", "__lacks", i).bitwiseAND(1) == 1)
+    days = d.where("__lacks <> 0").select(key, "__low", "__high", F.explode(F.transform(lacking, lambda i: F.date_add("__month", i))).alias(t))
+    return days.where(F.col(t).between(F.col("__low"), F.col("__high"))).select(key, t)
 
 
 def either_key(left: DataFrame, right: DataFrame, keys: list, right_key: str, how: str = "left") -> DataFrame:
