@@ -223,3 +223,22 @@ def test_sequences_keep_what_can_be_longer():
     for n in (0, 1, 1000):
         x = np.arange(-1, n - 1, dtype=np.int32)
         assert (unsqueezed(squeezed(x)) == x).all()
+
+
+def test_entries_move_packed(spark):
+    """Few bytes a pair, by which the shuffle of all pairs fits its disk; numbers come back in the portions' own codes."""
+    import numpy as np
+
+    from tidemark.llm import collocations as co
+
+    rng = np.random.default_rng(3)
+    columns = [np.sort(rng.integers(0, 1 << 50, 1000)), rng.integers(-(1 << 62), 1 << 62, 1000), np.ones(1000, dtype=np.int64)]
+    assert np.array_equal(co.unpacked(co.packed(*columns), 3), np.stack(columns)) and co.unpacked(co.packed(*[np.empty(0, dtype=np.int64)] * 2), 2).shape == (2, 0)
+    w = 3000
+    keys, n = np.unique((rng.zipf(1.2, 400_000) % w) * w + rng.zipf(1.2, 400_000) % w, return_counts=True)
+    ids = np.sort(rng.choice(1 << 20, w, replace=False)).astype(np.int64)
+    parts = co.in_ranges(ids[keys // w], ids[keys % w], n, 5)
+    assert sum(map(len, parts)) < 7 * len(keys)
+    back = np.concatenate([co.unpacked(x, 4) for x in parts], axis=1)
+    back = back[:, np.argsort(back[0])]
+    assert np.array_equal(back, np.stack([np.arange(len(keys)), ids[keys // w], ids[keys % w], n]))

@@ -6,9 +6,10 @@ pairs are phrases of one word more: a phrase of k words is the pair of the two o
 also the phrase's pointer to those two, from which its cuts and what it lies in are looked up by joins.
 
 Texts are read once, into sequences of codes (numbers of a portion's own table of different words or pairs). Each round sends
-a portion's different pairs with their counts through one shuffle, where all portions' rows of a pair meet: their sum is the
-pair's count, the smallest of their places its number, and the frequent ones' numbers go back to their portions. Sequences
-lose every stretch that can't be part of a longer phrase. No table of all phrases is broadcast.
+a portion's different pairs with their counts through one shuffle, where all portions' entries of a pair meet: their sum is the
+pair's count, the smallest of their places its number, and the frequent ones' numbers go back to their portions. Entries move
+sorted and compressed, a row for each portion and range of pairs, and so do the numbers. Sequences lose every stretch that
+can't be part of a longer phrase. No table of all phrases is broadcast.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from tidemark.llm.common import discard, table, text_of, written
 LONGEST, FREQUENT, TOP, WITHIN = 4, 30, 2000, (80, 100)
 #: Bytes of texts in a portion, and portions of a task at most: a portion's number takes 31 bits with that of its task.
 PORTION, IN_TASK = 8_000_000, 1 << 12
+#: Portions for each range of pairs: a task holds a range's entries of all portions, about as many as so many portions have. Names packed at a time.
+IN_RANGE, NAMES = 4, 1_000_000
 
 #: What a byte is (0 part of a word, 1 between words, 2 between pieces), and its lower case in A-Z.
 KIND, LOWER = np.zeros(256, dtype=np.uint8), np.arange(256, dtype=np.uint8)
@@ -76,13 +79,29 @@ def unsqueezed(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(4, n).T).view("<i4")[:, 0]
 
 
-SEQUENCES = "p int, codes binary, a array<long>, b array<long>, word array<string>, lang array<string>, n array<long>"
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of longs, equally long, as the differences of their entries by planes of bytes, compressed: best if they ascend."""
+    d = np.stack([np.diff(c, prepend=0) for c in columns]).astype("<i8")
+    raw = ((d << 1) ^ (d >> 63)).view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes()
+    return len(columns[0]).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def as_rows(p: int, codes: np.ndarray, n: np.ndarray, a=None, b=None, word=None, lang=None) -> pa.RecordBatch:
-    """A portion's row: its sequence of codes, and by code the pair (a, b) or the word and language, and the occurrences n."""
-    one = lambda x, kind: pa.array([None if x is None else x], type=pa.list_(kind))
-    return pa.RecordBatch.from_arrays([pa.array([p], type=pa.int32()), pa.array([squeezed(codes)], type=pa.binary()), one(a, pa.int64()), one(b, pa.int64()), one(word, pa.string()), one(lang, pa.string()), one(n, pa.int64())], names=["p", "codes", "a", "b", "word", "lang", "n"])
+def unpacked(data: bytes, columns: int) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    raw = pa.decompress(data[8:], decompressed_size=8 * n * columns, codec="zstd", asbytes=True)
+    z = np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(columns, 8, n).transpose(0, 2, 1)).view("<i8")[:, :, 0]
+    return np.cumsum(((z >> 1) & 0x7FFFFFFFFFFFFFFF) ^ -(z & 1), axis=1)
+
+
+SEQUENCES = "p int, codes binary, word array<string>, lang array<string>, n array<long>"
+#: parts: by range the entries (code, a, b, n) of the portion's pairs, packed.
+PAIRED = pa.schema([("p", pa.int32()), ("codes", pa.binary()), ("parts", pa.list_(pa.binary()))])
+
+
+def as_rows(p: int, codes: np.ndarray, n: np.ndarray, word: pa.Array, lang: pa.Array) -> pa.RecordBatch:
+    """A portion's row: its sequence of codes, and by code the word, the language and the occurrences n."""
+    one = lambda x, kind: pa.array([x], type=pa.list_(kind))
+    return pa.RecordBatch.from_arrays([pa.array([p], type=pa.int32()), pa.array([squeezed(codes)], type=pa.binary()), one(word, pa.string()), one(lang, pa.string()), one(n, pa.int64())], names=["p", "codes", "word", "lang", "n"])
 
 
 def read_portions(docs: DataFrame, portion: int = PORTION) -> DataFrame:
@@ -106,7 +125,7 @@ def read_portions(docs: DataFrame, portion: int = PORTION) -> DataFrame:
                 keys, code, n = counted(different.indices.to_numpy().astype(np.int64) * m + langs.indices.to_numpy()[doc])
                 if len(code):
                     word = different.dictionary.take(pa.array(keys // m)).cast(pa.string())
-                    yield as_rows(done, stretches(code, piece[1:] == piece[:-1]), n, word=word, lang=langs.dictionary.take(pa.array(keys % m)))
+                    yield as_rows(done, stretches(code, piece[1:] == piece[:-1]), n, word, langs.dictionary.take(pa.array(keys % m)))
                     done += 1
                 low = high
         pa.default_memory_pool().release_unused()
@@ -114,16 +133,28 @@ def read_portions(docs: DataFrame, portion: int = PORTION) -> DataFrame:
     return docs.mapInArrow(run, SEQUENCES)
 
 
-def paired(portions: DataFrame, names: DataFrame) -> DataFrame:
-    """SEQUENCES of the pairs of neighbours that both have a number: names (p, code, id) has the numbers of a portion's codes."""
+def in_ranges(a: np.ndarray, b: np.ndarray, n: np.ndarray, ranges: int) -> list[bytes | None]:
+    """The entries of pairs, sorted by (a, b), by the range that their hash falls in."""
+    h = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    r = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(ranges)
+    order = np.argsort(r, kind="stable")
+    ends = np.searchsorted(r[order], np.arange(ranges + 1))
+    each = (order[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True))
+    return [packed(i, a[i], b[i], n[i]) if len(i) else None for i in each]
+
+
+def paired(portions: DataFrame, names: DataFrame, ranges: int) -> DataFrame:
+    """PAIRED of the pairs of neighbours that both have a number: names (p, names) has the packed (code, id) of a portion's codes, in several rows."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         p = key[0].as_py()
         out = []
-        if right.num_rows:
+        if right.num_rows and left.num_rows:
             # A portion is one row; its sequence is bounded by PORTION or one text.
             codes = unsqueezed(left.column("codes")[0].as_py())
-            code, ids = right.column("code").to_numpy(), right.column("id").to_numpy()
+            code, ids = np.concatenate([unpacked(x.as_py(), 2) for x in right.column("names")], axis=1)
+            order = np.argsort(ids)
+            code, ids = code[order], ids[order]
             number = np.full(max(int(code.max()), int(codes.max(initial=0))) + 2, -1, dtype=np.int64)
             number[code] = np.arange(len(ids))
             at = number[codes]
@@ -132,11 +163,51 @@ def paired(portions: DataFrame, names: DataFrame) -> DataFrame:
             if len(keys):
                 full = np.full(len(at) - 1, -1, dtype=np.int64)
                 full[both] = pair
-                out.append(as_rows(p, stretches(full, both[:-1] & both[1:]), n, a=ids[keys // len(ids)], b=ids[keys % len(ids)]))
-        schema = pa.schema([("p", pa.int32()), ("codes", pa.binary()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("word", pa.list_(pa.string())), ("lang", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
-        return pa.Table.from_batches(out, schema=schema)
-
-    return portions.select("p", "codes").groupBy("p").cogroup(names.select(F.col("p").alias("of"), "code", "id").groupBy("of")).applyInArrow(run, SEQUENCES)
+                parts = in_ranges(ids[keys // len(ids)], ids[keys % len(ids)], n, ranges)
+                out.append(pa.RecordBatch.from_arrays([pa.array([p], type=pa.int32()), pa.array([squeezed(stretches(full, both[:-1] & both[1:]))], type=pa.binary()), pa.array([parts], type=pa.list_(pa.binary()))], schema=PAIRED))
+        return pa.Table.from_batches(out, schema=PAIRED)
+
+    return portions.select("p", "codes").groupBy("p").cogroup(names.select(F.col("p").alias("of"), "names").groupBy("of")).applyInArrow(run, "p int, codes binary, parts array<binary>")
+
+
+NUMBERED = pa.schema([("p", pa.int32()), ("names", pa.binary()), ("id", pa.list_(pa.int64())), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("f", pa.list_(pa.int64()))])
+
+
+def frequent_pairs(portions: DataFrame, least: int, back: bool) -> DataFrame:
+    """The pairs that occur `least` times or more over all portions (PAIRED): a row of lists (id, a, b, f) for each range, f
+    occurrences, id the smallest place; and, if their numbers go `back`, rows (p, names) as in `paired`; written."""
+
+    def run(entries: pa.Table) -> pa.Table:
+        p = entries.column("p").to_numpy().astype(np.int64)
+        some = [unpacked(x.as_py(), 4) for x in entries.column("data")]
+        of = np.repeat(np.arange(len(p)), [x.shape[1] for x in some])
+        code, a, b, n = np.concatenate(some, axis=1)
+        del some
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        f = np.add.reduceat(n[order], first)
+        ids = np.minimum.reduceat(((p[of] << 32) | code)[order], first)
+        keep = f >= least
+        columns = [[None], [None], [ids[keep]], [a[first][keep]], [b[first][keep]], [f[keep]]]
+        if back and keep.any():
+            size = np.diff(np.append(first, len(order)))
+            stays = np.repeat(keep, size)
+            mine, numbers = order[stays], np.repeat(ids, size)[stays]
+            # Back into the order in which the portions' entries came.
+            again = np.argsort(mine)
+            mine, numbers = mine[again], numbers[again]
+            ends = np.searchsorted(of[mine], np.arange(len(p) + 1))
+            for i in np.flatnonzero(np.diff(ends)):
+                x = slice(ends[i], ends[i + 1])
+                columns[0].append(int(p[i]))
+                columns[1].append(packed(code[mine[x]], numbers[x]))
+            for c in columns[2:]:
+                c += [None] * (len(columns[0]) - 1)
+        return pa.Table.from_arrays([pa.array(c, type=t.type) for c, t in zip(columns, NUMBERED, strict=True)], schema=NUMBERED)
+
+    d = portions.select("p", F.posexplode("parts").alias("r", "data")).where("data IS NOT NULL")
+    return written(d.groupBy("r").applyInArrow(run, "p int, names binary, id array<long>, a array<long>, b array<long>, f array<long>"))
 
 
 def entries(portions: DataFrame, *columns: str) -> DataFrame:
@@ -154,8 +225,30 @@ def frequent(places: DataFrame, keys: list[str], least: int) -> DataFrame:
 
 
 def names_of(held: DataFrame) -> DataFrame:
-    """(p, code, id) of each place."""
-    return held.select(F.shiftright("place", 32).cast("int").alias("p"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("code"), "id")
+    """(p, names) of each place, the names packed; those that a task has of a portion are one row or a few."""
+
+    def pack(place: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(place)
+        place, ids = place[order], ids[order]
+        p, code = place >> 32, place & 0xFFFFFFFF
+        different, begin = np.unique(p, return_index=True)
+        ends = np.append(begin, len(p))
+        names = [packed(code[x:y], ids[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(different, type=pa.int32()), pa.array(names, type=pa.binary())], names=["p", "names"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, n = [], 0
+        for batch in batches:
+            # Copies: a batch's memory isn't its receiver's.
+            some.append(np.stack([batch.column(c).to_numpy() for c in ("place", "id")]))
+            n += batch.num_rows
+            if n >= NAMES:
+                yield pack(*np.concatenate(some, axis=1))
+                some, n = [], 0
+        if n:
+            yield pack(*np.concatenate(some, axis=1))
+
+    return held.select("place", "id").mapInArrow(run, "p int, names binary")
 
 
 def exact(x: str | Column) -> Column:
@@ -177,12 +270,14 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lon
     held = frequent(entries(portions, "lang", "word", "n"), ["lang", "word"], least)
     none = F.array().cast("array<long>")
     level = held.where("place = id").select("id", "lang", F.lit(1).alias("k"), F.col("word").alias("phrase"), F.col("word").alias("last"), F.col("f").alias("a"), none.alias("first"), none.alias("rest"), F.lit(None).cast("long").alias("part_a"), F.lit(None).cast("long").alias("part_b"))
-    levels, level = [], written(level)
+    levels, level, names = [], written(level), names_of(held)
+    ranges = max(1, portions.count() // IN_RANGE)
     for k in range(2, longest + 1):
-        before, portions = portions, written(paired(portions, names_of(held)))
+        before, portions = portions, written(paired(portions, names, ranges))
         discard(before, held)
-        held = frequent(entries(portions, "a", "b", "n"), ["a", "b"], least)
-        pairs = held.where("place = id").select("id", "a", "b", "f")
+        held = frequent_pairs(portions, least, k < longest)
+        names = held.where("p IS NOT NULL").select("p", "names")
+        pairs = held.where("p IS NULL").select(F.explode(F.arrays_zip("id", "a", "b", "f")).alias("x")).select("x.*")
         x, y = level.alias("x"), level.alias("y")
         joined = pairs.join(x, F.col("x.id") == pairs["a"]).join(y, F.col("y.id") == pairs["b"])
         level = written(joined.select(
