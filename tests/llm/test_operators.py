@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import Row
@@ -433,6 +434,36 @@ def test_cells_are_split_by_sketches(spark, monkeypatch):
     assert nd.bin_blocks(0.8) == 32
 
 
+def test_alike_sketches_share_a_block(spark, monkeypatch):
+    """Sketches of any fill and changed ones of them: alike ones share a block, few others do, and a cell of all of them is settled without a row for a pair."""
+    from tidemark.llm import neardup as nd
+    from tidemark.llm.common import components
+
+    rng, rows = np.random.default_rng(5), []
+    for k in range(120):
+        full = np.zeros(nd.BINS, dtype=np.uint8)
+        held = rng.choice(nd.BINS, 1 + k * 127 // 119, replace=False)
+        full[held] = rng.integers(1, 256, len(held))
+        rows.append(full)
+        for share in (0.1, 0.2, 0.3):
+            other = full.copy()
+            at = rng.choice(held, int(share * len(held)), replace=False)
+            other[at] = rng.integers(0, 256, len(at))
+            rows.append(other)
+    nodes = spark.createDataFrame([(i, 0, x.tobytes()) for i, x in enumerate(rows)], "node long, words long, sketch binary").cache()
+    blocks = defaultdict(set)
+    for r in nd.sketch_blocks(nodes, 0, nd.SIMILARITY).collect():
+        blocks[r.node].add(r.block)
+    alike = {(i, j) for i, a in enumerate(rows) for j in range(i) if nd.agree(a, rows[j], nd.SIMILARITY)}
+    share = {(i, j) for i in range(len(rows)) for j in range(i) if blocks[i] & blocks[j]}
+    assert len(alike) > 300 and alike <= share and len({p for p in share - alike if p[0] // 4 != p[1] // 4}) < len(rows)
+    want = {r.node: r.label for r in components(spark.createDataFrame(sorted(alike), "a long, b long")).collect()}
+    monkeypatch.setattr(nd, "SMALL", 50)
+    cell = nodes.selectExpr("7L AS cell", "node", "words", "node AS label", f"{len(rows)}L AS n")
+    found = nd.alike_inside(cell, nodes, nd.WORD_RADIUS, nd.SIMILARITY)
+    assert {r.node: r.label for r in components(found).collect()} == want
+
+
 def test_repeated_rows_of_one_text(spark):
     from tidemark.llm import substrings
 

@@ -46,25 +46,48 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 #: Similar texts: words in a shingle, the least share of common shingles, bits in which the fingerprints of their words may
-#: differ, rounds in which a cell's members meet one of them before more is done, and members that may then all meet: to deal
-#: a row out again costs about as much as some thousand comparisons of two longs.
-SHINGLE, SIMILARITY, WORD_RADIUS, ROUNDS, SMALL = 5, 0.8, 8, 1, 4096
-#: Bins of a sketch of the shingles, and how often cells are split by them. Sketches with fewer than SPARSE bins in use are
-#: split by PAIRS of bins, those with DENSE or more by wider blocks; alike ones are never SPARSE and under DENSE apart.
-BINS, SPLITS, DENSE, SPARSE, PAIRS = 128, 3, 85, 112, 64
+#: differ, members of a cell that may meet as pairs of rows, and members that may all meet inside a task: to deal a row out
+#: again costs about as much as some thousand comparisons of two longs.
+SHINGLE, SIMILARITY, WORD_RADIUS, FEW, SMALL = 5, 0.8, 8, 16, 4096
+#: Bins of a sketch of the shingles, and how often cells are split by them again.
+BINS, SPLITS = 128, 3
 #: Hashes whose bits are laid out at a time.
 VOTERS = 10_000
 
 
 def least_common(bins: np.ndarray, similarity: float) -> np.ndarray:
-    """Of so many bins that hold a shingle as many agree at that share of common shingles, give or take their standard deviation."""
-    return bins * similarity - np.sqrt(bins * similarity * (1 - similarity))
+    """Of so many bins that hold a shingle as many agree at that share of common shingles, give or take their standard deviation; if any hold one, one."""
+    return np.minimum(bins, np.maximum(1, bins * similarity - np.sqrt(bins * similarity * (1 - similarity))))
 
 
-def bin_blocks(similarity: float) -> int:
-    """Blocks that the bins are cut into so that similar sketches, whatever bins they differ in, share a whole block."""
-    differ = int(BINS - least_common(np.array(BINS), similarity))
-    return next(n for n in range(differ + 1, BINS + 1) if BINS % n == 0)
+def most_apart(similarity: float) -> np.ndarray:
+    """The bins in which two similar sketches differ at most, by the number (0 to BINS) that one of the two or both hold."""
+    held = np.arange(BINS + 1)
+    return held - np.ceil(least_common(held, similarity)).astype(int)
+
+
+def bin_blocks(similarity: float, held: int = BINS) -> int:
+    """Blocks that the bins are cut into for sketches of which two hold so many bins or fewer: more than they may differ in if
+    they are similar, and the more to choose from the fewer bins are in use."""
+    return min(BINS, int(most_apart(similarity)[: held + 1].max()) + 2 + (BINS - held) // 16)
+
+
+def block_plan(similarity: float) -> list[tuple[int, np.ndarray]]:
+    """(blocks, dealt) for ranges of the number of bins that two sketches hold: the blocks to cut into, and by how many of its
+    fullest blocks a sketch is dealt out, by the bins that it holds itself; 0 if it is in no similar pair of that range.
+
+    Of n blocks similar sketches that differ in d bins share n - d at least. In one order of all blocks d others at most come
+    before the first that they share, so it is among the first d + 1 of either sketch: the fullest, which fewest have by chance.
+    """
+    differ, plan, most = most_apart(similarity), [], BINS
+    while most:
+        least, dealt = most * 3 // 4 + 1, np.zeros(BINS + 1, dtype=int)
+        for held in range(least, most + 1):
+            own = slice(held - differ[held], held + 1)
+            dealt[own] = np.maximum(dealt[own], differ[held] + 1)
+        plan.append((bin_blocks(similarity, most), dealt))
+        most = least - 1
+    return plan
 
 
 def votes(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
@@ -121,38 +144,88 @@ def text_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int)
     return d.mapInArrow(run, f"doc_id {kind}, text_hash long, words long, sketch binary")
 
 
+def agree(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sketches agree as those of similar texts do."""
+    held = (a > 0) | (b > 0)
+    return ((a == b) & held).sum(axis=-1) >= least_common(held.sum(axis=-1), similarity)
+
+
+def sketches_of(rows: pa.RecordBatch | pa.Table, column: str) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column(column).to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+
+
 def alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b, la, lb) of nodes whose sketches agree as those of similar texts do."""
+    """(a, b): the labels of the pairs (a, b, la, lb) of nodes whose sketches agree."""
     d = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for c in ("sa", "sb"))
-            held = (a > 0) | (b > 0)
-            same = ((a == b) & held).sum(axis=1) >= least_common(held.sum(axis=1), similarity)
-            yield batch.select(["la", "lb"]).filter(pa.array(same))
+            same = agree(sketches_of(batch, "sa"), sketches_of(batch, "sb"), similarity)
+            yield batch.select(["la", "lb"]).filter(pa.array(same)).rename_columns(["a", "b"])
 
-    return d.select("la", "lb", "sa", "sb").mapInArrow(run, "la long, lb long")
+    return d.select("la", "lb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def by_sketch(members: DataFrame, nodes: DataFrame, level: int, similarity: float) -> DataFrame:
-    """Smaller cells by blocks of bins, in another order at each level; cells of one member are left out.
+def alike_inside(members: DataFrame, nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(a, b): labels that alike pairs among the members (cell, node, words, label, n) of a cell link, so many that all such are connected.
 
-    At 0.8 alike sketches differ in 30 bins at most, so of 32 blocks of 4 bins they share a whole one; with few bins in use
-    they differ in fewer than half of these, so they share a pair of bins. Blocks without a bin in use tell nothing.
+    All members of a cell meet inside a task, and no row comes about for a pair. A cell of more than SMALL is cut into
+    portions by a hash of its nodes, of which every two are a group, so a task holds two portions whatever a cell's size.
     """
-    order = np.random.default_rng(level).permutation(BINS)
-    empty = lambda n: F.lit(bytes(n))
+    parts = F.ceil(F.col("n") / SMALL)
+    d = members.withColumn("own", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    d = d.select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "words", "label")
 
-    def cells(blocks: int, when: Column) -> list[Column]:
-        key = lambda block: F.concat(*(F.substring("sketch", i + 1, 1) for i in block))
-        return [F.when(when & (key(block) != empty(len(block))), F.xxhash64("cell", F.lit(blocks), F.lit(k), key(block))) for k, block in enumerate(order.reshape(blocks, -1).tolist())]
+    def run(rows: pa.Table) -> pa.Table:
+        words, label = rows.column("words").to_numpy().view(np.uint64), rows.column("label").to_numpy().copy()
+        sketch, found = sketches_of(rows, "sketch"), []
+        for i in range(len(words) - 1):
+            near = i + 1 + np.flatnonzero((np.bitwise_count(words[i + 1 :] ^ words[i]) <= radius) & (label[i + 1 :] != label[i]))
+            linked = np.unique(label[near[agree(sketch[i], sketch[near], similarity)]])
+            found += [(int(label[i]), int(x)) for x in linked]
+            if len(linked):
+                label[np.isin(label, linked)] = label[i]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    used = F.aggregate(F.sequence(F.lit(1), F.lit(BINS)), F.lit(0), lambda at, i: at + F.when(F.substring("sketch", i, F.lit(1)) != empty(1), 1).otherwise(0))
-    d = members.join(nodes.select("node", "sketch"), "node").withColumn("used", used)
-    keys = F.array_compact(F.array(*cells(PAIRS, F.col("used") < SPARSE), *cells(bin_blocks(similarity), F.col("used") >= DENSE)))
-    d = d.select(F.explode(keys).alias("cell"), *(c for c in members.columns if c != "cell"))
-    return d.join(d.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell"), "cell")
+    return d.join(nodes.select("node", "sketch"), "node").groupBy("cell", "low", "high").applyInArrow(run, "a long, b long")
+
+
+def sketch_blocks(nodes: DataFrame, level: int, similarity: float) -> DataFrame:
+    """(node, block): hashes of blocks of bins, in another order at each level, of which any two alike sketches share one."""
+    for_workers(nodes.sparkSession)
+    plan, order = block_plan(similarity), np.random.default_rng(level).permutation(BINS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A block's hash is the sum of those of its bins; an empty bin adds nothing.
+        value = mixed(np.arange(1, BINS * 256 + 1, dtype=np.uint64) * C1).reshape(BINS, 256)
+        value[:, 0] = 0
+        for batch in batches:
+            node = batch.column("node").to_numpy(zero_copy_only=False)
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, BINS)[:, order]
+            h, used = value[np.arange(BINS), sketch], (sketch > 0).sum(axis=1)
+            for k, (blocks, dealt) in enumerate(plan):
+                some = np.flatnonzero(dealt[used])
+                if not len(some):
+                    continue
+                first, number = np.arange(blocks) * BINS // blocks, np.arange(blocks, dtype=np.uint64) + np.uint64(k * BINS)
+                held = np.add.reduceat(sketch[some] > 0, first, axis=1, dtype=np.int16)
+                sums = np.add.reduceat(h[some], first, axis=1) + mixed(number * C1)
+                taken = np.arange(blocks) < dealt[used[some]][:, None]
+                block = mixed(np.take_along_axis(sums, np.argsort(-held, axis=1, kind="stable"), axis=1)[taken])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node[some], dealt[used[some]])), pa.array(block.view(np.int64))], names=["node", "block"])
+
+    return nodes.select("node", "sketch").mapInArrow(run, "node long, block long")
+
+
+def by_sketch(members: DataFrame, nodes: DataFrame, level: int, similarity: float) -> DataFrame:
+    """Smaller cells by blocks of bins that lose no alike pair; cells of one member are left out."""
+    blocks = sketch_blocks(nodes.join(members.select("node").distinct(), "node", "left_semi"), level, similarity)
+    return not_alone(members.join(blocks, "node").select(F.xxhash64("cell", "block").alias("cell"), *(c for c in members.columns if c != "cell")))
+
+
+def not_alone(cells: DataFrame) -> DataFrame:
+    """The rows of cells that have more than one; a node is in a cell once."""
+    return cells.join(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell"), "cell")
 
 
 def apart(members: DataFrame) -> DataFrame:
@@ -164,8 +237,9 @@ def apart(members: DataFrame) -> DataFrame:
 def joined_cells(cells: DataFrame, nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
     """(node, label) of all nodes (node, words, sketch): the connected groups of the alike pairs among the members (cell, node) of common cells.
 
-    One member of each cell, the same wherever it can be, meets the others, another one in the next round; what is of one
-    group by then needs no more. In cells of SMALL members or fewer all those meet that are still apart. Larger ones are
+    First a node meets one node only, of those that its cells have in common wherever they can, so that a large group of near
+    copies needs a pair a node. What is of one group by then needs no more. In cells of SMALL members or fewer all those meet
+    that are still apart, in cells of FEW as pairs of rows, in larger ones inside a task. Cells above SMALL are
     split by their sketches into cells that lose no alike pair, and so on, SPLITS times; members that stay together then
     share bins in every split, and all of those that are still apart meet. Ties between members are settled by a hash.
     """
@@ -174,11 +248,10 @@ def joined_cells(cells: DataFrame, nodes: DataFrame, radius: int, similarity: fl
     close = bits_between(F.col("a.words"), F.col("b.words")) <= radius
     columns = [F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.label").alias("la"), F.col("b.label").alias("lb")]
 
-    def merge(pairs: DataFrame) -> None:
-        """New labels for members and known, given pairs (a, b, la, lb) of members whose fingerprints are near."""
+    def merge(links: DataFrame) -> None:
+        """New labels for members and known, given pairs (a, b) of labels that are of one group."""
         nonlocal members, base, known
-        near = written(pairs.distinct())
-        found = written(alike(near, nodes, similarity).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+        found = written(links.distinct())
         if found.limit(1).count():
             names = components(found).select(F.col("node").alias("label"), F.col("label").alias("new"))
             new = F.coalesce("new", "label").alias("label")
@@ -186,7 +259,7 @@ def joined_cells(cells: DataFrame, nodes: DataFrame, radius: int, similarity: fl
             before, known = known, written(known.join(names, "label", "left").select("node", new))
             base = members
             discard(old, before)
-        discard(near, found)
+        discard(found)
 
     def settled() -> DataFrame:
         """Of the members those that are still apart in their cell, with the cell's size."""
@@ -197,19 +270,20 @@ def joined_cells(cells: DataFrame, nodes: DataFrame, radius: int, similarity: fl
         return base
 
     for level in range(SPLITS + 1):
-        for k in range(ROUNDS):
-            left = settled()
-            hubs = left.groupBy("cell").agg(F.min_by(F.struct("node", "words", "label"), F.xxhash64(F.lit(k), "node")).alias("hub")).select(F.col("cell").alias("at"), "hub.*")
-            merge(left.alias("a").join(hubs.alias("b"), F.expr("a.cell = b.at AND a.label <> b.label")).where(close).select(columns))
+        left = settled()
+        hubs = left.groupBy("cell").agg(F.min_by(F.struct("node", "words", "label"), F.xxhash64("node")).alias("hub")).select(F.col("cell").alias("at"), "hub.*")
+        met = left.alias("a").join(hubs.alias("b"), F.expr("a.cell = b.at AND a.label <> b.label")).where(close).select(columns)
+        merge(alike(met.groupBy("a").agg(F.min_by(F.struct("b", "la", "lb"), F.xxhash64("b")).alias("x")).select("a", "x.*"), nodes, similarity))
         left = settled()
         last = level == SPLITS or not left.where(F.col("n") > SMALL).limit(1).count()
-        small = left if level == SPLITS else left.where(F.col("n") <= SMALL)
+        few, more = left.where(F.col("n") <= FEW), left.where(F.col("n") > FEW)
         # What is in large cells goes on, with the labels that it gets here.
         members = left.drop("n") if last else left.where(F.col("n") > SMALL).drop("n")
-        merge(small.alias("a").join(small.alias("b"), F.expr("a.cell = b.cell AND a.label < b.label")).where(close).select(columns))
+        pairs = few.alias("a").join(few.alias("b"), F.expr("a.cell = b.cell AND a.label < b.label")).where(close).select(columns).distinct()
+        merge(alike(pairs, nodes, similarity).unionByName(alike_inside(more if level == SPLITS else more.where(F.col("n") <= SMALL), nodes, radius, similarity)))
         if last:
             break
-        old, base = base, written(by_sketch(members, nodes, level, similarity))
+        old, base = base, written(by_sketch(members, nodes, level + 1, similarity))
         members = base
         discard(old)
     discard(base)
@@ -219,26 +293,23 @@ def joined_cells(cells: DataFrame, nodes: DataFrame, radius: int, similarity: fl
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = WORD_RADIUS) -> DataFrame:
     """(doc_id, text_hash, group) of each row: texts that share `similarity` or more of their shingles by their sketches, transitively.
 
-    Candidates come from the fingerprints of the texts' words, which a few changed words move less than shingles: the
-    generalised pigeonhole finds all within `radius` bits. They are verified by sketches of the shingles, whose bins agree
-    in a share that is that of common shingles, less a standard deviation. Defined results: as in near_groups; group is a
-    number without further meaning.
+    Candidates are texts that share a block of bins of their sketches, which every two with alike sketches do, and whose
+    words' fingerprints, which a few changed words move less than shingles, are within `radius` bits. They are verified by
+    their whole sketches, whose bins agree in a share that is that of common shingles, less a standard deviation. Defined
+    results: as in near_groups; group is a number without further meaning.
     """
     fps = written(text_fingerprints(docs, id_col, text_col, shingle).withColumn("node", F.xxhash64("words", "sketch")))
     nodes = written(fps.select("node", "words", "sketch").distinct())
-    prints = written(nodes.groupBy(F.col("words").alias("fp")).agg(F.count(F.lit(1)).alias("n")))
-    cells = pigeonhole_cells(nodes.withColumnRenamed("words", "fp").select("fp", "node"), pigeonhole_plan(prints, radius), ["node"]).select("cell", "node")
-    # A node is in a cell once, so a count tells whether it is alone there.
-    shared = written(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell"))
-    labels = joined_cells(cells.join(shared, "cell"), nodes, radius, similarity)
-    discard(nodes, prints, shared)
+    labels = joined_cells(not_alone(sketch_blocks(nodes, 0, similarity).withColumnRenamed("block", "cell")), nodes, radius, similarity)
+    discard(nodes)
     return fps.join(labels, "node").select("doc_id", "text_hash", F.col("label").alias("group"))
 
 
 def first_of_each(docs: DataFrame, groups: DataFrame, group: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' rows of which no other in the group has a smaller id (null last) or, with one id, a smaller text hash; of identical rows one.
 
-    groups has a row for each row of docs. Only what goes is joined to the texts, so that they stay where they are while that is little.
+    groups has a row for each row of docs. Only what goes is joined to the texts. They move once, on any size: what goes
+    grows with them, so it is too much to send to all tasks, and a small table shows what a large one takes.
     """
     groups = groups.select("doc_id", "text_hash", F.col(group).alias("group"))
     first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("x")).select("group", F.col("x.doc_id").alias("first_id"), F.col("x.text_hash").alias("first_hash"))
@@ -251,7 +322,7 @@ def first_of_each(docs: DataFrame, groups: DataFrame, group: str, id_col: str =
     key = F.col(names[docs.columns.index(id_col)])
     d = d.withColumn("__own", F.xxhash64(text_of(names[docs.columns.index(text_col)])))
     same = key.eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash"))
-    once = d.join(rows, same, "left_anti")
+    once = d.join(rows.hint("merge"), same, "left_anti")
     # Of rows that are there more than once and stay, one does.
     w = W.partitionBy("__own", key).orderBy(F.lit(0))
     often = d.join(rows.where("__stays"), same, "left_semi").withColumn("__copy", F.row_number().over(w)).where("__copy = 1")
